@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from stackloom.llm.common import ready
+from stackloom.llm.sentencepiece_bpe import op5_sentencepiece
+from stackloom.llm.simhash import op6_simhash
 from stackloom.llm.substring import op4_substring
 from stackloom.llm.suffix_dedup import op7_suffix
 
 _QUERIES = {
     "op4_substring": op4_substring,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_simhash": op6_simhash,
     "op7_suffix": op7_suffix,
 }
 
