@@ -19,6 +19,8 @@ def ready(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # whole documents: bound what a batch holds
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 
@@ -72,6 +74,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20):
+    """Parts of a batch with about so many bytes of text each, one row at least: bounds the arrays made of a part."""
+    _, ends = utf8(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit)))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def rows_bytes(column: pa.Array) -> list[bytes]:
     """The rows of a string column as bytes; nulls are empty."""
     data, ends = utf8(column)
