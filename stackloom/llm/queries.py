@@ -5,17 +5,21 @@ from __future__ import annotations
 from stackloom.llm import line_dedup
 from stackloom.llm.common import ready
 from stackloom.llm.decontaminate import op10_decontaminate
+from stackloom.llm.quality import op1_quality
 from stackloom.llm.sentencepiece_bpe import op5_sentencepiece
 from stackloom.llm.simhash import op6_simhash
 from stackloom.llm.substring import op4_substring
 from stackloom.llm.suffix_dedup import op7_suffix
+from stackloom.llm.toxicity import op8_toxicity
 
 _QUERIES = {
+    "op1_quality": op1_quality,
     "op3_lines": line_dedup.op3_lines,
     "op4_substring": op4_substring,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
     "op7_suffix": op7_suffix,
+    "op8_toxicity": op8_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 
