@@ -5,6 +5,7 @@ from __future__ import annotations
 from stackloom.llm import line_dedup
 from stackloom.llm.common import ready
 from stackloom.llm.decontaminate import op10_decontaminate
+from stackloom.llm.embedding_dedup import op9_embeddings
 from stackloom.llm.quality import op1_quality
 from stackloom.llm.sentencepiece_bpe import op5_sentencepiece
 from stackloom.llm.simhash import op6_simhash
@@ -20,6 +21,7 @@ _QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_suffix": op7_suffix,
     "op8_toxicity": op8_toxicity,
+    "op9_embeddings": op9_embeddings,
     "op10_decontaminate": op10_decontaminate,
 }
 
