@@ -6,6 +6,7 @@ from stackloom.llm import line_dedup
 from stackloom.llm.common import ready
 from stackloom.llm.decontaminate import op10_decontaminate
 from stackloom.llm.embedding_dedup import op9_embeddings
+from stackloom.llm.html_text import op2_html
 from stackloom.llm.quality import op1_quality
 from stackloom.llm.sentencepiece_bpe import op5_sentencepiece
 from stackloom.llm.simhash import op6_simhash
@@ -15,6 +16,7 @@ from stackloom.llm.toxicity import op8_toxicity
 
 _QUERIES = {
     "op1_quality": op1_quality,
+    "op2_html": op2_html,
     "op3_lines": line_dedup.op3_lines,
     "op4_substring": op4_substring,
     "op5_sentencepiece": op5_sentencepiece,
