@@ -55,17 +55,18 @@ def features(text: bytes) -> list[float]:
     ]
 
 
-def statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out and the features of every row, as one array."""
+def statistics(documents: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """doc_id, held_out, the features of every row as one array x, and the columns in keep."""
 
     def run(batches):
         for batch in (x for b in batches for x in slices(b, 2)):
             rows = [features(t) for t in rows_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "held_out", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.list_(pa.float64())), *batch.columns[3:]], names=["doc_id", "held_out", "x", *keep])
 
     ready(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, x array<double>")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("words"), *keep)
+    kinds = "".join(f", `{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, x array<double>" + kinds)
 
 
 @dataclass
@@ -124,15 +125,20 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
     columns are ignored and never seen by the score.
     """
     stats = materialise(statistics(documents), "statistics")
-    model = train(stats, labels)
+    return scored(stats, train(stats, labels), threshold=threshold)
+
+
+def scored(stats: DataFrame, model: Discriminant, keep: list[str] = (), threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns in keep of every row of stats."""
 
     def run(batches):
         for batch in batches:
             x = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, len(FEATURES))
             score = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score), pa.array((score >= threshold).astype(np.int32)), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *keep])
 
-    return stats.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    kinds = "".join(f", `{k}` {stats.schema[k].dataType.simpleString()}" for k in keep)
+    return stats.select("doc_id", "held_out", "x", *keep).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + kinds)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ SEED = 42
 #: Fingerprints of a bucket that are compared at once; fuller ones are dealt again.
 BUCKET = 2_048
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -111,6 +111,28 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return dealt(rows.where(F.col("n") <= bucket), ["t", "key"]).unionByName(dealt(hot, ["t", "key", "t2", "key2"]))
 
 
+def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, th (hash of the text) and fp of every row of documents."""
+    ready(documents.sparkSession)
+
+    def hashed(batches):
+        for batch in batches:
+            fps = [signed(fingerprint(t, words)) for t in rows_bytes(batch.column(2))]
+            yield table({"doc_id": batch.column(0), "th": batch.column(1), "fp": fps}, _FP)
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return materialise(docs.mapInArrow(hashed, ddl(_FP)), "fingerprints")
+
+
+def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root, component_id) for every different fingerprint of docs: root is the component's smallest fingerprint."""
+    fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    found = components(links(fps.select("fp"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    named = materialise(fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "components")
+    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return materialise(named.join(low, "root").select("fp", "root", "component_id"), "components")
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """Per row of documents (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -118,24 +140,27 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int = WOR
     have fingerprint zero and link like any other; a null doc_id never names a component unless no other does; rows that
     repeat an id stay rows; further columns are ignored; an empty table gives an empty result.
     """
-    ready(documents.sparkSession)
-
-    def hashed(batches):
-        for batch in batches:
-            fps = [signed(fingerprint(t, words)) for t in rows_bytes(batch.column(1))]
-            yield table({"doc_id": batch.column(0), "fp": fps}, _FP)
+    docs = fingerprints(documents, words)
+    return docs.join(grouped(docs, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = materialise(docs.mapInArrow(hashed, ddl(_FP)), "fingerprints")
-    return _grouped(docs, radius)
 
+def representatives(documents: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """One row of documents, with all its columns, for each component: that with the smallest doc_id.
 
-def _grouped(docs: DataFrame, radius: int) -> DataFrame:
-    fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    found = materialise(components(links(fps.select("fp"), radius)), "components")
-    low = found.join(fps, found["node"] == fps["fp"]).groupBy("component").agg(F.min("low").alias("component_id"))
-    named = fps.join(found.join(low, "component"), fps["fp"] == F.col("node"), "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    Ties between rows of one doc_id go to the smaller hash of the text, and of equal rows one stays. A null doc_id comes
+    last. Texts count as in near_duplicates.
+    """
+    docs = fingerprints(documents, words)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "th"))
+    low = docs.join(grouped(docs, radius), "fp").groupBy("root").agg(first.alias("r")).select("r.doc_id", "r.th")
+    copies = docs.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    c, r = copies.alias("c"), low.alias("r")
+    same = lambda x, y: F.expr(f"{x}.doc_id <=> {y}.doc_id and {x}.th = {y}.th")
+    low = materialise(c.join(r, same("c", "r"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (F.col("n") > 1).alias("_many")), "representatives")
+    rows = documents.join(low, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")))
+    # Equal rows are rare: only they go through another exchange.
+    out = rows.where(~F.col("_many")).unionByName(rows.where("_many").dropDuplicates(["_id", "_th"]))
+    return out.drop("_id", "_th", "_many")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -80,3 +80,10 @@ def test_components(spark):
     for finish in (1000, 15):
         assert {r["node"]: r["component"] for r in components(df, finish).collect()} == name
     assert components(df.limit(0)).count() == 0
+
+
+def test_representatives(spark):
+    rows = [(4, "a b c d", "x"), (4, "a b c d", "x"), (9, "a b c d", "y"), (4, "other words here now", "z"), (None, "a b c d", "n"), (None, "alone", "n"), (2, "", "e"), (1, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    got = sorted(map(tuple, simhash.representatives(df).collect()), key=str)
+    assert got == sorted([(4, "a b c d", "x"), (4, "other words here now", "z"), (None, "alone", "n"), (1, None, "e")], key=str)
