@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.llm import winnow
-from stackloom.llm.common import materialise, pick, ready, table, utf8
+from stackloom.llm.common import materialise, ready, slices, table, utf8
 
 #: A shard's resolver gets (doc_id or None, body) of each segment, sorted by doc_id with None last, and gives one
 #: boolean array per segment: which of its windows to remove.
@@ -59,7 +59,7 @@ class Repeats:
     scope: str
     resolve: Resolver | None = None
     shard: int = 60_000
-    most: int = 2_000
+    most: int = 500
     long_words: int = 0
 
     def cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ class Repeats:
         return winnow.lines(data, ends)[:3]
 
     def occurrences(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 2)):
             data, ends = utf8(batch.column(2))
             if self.unit == "byte":
                 base = ends[:-1]
@@ -102,7 +102,7 @@ class Repeats:
 
     def segments(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes under the windows of each representative."""
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 2)):
             data, ends = utf8(batch.column(2))
             parts = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
             out: dict[str, list] = {f.name: [] for f in _SEG}
@@ -150,7 +150,7 @@ class Repeats:
 
     def windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A hash for each single window of a segment."""
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 5, 1 << 18)):
             data, ends = utf8(batch.column(5))
             if self.unit == "byte":
                 row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
@@ -171,7 +171,9 @@ class Repeats:
         ready(docs.sparkSession)
         occ = materialise(docs.mapInArrow(self.occurrences, ddl(_OCC)), "anchors")
         seen = occ.groupBy("anchor").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.count("*").alias("n"), F.min("doc_id").alias("d0")).where("n > 1")
-        hits = materialise(occ.join(seen.select("anchor", "d0", (F.col("c0") == F.col("c1")).alias("alike")), "anchor"), "hits")
+        # Written first: a join of two plain exchanges can split a hot anchor, one that follows an aggregation can't.
+        seen = materialise(seen.select("anchor", "d0", (F.col("c0") == F.col("c1")).alias("alike")), "repeated")
+        hits = materialise(occ.join(seen, "anchor"), "hits")
         rule = {"document": "doc_id > d0", "anywhere": "n > 1", "place": "doc_id > d0 or again"}[self.scope]
         kept = [f.name for f in _SPAN]
         alike = hits.where("alike").where("true" if self.scope == "anywhere" else rule).select(kept)
@@ -181,17 +183,17 @@ class Repeats:
         whole = mixed.join(cls.select("anchor", "cls", "d0", "n"), ["anchor", "cls"]).where(rule).select(kept)
         # Representatives whose class alone doesn't condemn them are open; the others still serve as references.
         lone = F.col("n") == 1 if self.scope == "anywhere" else F.lit(True)
-        size = cls.groupBy("anchor").agg(F.count("*").alias("classes"))
+        size = materialise(cls.groupBy("anchor").agg(F.count("*").alias("classes")), "sizes")
         reps = cls.join(size, "anchor").select("anchor", "classes", "rep.doc_id", "rep.th", "rep.first", "rep.last", lone.alias("lone"))
         by_doc = reps.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "classes", "first", "last", "lone")).alias("segs"))
         d, s = docs.alias("d"), by_doc.alias("s")
         both = d.join(s, F.expr("d.doc_id <=> s.doc_id and d.th = s.th")).select("d.doc_id", "d.th", "d.text", "s.segs")
         hot = self.most if self.resolve else 0
         part = lambda cond: both.select("doc_id", "th", "text", F.filter("segs", cond).alias("segs")).where("size(segs) > 0").mapInArrow(self.segments, ddl(_SEG))
-        wins = part(lambda x: x["classes"] > hot).mapInArrow(self.windows, ddl(_WIN))
+        wins = materialise(part(lambda x: x["classes"] > hot).mapInArrow(self.windows, ddl(_WIN)), "windows")
         if self.scope == "place":
             wins = wins.withColumn("again", F.row_number().over(Window.partitionBy("anchor", "wh", "doc_id", "th").orderBy("s")) > 1)
-        count = wins.groupBy("anchor", "wh").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"))
+        count = materialise(wins.groupBy("anchor", "wh").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0")).where("n > 1"), "windows")
         single = wins.join(count, ["anchor", "wh"]).where("lone").where(rule).select("doc_id", "th", F.col("s").alias("first"), F.col("s").alias("last"))
         out = alike.unionByName(whole).unionByName(single)
         if self.resolve:
