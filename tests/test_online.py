@@ -23,7 +23,7 @@ def test_stream_equals_batch(spark, tmp_path):
     (data / "broken_rank_2.pflw").write_bytes(b"oops")
     o.start(None).awaitTermination(120)
     # The map came after its samples and counts all the same; the process count did not shrink.
-    assert o.tree.nodes.where("library_name = 'lib1'").count() == 1 and o.tree.process_count == 2
+    assert o.tree.nodes.where("library_name = 'lib1'").count() == 2 and o.tree.process_count == 2
     assert o.summary() == {"files": 4, "processes": 2, "samples": 7, "nodes": o.tree.node_count}
     assert ("rank_1.libmap", "library_map", True) in told and o.balance().first()["process_samples"] == [2, 5] and o.hotspots().count() > 0
     o.start(None).awaitTermination(120)
