@@ -79,21 +79,27 @@ class Tree:
 
     @cached_property
     def _shape(self) -> DataFrame:
-        """One row per node but the root: node_id, parent_id, depth, path, frame, first (order of appearance)."""
+        """One row per node but the root: identity, place, frame, order of first appearance, and counts in all.
+
+        One aggregation adds the counts and finds the first stack through each node; one join with that stack brings
+        path and frame, so neither travels with the exploded rows.
+        """
         s = self.stacks
-        rows = s.select("process_id", "entry_ord", "leaf", F.posexplode(F.slice("ids", 2, F.size("keys"))).alias("pos", "node_id"))
-        first = rows.groupBy("node_id").agg(F.min(F.struct("process_id", "entry_ord", "leaf", "pos")).alias("first"))
-        r = first.select("node_id", "first", F.col("first.process_id").alias("p"), F.col("first.leaf").alias("l"), F.col("first.pos").alias("pos"))
+        rows = s.select("process_id", "entry_ord", "leaf", "count", "time_us", F.posexplode(F.slice("ids", 2, F.size("keys"))).alias("pos", "node_id"), F.size("keys").alias("n"))
+        last = F.col("pos") == F.col("n") - 1
+        part = lambda c: F.coalesce(F.sum(F.when(last, F.col(c))), F.sum(F.lit(0)))
+        first = rows.groupBy("node_id", "pos").agg(F.sum("count").alias("visits"), part("count").alias("ends"), F.sum("time_us").alias("visit_time"), part("time_us").cast("double").alias("end_time"), F.min(F.struct("process_id", "entry_ord", "leaf")).alias("first"))
+        r = first.select("*", F.col("first.process_id").alias("p"), F.col("first.leaf").alias("l"))
         j = r.join(s.select(F.col("process_id").alias("p"), F.col("leaf").alias("l"), "keys", "ids", "frames"), ["p", "l"])
-        return j.select("node_id", F.col("ids")[F.col("pos")].alias("parent_id"), (F.col("pos") + 1).alias("depth"), F.slice("keys", 1, F.col("pos") + 1).alias("path"), F.slice("ids", 2, F.col("pos") + 1).alias("lineage"), F.col("frames")[F.col("pos")].alias("frame"), F.struct("first.process_id", "first.entry_ord").alias("first"))
+        at = F.col("pos")
+        return j.select("node_id", F.col("ids")[at].alias("parent_id"), (at + 1).alias("depth"), F.slice("keys", 1, at + 1).alias("path"), F.slice("ids", 2, at + 1).alias("lineage"), F.col("frames")[at].alias("frame"), F.struct("first.process_id", "first.entry_ord").alias("first"), "visits", "ends", "visit_time", "end_time")
 
     @cached_property
     def nodes(self) -> DataFrame:
         """Every node, the root included, with its frame, counts and place."""
-        totals = self.visits.groupBy("node_id").agg(F.sum("visits").alias("visits"), F.sum("ends").alias("ends"), F.sum("visit_time").alias("visit_time"), F.sum("end_time").alias("end_time"))
         self_ = F.lit(0).cast("long") if self.count_mode is SampleCountMode.Inclusive else F.col("ends")
         kids = self._shape.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("child_count"))
-        body = self._shape.join(totals, "node_id").select(
+        body = self._shape.select(
             "node_id", "parent_id", "depth", "path", "lineage", "first", *[F.col(f"frame.{c}").alias(c) for c in FRAME_COLUMNS],
             self._counted("samples").alias("total_samples"), self_.alias("self_samples"), self._counted("time").alias("total_time_us"), F.col("visits").alias("call_count"),
         )
