@@ -121,12 +121,22 @@ class Tree:
 
     @cached_property
     def ordered(self) -> DataFrame:
-        """nodes with order_path: the place among siblings, in order of first appearance, of a node and all above it."""
+        """nodes with sibling_rank (order of first appearance), subtree_size and preorder (0 for the root).
+
+        A node's place is the sum, over itself and all above it but the root, of one and the sizes of the subtrees of
+        earlier siblings; so the order of a whole tree needs no sort of all nodes in one place.
+        """
         key = F.to_json(F.element_at("path", -1))
-        rank = self._shape.select("node_id", F.row_number().over(Window.partitionBy("parent_id").orderBy("first", key)).cast("long").alias("rank"))
-        up = self._shape.select(F.col("node_id").alias("of"), F.posexplode("lineage").alias("pos", "node_id")).join(rank, "node_id")
-        paths = up.groupBy(F.col("of").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rank"))), lambda x: x["rank"]).alias("order_path"))
-        return self.nodes.join(paths, "node_id", "left").withColumn("order_path", F.coalesce("order_path", F.array().cast("array<bigint>")))
+        above = self._shape.select(F.col("node_id").alias("of"), F.explode("lineage").alias("node_id"))
+        sizes = above.groupBy("node_id").agg(F.count("*").alias("subtree_size"))
+        w = Window.partitionBy("parent_id").orderBy("first", key)
+        earlier = F.coalesce(F.sum("subtree_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks = self._shape.select("node_id", "parent_id", "first", "path").join(sizes, "node_id").select("node_id", "subtree_size", F.row_number().over(w).cast("long").alias("sibling_rank"), (earlier + 1).alias("step"))
+        place = above.join(ranks, "node_id").groupBy(F.col("of").alias("node_id")).agg(F.sum("step").alias("preorder"))
+        found = self.nodes.join(ranks.drop("step"), "node_id", "left").join(place, "node_id", "left")
+        whole = self._shape.agg((F.count("*") + 1).alias("all_nodes"))
+        found = found.crossJoin(F.broadcast(whole))  # one number
+        return found.withColumn("preorder", F.coalesce("preorder", F.lit(0))).withColumn("subtree_size", F.coalesce("subtree_size", "all_nodes")).withColumn("sibling_rank", F.coalesce("sibling_rank", F.lit(1))).drop("all_nodes")
 
     # Scalars, each one small job.
 
@@ -203,7 +213,7 @@ class Tree:
             want &= F.col("library_name") == library_name
         if offset is not None:
             want &= F.col("offset") == offset
-        return self.ordered.where(want).orderBy("order_path").limit(1)
+        return self.ordered.where(want).orderBy("sibling_rank").limit(1)
 
     def siblings(self, of: DataFrame) -> DataFrame:
         """(of_id, node) pairs: every other child of the same parent; the root has none."""
@@ -226,16 +236,21 @@ class Tree:
         return self.nodes.withColumn("names", F.concat(F.array(F.lit(ROOT)), F.transform("path", lambda k: k["function_name"])))
 
     def traverse(self, order: str = "preorder", stop: Column | None = None) -> DataFrame:
-        """Nodes in an order, with visit_rank from 1; up to and including the first for which stop holds."""
-        keys = {"preorder": [F.col("order_path")], "postorder": [F.concat("order_path", F.array(F.lit((1 << 63) - 1)))], "levelorder": [F.col("depth"), F.col("order_path")]}
-        if order not in keys:
+        """Nodes with visit_rank from 1 in an order; up to and including the first for which stop holds."""
+        o = self.ordered
+        if order == "preorder":
+            out = o.withColumn("visit_rank", F.col("preorder") + 1)
+        elif order == "postorder":
+            out = o.withColumn("visit_rank", F.col("preorder") + F.col("subtree_size") - F.col("depth"))
+        elif order == "levelorder":
+            levels = self.nodes.groupBy("depth").agg(F.count("*").alias("n"))
+            ahead = levels.select("depth", (F.coalesce(F.sum("n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("ahead"))  # a row per level
+            out = o.join(F.broadcast(ahead), "depth").withColumn("visit_rank", F.col("ahead") + F.row_number().over(Window.partitionBy("depth").orderBy("preorder"))).drop("ahead")
+        else:
             raise ValueError(f"Unknown traversal order: {order}")
-        # A tree has far fewer nodes than there are samples; its total order is the result asked for.
-        w = Window.orderBy(*keys[order])
-        out = self.ordered.withColumn("visit_rank", F.row_number().over(w).cast("long"))
         if stop is not None:
-            before = w.rowsBetween(Window.unboundedPreceding, -1)
-            out = out.withColumn("_stopped", F.coalesce(F.max(F.coalesce(stop, F.lit(False))).over(before), F.lit(False))).where("not _stopped").drop("_stopped")
+            first = out.where(F.coalesce(stop, F.lit(False))).agg(F.min("visit_rank").alias("_last"))
+            out = out.crossJoin(F.broadcast(first)).where("_last is null or visit_rank <= _last").drop("_last")
         return out
 
     def visit(self, visitor, order: str = "preorder") -> int:
