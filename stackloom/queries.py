@@ -15,6 +15,7 @@ from stackloom.functions.colors import color
 from stackloom.model import ROOT, ColorScheme, SampleCountMode, TreeBuildMode
 from stackloom.operators import analysis as A
 from stackloom.operators import benchmarks as N
+from stackloom.operators import samples as S
 from stackloom.operators.resolve import resolve_addresses, resolve_samples
 from stackloom.operators.tree import Tree, build_tree
 
@@ -121,6 +122,11 @@ def _runs(spark, sf_dir) -> DataFrame:
 
 
 _RUNS = "WITH runs AS (SELECT substr(o_orderpriority, 1, 1) AS benchmark, o_orderstatus AS class, CAST([1, 2, 4, 8][o_custkey % 4 + 1] AS INTEGER) AS num_processes, o_orderkey AS iteration, floor(o_totalprice) AS execution_time_sec, o_orderkey % 3 = 0 AS base FROM orders)"
+_OVERHEAD = (
+    _RUNS
+    + ", b AS (SELECT benchmark, class, num_processes, round(avg(execution_time_sec), 2) AS b FROM runs WHERE base GROUP BY ALL), q AS (SELECT r.*, CAST(CAST(execution_time_sec AS DECIMAL(24, 9)) - CAST(b AS DECIMAL(24, 9)) AS DOUBLE) / b AS x FROM runs r LEFT JOIN b USING (benchmark, class, num_processes) WHERE NOT base)"
+    + ", o AS (SELECT benchmark, class, num_processes, iteration, execution_time_sec, round(sign(x) * floor(abs(x) * 10000 + 1e-6) / 10000 * 100.0, 2) AS overhead_percent FROM q)"
+)
 _KEYS = ["benchmark", "class", "num_processes"]
 
 
@@ -177,6 +183,37 @@ def _ranked(order):
     return lambda s, d: _rows(_tree(s, d).traverse(order), "visit_rank")
 
 
+def _samples(spark, sf_dir, where) -> DataFrame:
+    """Stacks of two addresses, supplier and part group, counted."""
+    x = _table(spark, sf_dir, "lineitem").where(where).select((F.col("l_linenumber") - 1).cast("long").alias("process_id"), F.array(F.col("l_suppkey"), F.col("l_partkey") % 4).alias("addrs"))
+    return S.count_stacks(x)
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select("process_id", F.array_join(F.transform("addrs", lambda a: a.cast("string")), ",").alias("addrs"), "count")
+
+
+def _counted(where: str, name: str) -> str:
+    return f"{name} AS (SELECT CAST(l_linenumber - 1 AS BIGINT) AS process_id, l_suppkey || ',' || l_partkey % 4 AS addrs, count(*) AS count FROM lineitem WHERE {where} GROUP BY ALL)"
+
+
+_OLD, _NEW, _FEW = "l_returnflag <> 'R'", "l_returnflag = 'R'", "l_quantity >= 50"
+
+
+def _workflow(spark, sf_dir, port):
+    """What one step of a composed workflow returns."""
+    from stackloom.plans.builder import WorkflowBuilder
+    from stackloom.plans.nodes import AggregateNode
+
+    w = WorkflowBuilder("Q").load_data(stacks=stacks(spark, sf_dir), spark=spark).find_hotspots(10).find_hotspots(10, "total", "TotalHotspots").analyze_balance()
+    w.filter_nodes(min_samples=100, function_pattern="*IA*")
+    w.add_node(AggregateNode([F.sum("self_samples").alias("self_samples"), F.count("*").alias("node_count")], [F.col("library_name")], F.col("depth") > 0))
+    w.connect("load_data", "aggregate", "tree")
+    out = w.execute()
+    name, key = port
+    return out[w.get_node(name).node_id][key]
+
+
 # Siblings appear in order of their first process, then by key; so does SQL's order by the chain of such pairs.
 _ORDER = f"""{_nodes()}, f AS (SELECT path, min(pid) AS p FROM n GROUP BY path), chain AS (
   SELECT t.path, t.depth, t.total_samples, t.self_samples, t.function_name, list({{'p': coalesce(f.p, 0), 'k': a.k}} ORDER BY a.i) AS o
@@ -272,7 +309,7 @@ FROM r JOIN c USING (process_id, address) LEFT JOIN part ON library_name = 'lib'
             _q(
                 "overhead_pct",
                 lambda s, d: (lambda r: N.overhead(r.where("not base"), _whole_percent(N.baseline_times(r.where("base")))).select(*_KEYS, "iteration", "execution_time_sec", "overhead_percent"))(_runs(s, d)),
-                _RUNS + ", b AS (SELECT benchmark, class, num_processes, round(avg(execution_time_sec), 2) AS b FROM runs WHERE base GROUP BY ALL), q AS (SELECT r.*, CAST(CAST(execution_time_sec AS DECIMAL(24, 9)) - CAST(b AS DECIMAL(24, 9)) AS DOUBLE) / b AS x FROM runs r LEFT JOIN b USING (benchmark, class, num_processes) WHERE NOT base) SELECT benchmark, class, num_processes, iteration, execution_time_sec, round(sign(x) * floor(abs(x) * 10000 + 1e-6) / 10000 * 100.0, 2) AS overhead_percent FROM q",
+                _OVERHEAD + " SELECT * FROM o",
             ),
             _q("baseline_avg", lambda s, d: N.baseline_times(_runs(s, d)).withColumn("baseline_time_sec", F.round("baseline_time_sec", 4)), _RUNS + " SELECT benchmark, class, num_processes, round(avg(execution_time_sec), 4) AS baseline_time_sec FROM runs GROUP BY ALL"),
             _q("baseline_running", lambda s, d: N.baseline_times(_runs(s, d), running=True).withColumn("baseline_time_sec", F.round("baseline_time_sec", 4)), _RUNS + " SELECT benchmark, class, num_processes, round(list_reduce(list(execution_time_sec ORDER BY iteration), lambda a, x: (a + x) / 2), 4) AS baseline_time_sec FROM runs GROUP BY ALL"),
@@ -288,6 +325,17 @@ FROM r JOIN c USING (process_id, address) LEFT JOIN part ON library_name = 'lib'
                 lambda s, d: stacks(s, d).select(F.transform("frames", lambda x: x["function_name"]).alias("a"), "count").select(F.concat_ws(">", C.pop(F.col("a"))).alias("popped"), F.concat_ws(">", C.push(F.col("a"), F.lit("x"), 4)).alias("pushed"), C.frame(F.col("a"), 1).alias("second"), C.depth(F.col("a")).alias("depth"), C.is_full(F.col("a"), 4).alias("full"), "count").groupBy("popped", "pushed", "second", "depth", "full").agg(F.sum("count").alias("samples")),
                 f"WITH {_STACKS} SELECT array_to_string(f[1:len(f)-1], '>') AS popped, array_to_string(CASE WHEN len(f) < 4 THEN f || ['x'] ELSE f END, '>') AS pushed, f[2] AS second, CAST(len(f) AS INTEGER) AS depth, len(f) >= 4 AS full, CAST(sum(c) AS BIGINT) AS samples FROM s GROUP BY ALL",
             ),
+            _q("count_stacks", lambda s, d: _entries(_samples(s, d, "true")), f"WITH {_counted('true', 'a')} SELECT * FROM a"),
+            _q("upsert_stacks", lambda s, d: _entries(S.upsert(_samples(s, d, _OLD), _samples(s, d, _NEW))), f"WITH {_counted(_OLD, 'a')}, {_counted(_NEW, 'b')} SELECT * FROM b UNION ALL SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.process_id = b.process_id AND a.addrs = b.addrs)"),
+            _q("add_stacks", lambda s, d: _entries(S.add(_samples(s, d, _OLD), _samples(s, d, _NEW))), f"WITH {_counted('true', 'a')} SELECT * FROM a"),
+            _q("erase_stacks", lambda s, d: _entries(S.erase(_samples(s, d, _OLD), _samples(s, d, _FEW))), f"WITH {_counted(_OLD, 'a')}, {_counted(_FEW, 'b')} SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.process_id = b.process_id AND a.addrs = b.addrs)"),
+            _q("find_stack", lambda s, d: _entries(S.find(_samples(s, d, "true"), [3, 1])), f"WITH {_counted('true', 'a')} SELECT * FROM a WHERE addrs = '3,1'"),
+            _q("average_overhead", lambda s, d: (lambda r: N.average_overhead(N.overhead(r.where("not base"), _whole_percent(N.baseline_times(r.where("base"))))).select("benchmark", "num_processes", F.round("overhead_percent", 4).alias("overhead_percent"), F.round("execution_time_sec", 4).alias("execution_time_sec"), "runs"))(_runs(s, d)), _OVERHEAD + " SELECT benchmark, num_processes, round(avg(overhead_percent), 4) AS overhead_percent, round(avg(execution_time_sec), 4) AS execution_time_sec, count(*) AS runs FROM o WHERE overhead_percent IS NOT NULL GROUP BY ALL"),
+            _q("workflow_hotspots", lambda s, d: _hot(_workflow(s, d, ("hotspotanalysis", "hotspots"))), _nodes() + f"SELECT {_HOT} FROM t WHERE depth > 0 AND self_samples > 0 ORDER BY self_samples DESC, path LIMIT 10"),
+            _q("workflow_total", lambda s, d: _hot(_workflow(s, d, ("totalhotspots", "hotspots"))), _nodes() + f"SELECT {_HOT} FROM t WHERE depth > 0 ORDER BY total_samples DESC, path LIMIT 10"),
+            _q("workflow_balance", lambda s, d: _balance(_workflow(s, d, ("balance", "balance"))), _balance_sql(f"WITH {_STACKS}, counts AS (SELECT pid, CAST(sum(c) AS BIGINT) AS c FROM s GROUP BY pid)")),
+            _q("workflow_filter", lambda s, d: _rows(_workflow(s, d, ("filter", "nodes"))), _nodes() + _TREE + " WHERE total_samples >= 100 AND function_name LIKE '%IA%'"),
+            _q("workflow_aggregate", lambda s, d: _workflow(s, d, ("aggregate", "aggregated")), _nodes() + "SELECT library_name, CAST(sum(self_samples) AS BIGINT) AS self_samples, count(*) AS node_count FROM t WHERE depth > 0 GROUP BY library_name"),
             _q("tree_events", lambda s, d: _rows(build_tree(event_stacks(s, d), count_mode=BOTH).nodes), "SELECT '' AS path, 0 AS depth, count(*) AS total_samples, CAST(0 AS BIGINT) AS self_samples FROM events UNION ALL SELECT 'main@app', 1, count(*), 0 FROM events UNION ALL SELECT 'main@app>' || event_type || '@libevent.so', 2, count(*), count(*) FROM events GROUP BY event_type"),
         ]
     )
