@@ -126,7 +126,7 @@ class Tree:
         A node's place is the sum, over itself and all above it but the root, of one and the sizes of the subtrees of
         earlier siblings; so the order of a whole tree needs no sort of all nodes in one place.
         """
-        key = F.to_json(F.element_at("path", -1))
+        key = F.element_at("path", -1)
         above = self._shape.select(F.col("node_id").alias("of"), F.explode("lineage").alias("node_id"))
         sizes = above.groupBy("node_id").agg(F.count("*").alias("subtree_size"))
         w = Window.partitionBy("parent_id").orderBy("first", key)

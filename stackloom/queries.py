@@ -216,7 +216,7 @@ def _workflow(spark, sf_dir, port):
 
 # Siblings appear in order of their first process, then by key; so does SQL's order by the chain of such pairs.
 _ORDER = f"""{_nodes()}, f AS (SELECT path, min(pid) AS p FROM n GROUP BY path), chain AS (
-  SELECT t.path, t.depth, t.total_samples, t.self_samples, t.function_name, list({{'p': coalesce(f.p, 0), 'k': a.k}} ORDER BY a.i) AS o
+  SELECT t.path, t.depth, t.total_samples, t.self_samples, t.function_name, list({{'p': coalesce(f.p, 0), 'f': split_part(a.k, '@', 1), 'l': split_part(a.k, '@', 2)}} ORDER BY a.i) AS o
   FROM t, LATERAL (SELECT unnest(range(1, t.depth + 1)) AS i) x, LATERAL (SELECT x.i AS i, array_to_string(string_split(t.path, '>')[1:x.i], '>') AS p, string_split(t.path, '>')[x.i] AS k) a LEFT JOIN f ON f.path = a.p
   GROUP BY ALL
   UNION ALL SELECT path, depth, total_samples, self_samples, function_name, [] FROM t WHERE depth = 0
@@ -277,7 +277,7 @@ def _table_of_queries():
             _q("children_of", lambda s, d: (lambda x: _rows(x.children(x.find_nodes_by_name("ASIA"))))(t(s, d)), _nodes() + "SELECT c.path, c.depth, c.total_samples, c.self_samples FROM t c JOIN t p ON c.parent = p.path AND c.depth = p.depth + 1 WHERE p.function_name = 'ASIA'"),
             _q("paths", lambda s, d: t(s, d).paths.select(path_text().alias("path"), F.concat_ws("/", "names").alias("names")), _nodes() + "SELECT path, CASE WHEN depth = 0 THEN '[root]' ELSE '[root]/' || regexp_replace(replace(path, '>', '/'), '@[^/]*', '', 'g') END AS names FROM t"),
             _q("preorder_rank", _ranked("preorder"), _ORDER + "SELECT path, depth, total_samples, self_samples, row_number() OVER (ORDER BY o) AS visit_rank FROM chain"),
-            _q("postorder_rank", _ranked("postorder"), _ORDER + "SELECT path, depth, total_samples, self_samples, row_number() OVER (ORDER BY o || [{'p': 9223372036854775807, 'k': ''}]) AS visit_rank FROM chain"),
+            _q("postorder_rank", _ranked("postorder"), _ORDER + "SELECT path, depth, total_samples, self_samples, row_number() OVER (ORDER BY o || [{'p': 9223372036854775807, 'f': '', 'l': ''}]) AS visit_rank FROM chain"),
             _q("levelorder_rank", _ranked("levelorder"), _ORDER + "SELECT path, depth, total_samples, self_samples, row_number() OVER (ORDER BY depth, o) AS visit_rank FROM chain"),
             _q("traversal_stop", _stopped, _ORDER + ", v AS (SELECT *, row_number() OVER (ORDER BY o) AS visit_rank FROM chain) SELECT path, depth, total_samples, self_samples, visit_rank FROM v WHERE visit_rank <= (SELECT min(visit_rank) FROM v WHERE function_name = 'ASIA')"),
             _q("agg_by_library", lambda s, d: A.samples_by_library(t(s, d)), _nodes() + "SELECT library_name, CAST(sum(self_samples) AS BIGINT) AS self_samples, count(*) AS node_count FROM t WHERE depth > 0 GROUP BY library_name"),
