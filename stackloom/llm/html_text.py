@@ -32,9 +32,9 @@ EDGE_WORDS = frozenset(
     cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay toast paywall newsletter subscribe subscription signup
     signin login register sidebar sidebars rail widget widgets aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toc
     footer foot copyright legal disclaimer masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion feedback share sharing
-    social related recommended recommendations trending popular teaser teasers more tags tagcloud search skip hidden form forms byline meta author""".split()
+    social related recommended recommendations trending popular teaser teasers tagcloud search skip hidden form forms""".split()
 )
-HEAD_WORDS = frozenset("header head page-header site-header".split())
+HEAD_WORDS = frozenset("header head".split())
 MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = frozenset("article articlebody content post entry story main text body".split())
 
@@ -69,7 +69,7 @@ def _marks(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool, bool]:
             name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
                 parts = {p.lower() for p in _PART.findall(value)}
-                edge |= bool(parts & EDGE_WORDS) or (not inside_main and bool(parts & HEAD_WORDS))
+                edge |= bool(parts & EDGE_WORDS) or (not inside_main and bool(parts & HEAD_WORDS) and not parts & MAIN_WORDS)
                 main |= bool(parts & MAIN_WORDS)
             elif name == "role":
                 edge |= value.lower() in EDGE_ROLES and not (value.lower() == "banner" and inside_main)

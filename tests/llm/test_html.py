@@ -31,6 +31,7 @@ def test_templates():
     assert text(f"<article><header><h1>Title</h1></header><p>{long}<aside>{long}</aside><p>End &amp; out&nbsp;&#8212; now</article>") == f"Title\n{body}\nEnd & out — now"
     assert text(f"<article><p>a &lt; b <i>it</i>al<br>ic<!-- {long} --></p><p>x</p><script>'<p>' < 3</script><style>p</style><p>1 < 2</article>") == "a < b ital ic\nx\n1 < 2"
     assert text(f"<body><p>{long}</p><p>{long}</p></body>") == f"{body}\n{body}"
+    assert text(f"<div class=post-header><h1>T</h1></div><div class=post-content><p class=byline>By A</p><p>{long}</p></div><div class=post-footer>{long}</div>") == f"T\nBy A\n{body}"
     assert text("") == "" and text("<nav>only a menu</nav>") == ""
     assert text("<article><p title='>'>quoted</p><p title=\"open>broken</p></article>").startswith("quoted")
 
