@@ -26,13 +26,13 @@ SCORE = 0.5
 #: Share of an item's five-word shingles, and of its answer's words, that a passage must hold.
 OVERLAP, ANSWER = 0.8, 0.5
 SHINGLE = 5
-BLOCK = 16
+BLOCK = 4
 #: Items of one index: bounds what is broadcast. Larger benchmarks are searched index by index.
 ITEMS = 20_000
 #: Words of the shortest passage; longer where an item is longer than half of it.
 PASSAGE = 128
-#: A term in more items than this share is common: its weight enters a block's bound as a constant.
-COMMON = 0.05
+#: A term in more items than this share, or this many, is common: its weight enters a block's bound as a constant.
+COMMON, OFTEN = 0.05, 50
 
 _LOWER = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -67,14 +67,18 @@ class Index:
     def __post_init__(self) -> None:
         blocks = -(-len(self.ids) // BLOCK)
         self.maxima: list[dict[int, float]] = []
+        self.blocks: list[dict[int, list[tuple[int, float]]]] = []
         constant = np.zeros(len(self.ids))
         start, block, weight = [0], [], []
         for posting in self.postings:
             best: dict[int, float] = {}
+            parts: dict[int, list[tuple[int, float]]] = {}
             for i, w in posting:
                 best[i // BLOCK] = max(best.get(i // BLOCK, 0.0), w)
+                parts.setdefault(i // BLOCK, []).append((i, w))
             self.maxima.append(best)
-            if len(posting) > max(4, COMMON * len(self.ids)):
+            self.blocks.append(parts)
+            if len(posting) > max(4, min(OFTEN, COMMON * len(self.ids))):
                 for i, w in posting:
                     constant[i] += w
             else:
@@ -117,29 +121,27 @@ class Index:
         doc, first, end = self.passages(counts, size)
         base = np.cumsum(counts) - counts
         n = len(self.constant)
-        word = np.flatnonzero(hit >= 0)
-        term = hit[word]
-        several = self.start[term + 1] - self.start[term]
-        word, term = np.repeat(word, several), np.repeat(term, several)
-        inner = np.arange(len(term)) - np.repeat(np.cumsum(several) - several, several)
-        block, weight = self.block[self.start[term] + inner], self.weight[self.start[term] + inner]
-        bound = np.zeros(len(doc) * n)
+        rare = np.append(np.diff(self.start) > 0, False)  # the last stands for words of no item
+        word = np.flatnonzero(rare[hit])
         step = size // 2
         of = np.searchsorted(base, word, side="right") - 1
-        # A word lies in the passage that starts at its own half and in the one before.
-        lead = np.searchsorted(doc, of)
-        last = np.searchsorted(doc, of, side="right") - 1
-        half = (word - base[of]) // step
-        for back in (0, 1):
-            p = lead + half - back
-            ok = (p >= lead) & (p <= last)
-            bound += np.bincount(p[ok] * n + block[ok], weight[ok], len(bound))
+        # A word lies in the passage that starts at its own half and in the one before; a term counts once in each.
+        lead, last = np.searchsorted(doc, of), np.searchsorted(doc, of, side="right") - 1
+        own = lead + (word - base[of]) // step
+        at = np.concatenate([own, own - 1])
+        ok = (at >= np.concatenate([lead, lead])) & (at <= np.concatenate([last, last]))
+        pairs = np.unique((at * len(self.postings) + np.concatenate([hit[word]] * 2))[ok])
+        at, term = np.divmod(pairs, len(self.postings))
+        several = self.start[term + 1] - self.start[term]
+        inner = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+        entry = np.repeat(self.start[term], several) + inner
+        bound = np.bincount(np.repeat(at, several) * n + self.block[entry], self.weight[entry], len(doc) * n)
         p, b = np.nonzero(bound.reshape(-1, n) + self.constant >= score - 1e-9)
         return p, b, doc, first + base[doc], end + base[doc]
 
     def wand(self, terms: list[int], block: int, score: float) -> list[tuple[int, float]]:
         """Items of a block that score at least so much for the terms, walked by pivots."""
-        lists = [[[x for x in self.postings[t] if x[0] // BLOCK == block], 0, self.maxima[t][block]] for t in terms if block in self.maxima[t]]
+        lists = [[self.blocks[t][block], 0, self.maxima[t][block]] for t in terms if block in self.maxima[t]]
         found = []
         while lists:
             lists.sort(key=lambda c: c[0][c[1]][0])
