@@ -187,7 +187,8 @@ class Repeats:
         reps = cls.join(size, "anchor").select("anchor", "classes", "rep.doc_id", "rep.th", "rep.first", "rep.last", lone.alias("lone"))
         by_doc = reps.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "classes", "first", "last", "lone")).alias("segs"))
         d, s = docs.alias("d"), by_doc.alias("s")
-        both = d.join(s, F.expr("d.doc_id <=> s.doc_id and d.th = s.th")).select("d.doc_id", "d.th", "d.text", "s.segs")
+        # Merge joins at every size: a broadcast of a small table's rows would only hide how the exchange grows.
+        both = d.join(s.hint("merge"), F.expr("d.doc_id <=> s.doc_id and d.th = s.th")).select("d.doc_id", "d.th", "d.text", "s.segs")
         hot = self.most if self.resolve else 0
         part = lambda cond: both.select("doc_id", "th", "text", F.filter("segs", cond).alias("segs")).where("size(segs) > 0").mapInArrow(self.segments, ddl(_SEG))
         wins = materialise(part(lambda x: x["classes"] > hot).mapInArrow(self.windows, ddl(_WIN)), "windows")
@@ -207,7 +208,7 @@ class Repeats:
         spans = materialise(self.spans(docs.select("doc_id", "th", "text")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "spans")
         d, s = docs.alias("d"), spans.alias("s")
         on = F.expr("d.doc_id <=> s.doc_id and d.th = s.th")
-        return d.join(s, on, "left").select(*[f"d.{c}" for c in docs.columns if c != "th"], "s.gone")
+        return d.join(s.hint("merge"), on, "left").select(*[f"d.{c}" for c in docs.columns if c != "th"], "s.gone")
 
     def mask(self, n: int, gone: list[dict] | None) -> np.ndarray:
         """Which of a document's n units its removals cover."""
