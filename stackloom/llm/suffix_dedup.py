@@ -3,9 +3,9 @@
 A byte goes if a string of ``size`` bytes over it also starts anywhere else in the corpus. Candidates come from
 content-defined anchors (repeats.py). The stretches that differ around a shared anchor are cut into small blocks, each
 with its own suffix array and transform; the blocks' transforms are then merged: an interleave of all suffixes is
-refined once per byte of context by a stable sort on the preceding byte, so after h rounds it is ordered by the first h
-bytes and its intervals are the strings of h bytes with a common prefix. After ``size`` rounds every interval with two
-suffixes is a repeated string; no suffix of the merged set is compared or sorted again.
+refined by a stable sort on the symbols that precede each (up to 28 a round), so when h symbols are done it is ordered by
+the first h bytes and its intervals are the suffixes with a common prefix of h bytes. At ``size`` every interval with two
+suffixes is a repeated string; no suffix of the merged set is compared with another.
 """
 
 from __future__ import annotations
@@ -26,76 +26,97 @@ GRAM = 48
 BLOCK = 1 << 17
 
 
-def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, preceding symbols) of a block; symbols are bytes + 1, and 0 ends each string.
+#: Symbols of context by which one round refines the interleave: so many 9-bit symbols fit a sortable number; longer
+#: contexts are named by pairs of shorter ones.
+STEP = 7
+LONGER = 2
 
-    Terminators differ: the ones of earlier strings are smaller, so no common prefix crosses an end.
+
+def names(flat: np.ndarray, width: int) -> np.ndarray:
+    """Rank of the ``width`` symbols from each position, in lexicographic order; symbol 0 ends a string.
+
+    Terminators differ, those of earlier strings being smaller, so a stretch that meets one is unlike any other.
     """
-    flat = np.zeros(sum(len(s) + 1 for s in strings), np.int64)
-    stops, at = [], 0
-    for s in strings:
-        flat[at : at + len(s)] = np.frombuffer(s, np.uint8).astype(np.int64) + 1
-        at += len(s) + 1
-        stops.append(at - 1)
-    m, n = len(strings), len(flat)
-    rank = flat + m
-    rank[stops] = np.arange(m)
-    span = 1
+    n = len(flat)
+    padded = np.concatenate([flat, np.zeros(width, np.int64)])
+    key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(width):
+        key = key << 9 | np.where(open_, padded[i : i + n], 0)
+        open_ &= padded[i : i + n] > 0
+    order = np.argsort(key, kind="stable")  # positions of equal stretches stay in order of their strings
+    apart = np.ones(n, bool)
+    apart[1:] = (key[order][1:] != key[order][:-1]) | ~open_[order][1:]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(apart) - 1
+    return rank
+
+
+def doubled(rank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) by the 2 * width symbols from each position, given the ranks of the first width."""
+    n = len(rank)
+    ahead = np.zeros(n, np.int64)
+    ahead[: max(0, n - width)] = rank[width:] + 1
+    key = rank * (n + 2) + ahead
+    order = np.argsort(key)
+    out = np.empty(n, np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+    return order, out
+
+
+def suffix_array(rank: np.ndarray, width: int) -> np.ndarray:
+    """Suffixes of one block in order, from the ranks of their first width symbols."""
     while True:
-        ahead = np.full(n, -1, np.int64)
-        ahead[: n - span] = rank[span:]
-        key = rank * (max(n, m + 257) + 1) + ahead + 1
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        span *= 2
-        if step[-1] == n - 1 or span >= n:
-            break
-    before = flat[order - 1]
-    return order, before
+        order, rank = doubled(rank, width)
+        if rank[order[-1]] == len(rank) - 1:
+            return order
+        width *= 2
 
 
 def repeated(blocks: list[list[bytes]], size: int) -> list[np.ndarray]:
     """For every string of the blocks in turn, whether each of its windows of ``size`` bytes occurs twice or more."""
-    arrays = [transform(b) for b in blocks]
-    sizes = [len(sa) for sa, _ in arrays]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    preceding = np.concatenate([b for _, b in arrays]).astype(np.uint16)
-    n, m = int(starts[-1]), sum(len(b) for b in blocks)
-    # Where each symbol begins among the sorted suffixes, and which rank of its own block stands at each place.
-    source = np.repeat(np.arange(len(blocks), dtype=np.int16), sizes)
-    tops = np.concatenate([np.arange(s, s + len(b)) for s, b in zip(starts.tolist(), blocks)])
-    ends = np.repeat(np.arange(len(blocks), dtype=np.int16), [len(b) for b in blocks])
+    strings = [s for b in blocks for s in b]
+    lengths = np.array([len(s) + 1 for s in strings])
+    flat = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + 1
+    stops = np.cumsum(lengths)
+    flat[stops - 1] = 0
+    n = len(flat)
+    named, width = {STEP: names(flat, STEP)}, STEP
+    for _ in range(LONGER):
+        named[2 * width] = doubled(named[width], width)[1]
+        width *= 2
+    rank = named[width]
+    # The blocks' suffix arrays one after the other; a suffix is known by its place in them.
+    edges = np.concatenate([[0], stops[np.cumsum([len(b) for b in blocks]) - 1]]).tolist()
+    suffixes = np.empty(n, np.int64)
+    for low, high in zip(edges, edges[1:]):
+        dense = np.unique(rank[low:high], return_inverse=True)[1] if len(blocks) > 1 else rank[low:high]
+        suffixes[low:high] = suffix_array(dense, width) + low
+    place = np.empty(n, np.int32)
+    place[suffixes] = np.arange(n, dtype=np.int32)
+    interleave = np.arange(n, dtype=np.int32)
     interval = np.zeros(n, np.int32)
-    rank_in_block = None
-    for _ in range(size):
-        # The k-th entry of a block in the interleave is that block's k-th suffix.
-        order = np.argsort(source, kind="stable")
-        rank_in_block = np.empty(n, np.int64)
-        rank_in_block[order] = np.arange(n)
-        symbol = preceding[rank_in_block]
-        to = np.argsort(symbol, kind="stable")
-        sym, old = symbol[to], interval[to]
+    count = np.arange(n, dtype=np.int64)
+    done = step = 0
+    while done < size:
+        last, step = step, next((w for w in sorted(named, reverse=True) if w <= size - done), size - done)
+        if step != last:
+            # The transform with a context of ``step``: the symbols before each suffix, and the suffix that they start.
+            before = (suffixes - step) % n
+            symbol, start = (named[step] if step in named else names(flat, step))[before] << 32, place[before]
+        # Stable by the preceding symbols: within an interval the order of the rest was settled by earlier rounds.
+        key = np.sort(symbol[interleave] | count)
+        to = key & 0xFFFFFFFF
+        key >>= 32
+        old = interval[to]
         cut = np.empty(n, bool)
         cut[0] = True
-        cut[1:] = (sym[1:] != sym[:-1]) | (old[1:] != old[:-1])
-        cut[: m + 1] = True  # terminators all differ
-        source = source[to]
-        source[:m] = ends
+        cut[1:] = (key[1:] != key[:-1]) | (old[1:] != old[:-1])
         interval = np.cumsum(cut, dtype=np.int32)
-    order = np.argsort(source, kind="stable")
-    rank_in_block = np.empty(n, np.int64)
-    rank_in_block[order] = np.arange(n)
-    count = np.bincount(interval, minlength=n + 1)
-    again = np.zeros(n, bool)  # by text position over all blocks
-    where = np.concatenate([sa + s for (sa, _), s in zip(arrays, starts.tolist())])
-    again[where[rank_in_block]] = count[interval] > 1
-    out, at = [], 0
-    for s in (s for b in blocks for s in b):
-        out.append(again[at : at + max(0, len(s) - size + 1)])
-        at += len(s) + 1
-    return out
+        interleave = start[interleave[to]]
+        done += step
+    again = np.empty(n, bool)
+    again[suffixes[interleave]] = np.bincount(interval)[interval] > 1
+    return [again[e - k : e - k + max(0, k - size)] for e, k in zip(stops.tolist(), lengths.tolist())]
 
 
 def resolver(size: int):
@@ -114,7 +135,7 @@ def resolver(size: int):
 
 
 def frame(size: int = SIZE, gram: int | None = None) -> Repeats:
-    return Repeats("byte", size, gram or max(1, min(GRAM, size // 2)), "anywhere", resolver(size), shard=1 << 20)
+    return Repeats("byte", size, gram or max(1, min(GRAM, size // 2)), "anywhere", resolver(size), shard=1 << 19)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int32()))])
