@@ -9,8 +9,9 @@ Every window of ``size`` units belongs to one content-defined anchor (winnow.py)
 3. Where it has several, equal classes are decided likewise and one representative of each is left. Their texts
    (a small part of the corpus) are fetched and dealt by anchor to shards of bounded size, on which the operator's
    own structure (suffix automaton, merged Burrows-Wheeler transforms) finds the windows that classes share.
-4. An anchor with more classes than a shard should hold is decided by hashes of its single windows instead: the
-   exact way for hot groups, which spreads over as many tasks as there are different windows.
+4. An anchor with more classes than a shard should hold is decided by hashes instead, the exact way for hot groups,
+   which spreads over as many tasks as there are different hashes: first of blocks of consecutive windows, placed
+   alike around the anchor, then of the single windows that blocks left open.
 
 Documents are keyed by doc_id and a hash of the text, so repeated rows with one id work as rows of their own.
 """
@@ -35,6 +36,7 @@ Resolver = Callable[[list[tuple[int | None, bytes]]], list[np.ndarray]]
 _OCC = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("cls", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())])
 _SEG = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("lone", pa.bool_()), ("body", pa.binary())])
 _WIN = pa.schema([("anchor", pa.int64()), ("wh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("lone", pa.bool_())])
+_BLK = pa.schema([("anchor", pa.int64()), ("bh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("s", pa.int32()), ("lone", pa.bool_())])
 _SPAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
@@ -61,6 +63,7 @@ class Repeats:
     shard: int = 60_000
     most: int = 500
     long_words: int = 0
+    block: int = 16
 
     def cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, row) of the units of a batch."""
@@ -148,23 +151,73 @@ class Repeats:
         if held:
             yield done()
 
+    def _units(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(values, row of each unit, first unit of each row) of a batch of segments."""
+        data, ends = utf8(batch.column(5))
+        if self.unit == "byte":
+            return winnow.byte_values(data, 1), np.repeat(np.arange(len(ends) - 1), np.diff(ends)), ends[:-1]
+        start, end, row = self.cut(data, ends)
+        return winnow.hashes(data, start, end), row, np.searchsorted(row, np.arange(len(ends) - 1))
+
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A hash for each block of consecutive windows of a segment, counted from the anchor, that it holds whole."""
+        for batch in (x for b in batches for x in slices(b, 5, 1 << 18)):
+            values, row, base = self._units(batch)
+            rows = len(base)
+            windows = np.bincount(row, minlength=rows) - self.size + 1
+            # The anchor's gram lies in all windows of its segment; of equal grams the rightmost is the anchor.
+            n = max(0, len(values) - self.gram + 1)
+            grams = winnow.mix(winnow.Rolling(values, winnow.B2).of(np.arange(n), np.arange(n) + self.gram) + winnow.B1).view(np.int64)
+            place = np.arange(n) - base[row[:n]]
+            hit = (grams == batch.column(0).to_numpy()[row[:n]]) & (place >= windows[row[:n]] - 1) & (place <= self.size - self.gram)
+            at = np.full(rows, -1)
+            np.maximum.at(at, row[:n][hit], place[hit])
+            low, high = -(-(at - windows + 1) // self.block), (at + 1) // self.block
+            count = np.where(at >= 0, np.maximum(0, high - low), 0)
+            r = np.repeat(np.arange(rows), count)
+            number = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count) + low[r]
+            s = at[r] - self.block * number - self.block + 1
+            bh = winnow.mix(winnow.Rolling(values, winnow.B3).of(base[r] + s, base[r] + s + self.block - 1 + self.size) + number.astype(np.int64).view(np.uint64) * winnow.B1).view(np.int64)
+            take = pa.array(r)
+            first = batch.column(3).to_numpy()[r]
+            yield table({"anchor": batch.column(0).take(take), "bh": bh, "doc_id": batch.column(1).take(take), "th": batch.column(2).take(take), "first": first, "s": (s + first).astype(np.int32), "lone": batch.column(4).take(take)}, _BLK)
+
     def windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A hash for each single window of a segment."""
+        """A hash for each single window of a segment that no block has settled."""
         for batch in (x for b in batches for x in slices(b, 5, 1 << 18)):
-            data, ends = utf8(batch.column(5))
-            if self.unit == "byte":
-                row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                values = winnow.byte_values(data, 1)
-            else:
-                start, end, row = self.cut(data, ends)
-                values = winnow.hashes(data, start, end)
+            values, row, base = self._units(batch)
             n = max(0, len(row) - self.size + 1)
             s = np.flatnonzero(row[:n] == row[len(row) - n :]) if n else np.zeros(0, np.int64)
-            wh = winnow.mix(winnow.Rolling(values, winnow.B3).of(s, s + self.size)).view(np.int64)
+            first, open_ = batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+            lone, keep = open_[row[s]], np.ones(len(s), bool)
+            begin = np.searchsorted(row[s], np.arange(len(base)))
+            for i, settled in enumerate(batch.column(6).to_pylist()):
+                for x in settled or ():
+                    at = begin[i] + x["s"] - first[i]
+                    lone[at : at + self.block] = False
+                    keep[at : at + self.block] = x["rep"]  # a representative's windows stay as references
+            s, lone = s[keep], lone[keep]
             r = row[s]
-            at = pa.array(r)
-            place = s - np.searchsorted(row, np.arange(len(ends) - 1))[r] + batch.column(3).to_numpy()[r]
-            yield table({"anchor": batch.column(0).take(at), "wh": wh, "doc_id": batch.column(1).take(at), "th": batch.column(2).take(at), "s": place.astype(np.int32), "lone": batch.column(4).take(at)}, _WIN)
+            wh = winnow.mix(winnow.Rolling(values, winnow.B3).of(s, s + self.size)).view(np.int64)
+            take = pa.array(r)
+            yield table({"anchor": batch.column(0).take(take), "wh": wh, "doc_id": batch.column(1).take(take), "th": batch.column(2).take(take), "s": (s - base[r] + first[r]).astype(np.int32), "lone": lone}, _WIN)
+
+    def _settle(self, segs: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
+        """(ranges to remove, segments with the blocks that are settled) from whole blocks of windows."""
+        key = ["anchor", "doc_id", "th", "first"]
+        blk = materialise(segs.mapInArrow(self.blocks, ddl(_BLK)), "blocks")
+        me = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "th", "first", "s")
+        count = materialise(blk.groupBy("anchor", "bh").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.min(me).alias("low")).where("n > 1"), "blocks")
+        met = blk.join(count, ["anchor", "bh"]).withColumn("rep", me == F.col("low"))
+        met = met.withColumn("again", ~F.col("rep") & F.col("doc_id").eqNullSafe(F.col("low.doc_id"))).where(rule)
+        met = materialise(met.select(*key, "s", "lone", "rep"), "settled")
+        done = met.groupBy(*key).agg(F.collect_list(F.struct("s", "rep")).alias("settled"))
+        a, b = segs.alias("a"), done.alias("b")
+        on = F.expr("a.anchor = b.anchor and a.doc_id <=> b.doc_id and a.th = b.th and a.first = b.first")
+        left = a.join(b, on, "left").select("a.anchor", "a.doc_id", "a.th", "a.first", "a.lone", "a.body", "b.settled")
+        gone = met.where("lone").select("doc_id", "th", F.col("s").alias("first"), (F.col("s") + (self.block - 1)).alias("last"))
+        # Windows come with (anchor, doc_id, th, first, lone, body, settled).
+        return gone, left
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """(doc_id, th, first, last): ranges of windows to remove; docs has doc_id, th and text."""
@@ -191,12 +244,17 @@ class Repeats:
         both = d.join(s.hint("merge"), F.expr("d.doc_id <=> s.doc_id and d.th = s.th")).select("d.doc_id", "d.th", "d.text", "s.segs")
         hot = self.most if self.resolve else 0
         part = lambda cond: both.select("doc_id", "th", "text", F.filter("segs", cond).alias("segs")).where("size(segs) > 0").mapInArrow(self.segments, ddl(_SEG))
-        wins = materialise(part(lambda x: x["classes"] > hot).mapInArrow(self.windows, ddl(_WIN)), "windows")
+        segs = materialise(part(lambda x: x["classes"] > hot), "segments")
+        if self.size - self.gram + 1 >= self.block:
+            gone, segs = self._settle(segs, rule)
+        else:
+            gone, segs = alike.limit(0), segs.withColumn("settled", F.lit(None).cast("array<struct<s:int,rep:boolean>>"))
+        wins = materialise(segs.mapInArrow(self.windows, ddl(_WIN)), "windows")
         if self.scope == "place":
             wins = wins.withColumn("again", F.row_number().over(Window.partitionBy("anchor", "wh", "doc_id", "th").orderBy("s")) > 1)
         count = materialise(wins.groupBy("anchor", "wh").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0")).where("n > 1"), "windows")
         single = wins.join(count, ["anchor", "wh"]).where("lone").where(rule).select("doc_id", "th", F.col("s").alias("first"), F.col("s").alias("last"))
-        out = alike.unionByName(whole).unionByName(single)
+        out = alike.unionByName(whole).unionByName(single).unionByName(gone)
         if self.resolve:
             cold = part(lambda x: x["classes"] <= hot).repartition("anchor").sortWithinPartitions("anchor")
             out = out.unionByName(cold.mapInArrow(self.shards, ddl(_SPAN)))

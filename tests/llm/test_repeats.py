@@ -70,7 +70,7 @@ def removed_bytes(rows, size):
 def test_words(spark, monkeypatch, seed, size, most):
     rows = corpus(seed)
     frame = substring.frame
-    monkeypatch.setattr(substring, "frame", lambda s: type(frame(s))(**{**frame(s).__dict__, "most": most, "shard": 300}))
+    monkeypatch.setattr(substring, "frame", lambda s: type(frame(s))(**{**frame(s).__dict__, "most": most, "shard": 300, "block": 3}))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("*", "1 n_words", "'x' th", "2 gone")
     got = [tuple(r) for r in substring.remove_repeats(docs, size).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
     assert sorted(got, key=str) == removed_words(rows, size)
@@ -80,7 +80,7 @@ def test_words(spark, monkeypatch, seed, size, most):
 def test_bytes(spark, monkeypatch, seed, size, most):
     rows = corpus(seed)
     frame = suffix_dedup.frame
-    monkeypatch.setattr(suffix_dedup, "frame", lambda s: type(frame(s))(**{**frame(s).__dict__, "most": most, "shard": 3000}))
+    monkeypatch.setattr(suffix_dedup, "frame", lambda s: type(frame(s))(**{**frame(s).__dict__, "most": most, "shard": 3000, "block": 4}))
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = [tuple(r) for r in suffix_dedup.remove_repeats(docs, size).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
