@@ -14,8 +14,8 @@ from stackloom.model import UNKNOWN, UNRESOLVED
 STATIC_BASE = 0x10000000
 #: Address bits of a bucket for ranges too many to broadcast.
 BUCKET_BITS = 20
-#: Ranges that are broadcast at most; beyond, ranges and addresses meet in buckets.
-BROADCAST_RANGES = 200_000
+#: Ranges that are broadcast at most, since each address meets all of its process; beyond, ranges and addresses meet in buckets.
+BROADCAST_RANGES = 2_000
 #: Buckets of a range that are listed one by one; longer ranges are halved into larger buckets until they fit.
 WIDEST = 64
 
