@@ -8,7 +8,8 @@ Every window of ``size`` units belongs to one content-defined anchor (winnow.py)
    class, every occurrence holds the same windows, and counts or the smallest document decide.
 3. Where it has several, equal classes are decided likewise and one representative of each is left. Their texts
    (a small part of the corpus) are fetched and dealt by anchor to shards of bounded size, on which the operator's
-   own structure (suffix automaton, merged Burrows-Wheeler transforms) finds the windows that classes share.
+   own structure (suffix automaton, merged Burrows-Wheeler transforms) finds the windows that classes share. With
+   scope 'document', what is decided for a representative then holds for its equals in the same document too.
 4. An anchor with more classes than a shard should hold is decided by hashes instead, the exact way for hot groups,
    which spreads over as many tasks as there are different hashes: first of blocks of consecutive windows, placed
    alike around the anchor, then of the single windows that blocks left open.
@@ -65,6 +66,10 @@ class Repeats:
     long_words: int = 0
     block: int = 16
 
+    def placed(self, schema: pa.Schema) -> pa.Schema:
+        """With the first window of the segment, by which scope 'document' finds what is equal to it."""
+        return schema.append(pa.field("at", pa.int32())) if self.scope == "document" else schema
+
     def cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, row) of the units of a batch."""
         if self.unit == "word":
@@ -132,14 +137,14 @@ class Repeats:
         def done():
             held.sort(key=lambda x: (x[1] is None, x[1] or 0, x[2], x[3]))
             found = self.resolve([(x[1], x[5]) for x in held])
-            out: dict[str, list] = {f.name: [] for f in _SPAN}
+            out: dict[str, list] = {f.name: [] for f in self.placed(_SPAN)}
             for (_, doc, th, first, lone, _), hit in zip(held, found):
                 if lone:
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                     for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                        for k, v in zip(out, (doc, th, first + s, first + e - 1)):
+                        for k, v in zip(out, (doc, th, first + s, first + e - 1, first)):
                             out[k].append(v)
-            return table(out, _SPAN)
+            return table(out, self.placed(_SPAN))
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
@@ -200,7 +205,7 @@ class Repeats:
             r = row[s]
             wh = winnow.mix(winnow.Rolling(values, winnow.B3).of(s, s + self.size)).view(np.int64)
             take = pa.array(r)
-            yield table({"anchor": batch.column(0).take(take), "wh": wh, "doc_id": batch.column(1).take(take), "th": batch.column(2).take(take), "s": (s - base[r] + first[r]).astype(np.int32), "lone": lone}, _WIN)
+            yield table({"anchor": batch.column(0).take(take), "wh": wh, "doc_id": batch.column(1).take(take), "th": batch.column(2).take(take), "s": (s - base[r] + first[r]).astype(np.int32), "lone": lone, "at": first[r]}, self.placed(_WIN))
 
     def _settle(self, segs: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
         """(ranges to remove, segments with the blocks that are settled) from whole blocks of windows."""
@@ -215,10 +220,20 @@ class Repeats:
         a, b = segs.alias("a"), done.alias("b")
         on = F.expr("a.anchor = b.anchor and a.doc_id <=> b.doc_id and a.th = b.th and a.first = b.first")
         left = a.join(b, on, "left").select("a.anchor", "a.doc_id", "a.th", "a.first", "a.lone", "a.body", "b.settled")
-        gone = met.where("lone").select("doc_id", "th", F.col("s").alias("first"), (F.col("s") + (self.block - 1)).alias("last"))
+        gone = met.where("lone").select("doc_id", "th", F.col("s").alias("first"), (F.col("s") + (self.block - 1)).alias("last"), F.col("first").alias("at")).select(self.placed(_SPAN).names)
         # Windows come with (anchor, doc_id, th, first, lone, body, settled).
         return gone, left
 
+    def _twins(self, twins: DataFrame, decided: DataFrame) -> DataFrame:
+        """Ranges to remove from what is equal to a representative in its own document: those decided for it, moved."""
+        held = F.collect_set(F.struct((F.col("first") - F.col("at")).alias("s"), (F.col("last") - F.col("at")).alias("e")))
+        # Written first, as above: a document may repeat one passage any number of times.
+        decided = materialise(decided.groupBy("doc_id", "th", "at").agg(held.alias("held")), "decided")
+        t, r = twins.alias("t"), decided.alias("r")
+        both = t.join(r.hint("merge"), F.expr("t.doc_id = r.doc_id and t.rep_th = r.th and t.at = r.at"))
+        both = both.select("t.doc_id", "t.th", F.col("t.first").alias("to"), F.explode("r.held").alias("x"))
+        return both.select("doc_id", "th", (F.col("to") + F.col("x.s")).alias("first"), (F.col("to") + F.col("x.e")).alias("last"))
+
     def spans(self, docs: DataFrame) -> DataFrame:
         """(doc_id, th, first, last): ranges of windows to remove; docs has doc_id, th and text."""
         ready(docs.sparkSession)
@@ -233,7 +248,15 @@ class Repeats:
         mixed = hits.where("not alike").drop("d0")
         low = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "th", "first", "last"))
         cls = materialise(mixed.groupBy("anchor", "cls").agg(F.min("doc_id").alias("d0"), F.count("*").alias("n"), low.alias("rep")), "classes")
-        whole = mixed.join(cls.select("anchor", "cls", "d0", "n"), ["anchor", "cls"]).where(rule).select(kept)
+        twins = None
+        if self.scope == "document":
+            # Members in the document of their representative share its fate, which is open yet.
+            twin = F.expr("doc_id = d0 and not (th = rep.th and first = rep.first)")
+            met = mixed.join(cls.select("anchor", "cls", "d0", "rep"), ["anchor", "cls"]).where(F.expr(rule) | twin)
+            met = materialise(met.select(*kept, F.when(twin, F.col("rep.th")).alias("rep_th"), F.when(twin, F.col("rep.first")).alias("at")), "members")
+            whole, twins = met.where("at is null").select(kept), met.where("at is not null")
+        else:
+            whole = mixed.join(cls.select("anchor", "cls", "d0", "n"), ["anchor", "cls"]).where(rule).select(kept)
         # Representatives whose class alone doesn't condemn them are open; the others still serve as references.
         lone = F.col("n") == 1 if self.scope == "anywhere" else F.lit(True)
         size = materialise(cls.groupBy("anchor").agg(F.count("*").alias("classes")), "sizes")
@@ -249,16 +272,20 @@ class Repeats:
             gone, segs = self._settle(segs, rule)
         else:
             gone, segs = alike.limit(0), segs.withColumn("settled", F.lit(None).cast("array<struct<s:int,rep:boolean>>"))
-        wins = materialise(segs.mapInArrow(self.windows, ddl(_WIN)), "windows")
+        wins = materialise(segs.mapInArrow(self.windows, ddl(self.placed(_WIN))), "windows")
         if self.scope == "place":
             wins = wins.withColumn("again", F.row_number().over(Window.partitionBy("anchor", "wh", "doc_id", "th").orderBy("s")) > 1)
         count = materialise(wins.groupBy("anchor", "wh").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0")).where("n > 1"), "windows")
-        single = wins.join(count, ["anchor", "wh"]).where("lone").where(rule).select("doc_id", "th", F.col("s").alias("first"), F.col("s").alias("last"))
-        out = alike.unionByName(whole).unionByName(single).unionByName(gone)
+        single = wins.join(count, ["anchor", "wh"]).where("lone").where(rule).withColumns({"first": F.col("s"), "last": F.col("s")}).select(self.placed(_SPAN).names)
+        decided = single.unionByName(gone, allowMissingColumns=True)
         if self.resolve:
             cold = part(lambda x: x["classes"] <= hot).repartition("anchor").sortWithinPartitions("anchor")
-            out = out.unionByName(cold.mapInArrow(self.shards, ddl(_SPAN)))
-        return out
+            decided = decided.unionByName(cold.mapInArrow(self.shards, ddl(self.placed(_SPAN))))
+        out = alike.unionByName(whole)
+        if twins is not None:
+            decided = materialise(decided, "decided")
+            out = out.unionByName(self._twins(twins, decided))
+        return out.unionByName(decided.select(kept))
 
     def removals(self, documents: DataFrame, extra: list[str] = ()) -> DataFrame:
         """documents with a column gone: the ranges of windows (or single long lines, last = -1) to remove; null: none."""

@@ -76,6 +76,23 @@ def test_words(spark, monkeypatch, seed, size, most):
     assert sorted(got, key=str) == removed_words(rows, size)
 
 
+@pytest.mark.parametrize("most,block", [(2000, 3), (1, 3), (1, 100)])
+def test_words_repeated_in_their_document(spark, monkeypatch, most, block):
+    rnd = random.Random(7)
+    some = lambda k: [f"v{rnd.randrange(10**6)}" for _ in range(k)]
+    passage, fill = some(14), some(12)
+    period = (passage + fill) * 6
+    # A passage once in a small document; later, with equal surroundings each time, in others, two of which share an id.
+    texts = [(1, some(9) + passage + some(9)), (5, period), (5, some(3) + period[:90] + some(4)), (6, some(5) + period), (7, some(20))]
+    rows = [(d, " ".join(t)) for d, t in texts] + [(5, " ".join(period))]
+    frame = substring.frame
+    monkeypatch.setattr(substring, "frame", lambda s: type(frame(s))(**{**frame(s).__dict__, "most": most, "block": block}))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in substring.remove_repeats(docs, 8).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got, key=str) == removed_words(rows, 8)
+    assert {n for d, _, n, _ in got if d == 5} >= {6 * len(passage)}
+
+
 @pytest.mark.parametrize("seed,size,most", [(1, 30, 2000), (2, 12, 2000), (3, 30, 2)])
 def test_bytes(spark, monkeypatch, seed, size, most):
     rows = corpus(seed)
