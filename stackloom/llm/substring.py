@@ -83,17 +83,19 @@ class SuffixAutomaton:
 
 
 def resolver(size: int):
-    """Resolve a shard: the windows of each segment that an automaton of smaller documents holds."""
+    """Resolve a shard: the windows of each segment that an automaton of smaller documents holds; none without an id."""
 
     def resolve(segments: list[tuple[int | None, bytes]]) -> list[np.ndarray]:
         automaton, out = SuffixAutomaton(), []
         symbols: dict[bytes, int] = {}
         for doc, group in groupby(segments, key=lambda x: x[0]):
             seqs = [[symbols.setdefault(w, len(symbols)) for w in body.split()] for _, body in group]
+            if doc is None:
+                out += [np.zeros(max(0, len(s) - size + 1), bool) for s in seqs]
+                continue
             out += [np.array(automaton.matches(s)[size - 1 :]) >= size for s in seqs]
-            if doc is not None:
-                for s in seqs:
-                    automaton.add(s)
+            for s in seqs:
+                automaton.add(s)
         return out
 
     return resolve
@@ -111,9 +113,9 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, text: bool = True) ->
 
     Words are runs of characters other than ASCII white space. Each word under a window of ``size`` words that also
     starts in a document with a smaller doc_id goes; kept words are joined by one space; spans holds start and end
-    word of each removed run in turn. Null texts have no words; rows with a null doc_id count as larger than all
-    others and are only compared with rows that have one; rows that share a doc_id don't remove each other's words;
-    columns beyond doc_id and text are ignored. text=False leaves kept null.
+    word of each removed run in turn. Null texts have no words; rows with a null doc_id have no place
+    in that order: they keep all words and take none from others; rows that share a doc_id don't remove each other's
+    words; columns beyond doc_id and text are ignored. text=False leaves kept null.
     """
     rep = frame(size)
 

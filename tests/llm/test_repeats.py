@@ -104,6 +104,21 @@ def test_bytes(spark, monkeypatch, seed, size, most):
     assert sorted(got, key=str) == removed_bytes(rows, size)
 
 
+@pytest.mark.parametrize("most", [2000, 1])
+def test_words_without_an_id(spark, monkeypatch, most):
+    rnd = random.Random(8)
+    some = lambda k: [f"v{rnd.randrange(10**6)}" for _ in range(k)]
+    passage, alike = some(14), some(20)
+    # The same passage in other surroundings each time, and copies of a text: rows without an id keep their words in all.
+    texts = [(1, some(9) + passage + some(9)), (2, some(9) + passage), (None, some(9) + passage + some(9)), (None, (passage + some(5)) * 2), (4, alike), (None, alike)]
+    rows = [(d, " ".join(t)) for d, t in texts]
+    frame = substring.frame
+    monkeypatch.setattr(substring, "frame", lambda s: type(frame(s))(**{**frame(s).__dict__, "most": most, "block": 3}))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in substring.remove_repeats(docs, 8).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got, key=str) == removed_words(rows, 8)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring.remove_repeats(docs).count() == 0
