@@ -37,6 +37,11 @@ EDGE_WORDS = frozenset(
 HEAD_WORDS = frozenset("header head".split())
 MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = frozenset("article articlebody content post entry story main text body".split())
+#: What follows these in a name tells what is or isn't there, not what the element is; names that begin with the second tell a post's subject.
+STATE_WORDS = frozenset("has no with without".split())
+SUBJECT_WORDS = frozenset("category tag".split())
+#: How sure an edge is: by a name, which a main element inside undoes, or by the element or its state.
+NAMED, SURE = 1, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -58,19 +63,32 @@ class Block:
     label: bool
 
 
-def _marks(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool, bool]:
-    """(edge of the page, main part, labelled as main) of an element."""
+def _named(tag: str, names: list[list[str]], own: bool, inside_main: bool) -> bool:
+    """Whether names of an element, each as its words, mark it as an edge of the page; own: one of all its names is a main word."""
+    if tag == "main":
+        return False
+    if tag == "article":  # its names also tell its subject: only those of nothing but known words count
+        return not own and any(set(n) & EDGE_WORDS and all(p in EDGE_WORDS or p in MAIN_WORDS or p.isdigit() for p in n) for n in names)
+    told: set[str] = set()
+    for n in names:
+        if not (own and n[0] in SUBJECT_WORDS):
+            told.update(n[: next((i for i, p in enumerate(n) if p in STATE_WORDS), len(n))])
+    return bool(told & EDGE_WORDS) or (not inside_main and bool(told & HEAD_WORDS) and not any(set(n) & MAIN_WORDS for n in names))
+
+
+def _marks(tag: str, attrs: str, inside_main: bool) -> tuple[int, bool, bool]:
+    """(edge of the page: 0, NAMED or SURE, main part, labelled as main) of an element."""
     edge, main = tag in EDGE_TAGS, tag in MAIN_TAGS
     label = False
+    names: list[list[list[str]]] = []  # of class and of id
     if tag == "header" and not inside_main:
         edge = True
     if attrs and attrs.strip("/ \n\t"):
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
-                parts = {p.lower() for p in _PART.findall(value)}
-                edge |= bool(parts & EDGE_WORDS) or (not inside_main and bool(parts & HEAD_WORDS) and not parts & MAIN_WORDS)
-                main |= bool(parts & MAIN_WORDS)
+                if tag not in ("html", "body"):  # names of the whole page mark no part of it
+                    names.append([w for n in value.split() if (w := [p.lower() for p in _PART.findall(n)])])
             elif name == "role":
                 edge |= value.lower() in EDGE_ROLES and not (value.lower() == "banner" and inside_main)
                 main |= value.lower() in ("main", "article")
@@ -80,13 +98,16 @@ def _marks(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool, bool]:
                 edge = True
             elif name == "data-main":
                 label = True
-    return edge, main and not edge, label
+    main |= any(set(n) & MAIN_WORDS for x in names for n in x)
+    own = any(set(n) <= MAIN_WORDS for x in names for n in x)
+    level = SURE if edge else NAMED if any(_named(tag, x, own, inside_main) for x in names) else 0
+    return level, main and not level, label
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with character references decoded and white space made single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, edge, main, label: of it or anything around it
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, edge, main, label: of it or anything around it
     text: list[str] = []
     linked: list[str] = []
 
@@ -94,10 +115,10 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                top = stack[-1] if stack else ("", False, False, False)
+                top = stack[-1] if stack else ("", 0, False, False)
                 tags = {t[0] for t in stack}
                 n = len(words)
-                out.append(Block(" ".join(words), n, min(n, len(html.unescape(" ".join(linked)).split())), top[1], top[2], bool(tags & HEADINGS), "p" in tags, "li" in tags, top[3]))
+                out.append(Block(" ".join(words), n, min(n, len(html.unescape(" ".join(linked)).split())), bool(top[1]), top[2], bool(tags & HEADINGS), "p" in tags, "li" in tags, top[3]))
             text.clear()
             linked.clear()
 
@@ -130,7 +151,7 @@ def blocks(page: str) -> list[Block]:
                 else:
                     flush()
             elif k is not None and not any(stack[i][0] in BLOCKS for i in range(k + 1, len(stack))):
-                if stack[k][1] != (stack[k - 1][1] if k else False):
+                if bool(stack[k][1]) != bool(stack[k - 1][1] if k else 0):
                     pop(k)  # what a marked inline element held is a block of its own
                 else:
                     del stack[k:]
@@ -164,13 +185,14 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[i][0] in ("ul", "ol", "dl", "table", "menu"):
                         break
-        top = stack[-1] if stack else ("", False, False, False)
+        top = stack[-1] if stack else ("", 0, False, False)
         edge, main, label = _marks(tag, m[3] or m[6] or "", top[2])
         if edge and not top[1] and tag not in BLOCKS:
             flush()
         if not (m[3] or m[6] or "").endswith("/") or tag in BLOCKS:
             # A heading in an article's header is the article's own.
-            stack.append((tag, top[1] or edge, top[2] or main, top[3] or label))
+            around = 0 if tag == "main" and top[1] == NAMED else top[1]
+            stack.append((tag, max(around, edge), top[2] or main, top[3] or label))
     flush()
     return out
 
@@ -223,6 +245,8 @@ SAMPLES = (
     f"<body><article data-main><p>Short.<p>Shorter.<p>{_LONG}<p><a href=x>A link of a few words</a></article><div>Example Inc, 5 Harbour Road</div><p>{_LONG}</p>",
     f"<body><div id=sidebar><p>{_LONG}</div><div class=content data-main><p>{_LONG}<p>Well.<blockquote>They said: {_LONG}</blockquote></div><div class=newsletter>{_LONG}</div>",
     f"<body><table><tr><td data-main>{_LONG} {_LONG}</td></tr><tr><td><a href=1>a</a> <a href=2>b</a></td></tr></table><p data-main>{_LONG}</p>",
+    f"<body class='post has-sidebar'><header><h1>The Daily Example</h1></header><article class='post category-social' data-main><h1>Plan</h1><p>{_LONG}<p>Yes.</article><div class=sidebar><p>{_LONG}</div></body>",
+    f"<body><div id=content class=no-sidebar data-main><h1>Plan</h1><p>{_LONG}<p>Yes.</div><div class=footer>{_LONG}</div></body>",
 )
 
 

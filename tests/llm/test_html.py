@@ -36,6 +36,24 @@ def test_templates():
     assert text("<article><p title='>'>quoted</p><p title=\"open>broken</p></article>").startswith("quoted")
 
 
+def test_edge_words_of_the_page():
+    long = "A long sentence about boats that come and go in the harbour at night without any lights on. " * 2
+    body = long.strip()
+    inner = f"<h1>T</h1><p>{long}</p><p>Ok.</p>"
+    want = f"T\n{body}\nOk."
+    side = f"<div class=sidebar><p>{long}</p></div>"
+    # Words that tell of a layout, a category or a state of the page don't make its text an edge.
+    assert text(f"<html class='no-js search'><body class='post has-sidebar'><header><h1>Site</h1></header><div class=post>{inner}</div>{side}</body></html>") == want
+    assert text(f"<body><article class='post category-social' id=how-to-share>{inner}</article>{side}</body>") == want
+    assert text(f"<body><div id='content' class='no-sidebar'>{inner}</div>{side}</body>") == want
+    assert text(f"<body><div class='post category-social tag-search'>{inner}</div>{side}</body>") == want
+    assert text(f"<body><div class='content-sidebar-wrap'><main class='with-menu login'>{inner}</main>{side}</div></body>") == want
+    # What names an element as an edge still does, in compounds and on articles too.
+    assert text(f"<body><article class=post>{inner}</article><article class=comment><p>{long}</p></article><article class='related-post'><p>{long}</p></article></body>") == want
+    assert text(f"<body><div class=post>{inner}<div class='sidebar-content'>{long}</div><div class='text ad-slot'>{long}</div><div class='footer-with-logo'>{long}</div></div></body>") == want
+    assert text(f"<body><main>{inner}<div class='post-comments'>{long}</div></main><div hidden><main>{long}</main></div></body>") == want
+
+
 def test_long_and_odd(spark):
     rows = [(1, "u", None), (None, None, ""), (2, "u", "<article>" + "<p>word word</p>" * 20000), (2, "u", "<" * 3000), (3, None, "<!-- open"), (4, "u", "<div>" * 3000 + "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'z' text", "1 n_chars")
