@@ -5,11 +5,16 @@ own text, so 1 is a full copy whatever the item's length. Items are numbered in
 per term. Every passage of every document is a query: blocks whose upper bound stays below the threshold are skipped
 (numpy, for a batch of passages at once), the others are walked by WAND with block maxima as bounds. What scores above
 the threshold is verified: shingles of five words of the whole item, and the words of its answer, its last sentence.
+
+How long a passage is depends on the item alone (``passage_words``), so items of different lengths are searched with
+different passages and no item changes what is found of another. Indexes hold a bounded number of bytes; how items are
+dealt to them changes nothing either. Long texts are searched some passages at a time.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import ready, rows_bytes, slices
+from stackloom.llm.common import materialise, ready, rows_bytes, slices
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that retrieves it.
@@ -27,13 +32,17 @@ SCORE = 0.5
 OVERLAP, ANSWER = 0.8, 0.5
 SHINGLE = 5
 BLOCK = 4
-#: Items of one index: bounds what is broadcast. Larger benchmarks are searched index by index.
-ITEMS = 20_000
-#: Words of the shortest passage; longer where an item is longer than half of it.
+#: Bytes of the items' texts in one set of indexes: bounds what is broadcast. Larger benchmarks are searched set by set.
+LIMIT = 4 << 20
+#: Words of the shortest passage; an item of more than half as many has the next power of two that holds it twice.
 PASSAGE = 128
+#: Words of documents that are searched at once, steps of the longest passage in a stretch of one, blocks of items whose
+#: postings a worker keeps as dictionaries, pieces in which a long text is cut into words: all bound memory alone.
+WORDS, STEPS, KEPT, PIECE = 1 << 17, 64, 4_096, 1 << 20
 #: A term in more items than this share, or this many, is common: its weight enters a block's bound as a constant.
 COMMON, OFTEN = 0.05, 50
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _LOWER = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -53,95 +62,173 @@ def answer(text: str) -> str:
     return parts[-1] if len(parts) > 1 else " ".join(ws[len(ws) // 2 :])
 
 
+def passage_words(item_words: int) -> int:
+    """Words of the passages that are searched for an item of so many words."""
+    size = PASSAGE
+    while size < 2 * item_words:
+        size *= 2
+    return size
+
+
+def pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a bounded part of it at a time; parts end at ASCII white space, where no word goes on."""
+    at = 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + PIECE)
+        to = cut.start() if cut else len(text)
+        yield words(text[at:to])
+        at = to
+
+
+def stretches(texts: list[bytes], step: int) -> Iterator[tuple[list[int], list[bool], list[list[bytes]]]]:
+    """(text, whether more of it follows, words) of stretches of texts, some at a time.
+
+    A stretch that is followed by more has STEPS steps; the next starts one step before its end, so each passage of two
+    steps or less lies whole in one.
+    """
+    at, more, held, n = [], [], [], 0
+    for i, text in enumerate(texts):
+        rest: list[bytes] = []
+        for part in pieces(text) if text else ():
+            rest += part
+            while len(rest) > STEPS * step:
+                at.append(i)
+                more.append(True)
+                held.append(rest[: STEPS * step])
+                rest = rest[(STEPS - 1) * step :]
+                n += STEPS * step
+                if n >= WORDS:
+                    yield at, more, held
+                    at, more, held, n = [], [], [], 0
+        at.append(i)
+        more.append(False)
+        held.append(rest)
+        n += len(rest)
+        if n >= WORDS:
+            yield at, more, held
+            at, more, held, n = [], [], [], 0
+    if held:
+        yield at, more, held
+
+
 @dataclass
 class Index:
-    """Inverted index of items: terms, postings by item, block maxima, and what verification needs."""
+    """Inverted index of items with passages of one size: terms, postings in order of (term, item), texts to verify."""
 
+    size: int
     ids: list[int]
+    texts: list[str]
     terms: dict[bytes, int]
-    postings: list[list[tuple[int, float]]]
-    shingles: list[set[bytes]]
-    answers: list[set[bytes]]
-    longest: int
+    first: np.ndarray
+    item: np.ndarray
+    share: np.ndarray
 
     def __post_init__(self) -> None:
-        blocks = -(-len(self.ids) // BLOCK)
-        self.maxima: list[dict[int, float]] = []
-        self.blocks: list[dict[int, list[tuple[int, float]]]] = []
-        constant = np.zeros(len(self.ids))
-        start, block, weight = [0], [], []
-        for posting in self.postings:
-            best: dict[int, float] = {}
-            parts: dict[int, list[tuple[int, float]]] = {}
-            for i, w in posting:
-                best[i // BLOCK] = max(best.get(i // BLOCK, 0.0), w)
-                parts.setdefault(i // BLOCK, []).append((i, w))
-            self.maxima.append(best)
-            self.blocks.append(parts)
-            if len(posting) > max(4, min(OFTEN, COMMON * len(self.ids))):
-                for i, w in posting:
-                    constant[i] += w
-            else:
-                block += best
-                weight += best.values()
-            start.append(len(block))
-        self.constant = np.array([constant[b * BLOCK : (b + 1) * BLOCK].max() for b in range(blocks)])
-        self.start, self.block, self.weight = np.array(start), np.array(block, np.int64), np.array(weight)
+        count, blocks = np.diff(self.first), -(-len(self.ids) // BLOCK)
+        term, block = np.repeat(np.arange(len(count)), count), self.item // BLOCK
+        common = (count > max(4, min(OFTEN, COMMON * len(self.ids))))[term]
+        constant = np.bincount(self.item[common], self.share[common], blocks * BLOCK)
+        self.constant = constant.reshape(blocks, BLOCK).max(axis=1)
+        # Block maxima of the rarer terms, in order of (term, block).
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        lead = np.flatnonzero(new)
+        most = np.maximum.reduceat(self.share, lead) if len(lead) else np.zeros(0)
+        rare = ~common[lead]
+        self.block, self.weight = block[lead][rare], most[rare]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term[lead][rare], minlength=len(count)))])
+        # Postings in order of (block, term, item), for the walk.
+        order = np.argsort(block, kind="stable")
+        self.walk = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))]), term[order], self.item[order], self.share[order]
+        self.opened: dict[int, dict[int, list[tuple[int, float]]]] = {}
+        self.checks: dict[int, tuple[set[bytes], set[bytes]]] = {}
+
+    def __reduce__(self):
+        return Index, (self.size, self.ids, self.texts, self.terms, self.first, self.item, self.share)
 
     @staticmethod
-    def build(rows: list[tuple], total: int, average: float) -> Index:
+    def build(rows: list[tuple], total: int, average: float, size: int) -> Index:
         """rows: (item_id, text, [(term, frequency, document frequency)]); total and average are of all items."""
-        ids, terms, postings, sh, an, longest = [], {}, [], [], [], 1
-        for item, text, counts in sorted(rows, key=lambda r: r[0]):
-            size = sum(tf for _, tf, _ in counts)
-            w = {bytes(t): np.log1p((total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average)) for t, tf, df in counts}
-            whole = sum(w.values())
-            for t, x in w.items():
-                at = terms.setdefault(t, len(terms))
-                if at == len(postings):
-                    postings.append([])
-                postings[at].append((len(ids), x / whole))
-            ids.append(item)
-            ws = words(text.encode())
-            sh.append(shingles(ws))
-            an.append(set(words(answer(text).encode())))
-            longest = max(longest, len(ws))
-        return Index(ids, terms, postings, sh, an, longest)
-
-    def passages(self, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, first word, end) of passages of size words at every half of it."""
-        step = size // 2
+        rows = sorted(rows, key=lambda r: r[:2])
+        terms: dict[bytes, int] = {}
+        at, item, share = [], [], []
+        for i, (_, _, counts) in enumerate(rows):
+            length = sum(tf for _, tf, _ in counts)
+            w = [np.log1p((total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average)) for _, tf, df in counts]
+            whole = sum(w)
+            at += [terms.setdefault(bytes(t), len(terms)) for t, _, _ in counts]
+            item += [i] * len(counts)
+            share += [x / whole for x in w]
+        order = np.argsort(np.array(at, np.int64), kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
+        return Index(size, [r[0] for r in rows], [r[1] for r in rows], terms, first, np.array(item, np.int64)[order], np.array(share, float)[order])
+
+    def open(self, block: int) -> dict[int, list[tuple[int, float]]]:
+        """The postings of a block of items by term."""
+        found = self.opened.get(block)
+        if found is None:
+            if len(self.opened) >= KEPT:
+                self.opened.clear()
+            ends, term, item, share = self.walk
+            found = self.opened[block] = {}
+            s = slice(ends[block], ends[block + 1])
+            for t, i, w in zip(term[s].tolist(), item[s].tolist(), share[s].tolist()):
+                found.setdefault(t, []).append((i, w))
+        return found
+
+    def check(self, item: int) -> tuple[set[bytes], set[bytes]]:
+        """(shingles, words of the answer) of an item."""
+        found = self.checks.get(item)
+        if found is None:
+            if len(self.checks) >= KEPT:
+                self.checks.clear()
+            text = self.texts[item]
+            found = self.checks[item] = shingles(words(text.encode())), set(words(answer(text).encode()))
+        return found
+
+    def passages(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretch, first word, end) of passages at every half of their size."""
+        step = self.size // 2
         each = np.maximum(1, -(-(counts - step) // step))
-        doc = np.repeat(np.arange(len(counts)), each)
-        first = (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)) * step
-        return doc, first, np.minimum(first + size, counts[doc])
+        of = np.repeat(np.arange(len(counts)), each)
+        first = (np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)) * step
+        return of, first, np.minimum(first + self.size, counts[of])
 
-    def candidates(self, hit: np.ndarray, counts: np.ndarray, size: int, score: float) -> tuple[np.ndarray, ...]:
-        """Passages and blocks whose upper bound reaches the score; hit: term of every word of a batch, or -1."""
-        doc, first, end = self.passages(counts, size)
-        base = np.cumsum(counts) - counts
-        n = len(self.constant)
+    def candidates(self, hit: np.ndarray, base: np.ndarray, counts: np.ndarray, score: float) -> tuple[np.ndarray, ...]:
+        """Passages and blocks whose upper bound reaches the score; hit: term of every word, or -1; base: of stretches."""
+        doc, first, end = self.passages(counts)
         rare = np.append(np.diff(self.start) > 0, False)  # the last stands for words of no item
         word = np.flatnonzero(rare[hit])
-        step = size // 2
+        step = self.size // 2
         of = np.searchsorted(base, word, side="right") - 1
         # A word lies in the passage that starts at its own half and in the one before; a term counts once in each.
         lead, last = np.searchsorted(doc, of), np.searchsorted(doc, of, side="right") - 1
         own = lead + (word - base[of]) // step
         at = np.concatenate([own, own - 1])
         ok = (at >= np.concatenate([lead, lead])) & (at <= np.concatenate([last, last]))
-        pairs = np.unique((at * len(self.postings) + np.concatenate([hit[word]] * 2))[ok])
-        at, term = np.divmod(pairs, len(self.postings))
+        pairs = np.unique((at * len(self.terms) + np.concatenate([hit[word]] * 2))[ok])
+        at, term = np.divmod(pairs, max(1, len(self.terms)))
         several = self.start[term + 1] - self.start[term]
-        inner = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
-        entry = np.repeat(self.start[term], several) + inner
-        bound = np.bincount(np.repeat(at, several) * n + self.block[entry], self.weight[entry], len(doc) * n)
-        p, b = np.nonzero(bound.reshape(-1, n) + self.constant >= score - 1e-9)
+        blocks, found = len(self.constant), []
+        # Sums of what the passages' terms add to blocks, so many postings at a time, cut between passages.
+        cuts = np.searchsorted(at, np.unique(at[np.searchsorted(np.cumsum(several), np.arange(WORDS, max(1, several.sum()), WORDS))]))
+        for i, j in zip([0, *cuts], [*cuts, len(at)]):
+            some = several[i:j]
+            inner = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+            entry = np.repeat(self.start[term[i:j]], some) + inner
+            cells, place = np.unique(np.repeat(at[i:j], some) * blocks + self.block[entry], return_inverse=True)
+            bound = np.bincount(place, self.weight[entry], len(cells)) + self.constant[cells % blocks]
+            found.append(cells[bound >= score - 1e-9])
+        always = np.flatnonzero(self.constant >= score - 1e-9)  # common terms alone may reach the score there
+        if len(always):
+            found.append((np.arange(len(doc))[:, None] * blocks + always).ravel())
+        p, b = np.divmod(np.unique(np.concatenate(found)), blocks)
         return p, b, doc, first + base[doc], end + base[doc]
 
     def wand(self, terms: list[int], block: int, score: float) -> list[tuple[int, float]]:
         """Items of a block that score at least so much for the terms, walked by pivots."""
-        lists = [[self.blocks[t][block], 0, self.maxima[t][block]] for t in terms if block in self.maxima[t]]
+        held = self.open(block)
+        lists = [[x, 0, max(w for _, w in x)] for t in terms if (x := held.get(t))]
         found = []
         while lists:
             lists.sort(key=lambda c: c[0][c[1]][0])
@@ -169,16 +256,11 @@ class Index:
             lists = [c for c in lists if c[1] < len(c[0])]
         return found
 
-    def search(self, texts: list[bytes], score: float, overlap: float, answer_overlap: float) -> list[dict[int, tuple[float, float]]]:
-        """For each text the items that it leaks: position in ids -> (score, overlap)."""
-        size = max(PASSAGE, 2 * self.longest)
-        split = [words(t) for t in texts]
-        counts = np.array([len(w) for w in split], np.int64)
-        flat = [w for ws in split for w in ws]
+    def search(self, at: list[int], flat: list[bytes], counts: np.ndarray, base: np.ndarray, score: float, overlap: float, answer_overlap: float, out: list[dict]) -> None:
+        """Note in out, by text, the items that its stretches leak: item_id -> (score, overlap)."""
         hit = np.fromiter(map(self.terms.get, flat, repeat(-1)), np.int64, len(flat))
-        out: list[dict] = [{} for _ in texts]
         kept: dict[int, tuple] = {}
-        ps, bs, doc, first, end = self.candidates(hit, counts, size, score)
+        ps, bs, doc, first, end = self.candidates(hit, base, counts, score)
         for p, b in zip(ps.tolist(), bs.tolist()):
             if p not in kept:
                 s, e = int(first[p]), int(end[p])
@@ -188,49 +270,76 @@ class Index:
                 if sh is None:
                     sh = shingles(ws)
                     kept[p] = terms, ws, sh
-                share = len(self.shingles[item] & sh) / max(1, len(self.shingles[item]))
-                heard = len(self.answers[item].intersection(ws)) / max(1, len(self.answers[item]))
+                mine, said = self.check(item)
+                share = len(mine & sh) / max(1, len(mine))
+                heard = len(said.intersection(ws)) / max(1, len(said))
                 if share >= overlap and heard >= answer_overlap:
-                    had = out[int(doc[p])].get(item, (0.0, 0.0))
-                    out[int(doc[p])][item] = max(had[0], total), max(had[1], share)
-        return out
+                    leaks, key = out[at[int(doc[p])]], self.ids[item]
+                    had = leaks.get(key, (0.0, 0.0))
+                    leaks[key] = max(had[0], total), max(had[1], share)
+
+
+def search(indexes: list[Index], texts: list[bytes], score: float, overlap: float, answer_overlap: float) -> list[dict[int, tuple[float, float]]]:
+    """For each text the items that it leaks: item_id -> (score, overlap)."""
+    out: list[dict] = [{} for _ in texts]
+    step = max(x.size for x in indexes) // 2
+    for at, more, held in stretches(texts, step):
+        flat = [w for ws in held for w in ws]
+        counts = np.array([len(ws) for ws in held], np.int64)
+        base = np.cumsum(counts) - counts
+        for index in indexes:
+            # Where a stretch is followed by another, passages that start in its last step are left to that one.
+            mine = counts - np.where(more, step - index.size // 2, 0)
+            index.search(at, flat, mine, base, score, overlap, answer_overlap, out)
+    return out
 
 
-def indexes(benchmark: DataFrame, items: int = ITEMS):
-    """The indexes of a benchmark (item_id, text), each of about ``items`` items at most, with corpus-wide statistics."""
+def indexes(benchmark: DataFrame, limit: int = LIMIT) -> Iterator[list[Index]]:
+    """Sets of indexes of a benchmark (item_id, text), with corpus-wide statistics, one index for each size of passages.
+
+    A set holds items of about ``limit`` bytes of text (one item at least): what reaches the driver at once.
+    """
     ready(benchmark.sparkSession)
 
     def counted(batches):
         for batch in batches:
-            out: dict[str, list] = {"item_id": [], "text": [], "term": [], "tf": []}
+            out: dict[str, list] = {"item_id": [], "text": [], "size": [], "term": [], "tf": []}
             for item, text in zip(batch.column(0).to_pylist(), rows_bytes(batch.column(1))):
-                terms, tf = np.unique(np.array(words(text), object), return_counts=True)
-                for k, v in zip(out, (item, text.decode(), terms.tolist(), tf.tolist())):
+                ws = words(text)
+                terms, tf = np.unique(np.array(ws, object), return_counts=True)
+                for k, v in zip(out, (item, text.decode(), passage_words(len(ws)), terms.tolist(), tf.tolist())):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["item_id"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["term"], pa.list_(pa.binary())), pa.array(out["tf"], pa.list_(pa.int64()))], names=list(out))
+            kinds = pa.int64(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out.values(), kinds)], names=list(out))
 
     rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null").dropDuplicates(["item_id", "text"])
-    rows = rows.mapInArrow(counted, "item_id long, text string, term array<binary>, tf array<long>").where("size(term) > 0")
-    each = rows.select("item_id", "text", F.explode(F.arrays_zip("term", "tf")).alias("x")).select("item_id", "text", "x.term", "x.tf")
+    rows = rows.mapInArrow(counted, "item_id long, text string, size int, term array<binary>, tf array<long>").where("size(term) > 0")
+    rows = materialise(rows, "items")
+    each = rows.select("item_id", "text", "size", F.explode(F.arrays_zip("term", "tf")).alias("x")).select("item_id", "text", "size", "x.term", "x.tf")
     df = each.groupBy("term").agg(F.count("*").alias("df"))
-    full = each.join(df, "term").groupBy("item_id", "text").agg(F.collect_list(F.struct("term", "tf", "df")).alias("counts"))
-    total, length = rows.agg(F.count("*"), F.avg(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    parts = max(1, -(-total // items))
-    for part in range(parts if total else 0):
-        some = full.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        if some:
-            yield Index.build([(r[0], r[1], [tuple(x) for x in r[2]]) for r in some], total, length)
+    full = each.join(df, "term").groupBy("item_id", "text", "size").agg(F.collect_list(F.struct("term", "tf", "df")).alias("counts"))
+    total, length, held = rows.agg(F.count("*"), F.avg(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.octet_length("text"))).first()
+    if not total:
+        return
+    parts = max(1, min(total, -(-held // limit)))
+    full = materialise(full, "terms")
+    for part in range(parts):
+        found: dict[int, list] = {}
+        for r in full.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect():
+            found.setdefault(r["size"], []).append((r["item_id"], r["text"], [tuple(x) for x in r["counts"]]))
+        if found:
+            yield [Index.build(x, total, length, size) for size, x in sorted(found.items())]
 
 
 _LEAK = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, score: float = SCORE, overlap: float = OVERLAP, answer_overlap: float = ANSWER, items: int = ITEMS) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, score: float = SCORE, overlap: float = OVERLAP, answer_overlap: float = ANSWER, limit: int = LIMIT) -> DataFrame:
     """documents (with a column text) and, as last column, leaks: array of (item_id, score, overlap), empty if clean.
 
-    A document leaks an item if one of its passages scores ``score`` of the item's own BM25 score, holds ``overlap`` of
-    its five-word shingles (of all its words where there are fewer) and ``answer_overlap`` of its answer's words. Case
-    and ASCII punctuation don't count. Null and empty texts, and items without words or id, leak nothing; repeated
+    A document leaks an item if one of its passages (of ``passage_words`` of the item) scores ``score`` of the item's own
+    BM25 score, holds ``overlap`` of its five-word shingles (of all its words where there are fewer) and
+    ``answer_overlap`` of its answer's words. Case and ASCII punctuation don't count; neither texts nor items are cut. Null and empty texts, and items without words or id, leak nothing; repeated
     rows are judged each by itself; every input column comes back, but one named leaks is replaced.
     """
     out = documents.drop("leaks")
@@ -238,14 +347,13 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, score: float = SCORE,
     at = out.columns.index("text")
     empty = F.array().cast("array<struct<item_id:bigint,score:double,overlap:double>>")
     out = out.withColumn("leaks", empty)
-    for index in indexes(benchmark, items):
-        shared = spark.sparkContext.broadcast(index)
+    for some in indexes(benchmark, limit):
+        shared = spark.sparkContext.broadcast(some)  # items of ``limit`` bytes at most, or a single one
 
         def run(batches, shared=shared):
-            index = shared.value
             for batch in (x for b in batches for x in slices(b, at)):
-                found = index.search(rows_bytes(batch.column(at)), score, overlap, answer_overlap)
-                leaks = [[*had, *({"item_id": index.ids[i], "score": s, "overlap": o} for i, (s, o) in sorted(new.items()))] for had, new in zip(batch.column(batch.num_columns - 1).to_pylist(), found)]
+                found = search(shared.value, rows_bytes(batch.column(at)), score, overlap, answer_overlap)
+                leaks = [[*had, *({"item_id": i, "score": s, "overlap": o} for i, (s, o) in sorted(new.items()))] for had, new in zip(batch.column(batch.num_columns - 1).to_pylist(), found)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, pa.list_(_LEAK))], names=batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)

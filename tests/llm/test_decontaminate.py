@@ -11,16 +11,16 @@ def brute(docs, items, score=D.SCORE):
     toks = {i: D.words(t.encode()) for i, t in items if t}
     df = Counter(w for ws in toks.values() for w in set(ws))
     avg = sum(map(len, toks.values())) / len(toks)
-    size = max(D.PASSAGE, 2 * max(map(len, toks.values())))
     out = set()
     for row, (_, text) in enumerate(docs):
         ws = D.words((text or "").encode())
-        starts = [0, *range(size // 2, max(1, len(ws) - size // 2), size // 2)]
-        for s in starts:
-            window = ws[s : s + size]
-            for i, t in items:
-                if not t:
-                    continue
+        for i, t in items:
+            if not t:
+                continue
+            size = D.passage_words(len(toks[i]))
+            starts = [0, *range(size // 2, max(1, len(ws) - size // 2), size // 2)]
+            for s in starts:
+                window = ws[s : s + size]
                 w = {x: math.log1p((len(toks) - df[x] + 0.5) / (df[x] + 0.5)) * n * (D.K1 + 1) / (n + D.K1 * (1 - D.B + D.B * len(toks[i]) / avg)) for x, n in Counter(toks[i]).items()}
                 if sum(w[x] for x in w if x in set(window)) < score * sum(w.values()) - 1e-9:
                     continue
@@ -52,14 +52,65 @@ def test_equals_exhaustive(spark):
     assert len(want) > 20
     d = spark.createDataFrame([(i, *r) for i, r in enumerate(docs)], "row int, doc_id long, text string").selectExpr("*", "'c' item_id", "1 leaks", "2 score").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' term")
-    for n in (D.ITEMS, 20):
-        got = D.find_leaks(d, b, items=n)
+    for n in (D.LIMIT, 2_000):
+        got = D.find_leaks(d, b, limit=n)
         assert got.columns == ["row", "doc_id", "text", "item_id", "score", "leaks"]
         assert {(r["row"], x["item_id"]) for r in got.collect() for x in r["leaks"]} == want
     assert D.find_leaks(d, b.limit(0)).selectExpr("sum(size(leaks))").first()[0] == 0
     assert D.find_leaks(d.limit(0), b).count() == 0
 
 
+def test_long_items_change_nothing_of_others(spark, monkeypatch):
+    """Items of 15, 70 and 600 words, whole or by themselves in indexes, against the exhaustive search."""
+    rnd = random.Random(9)
+    some = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    items = [(i, " ".join(some(n))) for i, n in enumerate([15, 15, 15, 70, 600, 1])]
+    docs = [(i, " ".join(some(rnd.randrange(1500)) + it.split()[: rnd.choice([None, None, 60])] + some(rnd.randrange(900)))) for i, (_, it) in enumerate(items * 3)]
+    docs.append((50, " ".join(some(300) + [w for _, it in items for w in it.split()])))
+    want = brute(docs, items)
+    assert {i for _, i in want} >= {0, 1, 2, 3, 4}
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(docs)], "row int, doc_id long, text string").repartition(2)
+    for limit in (1, 250, D.LIMIT):  # each item in an index of its own; about two together; all together
+        got = D.find_leaks(d, spark.createDataFrame(items, "item_id long, text string"), limit=limit)
+        assert {(r["row"], x["item_id"]) for r in got.collect() for x in r["leaks"]} == want
+    # Stretches, pieces and batches of any size give the same.
+    index = next(D.indexes(spark.createDataFrame(items, "item_id long, text string")))
+    texts = [t.encode() for _, t in docs]
+    for steps, n, piece in ((2, 1, 10), (3, 1000, 1), (64, 1 << 17, 1 << 20)):
+        monkeypatch.setattr(D, "STEPS", steps)
+        monkeypatch.setattr(D, "WORDS", n)
+        monkeypatch.setattr(D, "PIECE", piece)
+        assert {(row, i) for row, x in enumerate(D.search(index, texts, D.SCORE, D.OVERLAP, D.ANSWER)) for i in x} == want
+
+
+def test_memory_of_a_long_text():
+    """30 MB of text against 20,000 items in a process of its own: less than 500 MB more than before."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from collections import Counter
+from stackloom.llm import decontaminate as D
+rnd = random.Random(1)
+vocab = [f"word{i}" for i in range(50_000)]
+texts = [" ".join(rnd.choices(vocab, k=30)) for _ in range(20_000)]
+df = Counter(w for t in texts for w in set(t.split()))
+index = D.Index.build([(i, t, [(w.encode(), n, df[w]) for w, n in Counter(t.split()).items()]) for i, t in enumerate(texts)], len(texts), 30.0, 128)
+few = rnd.choices(vocab, k=100_000)
+long = b" ".join(" ".join(few).encode() for _ in range(36)) + b" " + texts[77].encode()
+assert len(long) > 30_000_000
+del texts, df
+import ctypes
+before = int(open('/proc/self/statm').read().split()[1]) * 4096
+open('/proc/self/clear_refs', 'w').write('5')
+found = D.search([index], [long], D.SCORE, D.OVERLAP, D.ANSWER)
+peak = int([x for x in open('/proc/self/status') if x.startswith('VmHWM')][0].split()[1]) * 1024
+assert 77 in found[0] and peak - before < 500 << 20, (peak - before) >> 20
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=600)
+
+
 def test_query_finds_embedded_items(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
