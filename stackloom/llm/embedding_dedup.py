@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
 Unit vectors are quantised to int8 with a scale and the exact norm of their rounding error. For x = a + e and y = b + f
-with quantised parts a and b, |x.y - a.b| <= |e||b| + |a||f| + |e||f|, so a tile product of codes (exact in float32) tells
-which pairs may reach the threshold, and only those are computed again in double precision. Different vectors alone enter
-the tiles, each with its number of copies. Groups of tiles meet pairwise, every task holding two groups of bounded size; a
+with quantised parts a and b, |x.y - a.b| <= |e||b| + |a||f| + |e||f|, so a tile product of codes tells which pairs may
+reach the threshold, and only those are computed again in double precision. Products of codes are exact at every width:
+float32 holds the sums of 1,024 dimensions, and those are added in double precision. Different vectors alone enter
+the tiles, each with its number of copies. Groups of tiles meet pairwise, every task holding two groups of bounded bytes; a
 tile returns counts per vector and links that connect its components, never all pairs of a group.
 """
 
@@ -18,18 +19,34 @@ from stackloom.llm.common import materialise, ready
 from stackloom.llm.components import components
 
 THRESHOLD = 0.95
-#: Vectors of a group (what a task holds twice, as floats) and of a tile.
-GROUP, TILE = 32_768, 1_024
+#: Bytes of the vectors of a group (a task holds two groups), vectors of a tile, dimensions whose products of codes sum
+#: up exactly in float32 (127 * 127 * 1,024 < 2 ** 24).
+GROUP, TILE, EXACT = 16 << 20, 1_024, 1_024
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes as float32, scales, norms of the quantised parts, bounds of the rounding errors' norms) of rows."""
+    """(codes as int8, scales, norms of the quantised parts, bounds of the rounding errors' norms) of rows."""
     scale = np.abs(x).max(axis=1) / 127
     codes = np.rint(x / scale[:, None]).astype(np.int8)
     part = codes * scale[:, None]
     # A little more than computed, for the rounding of these computations themselves.
-    slack = 1e-12
-    return codes.astype(np.float32), scale, np.linalg.norm(part, axis=1) + slack, np.linalg.norm(x - part, axis=1) + slack
+    slack = 1e-12 + 1e-15 * x.shape[1]
+    return codes, scale, np.linalg.norm(part, axis=1) + slack, np.linalg.norm(x - part, axis=1) + slack
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of the rows of codes a with those of b."""
+    out = None
+    for k in range(0, a.shape[1], EXACT):
+        one = a[:, k : k + EXACT].astype(np.float32) @ b[:, k : k + EXACT].astype(np.float32).T
+        out = one if out is None else out.astype(np.float64) + one
+    return out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square leaves the range of doubles."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 class Side:
@@ -37,7 +54,7 @@ class Side:
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.copies = ids, copies
-        self.x = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        self.x = unit(vectors)
         self.codes, self.scale, self.norm, self.error = quantise(self.x)
 
 
@@ -49,12 +66,11 @@ def linked(a: Side, b: Side, same: bool, threshold: float) -> tuple[np.ndarray,
         s = slice(i, i + TILE)
         for j in range(i if same else 0, len(b.ids), TILE):
             t = slice(j, j + TILE)
-            # Codes and their products are small whole numbers, so float32 sums are exact up to 1,040 dimensions.
-            product = a.codes[s] @ b.codes[t].T
+            product = products(a.codes[s], b.codes[t])
             worst_b, worst_norm, largest = b.error[t].max(), b.norm[t].max(), b.scale[t].max()
             bound = a.error[s] * (worst_norm + worst_b) + a.norm[s] * worst_b
             least = (threshold - bound - 1e-9) / (a.scale[s] * largest)
-            u, v = np.nonzero(product >= np.floor(least)[:, None].astype(np.float32))
+            u, v = np.nonzero(product >= np.floor(least)[:, None].astype(product.dtype))
             if not len(u):
                 continue
             # Bounds of the pair itself, then double precision for what is left.
@@ -63,7 +79,7 @@ def linked(a: Side, b: Side, same: bool, threshold: float) -> tuple[np.ndarray,
             if same and i == j:
                 near &= gu < gv
             gu, gv = gu[near], gv[near]
-            hit = np.concatenate([np.einsum("ij,ij->i", a.x[gu[k : k + 4096]], b.x[gv[k : k + 4096]]) for k in range(0, len(gu), 4096)] or [np.zeros(0)]) >= threshold
+            hit = np.concatenate([np.einsum("ij,ij->i", a.x[gu[k : k + 512]], b.x[gv[k : k + 512]]) for k in range(0, len(gu), 512)] or [np.zeros(0)]) >= threshold
             gu, gv = gu[hit], gv[hit]
             if not len(gu):
                 continue
@@ -102,7 +118,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, group:
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.coalesce((F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("v", F.when(whole, F.transform("v", lambda x: x + F.lit(0.0))))
+    rows = rows.withColumn("v", F.when(whole, F.transform("v", lambda x: x + F.lit(0.0)))).withColumn("h", F.xxhash64("v"))
     kinds = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"))
     # One number for each different vector; equal hashes of different vectors are told apart by the rank.
     kinds = materialise(kinds.withColumn("key", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vectors")
@@ -110,7 +126,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, group:
 
     def pairs(n: int) -> DataFrame:
         # At least six groups where there is enough work to share, so that about twenty pairs of them can run at once.
-        parts = max(1, -(-n // group), min(6, n // 4_096))
+        parts = max(1, -(-n * dim * 8 // group), min(6, n // 4_096))
         home = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
         mine = kinds.where(F.col("dim") == dim).withColumn("g", home)
         met = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -148,8 +164,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, group:
     low = comp.join(kinds, comp["node"] == kinds["key"]).groupBy("component").agg(F.min("low").alias("first"))
     named = comp.join(low, "component").select(F.col("node").alias("key"), "first")
     told = kinds.join(counts, "key", "left").join(named, "key", "left")
-    told = materialise(told.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "low").alias("component_id")), "told")
-    out = rows.join(told, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    told = materialise(told.select("v", F.xxhash64("v").alias("h"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "low").alias("component_id")), "told")
+    # Rows meet by the hash of their vector; the vectors themselves are compared, but not sorted by.
+    r, t = rows.alias("r"), told.alias("t")
+    out = r.join(t, F.expr("r.h = t.h and r.v is not null and not (r.v <> t.v)"), "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
