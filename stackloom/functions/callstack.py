@@ -52,6 +52,20 @@ def root_first(stack: Column, frame_order: str) -> Column:
     return F.reverse(stack) if frame_order == "leaf_first" else stack
 
 
+#: The sign bit: flipping it makes signed comparison of longs the unsigned one of their bits.
+SIGN = -(1 << 63)
+
+
+def unsigned(address: Column) -> Column:
+    """A key that orders addresses as unsigned numbers."""
+    return address.bitwiseXOR(F.lit(SIGN))
+
+
+def distance(high: Column, low: Column) -> Column:
+    """high - low as unsigned addresses, high being the larger; never overflows."""
+    return F.when((high < 0) == (low < 0), high - F.when((high < 0) == (low < 0), low).otherwise(F.lit(0))).otherwise(unsigned(unsigned(high) - F.greatest(low, F.lit(0))))
+
+
 def percentage(part: Column, total: Column) -> Column:
     """part in per cent of total; 0 for an empty total."""
     return F.when(total > 0, part * F.lit(100.0) / total).otherwise(F.lit(0.0))

@@ -9,6 +9,8 @@ from stackloom.functions.callstack import function_key, percentage, source_locat
 from stackloom.model import ROOT
 from stackloom.operators.tree import Tree
 
+#: Processes whose samples balance lists in one array.
+VECTOR = 1 << 20
 #: A tree counts as balanced below this imbalance factor.
 BALANCED = 0.1
 
@@ -41,14 +43,31 @@ def find_total_hotspots(tree: Tree, top_n: int = 10) -> DataFrame:
 
 
 def balance(tree: Tree) -> DataFrame:
-    """One row: mean, population deviation, extremes and their processes (the lowest of ties), samples by process."""
-    p = tree.processes
+    """One row: mean, population deviation, extremes and their processes (the lowest of ties), samples by process.
+
+    Processes without samples count by arithmetic, so that one with an id of 2^32 - 1 costs nothing; process_samples
+    lists samples from process 0 on where there are at most VECTOR processes, else it is null (``tree.processes`` has them).
+    """
+    have = tree.sampled
+    n = F.greatest(F.coalesce(F.max("process_id") + 1, F.lit(0)), F.lit(tree.least_processes)).cast("long")
     most = F.max_by("process_id", F.struct(F.col("samples"), -F.col("process_id")))
     least = F.min_by("process_id", F.struct("samples", "process_id"))
-    mean, low, high = F.avg("samples"), F.min("samples").cast("double"), F.max("samples").cast("double")
-    row = p.agg(
-        F.coalesce(mean, F.lit(0.0)).alias("mean_samples"), F.coalesce(F.stddev_pop("samples"), F.lit(0.0)).alias("std_dev_samples"), F.coalesce(low, F.lit(0.0)).alias("min_samples"), F.coalesce(high, F.lit(0.0)).alias("max_samples"),
-        F.coalesce(most, F.lit(0)).alias("most_loaded_process"), F.coalesce(least, F.lit(0)).alias("least_loaded_process"), F.transform(F.array_sort(F.collect_list(F.struct("process_id", "samples"))), lambda x: x["samples"].cast("double")).alias("process_samples"),
+    row = have.agg(n.alias("n"), F.count("*").alias("k"), F.coalesce(F.sum("samples"), F.lit(0)).alias("total"), F.min("samples").alias("low"), F.max("samples").alias("high"), most.alias("most"), least.alias("least"), F.when(n <= VECTOR, n).alias("size"))
+    few = have.crossJoin(F.broadcast(row.select("size", "n", "total"))).agg(F.sum(F.pow(F.col("samples") - F.col("total") / F.col("n"), F.lit(2.0))).alias("squares"), F.collect_list(F.when(F.col("size").isNotNull(), F.struct("process_id", F.col("samples").cast("double").alias("samples")))).alias("listed"))
+    # The lowest process without samples follows one that has some, or is 0.
+    follow = have.select((F.col("process_id") + 1).alias("process_id")).unionByName(have.sparkSession.range(1).select(F.lit(0).cast("long").alias("process_id")))
+    gap = follow.join(have.select("process_id"), "process_id", "left_anti").agg(F.min("process_id").alias("gap"))
+    row = row.crossJoin(F.broadcast(few)).crossJoin(F.broadcast(gap))  # one row each
+    zeros, mean = F.col("n") - F.col("k"), F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0)
+    row = row.withColumns({"mean_samples": mean, "some": zeros > 0, "by": F.map_from_entries("listed")})
+    low = F.when(F.col("some"), F.lit(0)).otherwise(F.coalesce("low", F.lit(0)))
+    every = F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda p: F.coalesce(F.try_element_at("by", p), F.lit(0.0)))).when(F.col("size") == 0, F.array().cast("array<double>"))
+    row = row.select(
+        "mean_samples", F.when(F.col("n") > 0, F.sqrt((F.coalesce("squares", F.lit(0.0)) + zeros * F.col("mean_samples") * F.col("mean_samples")) / F.col("n"))).otherwise(0.0).alias("std_dev_samples"),
+        low.cast("double").alias("min_samples"), F.greatest(F.coalesce("high", F.lit(0)), F.lit(0)).cast("double").alias("max_samples"),
+        F.when(F.coalesce("high", F.lit(0)) > 0, F.col("most")).otherwise(F.lit(0)).alias("most_loaded_process"),
+        F.when(F.col("some"), F.when(F.coalesce("low", F.lit(0)) <= 0, F.least("gap", F.coalesce("least", "gap"))).otherwise(F.col("gap"))).otherwise(F.coalesce("least", F.lit(0))).alias("least_loaded_process"),
+        every.alias("process_samples"),
     )
     return row.withColumn("imbalance_factor", F.when(F.col("mean_samples") > 0, (F.col("max_samples") - F.col("min_samples")) / F.col("mean_samples")).otherwise(0.0))
 

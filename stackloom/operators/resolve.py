@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import subprocess
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.functions.callstack import root_first
-from stackloom.model import UNKNOWN, UNRESOLVED
+from stackloom.functions.callstack import SIGN, distance, root_first, unsigned
+from stackloom.model import UNKNOWN, UNRESOLVED, ResolveStrategy
+from stackloom.session import ready
+from stackloom.sources.formats import WORD
 
 #: Below this base a library is taken as loaded at fixed addresses, and offsets are the addresses themselves.
 STATIC_BASE = 0x10000000
@@ -24,7 +27,7 @@ SEGMENT_SHIFTS = (0, 0x1000, 0x2000, 0x3000, 0x4000, 0x5000, 0x6000, 0x8000, 0xA
 
 
 def offset_of(address: Column, base: Column) -> Column:
-    return F.when(base < STATIC_BASE, address).otherwise(address - base)
+    return F.when(unsigned(base) < STATIC_BASE + SIGN, address).otherwise(distance(address, base))
 
 
 def resolve_addresses(addresses: DataFrame, lib_map: DataFrame, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
@@ -33,21 +36,24 @@ def resolve_addresses(addresses: DataFrame, lib_map: DataFrame, broadcast_ranges
     The first executable range in file order (ord) that holds the address decides. A process without any map gives
     [unknown], an address outside all ranges [unresolved]; the offset is then the address. Work is done once per
     different address of a process. Small maps are broadcast and joined by process; larger ones meet addresses in
-    buckets, whose size follows the range's, so no range is listed in more than a fixed number of them.
+    buckets, whose size follows the range's, so no range is listed in more than a fixed number of them. Addresses count as
+    unsigned: those of 2^63 and more are negative longs. Planning runs one small job, a count of ranges up to the limit.
     """
     keys = addresses.select("process_id", "address").distinct()
-    ranges = lib_map.where("executable and base < end").select("process_id", "ord", "base", "end", "name")
+    ranges = lib_map.where(F.col("executable") & (unsigned(F.col("base")) < unsigned(F.col("end")))).select("process_id", "ord", "base", "end", "name")
+    inside = lambda a, base, end: (unsigned(a) >= unsigned(base)) & (unsigned(a) < unsigned(end))
     if ranges.limit(broadcast_ranges + 1).count() <= broadcast_ranges:
         r = F.broadcast(ranges.alias("r"))
-        met = keys.alias("k").join(r, F.expr("k.process_id = r.process_id and k.address >= r.base and k.address < r.end")).select("k.process_id", "k.address", "r.ord", "r.base", "r.name")
+        met = keys.alias("k").join(r, (F.col("k.process_id") == F.col("r.process_id")) & inside(F.col("k.address"), F.col("r.base"), F.col("r.end"))).select("k.process_id", "k.address", "r.ord", "r.base", "r.name")
     else:
-        span = F.shiftright(F.col("end") - 1, BUCKET_BITS) - F.shiftright(F.col("base"), BUCKET_BITS)
+        last = F.when(F.col("end") == SIGN, F.lit(-SIGN - 1)).otherwise(F.col("end") - 1)
+        span = F.shiftrightunsigned(last, BUCKET_BITS) - F.shiftrightunsigned(F.col("base"), BUCKET_BITS)
         level = F.greatest(F.lit(0), F.ceil(F.log2((span + 1) / F.lit(float(WIDEST))))).cast("int")
-        at = lambda c, lv: F.call_function("shiftright", c, (F.lit(BUCKET_BITS) + lv).cast("int"))
-        r = ranges.withColumn("level", level).withColumn("bucket", F.explode(F.sequence(at(F.col("base"), F.col("level")), at(F.col("end") - 1, F.col("level")))))
+        at = lambda c, lv: F.call_function("shiftrightunsigned", c, (F.lit(BUCKET_BITS) + lv).cast("int"))
+        r = ranges.withColumn("level", level).withColumn("bucket", F.explode(F.sequence(at(F.col("base"), F.col("level")), at(last, F.col("level")))))
         levels = [x[0] for x in r.select("level").distinct().collect()]  # at most 64 of them
         k = keys.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("bucket", at(F.col("address"), F.col("level")))
-        met = k.join(r, ["process_id", "level", "bucket"]).where("address >= base and address < end").select("process_id", "address", "ord", "base", "name")
+        met = k.join(r, ["process_id", "level", "bucket"]).where(inside(F.col("address"), F.col("base"), F.col("end"))).select("process_id", "address", "ord", "base", "name")
     first = met.groupBy("process_id", "address").agg(F.min_by(F.struct("base", "name"), "ord").alias("hit"))
     known = lib_map.select("process_id", F.lit(True).alias("mapped")).distinct()
     found = keys.join(first, ["process_id", "address"], "left").join(known, "process_id", "left")
@@ -100,12 +106,34 @@ def parse_addr2line(function: str, location: str) -> tuple[str, str, int] | None
     return function, path, int(digits) if digits.isdigit() else 0
 
 
-def symbolize(frames: DataFrame, tool: str = "addr2line") -> DataFrame:
+#: Offsets that a symbolizer gets at once on its standard input, and seconds that it may take for them.
+ASKED, SECONDS = 20_000, 300
+
+
+def _ask(tool: str, library: str, offsets: list[int]) -> tuple[list[tuple[str, str, int] | None], str]:
+    """(what the tool knows of each offset, status) of one call; arguments never pass a shell."""
+    try:
+        out = subprocess.run([tool, "-f", "-C", "-e", library], input="".join(f"{x & WORD:#x}\n" for x in offsets), capture_output=True, text=True, errors="replace", timeout=SECONDS, check=False)
+    except subprocess.TimeoutExpired:
+        return [], "Timeout"
+    except OSError as e:
+        return [], f"NotRun: {e.strerror or e}"
+    lines = out.stdout.splitlines()
+    if out.returncode:
+        return [], f"Failed: {(out.stderr.strip().splitlines() or [out.returncode])[-1]}"
+    if len(lines) < 2 * len(offsets):
+        return [], "ShortOutput"
+    return [parse_addr2line(lines[2 * i], lines[2 * i + 1]) for i in range(len(offsets))], "Success"
+
+
+def symbolize(frames: DataFrame, tool: str = "addr2line", statuses: bool = False) -> DataFrame:
     """symbols (library, offset, function_name, filename, line_number) of frames by a symbolizer on the executors.
 
-    Different (library, offset) pairs are asked for in batches, one process a library, arguments never passing a shell.
-    Libraries or tools that are absent give no rows.
+    Different (library, offset) pairs are asked for in chunks on standard input, whatever their number. A chunk that fails
+    (library or tool absent, time out, short output) costs no other chunk its symbols; with statuses, a further
+    column status tells of each symbol Success, and each failed chunk gives a row with its status and no offset.
     """
+    ready(frames.sparkSession)
     asked = frames.select(F.col("library_name").alias("library"), "offset").distinct()
 
     def run(batches):
@@ -114,31 +142,51 @@ def symbolize(frames: DataFrame, tool: str = "addr2line") -> DataFrame:
         for pdf in batches:
             rows = []
             for library, group in pdf.groupby("library"):
-                left = sorted(int(x) for x in group["offset"])
-                for shift in SEGMENT_SHIFTS:
-                    if not left:
-                        break
-                    try:
-                        out = subprocess.run([tool, "-f", "-C", "-e", str(library), *[hex(x + shift) for x in left]], capture_output=True, text=True, timeout=120, check=False)
-                    except (OSError, subprocess.SubprocessError):
-                        break
-                    lines = out.stdout.splitlines()
-                    if out.returncode or len(lines) < 2 * len(left):
-                        break
-                    found = {x: y for i, x in enumerate(left) if (y := parse_addr2line(lines[2 * i], lines[2 * i + 1]))}
-                    rows += [(library, x, *y) for x, y in found.items()]
-                    left = [x for x in left if x not in found]
-            yield pd.DataFrame(rows, columns=["library", "offset", "function_name", "filename", "line_number"])
-
-    return asked.mapInPandas(run, "library string, offset long, function_name string, filename string, line_number int")
+                left = iter(sorted(int(x) for x in group["offset"]))
+                while chunk := list(islice(left, ASKED)):
+                    for shift in SEGMENT_SHIFTS:
+                        found, status = _ask(tool, str(library), [x + shift for x in chunk])
+                        if status != "Success":
+                            rows.append((library, None, None, None, None, status))
+                            break
+                        rows += [(library, x, *y, status) for x, y in zip(chunk, found) if y]
+                        chunk = [x for x, y in zip(chunk, found) if not y]
+                        if not chunk:
+                            break
+            yield pd.DataFrame(rows, columns=["library", "offset", "function_name", "filename", "line_number", "status"]).astype({"offset": "Int64", "line_number": "Int32"})
+
+    out = asked.mapInPandas(run, "library string, offset long, function_name string, filename string, line_number int, status string")
+    return out if statuses else out.where("offset is not null").drop("status")
+
+
+def find_symbols(frames: DataFrame, symbols: DataFrame | None = None, strategy: ResolveStrategy = ResolveStrategy.AutoFallback, tool: str = "addr2line") -> DataFrame | None:
+    """Symbols for frames (library_name, offset) by a strategy: of the table, of the symbolizer, or of the symbolizer for
+    what the table lacks. None where the strategy leaves nothing to look in."""
+    if strategy is ResolveStrategy.TableOnly:
+        return symbols
+    known = frames.where(~F.col("library_name").isin(UNKNOWN, UNRESOLVED))
+    if strategy is ResolveStrategy.Addr2LineOnly or symbols is None:
+        return symbolize(known, tool)
+    have = symbols.select(F.col("library").alias("library_name"), "offset").distinct()
+    lack = known.select("library_name", "offset").distinct().join(have, ["library_name", "offset"], "left_anti")
+    return symbols.unionByName(symbolize(lack, tool))
+
+
+def symbol_statistics(stacks: DataFrame) -> DataFrame:
+    """One row: frames looked up, different (library, offset) pairs among them, how many of those have a symbol, and the
+    share of look-ups that found their pair already seen."""
+    seen = stacks.select(F.explode("frames").alias("x")).where(~F.col("x.library_name").isin(UNKNOWN, UNRESOLVED))
+    pairs = seen.groupBy("x.library_name", "x.offset").agg(F.count("*").alias("n"), F.max(F.col("x.function_name") != "").alias("named"))
+    row = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lookups"), F.count("*").alias("cached"), F.coalesce(F.sum(F.col("named").cast("long")), F.lit(0)).alias("resolved"))
+    return row.withColumn("hit_rate", F.when(F.col("lookups") > 0, 1 - F.col("cached") / F.col("lookups")).otherwise(F.lit(0.0)))
 
 
 class OffsetConverter:
     """Maps by process, and how symbols are found: a registry of DataFrames for resolve_samples."""
 
-    def __init__(self, symbols: DataFrame | None = None) -> None:
+    def __init__(self, symbols: DataFrame | None = None, strategy: ResolveStrategy = ResolveStrategy.TableOnly, tool: str = "addr2line") -> None:
         self._maps: dict[int, DataFrame] = {}
-        self._symbols = symbols
+        self._symbols, self.strategy, self.tool = symbols, strategy, tool
 
     def add_map_snapshot(self, process_id: int, lib_map: DataFrame) -> None:
         """A map for a process; a second one replaces the first."""
@@ -171,4 +219,8 @@ class OffsetConverter:
         return out
 
     def convert(self, samples: DataFrame, frame_order: str = "root_first") -> DataFrame:
-        return resolve_samples(samples, self.lib_map(samples), self._symbols, frame_order)
+        lib_map, symbols = self.lib_map(samples), self._symbols
+        if self.strategy is not ResolveStrategy.TableOnly:
+            asked = samples.select("process_id", F.explode(F.array_distinct("addrs")).alias("address"))
+            symbols = find_symbols(resolve_addresses(asked, lib_map), symbols, self.strategy, self.tool)
+        return resolve_samples(samples, lib_map, symbols, frame_order)

@@ -11,10 +11,9 @@ def count_stacks(samples: DataFrame, keys: list[str] = ("process_id", "addrs"),
     return samples.groupBy(*keys).agg(F.sum(F.lit(1) if count is None else count).cast("long").alias("count"))
 
 
-def upsert(table: DataFrame, updates: DataFrame, keys: list[str] = ("process_id", "addrs"), order: str | None = None) -> DataFrame:
+def upsert(table: DataFrame, updates: DataFrame, keys: list[str] = ("process_id", "addrs"), order: str = "entry_ord") -> DataFrame:
     """table with the counts of updates in place of its own; of equal keys in updates the last by ``order`` counts."""
-    last = F.max_by("count", order) if order else F.max("count")
-    u = updates.groupBy(*keys).agg(last.alias("count"))
+    u = updates.groupBy(*keys).agg(F.max_by("count", order).alias("count"))
     return table.join(u.select(*keys), list(keys), "left_anti").select(*keys, "count").unionByName(u)
 
 

@@ -20,6 +20,8 @@ from stackloom.model import ROOT, TIME_PER_SAMPLE, VIRTUAL, SampleCountMode, Tre
 
 #: Identity of the root; every other identity follows from its parent's and its own key.
 ROOT_ID = "root"
+#: Bits of the pre-order that number nodes within a stretch, for the level order.
+STRETCH = 14
 FRAME_COLUMNS = ("raw_address", "offset", "library_name", "function_name", "filename", "line_number")
 
 
@@ -161,13 +163,22 @@ class Tree:
     def max_depth(self) -> int:
         return self.stacks.agg(F.coalesce(F.max(F.size("keys")), F.lit(0))).first()[0]
 
+    @cached_property
+    def sampled(self) -> DataFrame:
+        """(process_id, samples) of the processes that have any stack."""
+        return self.stacks.groupBy("process_id").agg(F.sum("count").alias("samples"))
+
     @cached_property
     def processes(self) -> DataFrame:
-        """(process_id, samples) for every process from 0 on, those without samples included."""
-        n = self.stacks.agg(F.greatest(F.coalesce(F.max("process_id") + 1, F.lit(0)), F.lit(self.least_processes)).alias("n"))
-        every = n.where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("process_id"))
-        have = self.stacks.groupBy("process_id").agg(F.sum("count").alias("samples"))
-        return every.join(have, "process_id", "left").select("process_id", F.coalesce("samples", F.lit(0)).cast("long").alias("samples"))
+        """(process_id, samples) for every process from 0 on, those without samples included.
+
+        As many rows as the largest id says, made in blocks; what has samples is in ``sampled``.
+        """
+        n = self.stacks.agg(F.greatest(F.coalesce(F.max("process_id") + 1, F.lit(0)), F.lit(self.least_processes)).cast("long").alias("n"))
+        step = F.lit(1 << 16)
+        blocks = n.where("n > 0").select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step.cast("long"))).alias("b"))
+        every = blocks.select(F.explode(F.sequence(F.col("b"), F.least(F.col("b") + step, F.col("n")) - 1)).alias("process_id"))
+        return every.join(self.sampled, "process_id", "left").select("process_id", F.coalesce("samples", F.lit(0)).cast("long").alias("samples"))
 
     # Filters and lookups; each is a lazy selection of nodes.
 
@@ -243,9 +254,15 @@ class Tree:
         elif order == "postorder":
             out = o.withColumn("visit_rank", F.col("preorder") + F.col("subtree_size") - F.col("depth"))
         elif order == "levelorder":
-            levels = self.nodes.groupBy("depth").agg(F.count("*").alias("n"))
-            ahead = levels.select("depth", (F.coalesce(F.sum("n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("ahead"))  # a row per level
-            out = o.join(F.broadcast(ahead), "depth").withColumn("visit_rank", F.col("ahead") + F.row_number().over(Window.partitionBy("depth").orderBy("preorder"))).drop("ahead")
+            # Nodes of a level are numbered within stretches of the pre-order, which stay small; what lies ahead of a
+            # stretch comes from their counts, and what lies ahead of a level from the counts of levels.
+            o = o.withColumn("_stretch", F.shiftright("preorder", STRETCH))
+            counts = o.groupBy("depth", "_stretch").agg(F.count("*").alias("n"))
+            before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            levels = counts.groupBy("depth").agg(F.sum("n").alias("n")).select("depth", before(Window.orderBy("depth")).alias("_level"))  # a row per level
+            ahead = counts.withColumn("_ahead", before(Window.partitionBy("depth").orderBy("_stretch"))).drop("n").join(F.broadcast(levels), "depth")
+            rank = F.row_number().over(Window.partitionBy("depth", "_stretch").orderBy("preorder"))
+            out = o.join(ahead, ["depth", "_stretch"]).withColumn("visit_rank", F.col("_level") + F.col("_ahead") + rank).drop("_level", "_ahead", "_stretch")
         else:
             raise ValueError(f"Unknown traversal order: {order}")
         if stop is not None:

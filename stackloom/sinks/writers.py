@@ -1,33 +1,61 @@
 """Writers: trees, samples and maps as text, graphs and files; tables on the console.
 
 Text lines are made by column expressions and leave in order; a tree is far smaller than its samples, so the files that
-must be one file are streamed through the driver a partition at a time.
+must be one file are streamed through the driver a partition at a time, to any store that Hadoop's file systems know.
+Samples of many processes are written by executors: df.write.format("pflw") (stackloom.sources.datasource).
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
+import struct
 import subprocess
+import tempfile
 import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.functions.callstack import hex_address, truncated
+from stackloom.functions.callstack import distance, hex_address, truncated
 from stackloom.functions.colors import color
 from stackloom.model import MAX_DEPTH, UNKNOWN, VIRTUAL, ColorScheme, SampleCountMode
 from stackloom.operators import analysis
 from stackloom.operators.tree import Tree
-from stackloom.sources.formats import TREE_HEADER, TREE_MAGIC, TREE_NODE, VERSION, pack_map, pack_samples
+from stackloom.sources.formats import TREE_HEADER, TREE_MAGIC, TREE_NODE, VERSION, WORD, pack_entry, pack_map, sample_header
+
+
+@contextmanager
+def _opened(path: str, mode: str = "wb") -> Iterator:
+    """A file to write. Paths with a scheme go to their store when all is written; others are local."""
+    scheme = re.match(r"([a-zA-Z][\w+.-]+):", path)
+    text = {} if "b" in mode else {"encoding": "utf-8"}
+    if not scheme or scheme[1] == "file":
+        with open(re.sub(r"^file:(//)?", "", path), mode, **text) as f:
+            yield f
+        return
+    spark = SparkSession.active()
+    with tempfile.TemporaryDirectory() as local:
+        with open(os.path.join(local, "whole"), mode, **text) as f:
+            yield f
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, p(f"file://{local}/whole"), p(path))
 
 
 def _write(path: str, lines: Iterable[str]) -> str:
-    with open(path, "w", encoding="utf-8") as f:
+    with _opened(path, "w") as f:
         f.writelines(x + "\n" for x in lines)
     return path
 
 
+#: The largest number of 16 bits, and processes that a tree file lists for each node.
+SHORT, VECTOR = 0xFFFF, 1 << 20
+
+
 def _stream(df: DataFrame, column: str) -> Iterable[str]:
     return (r[0] for r in df.select(column).toLocalIterator())
 
@@ -91,26 +119,25 @@ def export_tree(tree: Tree, path: str, timestamp: int = 0) -> str:
     count = tree.process_count
     n = tree.traverse("preorder")
     p = n.select(F.col("node_id").alias("parent_id"), (F.col("visit_rank") - 1).alias("parent_no"))
+    if count > VECTOR:
+        raise ValueError(f"a tree file lists every process from 0 on for each node; {count} processes are more than {VECTOR}")
     per = tree.node_process.groupBy("node_id").agg(F.collect_list(F.struct("process_id", "samples", "time_us")).alias("per"))
     rows = n.join(p, "parent_id", "left").join(per, "node_id", "left").orderBy("visit_rank")
-    with open(path, "wb") as f:
+    with _opened(path) as f:
         f.write(TREE_HEADER.pack(TREE_MAGIC, VERSION, 0, 0, tree.node_count, count, 0, timestamp, b""))
         for r in rows.toLocalIterator():
-            names = [(r[c] or "").encode() for c in ("function_name", "library_name", "filename")]
-            f.write(TREE_NODE.pack(r["visit_rank"] - 1, r["parent_no"] or 0, r["total_samples"], r["self_samples"], r["raw_address"], r["offset"], r["line_number"], *map(len, names), r["child_count"], 0))
-            samples, times = [0] * count, [0.0] * count
+            # Lengths and the number of children have 16 bits in the format: longer names are cut, more children say 65,535.
+            names = [(r[c] or "").encode()[:SHORT].decode(errors="ignore").encode() for c in ("function_name", "library_name", "filename")]
+            f.write(TREE_NODE.pack(r["visit_rank"] - 1, r["parent_no"] or 0, r["total_samples"], r["self_samples"], r["raw_address"] & WORD, r["offset"] & WORD, r["line_number"], *map(len, names), min(r["child_count"], SHORT), 0))
+            samples, times = np.zeros(count, "<u8"), np.zeros(count, "<f8")
             for x in r["per"] or ():
                 samples[x["process_id"]], times[x["process_id"]] = x["samples"], x["time_us"]
-            import struct
-
-            f.write(b"".join(names) + struct.pack(f"<{count}Q{count}d", *samples, *times))
+            f.write(b"".join(names) + samples.tobytes() + times.tobytes())
     return path
 
 
 def read_tree(data: bytes) -> list[dict]:
     """Nodes of a binary tree file, which makes the format round-trip."""
-    import struct
-
     _, _, _, _, nodes, count, _, _, _ = TREE_HEADER.unpack_from(data)
     at, out = TREE_HEADER.size, []
     for _ in range(nodes):
@@ -129,8 +156,14 @@ def read_tree(data: bytes) -> list[dict]:
 def export_samples(samples: DataFrame, path: str, timestamp: int = 0, max_depth: int = MAX_DEPTH) -> str:
     """The samples of one process as a sample file; equal stacks are added first."""
     rows = samples.groupBy(F.slice("addrs", 1, max_depth).alias("addrs")).agg(F.sum("count").alias("count")).orderBy("addrs")
-    with open(path, "wb") as f:
-        f.write(pack_samples([(r["addrs"], r["count"]) for r in rows.toLocalIterator()], timestamp, max_depth))
+    entries = 0
+    with _opened(path) as f:
+        f.write(sample_header(0, timestamp, max_depth))
+        for r in rows.toLocalIterator():
+            f.write(pack_entry(r["addrs"], r["count"]))
+            entries += 1
+        f.seek(0)
+        f.write(sample_header(entries, timestamp, max_depth))
     return path
 
 
@@ -153,7 +186,7 @@ def export_samples_text(samples: DataFrame, path: str, generated: int | None = N
 
 def export_map(lib_map: DataFrame, path: str, process_id: int, timestamp: int = 0) -> str:
     rows = [(r["base"], r["end"], r["executable"], r["name"]) for r in lib_map.orderBy("ord").toLocalIterator()]
-    with open(path, "wb") as f:
+    with _opened(path) as f:
         f.write(pack_map(rows, process_id, timestamp))
     return path
 
@@ -161,7 +194,7 @@ def export_map(lib_map: DataFrame, path: str, process_id: int, timestamp: int =
 def map_lines(lib_map: DataFrame) -> DataFrame:
     """(ord, line): range, size, mark and name of every library."""
     mark = F.when(F.col("executable"), "[x]").otherwise("[ ]")
-    line = F.concat(F.lit("["), hex_address(F.col("base"), 16), F.lit(" - "), hex_address(F.col("end"), 16), F.lit("] ("), hex_address(F.col("end") - F.col("base")), F.lit(" bytes) "), mark, F.lit(" "), F.col("name"))
+    line = F.concat(F.lit("["), hex_address(F.col("base"), 16), F.lit(" - "), hex_address(F.col("end"), 16), F.lit("] ("), hex_address(distance(F.col("end"), F.col("base"))), F.lit(" bytes) "), mark, F.lit(" "), F.col("name"))
     return lib_map.select("ord", line.alias("line"))
 
 
@@ -179,7 +212,7 @@ def export_hotspots_json(hotspots: DataFrame, total_samples: int, path: str) ->
     """Flat hotspots of a run as JSON, names escaped."""
     rows = hotspots.orderBy(F.desc("exclusive_samples"), "function_name").toLocalIterator()
     names = {"function_name": "function", "library_name": "library"}
-    with open(path, "w", encoding="utf-8") as f:
+    with _opened(path, "w") as f:
         json.dump({"total_samples": total_samples, "hotspots": [{names.get(k, k): v for k, v in r.asDict().items()} for r in rows]}, f, indent=2, ensure_ascii=False)
     return path
 

@@ -1,32 +1,50 @@
 """spark.read.format("pflw") and ("libmap"): Python data sources over the same decoders, and a writer of sample files.
 
-One partition per file. They read folders by the driver's local file system and suit small sets of files; for stores
-that only Spark reaches, use stackloom.sources.files, which goes through binaryFile.
+One partition per file. Local paths are opened as such, others (hdfs://, s3://, gs://) by Arrow's file systems, on the
+driver and on executors alike; stackloom.sources.files reads through binaryFile whatever else Spark reaches. The writer's
+tasks leave files in a hidden folder, which the commit moves into place, so retried tasks and failed jobs leave nothing.
 """
 
 from __future__ import annotations
 
-import glob
 import os
+import re
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from stackloom.model import MAX_DEPTH, FileStatus
-from stackloom.sources.formats import pack_samples, parse_map, parse_samples
+from stackloom.session import ready
+from stackloom.sources.formats import pack_entry, parse_map, parse_samples, sample_header
 
 
 def _rank(path: str) -> int:
-    import re
-
     m = re.search(r"rank_(\d+)", os.path.basename(path))
     return int(m[1]) if m else -1
 
 
+def _store(path: str):
+    """(file system, path within it, prefix that makes it whole again)."""
+    from pyarrow import fs
+
+    path = re.sub(r"^file:(//)?", "", path)
+    if not re.match(r"[a-zA-Z][\w+.-]+:", path):
+        return fs.LocalFileSystem(), os.path.abspath(path), ""
+    store, inner = fs.FileSystem.from_uri(path)
+    return store, inner, path.removesuffix(inner)
+
+
 def _paths(path: str, ending: str) -> list[str]:
-    path = path.removeprefix("file://")
-    return sorted(glob.glob(os.path.join(path, "**", "*" + ending), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
+    """Files of a folder at any depth, or the one file; hidden folders are passed over."""
+    from pyarrow import fs
+
+    store, inner, prefix = _store(path)
+    if store.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    found = store.get_file_info(fs.FileSelector(inner, recursive=True))
+    hidden = lambda p: any(x.startswith(("_", ".")) for x in p.removeprefix(inner).split("/"))
+    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(ending) and not hidden(f.path))
 
 
 @dataclass
@@ -43,7 +61,8 @@ class _Reader(DataSourceReader):
 
     def _content(self, path: str) -> bytes | None:
         try:
-            with open(path, "rb") as f:
+            store, inner, _ = _store(path)
+            with store.open_input_stream(inner) as f:
                 return f.read()
         except OSError:
             return None
@@ -78,21 +97,82 @@ class MapReader(_Reader):
                 yield p.header["process_id"], *row
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[str]
+
+
 class SampleWriter(DataSourceWriter):
-    """One file per task and process: rank_P-<task>.pflw."""
+    """One file per task and process, rank_P-part-N.pflw; entries are written as they come."""
 
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"].removeprefix("file://")
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.overwrite = options["path"], overwrite
+        self.job = uuid.uuid4().hex
 
     def write(self, rows) -> WriterCommitMessage:
-        by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(r["process_id"], []).append((list(r["addrs"]), r["count"]))
-        os.makedirs(self.path, exist_ok=True)
-        for process, some in by.items():
-            with open(os.path.join(self.path, f"rank_{process}-{uuid.uuid4().hex[:8]}.pflw"), "wb") as f:
-                f.write(pack_samples(some))
-        return WriterCommitMessage()
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        store, inner, _ = _store(self.path)
+        folder = f"{inner}/_temporary/{self.job}/{context.taskAttemptId()}"
+        store.create_dir(folder, recursive=True)
+        files: dict[int, list] = {}
+        try:
+            for r in rows:
+                process = r["process_id"]
+                if process not in files:
+                    files[process] = [f"{folder}/rank_{process}-part-{context.partitionId():05d}-{self.job[:8]}.pflw", [], 0]
+                held = files[process]
+                held[1].append(pack_entry(list(r["addrs"])[:MAX_DEPTH], r["count"]))
+                held[2] += 1
+                if len(held[1]) >= 10_000:
+                    self._spill(store, held)
+            for held in files.values():
+                self._spill(store, held)
+                # The header tells how many entries follow, so it comes last, in front of what is there.
+                with store.open_output_stream(held[0]) as out:
+                    out.write(sample_header(held[2]))
+                    for i in range(held[3] if len(held) > 3 else 0):
+                        with store.open_input_stream(f"{held[0]}.{i}") as part:
+                            while some := part.read(1 << 20):
+                                out.write(some)
+                        store.delete_file(f"{held[0]}.{i}")
+        except BaseException:
+            store.delete_dir(folder)
+            raise
+        return _Written([x[0] for x in files.values()])
+
+    @staticmethod
+    def _spill(store, held: list) -> None:
+        if held[1]:
+            n = held[3] if len(held) > 3 else 0
+            with store.open_output_stream(f"{held[0]}.{n}") as out:
+                out.write(b"".join(held[1]))
+            held[1] = []
+            held[3:] = [n + 1]
+
+    def commit(self, messages) -> None:
+        store, inner, _ = _store(self.path)
+        files = [f for m in messages if m is not None for f in m.files]
+        if self.overwrite:
+            for old in _paths(self.path, ".pflw"):
+                store.delete_file(_store(old)[1])
+        store.create_dir(inner, recursive=True)
+        for f in files:
+            store.move(f, f"{inner}/{os.path.basename(f)}")
+        self._clean(store, inner)
+
+    def abort(self, messages) -> None:
+        store, inner, _ = _store(self.path)
+        self._clean(store, inner)
+
+    def _clean(self, store, inner: str) -> None:
+        from pyarrow import fs
+
+        if store.get_file_info(f"{inner}/_temporary/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{inner}/_temporary/{self.job}")
+        if store.get_file_info(f"{inner}/_temporary").type == fs.FileType.Directory and not store.get_file_info(fs.FileSelector(f"{inner}/_temporary")):
+            store.delete_dir(f"{inner}/_temporary")
 
 
 class SampleSource(DataSource):
@@ -113,7 +193,7 @@ class SampleSource(DataSource):
         return (HeaderReader if self._headers else SampleReader)(dict(self.options), ".pflw")
 
     def writer(self, schema, overwrite):
-        return SampleWriter(dict(self.options))
+        return SampleWriter(dict(self.options), overwrite)
 
 
 class MapSource(DataSource):
@@ -130,5 +210,6 @@ class MapSource(DataSource):
 
 def register(spark) -> None:
     """Make both formats known to a session."""
+    ready(spark)
     spark.dataSource.register(SampleSource)
     spark.dataSource.register(MapSource)

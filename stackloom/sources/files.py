@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.model import ANONYMOUS, LIB_MAP, MAX_DEPTH, SAMPLES, FileStatus, FileType
+from stackloom.session import ready
 from stackloom.sources.formats import parse_map, parse_samples
 
 SAMPLE_GLOB, MAP_GLOB = "*.pflw", "*.libmap"
-# Places where the map of a rank may lie, by pattern (fixed values; R stands for the rank).
-MAP_PATTERNS = ("rank_R.libmap", "process_R.libmap", "R.libmap")
+# Names that the map of a rank R may have, the first being preferred (fixed values): ...rank_R..., process_R.libmap, R.libmap.
+MAP_PATTERNS = (r"rank_(\d+)", r"process_(\d+)\.libmap$", r"^(\d+)\.libmap$")
 
 
 def rank_of(path: Column) -> Column:
@@ -24,6 +25,16 @@ def rank_of(path: Column) -> Column:
     return F.when(digits != "", digits.cast("long")).otherwise(F.lit(-1).cast("long"))
 
 
+def map_rank_of(path: Column) -> Column:
+    """(preference, rank) that the name of a library map tells by one of its patterns; rank -1 without."""
+    name = F.element_at(F.split(path, "/"), -1)
+    out = F.struct(F.lit(len(MAP_PATTERNS)).alias("preference"), F.lit(-1).cast("long").alias("rank"))
+    for i, pattern in reversed(list(enumerate(MAP_PATTERNS))):
+        digits = F.regexp_extract(name, pattern, 1)
+        out = F.when(digits != "", F.struct(F.lit(i).alias("preference"), digits.try_cast("long").alias("rank"))).otherwise(out)
+    return out
+
+
 def file_type(path: Column) -> Column:
     ends = ((".pflw", FileType.SampleData), (".libmap", FileType.LibraryMap), (".ptree", FileType.PerformanceTree), (".txt", FileType.Text))
     out = F.lit(FileType.Unknown.value)
@@ -62,6 +73,7 @@ def decode_samples(files: DataFrame, max_depth: int = MAX_DEPTH, header_only: bo
             cols = [c.split()[0] for c in _DECODED.split(", ")]
             yield pd.DataFrame(out, columns=cols).astype({c: "Int64" for c in ("version", "compression", "entry_count", "max_depth", "header_process_id", "timestamp", "rows", "process_id", "entry_ord", "count")})
 
+    ready(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, _DECODED)
 
 
@@ -116,6 +128,7 @@ def decode_maps(files: DataFrame) -> DataFrame:
             cols = [c.split()[0] for c in _MAPPED.split(", ")]
             yield pd.DataFrame(out, columns=cols).astype({"header_process_id": "Int64", "ord": "Int64", "base": "Int64", "end": "Int64", "executable": "boolean"})
 
+    ready(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, _MAPPED)
 
 
@@ -143,7 +156,7 @@ def read_process_maps(spark: SparkSession, path: str | list[str], process_id: in
     line = r"^([0-9a-fA-F]+)-([0-9a-fA-F]+)\s+(\S{4})\s+[0-9a-fA-F]+\s+\S+\s+\d+\s*(.*)$"
     part = lambda i: F.regexp_extract("value", line, i)
     rows = text.where(part(1) != "").where(F.substring(part(3), 3, 1) == "x")
-    num = lambda i: F.conv(part(i), 16, 10).cast("long")
+    num = lambda i: F.conv(part(i), 16, -10).cast("long")  # noqa: E731  # signed: the bits of addresses of 2^63 and more
     name = F.when(F.trim(part(4)) == "", ANONYMOUS).otherwise(F.trim(part(4)))
     # A process has a few hundred maps at most, so that their order may come from one task.
     from pyspark.sql import Window
@@ -152,8 +165,8 @@ def read_process_maps(spark: SparkSession, path: str | list[str], process_id: in
 
 
 def pair_files(samples: DataFrame, maps: DataFrame) -> DataFrame:
-    """Sample files with the map file of their rank, null without; both from list_files."""
-    m = maps.where("rank >= 0").groupBy("rank").agg(F.min("path").alias("map_path"))
+    """Sample files with the map file of their rank, null without; both from list_files. Of several maps the name decides."""
+    m = maps.select("path", map_rank_of(F.col("path")).alias("told")).where("told.rank >= 0").groupBy("told.rank").agg(F.min_by("path", F.struct("told.preference", "path")).alias("map_path"))
     return samples.join(m, "rank", "left").select("path", "rank", "map_path")
 
 

@@ -18,7 +18,12 @@ TREE_HEADER = struct.Struct("<IHBBQIIQ32s")
 TREE_NODE = struct.Struct("<QQQQQQIHHHHI")
 #: Longest library name that a map may hold.
 MAX_NAME = 4096
-SIGNED = 1 << 63
+SIGNED, WORD = 1 << 63, (1 << 64) - 1
+
+
+def signed(x: int) -> int:
+    """An unsigned 64-bit number as a long of the same bits, which is how tables hold addresses."""
+    return x - (1 << 64) if x >= SIGNED else x
 
 
 @dataclass
@@ -33,6 +38,8 @@ class Parsed:
 def parse_samples(data: bytes, max_depth: int = MAX_DEPTH, header_only: bool = False) -> Parsed:
     """(entry_ord, addresses, count) rows of a sample file. Any fault fails the whole file.
 
+    Addresses are unsigned; those of 2^63 and more (kernel, vsyscall) come as negative longs of the same bits.
+
     header_only checks the magic number alone, so files of newer versions show their headers too.
     """
     if len(data) < SAMPLE_HEADER.size:
@@ -57,9 +64,9 @@ def parse_samples(data: bytes, max_depth: int = MAX_DEPTH, header_only: bool = F
             return Parsed(FileStatus.Integrity, header)
         if at + 8 * n > len(data):
             return Parsed(FileStatus.FileRead, header)
-        addrs = list(struct.unpack_from(f"<{n}Q", data, at))
+        addrs = list(struct.unpack_from(f"<{n}q", data, at))
         at += 8 * n
-        if count >= SIGNED or any(a >= SIGNED for a in addrs):
+        if count >= SIGNED:
             return Parsed(FileStatus.Integrity, header)
         rows.append((i, addrs, count))
     return Parsed(FileStatus.Success, header, rows)
@@ -85,24 +92,26 @@ def parse_map(data: bytes) -> Parsed:
             return Parsed(FileStatus.Integrity, header)
         if at + length > len(data):
             return Parsed(FileStatus.FileRead, header)
-        if base >= SIGNED or end >= SIGNED:
-            return Parsed(FileStatus.Integrity, header)
-        rows.append((i, base, end, bool(executable), data[at : at + length].decode("utf-8", "replace")))
+        rows.append((i, signed(base), signed(end), bool(executable), data[at : at + length].decode("utf-8", "replace")))
         at += length
     return Parsed(FileStatus.Success, header, rows)
 
 
+def sample_header(entries: int, timestamp: int = 0, max_depth: int = MAX_DEPTH) -> bytes:
+    return SAMPLE_HEADER.pack(SAMPLE_MAGIC, VERSION, 0, 0, entries, max_depth, 0, timestamp, b"")
+
+
+def pack_entry(addrs: list[int], count: int) -> bytes:
+    return SAMPLE_ENTRY.pack(len(addrs), 0, count) + struct.pack(f"<{len(addrs)}Q", *[a & WORD for a in addrs])
+
+
 def pack_samples(rows: list[tuple[list[int], int]], timestamp: int = 0, max_depth: int = MAX_DEPTH) -> bytes:
-    out = [SAMPLE_HEADER.pack(SAMPLE_MAGIC, VERSION, 0, 0, len(rows), max_depth, 0, timestamp, b"")]
-    for addrs, count in rows:
-        addrs = addrs[:max_depth]
-        out += [SAMPLE_ENTRY.pack(len(addrs), 0, count), struct.pack(f"<{len(addrs)}Q", *addrs)]
-    return b"".join(out)
+    return b"".join([sample_header(len(rows), timestamp, max_depth), *(pack_entry(addrs[:max_depth], count) for addrs, count in rows)])
 
 
 def pack_map(rows: list[tuple[int, int, bool, str]], process_id: int, timestamp: int = 0) -> bytes:
     out = [MAP_HEADER.pack(MAP_MAGIC, VERSION, 0, process_id & 0xFFFFFFFF, len(rows), timestamp, b"")]
     for base, end, executable, name in rows:
         raw = name.encode()
-        out += [MAP_ENTRY.pack(base, end, executable, b"", len(raw), 0), raw]
+        out += [MAP_ENTRY.pack(base & WORD, end & WORD, executable, b"", len(raw), 0), raw]
     return b"".join(out)

@@ -3,7 +3,9 @@
 Files arrive through the binaryFile source; each batch is decoded and appended to tables under a state folder, and
 tree, hotspots and balance derive from those tables at any time. Library maps join at that moment, so a map that
 comes after its samples still counts. The number of processes never shrinks. By default each path is read once. In
-replace mode a rewritten file (later modification time) takes the place of what the same rank reported before.
+replace mode a rewritten file (later modification time, or another length) takes the place of what the same rank reported
+before; the file source never reads a path twice, so there each trigger of a clock scans the folder. State written by
+many small batches is folded into one file per table every COMPACT batches.
 """
 
 from __future__ import annotations
@@ -17,18 +19,35 @@ from stackloom.model import LIB_MAP, SAMPLES, TIME_PER_SAMPLE, FileType, SampleC
 from stackloom.operators import analysis
 from stackloom.operators.resolve import latest_maps, resolve_samples
 from stackloom.operators.tree import Tree, build_tree
-from stackloom.sources.files import decode_maps, decode_samples, file_type, list_files, rank_of, samples_of
+from stackloom.session import ready
+from stackloom.sources.files import decode_maps, decode_samples, file_type, list_files, map_rank_of, samples_of
 
 _EVENTS = "path string, file_type string, modified timestamp, length long, batch_id long"
 _SAMPLES = "file string, process_id long, entry_ord long, addrs array<long>, count long, modified timestamp, batch_id long"
 _MAPS = "process_id long, ord int, base long, end long, executable boolean, name string, loaded long"
 
 
+#: Batches whose small files are folded into one.
+COMPACT = 64
+
+
+class _Ended:
+    """What start returns where everything was taken at once."""
+
+    isActive = False
+
+    def awaitTermination(self, timeout: float | None = None) -> bool:
+        return True
+
+    def stop(self) -> None:
+        pass
+
+
 class OnlineAnalysis:
     """Watches a folder; results are DataFrames over all files seen so far."""
 
     def __init__(self, spark: SparkSession, folder: str, state: str, build_mode: TreeBuildMode = TreeBuildMode.ContextFree, count_mode: SampleCountMode = SampleCountMode.Exclusive, frame_order: str = "root_first", replace: bool = False, time_per_sample: float = TIME_PER_SAMPLE) -> None:
-        self.spark, self.folder, self.state = spark, folder, state.rstrip("/")
+        self.spark, self.folder, self.state = ready(spark), folder, state.rstrip("/")
         self.build_mode, self.count_mode, self.frame_order = build_mode, count_mode, frame_order
         self.replace, self.time_per_sample = replace, time_per_sample
         self._callback: Callable[[str, str, bool], None] | None = None
@@ -45,6 +64,14 @@ class OnlineAnalysis:
 
     def start(self, interval: str | None = "1 second"):
         """Begin to watch; interval None takes all that is there and ends."""
+        if self.replace:
+            if interval is None:
+                self.scan()
+                self.query = _Ended()
+            else:
+                clock = self.spark.readStream.format("rate").load()
+                self.query = clock.writeStream.foreachBatch(lambda _, number: self.scan()).trigger(processingTime=interval).start()
+            return self.query
         stream = self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pflw,libmap}").load(self.folder)
         writer = stream.writeStream.foreachBatch(self.handle).option("checkpointLocation", f"{self.state}/checkpoint")
         self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -58,8 +85,9 @@ class OnlineAnalysis:
     def scan(self) -> int:
         """One pass without a stream: take files that are new, or in replace mode changed, since the tables were written."""
         files = list_files(self.spark, self.folder).where(F.col("file_type").isin(FileType.SampleData.value, FileType.LibraryMap.value))
-        seen = self.events.groupBy("path").agg(F.max("modified").alias("had"))
-        fresh = files.join(seen, "path", "left").where("had is null or modified > had" if self.replace else "had is null")
+        seen = self.events.groupBy("path").agg(F.max(F.struct("modified", "batch_id", "length")).alias("had"))
+        changed = "had is null or modified > had.modified or length <> had.length"
+        fresh = files.join(seen, "path", "left").where(changed if self.replace else "had is null")
         rows = [r["path"] for r in fresh.select("path").toLocalIterator()]
         if rows:
             number = (self.events.agg(F.max("batch_id")).first()[0] or 0) + 1
@@ -76,15 +104,37 @@ class OnlineAnalysis:
         times = files.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"))
         kind = lambda t: files.where(F.col("file_type") == t.value).select("path", "content")
         samples = samples_of(decode_samples(kind(FileType.SampleData))).join(times, "file").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        maps = decode_maps(kind(FileType.LibraryMap)).where("ord is not null").select(F.when(rank_of(F.col("file")) >= 0, rank_of(F.col("file"))).otherwise(F.col("header_process_id")).alias("process_id"), *LIB_MAP.fieldNames()[1:], F.lit(batch_id).cast("long").alias("loaded"))
+        maps = decode_maps(kind(FileType.LibraryMap)).where("ord is not null").select(F.when(map_rank_of(F.col("file"))["rank"] >= 0, map_rank_of(F.col("file"))["rank"]).otherwise(F.col("header_process_id")).alias("process_id"), *LIB_MAP.fieldNames()[1:], F.lit(batch_id).cast("long").alias("loaded"))
         for df, name in ((samples, "samples"), (maps, "maps"), (info, "events")):
             df.write.mode("overwrite").parquet(f"{self.state}/{name}/batch={batch_id}")
         files.unpersist()
+        if batch_id and batch_id % COMPACT == 0:
+            self._compact(batch_id)
         for path, what, new in told:
             self._callback(path, what, new)
         if self._on_batch:
             self._on_batch(self, batch_id)
 
+    def _compact(self, batch_id: int) -> None:
+        """Rows of all batches before this one in one folder in their place. Batches that far back are never delivered again.
+
+        The new folder is whole before the old ones go, and it holds their numbers, so a stop in between leaves rows twice
+        at most until the next pass, which drops repeated ones.
+        """
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name, schema in (("samples", _SAMPLES), ("maps", _MAPS), ("events", _EVENTS)):
+            top = jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
+            fs = top.getFileSystem(conf)
+            old = [s.getPath() for s in fs.listStatus(top) if s.getPath().getName() != f"batch={batch_id}"]
+            if len(old) < 2:
+                continue
+            whole = jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}/batch=0-{batch_id - 1}")
+            hidden = jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}/_{batch_id}")
+            self.spark.read.schema(schema).parquet(*[p.toString() for p in old if not p.getName().startswith("_")]).dropDuplicates().coalesce(1).write.mode("overwrite").parquet(hidden.toString())
+            fs.rename(hidden, whole)
+            for p in old:
+                fs.delete(p, True)
+
     def _table(self, name: str, schema: str) -> DataFrame:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
