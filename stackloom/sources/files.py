@@ -1,7 +1,8 @@
 """Readers of sample files, library maps, process maps and benchmark output, as DataFrames.
 
 Binary files come through Spark's binaryFile source, so any store that Spark reads will do; a batch of files is decoded
-by one Arrow-fed task and a file that can't be read gives a status row instead of failing the job.
+by one Arrow-fed task and a file that can't be read gives a status row instead of failing the job (one without any byte gives
+none: the source passes over it).
 """
 
 from __future__ import annotations

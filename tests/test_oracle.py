@@ -7,7 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from stackloom import queries as Q
+from stackloom import file_queries, queries
+
+QUERIES = queries.queries() | file_queries.queries()
+SQL = queries.oracle_sql() | file_queries.oracle_sql()
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,9 +24,9 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, con, name):
-    got, want = Q.queries()[name](spark, SF).toPandas(), con.execute(Q.oracle_sql()[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
     assert sorted(got) == sorted(want) and len(got) > 0
     assert sorted(map(str, got[sorted(got)].values.tolist())) == sorted(map(str, want[sorted(want)].values.tolist()))
 
