@@ -19,8 +19,11 @@ def test_driver_pages(spark):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want) and got[r["page_id"]]["url"] == r["url"]
 
 
+TREE = H.trained()
+
+
 def text(page):
-    return H.main_text(page, H.trained())[0]
+    return H.main_text(page, TREE)[0]
 
 
 def test_templates():
@@ -60,3 +63,41 @@ def test_long_and_odd(spark):
     got = H.extract(df).collect()
     assert len(got) == 6 and max(r["n_blocks"] for r in got) == 20000
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_names_alone_drop_nothing():
+    inner = "<h1>T</h1><p>A first sentence of the text, which is not long.</p><p>And a second one that goes on for a while longer.</p>"
+    want = "T\nA first sentence of the text, which is not long.\nAnd a second one that goes on for a while longer."
+    names = ["post-legal", "story related-content", "search-result-article", "content comments-open", "article paywall-free", "entry share-buttons-enabled", *sorted(H.EDGE_WORDS)]
+    for name in names:
+        for tag in ("div", "section", "article"):
+            assert text(f"<main><{tag} class='{name}'>{inner}</{tag}></main>") == want, (name, tag)
+            assert text(f"<body><nav><a href=1>x</a></nav><{tag} id='{name}'>{inner}</{tag}></body>") == want, (name, tag)
+    assert text("<article><h1><a href=1>A long linked heading of an article</a></h1><p>One.</p><p><a href=2>All of this sentence is a link to something else.</a></p></article>").count("\n") == 2
+    # An advert whose container has no telling name, among paragraphs.
+    assert text(f"<article>{inner}<div class=box7>Buy the best boats of the town now, they are cheap.</div></article>") == want
+
+
+def test_labelled_table_and_tree():
+    x, y, k = H.labelled()
+    assert len(y) >= 200 and 0.3 < y.mean() < 0.8 and len(set(k.tolist())) >= 20
+    told = H.printed(H.trained())
+    assert "words" in told and "links" in told and ("_before" in told or "_after" in told)
+    recall, precision = H.held_out()
+    assert recall > 0.9 and precision > 0.9
+
+
+def test_time_is_linear():
+    import time
+
+    tree = H.trained()
+    for piece, n in (("<div>x", 170_000), ("<b>x", 250_000), ("<a ", 350_000), ("<a href='", 110_000), ("<p>a", 250_000), ("<li><ul>x", 110_000), ("<a \"x' >", 110_000), ("</div>x", 150_000), ("<!-- ", 200_000)):
+        began = time.process_time()
+        H.main_text(piece * n, tree)
+        assert time.process_time() - began < 30, piece
+
+
+def test_nested_pages():
+    # Elements far down, unclosed, misnested and closed by others read as before.
+    assert [b.text for b in H.blocks("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>a<b>b</p>c</b>d<ul><li>e<li>f<ul><li>g</ul>h</ul><a href=1>i <p>j</p></a>k")] == ["deep", "ab", "cd", "e", "f", "g", "h", "i", "j", "k"]
+    assert [(b.words, b.linked) for b in H.blocks("<p>one <a href=1>two three</a> four</p><p><a>five")] == [(4, 2), (1, 1)]
