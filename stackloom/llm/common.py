@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,28 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from stackloom import session
+from stackloom.session import delete_on_exit, scratch_dir
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is not installed on their path."""
-    env = spark.sparkContext.environment
-    if ROOT not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # whole documents: bound what a batch holds
+    """Let Python workers import this package, and bound what an Arrow batch of whole documents holds."""
+    session.ready(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -42,17 +29,10 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = f"{scratch_dir(spark)}/stackloom-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further ones can't clash with ours."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fold that no model may learn from: crc32(doc_id as text) mod 5 = 0; null ids count as ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -1,19 +1,21 @@
 """Exact repeated windows of words, bytes or lines across a corpus: the frame of three operators.
 
-Every window of ``size`` units belongs to one content-defined anchor (winnow.py). Stage by stage:
+Every window of ``size`` units belongs to one content-defined anchor (winnow.py). Hashes only find candidates; where the
+operator has a structure (suffix automaton, merged Burrows-Wheeler transforms), it decides every removal on the texts:
 
 1. One pass over the texts writes a row per anchor occurrence: hash, class (hash of all that its windows cover),
-   document and the range of its windows. Nothing else of the corpus moves at first.
-2. Anchors seen once are gone after an aggregation with constant state per anchor. Where an anchor has a single
-   class, every occurrence holds the same windows, and counts or the smallest document decide.
-3. Where it has several, equal classes are decided likewise and one representative of each is left. Their texts
-   (a small part of the corpus) are fetched and dealt by anchor to shards of bounded size, on which the operator's
-   own structure (suffix automaton, merged Burrows-Wheeler transforms) finds the windows that classes share. With
-   scope 'document', what is decided for a representative then holds for its equals in the same document too.
-4. An anchor with more classes than a shard should hold is decided by hashes instead, the exact way for hot groups,
-   which spreads over as many tasks as there are different hashes: first of blocks of consecutive windows, placed
-   alike around the anchor, then of the single windows that blocks left open.
+   document and the range of its windows. Anchors seen once are gone after an aggregation with constant state per anchor.
+2. The rest is grouped by class. Of each class that repeats, the first and the last member are paired; pairs of the
+   same two documents join to runs, so each repeated stretch is looked at once. Of each anchor with several classes, one
+   representative of each is a candidate by itself, since windows may be shared by classes.
+3. The texts of pairs and representatives (a small part of the corpus) are fetched in one join, dealt to shards of
+   bounded size (pairs by their documents, representatives by anchor), and the structure finds the windows that repeat in a
+   shard. A class whose pair is confirmed holds for all its members, a representative's windows for its equals.
+4. An anchor with more classes than a shard should hold spreads over tasks by hashes: first of blocks of consecutive
+   windows, placed alike around the anchor, then of the single windows that blocks left open. What repeats is again
+   paired, and the structure confirms the pairs.
 
+Without a structure (line dedup, whose method joins fingerprints) classes and window hashes decide.
 Documents are keyed by doc_id and a hash of the text, so repeated rows with one id work as rows of their own.
 """
 
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.llm import winnow
@@ -35,10 +37,16 @@ from stackloom.llm.common import materialise, ready, slices, table, utf8
 Resolver = Callable[[list[tuple[int | None, bytes]]], list[np.ndarray]]
 
 _OCC = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("cls", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())])
-_SEG = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("lone", pa.bool_()), ("body", pa.binary())])
-_WIN = pa.schema([("anchor", pa.int64()), ("wh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("lone", pa.bool_())])
+#: Roles of a segment: others are compared with it; its windows are decided; its items are to be confirmed; it is hot.
+REFERENCE, OPEN, PAIRED, HOT = 0, 1, 2, 3
+_ITEM = pa.struct([("anchor", pa.int64()), ("cls", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+_SEG = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("role", pa.int32()), ("lone", pa.bool_()), ("items", pa.list_(_ITEM)), ("body", pa.binary())])
+_SEG_DDL = "key long, doc_id long, th long, first int, role int, lone boolean, items array<struct<anchor:bigint,cls:bigint,first:int,last:int>>, body binary"
+_WIN = pa.schema([("anchor", pa.int64()), ("wh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("lone", pa.bool_()), ("at", pa.int32())])
 _BLK = pa.schema([("anchor", pa.int64()), ("bh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("s", pa.int32()), ("lone", pa.bool_())])
 _SPAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+#: What shards tell: ranges of windows with the segment (at) that they belong to, or a confirmed class.
+_TOLD = pa.schema([*_SPAN, ("at", pa.int32()), ("anchor", pa.int64()), ("cls", pa.int64())])
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -52,7 +60,7 @@ class Repeats:
 
     unit: word, byte or line. scope: 'document' removes windows that also start in a document with a smaller id,
     'anywhere' those that also start anywhere else, 'place' all but the first in order of (doc_id, place).
-    resolve: for shards of several classes (None: window hashes always). long_words: with lines, single lines of so
+    resolve: the structure that decides on texts (None: hashes decide). long_words: with lines, single lines of so
     many words count as windows too.
     """
 
@@ -66,10 +74,6 @@ class Repeats:
     long_words: int = 0
     block: int = 16
 
-    def placed(self, schema: pa.Schema) -> pa.Schema:
-        """With the first window of the segment, by which scope 'document' finds what is equal to it."""
-        return schema.append(pa.field("at", pa.int32())) if self.scope == "document" else schema
-
     def cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, row) of the units of a batch."""
         if self.unit == "word":
@@ -87,14 +91,17 @@ class Repeats:
             else:
                 start, end, row = self.cut(data, ends)
                 values = winnow.hashes(data, start, end)
+                # Where no structure looks at the texts, classes come from other hashes: 128 bits tell units apart.
+                other = [] if self.resolve else [winnow.hashes(data, start, end, 1, winnow.B2)]
                 base = np.searchsorted(row, np.arange(len(ends) - 1))
-                found = winnow.anchors(lambda i, j: (values[i:j], row[i:j]), len(row), self.size, self.gram)
+                found = winnow.anchors(lambda i, j: (values[i:j], row[i:j], *[x[i:j] for x in other]), len(row), self.size, self.gram)
                 doc = row[found["first"]]
                 if self.long_words and len(row):
                     w, _, _ = winnow.words(data, ends)
                     wide = np.flatnonzero(np.searchsorted(w, end) - np.searchsorted(w, start) >= self.long_words)
                     more = winnow.mix(values[wide] ^ winnow.B2).view(np.int64)
-                    found = {k: np.concatenate([x, y]) for (k, x), y in zip(found.items(), (more, more, wide, wide))}
+                    cls = (other[0] if other else values)[wide].view(np.int64)
+                    found = {k: np.concatenate([x, y]) for (k, x), y in zip(found.items(), (more, cls, wide, wide))}
                     # A long line is a window of one unit: it covers itself alone, which its negative end says.
                     found["last"][len(doc) :] = -1
                     doc = np.concatenate([doc, row[wide]])
@@ -109,42 +116,59 @@ class Repeats:
             yield table({"doc_id": batch.column(0).take(at), "th": batch.column(1).take(at), "anchor": found["anchor"], "cls": found["cls"], "first": first.astype(np.int32), "last": last.astype(np.int32), "again": again}, _OCC)
 
     def segments(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes under the windows of each representative."""
-        for batch in (x for b in batches for x in slices(b, 2)):
-            data, ends = utf8(batch.column(2))
-            parts = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
+        """The units under the windows asked for, of rows (doc_id, th, base, text, segs); text begins at unit ``base``.
+
+        Pairs of one key that follow each other without a gap between their windows come as one segment.
+        """
+        for batch in (x for b in batches for x in slices(b, 3)):
+            data, ends = utf8(batch.column(3))
             out: dict[str, list] = {f.name: [] for f in _SEG}
             start = end = base = None
             if self.unit != "byte":
                 start, end, row = self.cut(data, ends)
                 base = np.searchsorted(row, np.arange(len(ends) - 1))
-            for i, segs in enumerate(parts.to_pylist()):
-                for x in segs:
-                    low, high = x["first"], x["last"] + self.size
+            for i, segs in enumerate(batch.column(4).to_pylist()):
+                doc, th, begin = (batch.column(k)[i].as_py() for k in range(3))
+                runs: list[dict] = []
+                for x in sorted(segs, key=lambda x: (x["key"], x["role"], x["first"])):
+                    items = [{k: x[k] for k in ("anchor", "cls", "first", "last")}] if x["role"] == PAIRED else []
+                    run = runs[-1] if runs else None
+                    if run and x["pair"] and run["pair"] and (run["key"], run["role"]) == (x["key"], x["role"]) and x["first"] <= run["last"] + 1:
+                        run["last"] = max(run["last"], x["last"])
+                        run["items"] += items
+                    else:
+                        runs.append(x | {"items": items})
+                for x in runs:
+                    low, high = x["first"] - begin, x["last"] - begin + self.size
                     if self.unit == "byte":
                         body = data[ends[i] + low : ends[i] + high].tobytes()
                     else:
                         body = data[start[base[i] + low] : end[base[i] + high - 1]].tobytes()
-                    for k, v in zip(out, (x["anchor"], batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), low, x["lone"], body)):
+                    for k, v in zip(out, (x["key"], doc, th, x["first"], x["role"], x["lone"], x["items"], body)):
                         out[k].append(v)
             yield table(out, _SEG)
 
     def shards(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Resolve segments shard by shard; rows come sorted by anchor and no anchor is split."""
+        """Resolve segments shard by shard; rows come sorted by key and no key is split."""
         held: list[tuple] = []
         units = 0
 
         def done():
             held.sort(key=lambda x: (x[1] is None, x[1] or 0, x[2], x[3]))
-            found = self.resolve([(x[1], x[5]) for x in held])
-            out: dict[str, list] = {f.name: [] for f in self.placed(_SPAN)}
-            for (_, doc, th, first, lone, _), hit in zip(held, found):
-                if lone:
+            found = self.resolve([(x[1], x[7]) for x in held])
+            out: dict[str, list] = {f.name: [] for f in _TOLD}
+            for (_, doc, th, first, role, _, items, _), hit in zip(held, found):
+                if role == OPEN:
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                        for k, v in zip(out, (doc, th, first + s, first + e - 1, first)):
-                            out[k].append(v)
-            return table(out, self.placed(_SPAN))
+                    told = [(doc, th, first + s, first + e - 1, first, None, None) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist())]
+                elif role == PAIRED:
+                    told = [(None,) * 5 + (x["anchor"], x["cls"]) for x in items if hit[x["first"] - first : x["last"] - first + 1].all()]
+                else:
+                    continue
+                for row in told:
+                    for k, v in zip(out, row):
+                        out[k].append(v)
+            return table(out, _TOLD)
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
@@ -152,7 +176,7 @@ class Repeats:
                     yield done()
                     held, units = [], 0
                 held.append(row)
-                units += len(row[5]) if self.unit == "byte" else row[5].count(b" ") + 1
+                units += len(row[7]) if self.unit == "byte" else row[7].count(b" ") + 1
         if held:
             yield done()
 
@@ -205,25 +229,84 @@ class Repeats:
             r = row[s]
             wh = winnow.mix(winnow.Rolling(values, winnow.B3).of(s, s + self.size)).view(np.int64)
             take = pa.array(r)
-            yield table({"anchor": batch.column(0).take(take), "wh": wh, "doc_id": batch.column(1).take(take), "th": batch.column(2).take(take), "s": (s - base[r] + first[r]).astype(np.int32), "lone": lone, "at": first[r]}, self.placed(_WIN))
+            yield table({"anchor": batch.column(0).take(take), "wh": wh, "doc_id": batch.column(1).take(take), "th": batch.column(2).take(take), "s": (s - base[r] + first[r]).astype(np.int32), "lone": lone, "at": first[r]}, _WIN)
+
+    @property
+    def _rule(self) -> str:
+        """Which members of a group of equals go, d0 being its smallest document and n its size."""
+        return {"document": "doc_id > d0", "anywhere": "n > 1", "place": "doc_id > d0 or again"}[self.scope]
+
+    def _ends(self, *place: str) -> tuple[Column, Column]:
+        """The first member of a group, and one that goes if any does: by documents without an id last, and first."""
+        void = F.col("doc_id").isNull() if self.scope == "anywhere" else F.col("doc_id").isNotNull()
+        return F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "th", *place)).alias("low"), F.max(F.struct(void.alias("void"), "doc_id", "th", *place)).alias("high")
+
+    def _pairs(self, groups: DataFrame, *more: str) -> DataFrame:
+        """Requests for the first and the last member of groups (anchor, cls, d0, low, high) that repeat.
+
+        Groups of the same two documents, in the same part of the first, share a key and thereby a shard.
+        """
+        two = groups.where("high.doc_id > d0") if self.scope == "document" else groups
+        chunk = F.floor(F.col("low.first") / F.lit(max(1, self.shard // 2)))
+        key = F.xxhash64("low.doc_id", "low.th", "high.doc_id", "high.th", chunk)
+        side = lambda x, role: F.struct(key.alias("key"), F.lit(role).alias("role"), F.lit(True).alias("pair"), F.lit(True).alias("lone"), "anchor", "cls", *[f"{x}.{c}" for c in ("doc_id", "th", "first", "last", *more)])
+        return two.select(F.explode(F.array(side("low", REFERENCE), side("high", PAIRED))).alias("x")).select("x.*")
+
+    def _asked(self, requests: DataFrame, *by: str) -> DataFrame:
+        return requests.groupBy(*by).agg(F.collect_list(F.struct("key", "role", "pair", "lone", "anchor", "cls", "first", "last")).alias("segs"))
+
+    def _resolved(self, segments: DataFrame) -> DataFrame:
+        """What shards tell of segments."""
+        return materialise(segments.repartition("key").sortWithinPartitions("key").mapInArrow(self.shards, ddl(_TOLD)), "told")
+
+    def _confirmed(self, groups: DataFrame, hot: DataFrame) -> DataFrame:
+        """Groups (anchor, cls, d0, low, high: doc_id, th, first, last, at) of stretches of hot segments, without those that
+        the structure refutes."""
+        if not self.resolve:
+            return groups
+        asked = self._asked(self._pairs(groups, "at"), "anchor", "doc_id", "th", "at")
+        h, r = hot.alias("h"), asked.alias("r")
+        on = F.expr("h.key = r.anchor and h.doc_id <=> r.doc_id and h.th = r.th and h.first = r.at")
+        found = h.join(r.hint("merge"), on).select("h.doc_id", "h.th", F.col("h.first").alias("base"), F.col("h.body").cast("string").alias("text"), "r.segs")
+        told = self._resolved(found.mapInArrow(self.segments, _SEG_DDL)).select("anchor", "cls")
+        return materialise(groups.join(told, ["anchor", "cls"], "left_semi"), "confirmed")
 
-    def _settle(self, segs: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
+    def _settle(self, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(ranges to remove, segments with the blocks that are settled) from whole blocks of windows."""
         key = ["anchor", "doc_id", "th", "first"]
+        segs = hot.select(F.col("key").alias("anchor"), "doc_id", "th", "first", "lone", "body")
         blk = materialise(segs.mapInArrow(self.blocks, ddl(_BLK)), "blocks")
-        me = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "th", "first", "s")
-        count = materialise(blk.groupBy("anchor", "bh").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.min(me).alias("low")).where("n > 1"), "blocks")
+        place = blk.select("anchor", F.col("bh").alias("cls"), "doc_id", "th", F.col("s").alias("first"), (F.col("s") + (self.block - 1)).alias("last"), F.col("first").alias("at"))
+        count = materialise(place.groupBy("anchor", "cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), *self._ends("first", "last", "at")).where("n > 1"), "blocks")
+        count = self._confirmed(count, hot).withColumnRenamed("cls", "bh")
+        me = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "th", F.col("s").alias("first"), (F.col("s") + (self.block - 1)).alias("last"), F.col("first").alias("at"))
         met = blk.join(count, ["anchor", "bh"]).withColumn("rep", me == F.col("low"))
-        met = met.withColumn("again", ~F.col("rep") & F.col("doc_id").eqNullSafe(F.col("low.doc_id"))).where(rule)
+        met = met.withColumn("again", ~F.col("rep") & F.col("doc_id").eqNullSafe(F.col("low.doc_id"))).where(self._rule)
         met = materialise(met.select(*key, "s", "lone", "rep"), "settled")
         done = met.groupBy(*key).agg(F.collect_list(F.struct("s", "rep")).alias("settled"))
         a, b = segs.alias("a"), done.alias("b")
         on = F.expr("a.anchor = b.anchor and a.doc_id <=> b.doc_id and a.th = b.th and a.first = b.first")
         left = a.join(b, on, "left").select("a.anchor", "a.doc_id", "a.th", "a.first", "a.lone", "a.body", "b.settled")
-        gone = met.where("lone").select("doc_id", "th", F.col("s").alias("first"), (F.col("s") + (self.block - 1)).alias("last"), F.col("first").alias("at")).select(self.placed(_SPAN).names)
+        gone = met.where("lone").select("doc_id", "th", F.col("s").alias("first"), (F.col("s") + (self.block - 1)).alias("last"), F.col("first").alias("at"))
         # Windows come with (anchor, doc_id, th, first, lone, body, settled).
         return gone, left
 
+    def _hot(self, hot: DataFrame) -> DataFrame:
+        """(doc_id, th, first, last, at): what goes of the segments of hot anchors."""
+        gone = None
+        if self.size - self.gram + 1 >= self.block:
+            gone, segs = self._settle(hot)
+        else:
+            segs = hot.select(F.col("key").alias("anchor"), "doc_id", "th", "first", "lone", "body", F.lit(None).cast("array<struct<s:int,rep:boolean>>").alias("settled"))
+        wins = materialise(segs.mapInArrow(self.windows, ddl(_WIN)), "windows")
+        if self.scope == "place":
+            wins = wins.withColumn("again", F.row_number().over(Window.partitionBy("anchor", "wh", "doc_id", "th").orderBy("s")) > 1)
+        place = wins.select("anchor", F.col("wh").alias("cls"), "doc_id", "th", F.col("s").alias("first"), F.col("s").alias("last"), "at")
+        count = materialise(place.groupBy("anchor", "cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), *self._ends("first", "last", "at")).where("n > 1"), "windows")
+        count = self._confirmed(count, hot).select("anchor", F.col("cls").alias("wh"), "n", "d0")
+        single = wins.join(count, ["anchor", "wh"]).where("lone").where(self._rule).select("doc_id", "th", F.col("s").alias("first"), F.col("s").alias("last"), "at")
+        return single if gone is None else single.unionByName(gone)
+
     def _twins(self, twins: DataFrame, decided: DataFrame) -> DataFrame:
         """Ranges to remove from what is equal to a representative in its own document: those decided for it, moved."""
         held = F.collect_set(F.struct((F.col("first") - F.col("at")).alias("s"), (F.col("last") - F.col("at")).alias("e")))
@@ -238,54 +321,46 @@ class Repeats:
         """(doc_id, th, first, last): ranges of windows to remove; docs has doc_id, th and text."""
         ready(docs.sparkSession)
         occ = materialise(docs.mapInArrow(self.occurrences, ddl(_OCC)), "anchors")
-        seen = occ.groupBy("anchor").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.count("*").alias("n"), F.min("doc_id").alias("d0")).where("n > 1")
+        seen = occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("n > 1" if self.scope != "document" else "n > 1 and d1 > d0")
         # Written first: a join of two plain exchanges can split a hot anchor, one that follows an aggregation can't.
-        seen = materialise(seen.select("anchor", "d0", (F.col("c0") == F.col("c1")).alias("alike")), "repeated")
-        hits = materialise(occ.join(seen, "anchor"), "hits")
-        rule = {"document": "doc_id > d0", "anywhere": "n > 1", "place": "doc_id > d0 or again"}[self.scope]
+        hits = materialise(occ.join(materialise(seen.select("anchor"), "repeated"), "anchor"), "hits")
         kept = [f.name for f in _SPAN]
-        alike = hits.where("alike").where("true" if self.scope == "anywhere" else rule).select(kept)
-        mixed = hits.where("not alike").drop("d0")
-        low = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "th", "first", "last"))
-        cls = materialise(mixed.groupBy("anchor", "cls").agg(F.min("doc_id").alias("d0"), F.count("*").alias("n"), low.alias("rep")), "classes")
-        twins = None
-        if self.scope == "document":
-            # Members in the document of their representative share its fate, which is open yet.
-            twin = F.expr("doc_id = d0 and not (th = rep.th and first = rep.first)")
-            met = mixed.join(cls.select("anchor", "cls", "d0", "rep"), ["anchor", "cls"]).where(F.expr(rule) | twin)
-            met = materialise(met.select(*kept, F.when(twin, F.col("rep.th")).alias("rep_th"), F.when(twin, F.col("rep.first")).alias("at")), "members")
-            whole, twins = met.where("at is null").select(kept), met.where("at is not null")
-        else:
-            whole = mixed.join(cls.select("anchor", "cls", "d0", "n"), ["anchor", "cls"]).where(rule).select(kept)
-        # Representatives whose class alone doesn't condemn them are open; the others still serve as references.
+        cls = materialise(hits.groupBy("anchor", "cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), *self._ends("first", "last")), "classes")
+        size = materialise(cls.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "sizes")
+        most = self.most if self.resolve else 0
+        # Representatives whose class alone doesn't condemn them are open; the others still serve as references. A long
+        # line is one window, so its class tells all.
         lone = F.col("n") == 1 if self.scope == "anywhere" else F.lit(True)
-        size = materialise(cls.groupBy("anchor").agg(F.count("*").alias("classes")), "sizes")
-        reps = cls.join(size, "anchor").select("anchor", "classes", "rep.doc_id", "rep.th", "rep.first", "rep.last", lone.alias("lone"))
-        by_doc = reps.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "classes", "first", "last", "lone")).alias("segs"))
+        role = F.when(F.col("classes") > most, HOT).when(lone, OPEN).otherwise(REFERENCE)
+        reps = cls.where("low.last >= 0").join(size, "anchor").select(F.col("anchor").alias("key"), role.alias("role"), F.lit(False).alias("pair"), lone.alias("lone"), "anchor", "cls", "low.doc_id", "low.th", "low.first", "low.last")
+        if self.resolve:
+            reps = reps.unionByName(self._pairs(cls.where("n > 1")))
+        by_doc = self._asked(reps, "doc_id", "th")
         d, s = docs.alias("d"), by_doc.alias("s")
         # Merge joins at every size: a broadcast of a small table's rows would only hide how the exchange grows.
-        both = d.join(s.hint("merge"), F.expr("d.doc_id <=> s.doc_id and d.th = s.th")).select("d.doc_id", "d.th", "d.text", "s.segs")
-        hot = self.most if self.resolve else 0
-        part = lambda cond: both.select("doc_id", "th", "text", F.filter("segs", cond).alias("segs")).where("size(segs) > 0").mapInArrow(self.segments, ddl(_SEG))
-        segs = materialise(part(lambda x: x["classes"] > hot), "segments")
-        if self.size - self.gram + 1 >= self.block:
-            gone, segs = self._settle(segs, rule)
-        else:
-            gone, segs = alike.limit(0), segs.withColumn("settled", F.lit(None).cast("array<struct<s:int,rep:boolean>>"))
-        wins = materialise(segs.mapInArrow(self.windows, ddl(self.placed(_WIN))), "windows")
-        if self.scope == "place":
-            wins = wins.withColumn("again", F.row_number().over(Window.partitionBy("anchor", "wh", "doc_id", "th").orderBy("s")) > 1)
-        count = materialise(wins.groupBy("anchor", "wh").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0")).where("n > 1"), "windows")
-        single = wins.join(count, ["anchor", "wh"]).where("lone").where(rule).withColumns({"first": F.col("s"), "last": F.col("s")}).select(self.placed(_SPAN).names)
-        decided = single.unionByName(gone, allowMissingColumns=True)
+        both = d.join(s.hint("merge"), F.expr("d.doc_id <=> s.doc_id and d.th = s.th")).select("d.doc_id", "d.th", F.lit(0).alias("base"), "d.text", "s.segs")
+        segs = materialise(both.mapInArrow(self.segments, _SEG_DDL), "segments")
+        hot = segs.where(F.col("role") == HOT)
+        open_ = None if hot.isEmpty() else self._hot(hot)
         if self.resolve:
-            cold = part(lambda x: x["classes"] <= hot).repartition("anchor").sortWithinPartitions("anchor")
-            decided = decided.unionByName(cold.mapInArrow(self.shards, ddl(self.placed(_SPAN))))
-        out = alike.unionByName(whole)
-        if twins is not None:
-            decided = materialise(decided, "decided")
-            out = out.unionByName(self._twins(twins, decided))
-        return out.unionByName(decided.select(kept))
+            told = self._resolved(segs.where(F.col("role") != HOT))
+            sure = materialise(cls.join(told.where("anchor is not null").select("anchor", "cls"), ["anchor", "cls"], "left_semi"), "sure")
+            some = told.where("anchor is null").select(*kept, "at")
+            open_ = some if open_ is None else some.unionByName(open_)
+        else:
+            sure = cls.where("n > 1")
+        # Tables are written before joins, so that Spark can split what a common passage makes of one key.
+        whole = hits.join(sure.select("anchor", "cls", "d0", "n"), ["anchor", "cls"]).where(self._rule).select(kept)
+        if open_ is None:
+            return whole
+        if self.scope != "document":
+            return materialise(whole, "members").unionByName(open_.select(kept))
+        # Members in the document of their representative share its fate.
+        reps = materialise(cls.where("n > 1").join(size, "anchor").select("anchor", "cls", "low"), "twins")
+        twins = hits.join(reps, ["anchor", "cls"]).where(F.expr("doc_id = low.doc_id and not (th = low.th and first = low.first)"))
+        twins = twins.select(*kept, F.col("low.th").alias("rep_th"), F.col("low.first").alias("at"))
+        open_ = materialise(open_, "decided")
+        return materialise(whole, "members").unionByName(self._twins(materialise(twins, "twins"), open_)).unionByName(open_.select(kept))
 
     def removals(self, documents: DataFrame, extra: list[str] = ()) -> DataFrame:
         """documents with a column gone: the ranges of windows (or single long lines, last = -1) to remove; null: none."""

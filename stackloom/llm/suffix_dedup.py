@@ -1,11 +1,13 @@
 """Suffix-array dedup: shard Burrows-Wheeler transforms merged by interleave refinement.
 
 A byte goes if a string of ``size`` bytes over it also starts anywhere else in the corpus. Candidates come from
-content-defined anchors (repeats.py). The stretches that differ around a shared anchor are cut into small blocks, each
-with its own suffix array and transform; the blocks' transforms are then merged: an interleave of all suffixes is
-refined by a stable sort on the symbols that precede each (up to 28 a round), so when h symbols are done it is ordered by
-the first h bytes and its intervals are the suffixes with a common prefix of h bytes. At ``size`` every interval with two
-suffixes is a repeated string; no suffix of the merged set is compared with another.
+content-defined anchors (repeats.py). Their stretches are cut into small blocks, each with its own suffix array,
+from which its transform is made: the mapping from each suffix to the one that starts a symbol earlier. The blocks are then
+merged by their transforms alone. The interleave tells for each place which block the next suffix comes from; suffixes of
+a block keep their order. A round prepends w symbols to all suffixes at once by the w-fold mapping and sorts stably by
+the interval that the result already lies in, so an interleave that is right for h symbols becomes right for h + w, with w
+up to h. Where intervals part, the neighbours' common prefix is known to end; an interval with two suffixes or more that
+is left at ``size`` is a repeated string. No suffix of the merged set is compared with another.
 """
 
 from __future__ import annotations
@@ -24,99 +26,144 @@ SIZE = 200
 GRAM = 48
 #: Bytes of a block whose suffixes are sorted on their own.
 BLOCK = 1 << 17
+#: Bytes of a shard, whose blocks are merged.
+SHARD = 1 << 19
 
 
-#: Symbols of context by which one round refines the interleave: so many 9-bit symbols fit a sortable number; longer
-#: contexts are named by pairs of shorter ones.
-STEP = 7
-LONGER = 2
+#: Symbols by which the suffixes of a block are first told apart: as many of 257 as fit a number.
+STEP = 6
 
 
-def names(flat: np.ndarray, width: int) -> np.ndarray:
-    """Rank of the ``width`` symbols from each position, in lexicographic order; symbol 0 ends a string.
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order, key in that order) of whole numbers that aren't negative."""
+    n = len(key)
+    bits = max(1, n.bit_length())
+    if n and int(key.max()).bit_length() + bits > 62:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort(key << bits | np.arange(n))  # faster than an indirect sort
+    return both & (1 << bits) - 1, both >> bits
 
-    Terminators differ, those of earlier strings being smaller, so a stretch that meets one is unlike any other.
-    """
+
+def suffix_array(flat: np.ndarray) -> np.ndarray:
+    """Suffixes of one block in order; symbol 0 ends a string, and of two ends that of the earlier string is smaller."""
     n = len(flat)
-    padded = np.concatenate([flat, np.zeros(width, np.int64)])
+    padded = np.concatenate([flat, np.zeros(STEP, np.int64)])
     key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(width):
-        key = key << 9 | np.where(open_, padded[i : i + n], 0)
+    for i in range(STEP):
+        key = key * 257 + np.where(open_, padded[i : i + n], 0)
         open_ &= padded[i : i + n] > 0
     order = np.argsort(key, kind="stable")  # positions of equal stretches stay in order of their strings
     apart = np.ones(n, bool)
     apart[1:] = (key[order][1:] != key[order][:-1]) | ~open_[order][1:]
+    # Rank: how many suffixes are smaller; equal while the symbols compared so far are.
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(apart) - 1
-    return rank
+    rank[order] = np.maximum.accumulate(np.where(apart, np.arange(n), 0))
+    width = STEP
+    while True:
+        tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)  # only these are sorted on
+        if not len(tied):
+            break
+        ahead = np.zeros(len(tied), np.int64)
+        inside = tied + width < n
+        ahead[inside] = rank[tied[inside] + width] + 1
+        some, key = ranked(rank[tied] * (n + 2) + ahead)
+        at = tied[some]
+        group = rank[at]
+        new, lead = np.ones(len(at), bool), np.ones(len(at), bool)
+        new[1:], lead[1:] = key[1:] != key[:-1], group[1:] != group[:-1]
+        each = np.arange(len(at))
+        rank[at] = group + np.maximum.accumulate(np.where(new, each, 0)) - np.maximum.accumulate(np.where(lead, each, 0))
+        width *= 2
+    order[rank] = np.arange(n)
+    return order
+
 
+def transform(flat: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first symbol of each suffix in order, the suffix that starts one symbol before it): a block's transform."""
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return flat[order], place[order - 1]
 
-def doubled(rank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) by the 2 * width symbols from each position, given the ranks of the first width."""
-    n = len(rank)
-    ahead = np.zeros(n, np.int64)
-    ahead[: max(0, n - width)] = rank[width:] + 1
-    key = rank * (n + 2) + ahead
-    order = np.argsort(key)
-    out = np.empty(n, np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-    return order, out
 
+def merged(transforms: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(interleave, interval, common) of the suffixes of blocks by their transforms.
 
-def suffix_array(rank: np.ndarray, width: int) -> np.ndarray:
-    """Suffixes of one block in order, from the ranks of their first width symbols."""
+    interleave: the block of each suffix in merged order, right for ``size`` symbols; a block's suffixes come in its own
+    order. interval: number of the group that shares ``size`` symbols. common: symbols that a suffix is known to share with
+    the one before it (a lower bound from the round in which they parted, ``size`` where they did not).
+    """
+    counts = np.array([len(f) for f, _ in transforms])
+    offset, n = np.cumsum(counts) - counts, int(counts.sum())
+    home = np.repeat(np.arange(len(counts), dtype=np.uint16), counts)
+    symbol = np.concatenate([f for f, _ in transforms])
+    earlier = {1: np.concatenate([e + o for (_, e), o in zip(transforms, offset)])}
+    order, key = ranked(symbol)
+    interleave = home[order]
+    cut = np.ones(n, bool)
+    cut[1:] = (key[1:] != key[:-1]) | (key[1:] == 0)  # ends of strings all differ
+    common = np.zeros(n, np.int64)
+    done = 1
     while True:
-        order, rank = doubled(rank, width)
-        if rank[order[-1]] == len(rank) - 1:
-            return order
-        width *= 2
+        interval = np.cumsum(cut) - 1
+        common[~cut] = done
+        if done >= size:
+            return interleave, interval, common
+        width = min(done, size - done)
+        if width not in earlier:
+            half = max(w for w in earlier if w < width) if width & (width - 1) else width // 2
+            rest = width - half
+            while rest not in earlier:
+                earlier[rest] = _composed(earlier, rest)
+            earlier[width] = earlier[half][earlier[rest]]
+        # The j-th suffix of a block in the interleave is its j-th in order: place of each suffix, and its inverse.
+        place = np.argsort(interleave, kind="stable")
+        suffix = np.empty(n, np.int64)
+        suffix[place] = np.arange(n)
+        to = earlier[width][suffix]
+        order, key = ranked(interval[place[to]])
+        old = interval[order]
+        fresh = np.ones(n, bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (old[1:] != old[:-1])
+        interleave = interleave[order]
+        # Neighbours in one interval of both parts share all of it; others at least what their own interval had.
+        common = np.zeros(n, np.int64)
+        same = np.zeros(n, bool)
+        same[1:] = key[1:] == key[:-1]
+        common[same] = done
+        cut = fresh
+        done += width
+
+
+def _composed(earlier: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """The mapping over ``width`` symbols from those over powers of two."""
+    out = None
+    for bit in range(width.bit_length()):
+        if width >> bit & 1:
+            out = earlier[1 << bit] if out is None else out[earlier[1 << bit]]
+    return out
 
 
 def repeated(blocks: list[list[bytes]], size: int) -> list[np.ndarray]:
     """For every string of the blocks in turn, whether each of its windows of ``size`` bytes occurs twice or more."""
-    strings = [s for b in blocks for s in b]
-    lengths = np.array([len(s) + 1 for s in strings])
-    flat = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + 1
-    stops = np.cumsum(lengths)
-    flat[stops - 1] = 0
-    n = len(flat)
-    named, width = {STEP: names(flat, STEP)}, STEP
-    for _ in range(LONGER):
-        named[2 * width] = doubled(named[width], width)[1]
-        width *= 2
-    rank = named[width]
-    # The blocks' suffix arrays one after the other; a suffix is known by its place in them.
-    edges = np.concatenate([[0], stops[np.cumsum([len(b) for b in blocks]) - 1]]).tolist()
-    suffixes = np.empty(n, np.int64)
-    for low, high in zip(edges, edges[1:]):
-        dense = np.unique(rank[low:high], return_inverse=True)[1] if len(blocks) > 1 else rank[low:high]
-        suffixes[low:high] = suffix_array(dense, width) + low
-    place = np.empty(n, np.int32)
-    place[suffixes] = np.arange(n, dtype=np.int32)
-    interleave = np.arange(n, dtype=np.int32)
-    interval = np.zeros(n, np.int32)
-    count = np.arange(n, dtype=np.int64)
-    done = step = 0
-    while done < size:
-        last, step = step, next((w for w in sorted(named, reverse=True) if w <= size - done), size - done)
-        if step != last:
-            # The transform with a context of ``step``: the symbols before each suffix, and the suffix that they start.
-            before = (suffixes - step) % n
-            symbol, start = (named[step] if step in named else names(flat, step))[before] << 32, place[before]
-        # Stable by the preceding symbols: within an interval the order of the rest was settled by earlier rounds.
-        key = np.sort(symbol[interleave] | count)
-        to = key & 0xFFFFFFFF
-        key >>= 32
-        old = interval[to]
-        cut = np.empty(n, bool)
-        cut[0] = True
-        cut[1:] = (key[1:] != key[:-1]) | (old[1:] != old[:-1])
-        interval = np.cumsum(cut, dtype=np.int32)
-        interleave = start[interleave[to]]
-        done += step
-    again = np.empty(n, bool)
-    again[suffixes[interleave]] = np.bincount(interval)[interval] > 1
-    return [again[e - k : e - k + max(0, k - size)] for e, k in zip(stops.tolist(), lengths.tolist())]
+    orders, transforms, sizes = [], [], []
+    for block in blocks:
+        lengths = np.array([len(s) + 1 for s in block])
+        flat = np.frombuffer(b"\0".join([*block, b""]), np.uint8).astype(np.int64) + 1
+        flat[np.cumsum(lengths) - 1] = 0
+        orders.append(suffix_array(flat))
+        transforms.append(transform(flat, orders[-1]))
+        sizes += [len(s) for s in block]
+    if not sizes:
+        return []
+    interleave, interval, _ = merged(transforms, size)
+    # Suffixes of block after block, as the stable order of the interleave lists them, to the places of the texts.
+    again = (np.bincount(interval) > 1)[interval][np.argsort(interleave, kind="stable")]
+    where = np.concatenate([o + base for o, base in zip(orders, np.cumsum([0, *[len(o) for o in orders]]))])
+    found = np.empty(len(where), bool)
+    found[where] = again
+    starts = np.cumsum([0, *[k + 1 for k in sizes]])
+    return [found[s : s + max(0, k + 1 - size)] for s, k in zip(starts, sizes)]
 
 
 def resolver(size: int):
@@ -135,7 +182,7 @@ def resolver(size: int):
 
 
 def frame(size: int = SIZE, gram: int | None = None) -> Repeats:
-    return Repeats("byte", size, gram or max(1, min(GRAM, size // 2)), "anywhere", resolver(size), shard=1 << 19)
+    return Repeats("byte", size, gram or max(1, min(GRAM, size // 2)), "anywhere", resolver(size), shard=SHARD)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int32()))])

@@ -123,7 +123,8 @@ def _rightmost_min(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(get, n: int, size: int, gram: int) -> dict[str, np.ndarray]:
-    """Anchors of one sequence of n units; get(i, j) gives the values and the document of units i to j - 1.
+    """Anchors of one sequence of n units; get(i, j) gives the values and the document of units i to j - 1, and, where
+    64 bits are too few to tell units apart, other values of theirs, from which classes are hashed.
 
     Documents are contiguous and no window crosses two. Returns arrays anchor, cls (hashes as int64), first
     and last (starts of the anchor's windows). Only CHUNK units are held at a time: where a document is longer,
@@ -132,11 +133,11 @@ def anchors(get, n: int, size: int, gram: int) -> dict[str, np.ndarray]:
     found: list[tuple[np.ndarray, ...]] = []
     at = 0
     while at + size <= n:
-        v, d = get(at, min(n, at + CHUNK + size - 1))
+        v, d, *other = get(at, min(n, at + CHUNK + size - 1))
         m = len(v) - size + 1
         starts = np.flatnonzero(d[:m] == d[size - 1 :])
         if len(starts):
-            one, two = Rolling(v, B2), Rolling(v, B3)
+            one, two = Rolling(v, B2), Rolling(other[0] if other else v, B3)
             grams = one.of(np.arange(len(v) - gram + 1), np.arange(gram, len(v) + 1))
             best = _rightmost_min(grams, size - gram + 1)[starts]
             new = np.empty(len(starts), bool)

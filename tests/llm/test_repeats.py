@@ -150,3 +150,58 @@ def test_automaton_matches():
         text = rnd.choices("abc", k=15)
         held = {tuple(k[i:j]) for k in known for i in range(len(k)) for j in range(i, len(k) + 1)} | {()}
         assert a.matches(text) == [max(m for m in range(i + 2) if tuple(text[i + 1 - m : i + 1]) in held) for i in range(len(text))]
+
+
+def test_structures_decide_everything(spark, monkeypatch):
+    """Without what the structures find nothing goes, however plain the copies; wrong block arrays give wrong answers."""
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (2000, 1):
+        for module, remove, n in ((substring, substring.remove_repeats, "n_removed"), (suffix_dedup, suffix_dedup.remove_repeats, "n_removed")):
+            frame = module.frame(8)
+            blind = type(frame)(**{**frame.__dict__, "most": most, "block": 3, "resolve": lambda segs: [np.zeros(len(b), bool) for _, b in segs]})
+            with monkeypatch.context() as m:
+                m.setattr(module, "frame", lambda s, blind=blind: blind)
+                assert remove(docs, 8).agg({n: "sum"}).first()[0] == 0
+    rnd = random.Random(6)
+    strings = [bytes(rnd.choices(b"abc", k=30)) for _ in range(6)] * 2
+    want = [g.tolist() for g in suffix_dedup.repeated([strings[:5], strings[5:]], 9)]
+    assert all(all(g) for g in want)
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda flat: np.arange(len(flat)))
+    assert [g.tolist() for g in suffix_dedup.repeated([strings[:5], strings[5:]], 9)] != want
+
+
+def test_merged_common_prefixes():
+    """The interleave is the suffix order, and common never exceeds the true common prefix nor misses one of size."""
+    rnd = random.Random(7)
+    for _ in range(40):
+        blocks = [[bytes(rnd.choices(b"ab", k=rnd.randint(0, 30))) for _ in range(rnd.randint(1, 3))] for _ in range(rnd.randint(1, 4))]
+        flats = []
+        for b in blocks:
+            flat = np.frombuffer(b"\0".join([*b, b""]), np.uint8).astype(np.int64) + 1
+            flat[np.cumsum([len(s) + 1 for s in b]) - 1] = 0
+            flats.append(flat)
+        orders = [suffix_dedup.suffix_array(f) for f in flats]
+        size = rnd.choice([1, 3, 8, 13])
+        interleave, interval, common = suffix_dedup.merged([suffix_dedup.transform(f, o) for f, o in zip(flats, orders)], size)
+        seen = [0] * len(blocks)
+        suffixes = []
+        for b in interleave.tolist():
+            at = int(orders[b][seen[b]])
+            seen[b] += 1
+            suffixes.append(bytes(x for x in (flats[b][at:] % 256).tolist()).split(b"\0")[0])
+        cut = [s[:size] for s in suffixes]
+        assert all(x <= y for x, y in zip(cut, cut[1:]))
+        for i in range(1, len(cut)):
+            true = next((k for k in range(size + 1) if k == min(len(suffixes[i - 1]), len(suffixes[i])) or k < size and suffixes[i - 1][k] != suffixes[i][k]), size)
+            assert common[i] <= true and (interval[i] == interval[i - 1]) == (min(true, size) >= size), (common[i], true)
+
+
+def test_repeated_rows_and_one_document(spark):
+    """Rows alike in id and text, and a document that repeats itself, for bytes."""
+    rnd = random.Random(9)
+    some = "".join(chr(rnd.randrange(97, 123)) for _ in range(300))
+    rows = [(1, some), (1, some), (2, some[40:140] + "-" + some[50:200]), (None, "q" * 90), (4, "xy" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(docs, 30).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got, key=str) == removed_bytes(rows, 30)
