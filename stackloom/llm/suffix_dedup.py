@@ -95,48 +95,40 @@ def merged(transforms: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[
     """
     counts = np.array([len(f) for f, _ in transforms])
     offset, n = np.cumsum(counts) - counts, int(counts.sum())
-    home = np.repeat(np.arange(len(counts), dtype=np.uint16), counts)
+    home = np.repeat(np.arange(len(counts), dtype=np.uint8 if len(counts) < 256 else np.uint16), counts)
     symbol = np.concatenate([f for f, _ in transforms])
-    earlier = {1: np.concatenate([e + o for (_, e), o in zip(transforms, offset)])}
+    earlier = {1: np.concatenate([(e + o).astype(np.int32) for (_, e), o in zip(transforms, offset)])}
     order, key = ranked(symbol)
     interleave = home[order]
     cut = np.ones(n, bool)
     cut[1:] = (key[1:] != key[:-1]) | (key[1:] == 0)  # ends of strings all differ
-    common = np.zeros(n, np.int64)
+    common = np.where(cut, 0, size)
+    suffix = np.empty(n, np.int32)
     done = 1
     while True:
-        interval = np.cumsum(cut) - 1
-        common[~cut] = done
+        interval = np.cumsum(cut, dtype=np.int32) - 1
         if done >= size:
             return interleave, interval, common
         width = min(done, size - done)
         if width not in earlier:
-            half = max(w for w in earlier if w < width) if width & (width - 1) else width // 2
-            rest = width - half
-            while rest not in earlier:
-                earlier[rest] = _composed(earlier, rest)
-            earlier[width] = earlier[half][earlier[rest]]
+            earlier[width] = _composed(earlier, width)
         # The j-th suffix of a block in the interleave is its j-th in order: place of each suffix, and its inverse.
-        place = np.argsort(interleave, kind="stable")
-        suffix = np.empty(n, np.int64)
-        suffix[place] = np.arange(n)
-        to = earlier[width][suffix]
-        order, key = ranked(interval[place[to]])
+        place = np.argsort(interleave, kind="stable").astype(np.int32)
+        suffix[place] = np.arange(n, dtype=np.int32)
+        order, key = ranked(interval[place][earlier[width]][suffix].astype(np.int64))
+        # All suffixes are there again, so intervals stand where they stood; within them, those of the rest part.
         old = interval[order]
-        fresh = np.ones(n, bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (old[1:] != old[:-1])
-        interleave = interleave[order]
-        # Neighbours in one interval of both parts share all of it; others at least what their own interval had.
-        common = np.zeros(n, np.int64)
-        same = np.zeros(n, bool)
-        same[1:] = key[1:] == key[:-1]
-        common[same] = done
-        cut = fresh
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (old[1:] != old[:-1])
+        common[new & ~cut] = done
+        interleave, cut = interleave[order], new
         done += width
 
 
 def _composed(earlier: dict[int, np.ndarray], width: int) -> np.ndarray:
-    """The mapping over ``width`` symbols from those over powers of two."""
+    """The mapping over ``width`` symbols from those over smaller powers of two, all of which are there."""
+    if width & (width - 1) == 0:
+        return earlier[width // 2][earlier[width // 2]]
     out = None
     for bit in range(width.bit_length()):
         if width >> bit & 1:
