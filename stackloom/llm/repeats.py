@@ -12,8 +12,9 @@ operator has a structure (suffix automaton, merged Burrows-Wheeler transforms),
    bounded size (pairs by their documents, representatives by anchor), and the structure finds the windows that repeat in a
    shard. A class whose pair is confirmed holds for all its members, a representative's windows for its equals.
 4. An anchor with more classes than a shard should hold spreads over tasks by hashes: first of blocks of consecutive
-   windows, placed alike around the anchor, then of the single windows that blocks left open. What repeats is again
-   paired, and the structure confirms the pairs.
+   windows, placed alike around the anchor, then of the single windows that blocks left open, but for those that
+   reach further to a side of the anchor than any text that another segment shares. What repeats is again paired, and
+   the structure confirms the pairs.
 
 Without a structure (line dedup, whose method joins fingerprints) classes and window hashes decide.
 Documents are keyed by doc_id and a hash of the text, so repeated rows with one id work as rows of their own.
@@ -45,6 +46,7 @@ _SEG_DDL = "key long, doc_id long, th long, first int, role int, lone boolean, i
 _WIN = pa.schema([("anchor", pa.int64()), ("wh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("lone", pa.bool_()), ("at", pa.int32())])
 _BLK = pa.schema([("anchor", pa.int64()), ("bh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("s", pa.int32()), ("lone", pa.bool_())])
 _SPAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+_CTX = pa.schema([("anchor", pa.int64()), ("eh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("side", pa.int32()), ("k", pa.int32())])
 #: What shards tell: ranges of windows with the segment (at) that they belong to, or a confirmed class.
 _TOLD = pa.schema([*_SPAN, ("at", pa.int32()), ("anchor", pa.int64()), ("cls", pa.int64())])
 
@@ -188,19 +190,44 @@ class Repeats:
         start, end, row = self.cut(data, ends)
         return winnow.hashes(data, start, end), row, np.searchsorted(row, np.arange(len(ends) - 1))
 
+    def _anchors(self, batch: pa.RecordBatch, values: np.ndarray, row: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the anchor's gram in each segment or -1, number of its windows)."""
+        windows = np.bincount(row, minlength=len(base)) - self.size + 1
+        # The gram lies in all windows of its segment; of equal grams the rightmost is the anchor.
+        n = max(0, len(values) - self.gram + 1)
+        grams = winnow.mix(winnow.Rolling(values, winnow.B2).of(np.arange(n), np.arange(n) + self.gram) + winnow.B1).view(np.int64)
+        place = np.arange(n) - base[row[:n]]
+        hit = (grams == batch.column(0).to_numpy()[row[:n]]) & (place >= windows[row[:n]] - 1) & (place <= self.size - self.gram)
+        at = np.full(len(base), -1)
+        np.maximum.at(at, row[:n][hit], place[hit])
+        return at, windows
+
+    def contexts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of a segment's anchor with k units before it (side 0) or after it (side 1), for multiples k of ``block``."""
+        for batch in (x for b in batches for x in slices(b, 5, 1 << 18)):
+            values, row, base = self._units(batch)
+            at, windows = self._anchors(batch, values, row, base)
+            after = windows + self.size - 1 - at - self.gram
+            rolling = winnow.Rolling(values, winnow.B3)
+            out = []
+            k = self.block
+            while k <= self.size - self.gram:
+                for side, room in ((0, at), (1, after)):
+                    r = np.flatnonzero((at >= 0) & (room >= k))
+                    s = base[r] + at[r]
+                    out.append((r, winnow.mix(rolling.of(s - k * (1 - side), s + self.gram + k * side)).view(np.int64), side, k))
+                k += self.block
+            r = np.concatenate([x[0] for x in out])
+            take = pa.array(r)
+            many = [len(x[0]) for x in out]
+            yield table({"anchor": batch.column(0).take(take), "eh": np.concatenate([x[1] for x in out]), "doc_id": batch.column(1).take(take), "th": batch.column(2).take(take), "first": batch.column(3).take(take), "side": np.repeat([x[2] for x in out], many).astype(np.int32), "k": np.repeat([x[3] for x in out], many).astype(np.int32)}, _CTX)
+
     def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A hash for each block of consecutive windows of a segment, counted from the anchor, that it holds whole."""
         for batch in (x for b in batches for x in slices(b, 5, 1 << 18)):
             values, row, base = self._units(batch)
             rows = len(base)
-            windows = np.bincount(row, minlength=rows) - self.size + 1
-            # The anchor's gram lies in all windows of its segment; of equal grams the rightmost is the anchor.
-            n = max(0, len(values) - self.gram + 1)
-            grams = winnow.mix(winnow.Rolling(values, winnow.B2).of(np.arange(n), np.arange(n) + self.gram) + winnow.B1).view(np.int64)
-            place = np.arange(n) - base[row[:n]]
-            hit = (grams == batch.column(0).to_numpy()[row[:n]]) & (place >= windows[row[:n]] - 1) & (place <= self.size - self.gram)
-            at = np.full(rows, -1)
-            np.maximum.at(at, row[:n][hit], place[hit])
+            at, windows = self._anchors(batch, values, row, base)
             low, high = -(-(at - windows + 1) // self.block), (at + 1) // self.block
             count = np.where(at >= 0, np.maximum(0, high - low), 0)
             r = np.repeat(np.arange(rows), count)
@@ -212,7 +239,10 @@ class Repeats:
             yield table({"anchor": batch.column(0).take(take), "bh": bh, "doc_id": batch.column(1).take(take), "th": batch.column(2).take(take), "first": first, "s": (s + first).astype(np.int32), "lone": batch.column(4).take(take)}, _BLK)
 
     def windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A hash for each single window of a segment that no block has settled."""
+        """A hash for each single window of a segment that no block has settled and that may be shared.
+
+        left, right: units beyond the anchor that no other segment shares; null where some does as far as was looked.
+        """
         for batch in (x for b in batches for x in slices(b, 5, 1 << 18)):
             values, row, base = self._units(batch)
             n = max(0, len(row) - self.size + 1)
@@ -225,6 +255,10 @@ class Repeats:
                     at = begin[i] + x["s"] - first[i]
                     lone[at : at + self.block] = False
                     keep[at : at + self.block] = x["rep"]  # a representative's windows stay as references
+            at, _ = self._anchors(batch, values, row, base)
+            far = [np.where(at >= 0, c.fill_null(1 << 30).to_numpy(zero_copy_only=False), 1 << 30) for c in batch.columns[7:9]]
+            before = at[row[s]] - (s - base[row[s]])
+            keep &= (before < far[0][row[s]]) & (self.size - self.gram - before < far[1][row[s]])
             s, lone = s[keep], lone[keep]
             r = row[s]
             wh = winnow.mix(winnow.Rolling(values, winnow.B3).of(s, s + self.size)).view(np.int64)
@@ -298,6 +332,15 @@ class Repeats:
             gone, segs = self._settle(hot)
         else:
             segs = hot.select(F.col("key").alias("anchor"), "doc_id", "th", "first", "lone", "body", F.lit(None).cast("array<struct<s:int,rep:boolean>>").alias("settled"))
+        key = ["anchor", "doc_id", "th", "first"]
+        far = segs.select(*key, F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right")).limit(0)
+        if self.size - self.gram >= self.block:
+            ctx = hot.select(F.col("key").alias("anchor"), "doc_id", "th", "first", "lone", "body").mapInArrow(self.contexts, ddl(_CTX))
+            alone = ctx.groupBy("anchor", "side", "k", "eh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first")).alias("who")).where("n = 1")
+            far = alone.groupBy("anchor", "who.doc_id", "who.th", "who.first").agg(*[F.min(F.when(F.col("side") == i, F.col("k"))).alias(c) for i, c in enumerate(("left", "right"))])
+        a, b = segs.alias("a"), far.alias("b")
+        on = F.expr("a.anchor = b.anchor and a.doc_id <=> b.doc_id and a.th = b.th and a.first = b.first")
+        segs = a.join(b, on, "left").select("a.*", "b.left", "b.right")
         wins = materialise(segs.mapInArrow(self.windows, ddl(_WIN)), "windows")
         if self.scope == "place":
             wins = wins.withColumn("again", F.row_number().over(Window.partitionBy("anchor", "wh", "doc_id", "th").orderBy("s")) > 1)
