@@ -156,11 +156,13 @@ def representatives(documents: DataFrame, radius: int = RADIUS, words: int = WOR
     copies = docs.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
     c, r = copies.alias("c"), low.alias("r")
     same = lambda x, y: F.expr(f"{x}.doc_id <=> {y}.doc_id and {x}.th = {y}.th")
-    low = materialise(c.join(r, same("c", "r"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (F.col("n") > 1).alias("_many")), "representatives")
-    rows = documents.join(low, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")))
+    low = materialise(c.join(r, same("c", "r"), "left_semi").select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), (F.col("n") > 1).alias("many")), "representatives")
+    # All columns of documents travel as one, whatever their names.
+    rows = documents.select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_th"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = rows.join(low, F.col("d_id").eqNullSafe(F.col("r_id")) & (F.col("d_th") == F.col("r_th")))
     # Equal rows are rare: only they go through another exchange.
-    out = rows.where(~F.col("_many")).unionByName(rows.where("_many").dropDuplicates(["_id", "_th"]))
-    return out.drop("_id", "_th", "_many")
+    out = rows.where(~F.col("many")).unionByName(rows.where("many").dropDuplicates(["r_id", "r_th"]))
+    return out.select("row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

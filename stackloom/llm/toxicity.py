@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import held_out, ready, rows_bytes, slices
+from stackloom.llm.common import held_out, materialise, ready, rows_bytes, slices
 
 THRESHOLD = 0.5
 #: Labelled documents that training reads at most, chosen by a hash of doc_id; bounds the fit, not the scoring.
@@ -31,9 +31,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?\n]+")
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, place by place: characters whose lower case is longer stay, so that places hold for both."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def marks(text: str) -> set[str]:
     """Features of a text: =word for whole words, and beginnings of words longer than them."""
-    ws = set(_WORD.findall(text.lower()))
+    ws = set(_WORD.findall(lowered(text)))
     out = {"=" + w for w in ws}
     for k in STARTS:
         out.update(w[:k] for w in ws if len(w) > k)
@@ -85,9 +91,7 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """(score of the document, offending sentences as (start, end, score))."""
-        lower = text.lower()
-        if len(lower) != len(text):  # places must hold for the text itself
-            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        lower = lowered(text)
         clean, found = 1 - self.leak, []
         hits = self.hits(lower)
         if hits:
@@ -145,7 +149,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
             found = [(y, f) for y, t in zip(batch.column(2).to_pylist(), rows_bytes(batch.column(1))) for f in marks(t.decode())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in ((0, pa.int32()), (1, pa.string()))], names=["y", "f"])
 
-    size = picked.agg(F.count("*"), F.sum("y")).first()
+    rows = materialise(rows, "labelled")  # read by three jobs; labels without a document count nowhere
+    size = rows.agg(F.count("*"), F.sum("y")).first()
     n, toxic = size[0], size[1] or 0
     share = toxic / max(n, 1)
     counts = rows.mapInArrow(marked, "y int, f string").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("t")).where(F.col("n") >= LEAST)
@@ -160,7 +165,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
             for t in rows_bytes(batch.column(1)):
                 text = t.decode()
                 starts, bag = [s for s, _ in sentences(text)], {}
-                for at, number in lookup.hits(text.lower()):
+                for at, number in lookup.hits(lowered(text)):
                     bag.setdefault(bisect.bisect_right(starts, at), []).append(int(number) - 1)
                 out.append(list(bag.values()))
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["y", "bag"])

@@ -74,3 +74,52 @@ def test_toxicity_of_odd_rows(spark):
         got = toxicity.classify(docs, lab).collect()
         assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.classify(docs.limit(0), labels).count() == 0
+
+
+def test_quality_training_equals_brute_force(spark):
+    """Moments from Spark give the discriminant of the plain rows outside the held-out fold."""
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120).toPandas()
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
+    got = quality.train(quality.statistics(spark.createDataFrame(docs[["doc_id", "text"]])), spark.createDataFrame(labels))
+    marks = {int(d): int(y) for d, y in zip(labels.doc_id, labels.quality) if y in (0, 1)}
+    xs: list[list] = [[], []]
+    for d, t in zip(docs.doc_id, docs.text):
+        if zlib.crc32(str(d).encode()) % 5 and int(d) in marks:
+            xs[marks[int(d)]].append(quality.features((t or "").encode()))
+    n = len(quality.FEATURES)
+    arrays = [np.array(x, float).reshape(-1, n) for x in xs]
+    want = quality.Discriminant.fit([(len(x), x.sum(0), x.T @ x) for x in arrays])
+    point = np.vstack(arrays)
+    assert len(point) > 20 and np.allclose(got.score(point), want.score(point), atol=1e-6)
+
+
+def test_toxicity_gradient_climbs_to_the_maximum():
+    """The fitted noisy-or beats every small change of its parameters in the penalised likelihood, computed plainly."""
+    rnd = np.random.default_rng(3)
+    bags = [[[int(rnd.integers(0, 3))] for _ in range(int(rnd.integers(0, 4)))] for _ in range(200)]
+    y = np.array([any(s == [0] for s in b) != (rnd.random() < 0.1) for b in bags])
+    model = toxicity.fit(bags, y, ["=a", "=b", "=c"])
+
+    def value(w, bias, leak):
+        total = 0.0
+        for b, t in zip(bags, y):
+            clean = 1 - 1 / (1 + np.exp(-leak))
+            for s in b:
+                clean *= 1 - 1 / (1 + np.exp(-(bias + sum(w[f] for f in s))))
+            total += np.log(max(1 - clean, 1e-12)) if t else np.log(max(clean, 1e-12))
+        return total / len(bags) - toxicity.DECAY / 2 * sum(x * x for x in w)
+
+    at = [model.weights.get(k, 0.0) for k in ("=a", "=b", "=c")], model.bias, float(np.log(model.leak / (1 - model.leak)))
+    best = value(*at)
+    for i in range(5):
+        for step in (-0.3, 0.3):
+            w, bias, leak = list(at[0]), at[1], at[2]
+            if i < 3:
+                w[i] += step
+            elif i == 3:
+                bias += step
+            else:
+                leak += step
+            assert value(w, bias, leak) <= best + 1e-4, (i, step)

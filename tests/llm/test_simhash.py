@@ -87,3 +87,11 @@ def test_representatives(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, th string")
     got = sorted(map(tuple, simhash.representatives(df).collect()), key=str)
     assert got == sorted([(4, "a b c d", "x"), (4, "other words here now", "z"), (None, "alone", "n"), (1, None, "e")], key=str)
+
+
+def test_representatives_keep_clashing_columns(spark):
+    rows = [(1, "a b c d", 7, 8), (2, "a b c d", 9, 10), (None, None, 1, 2), (3, "e f g h", 0, 0), (3, "e f g h", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, many int").selectExpr("*", "1 _th", "2 r_id", "3 row", "4 d_th")
+    got = simhash.representatives(df)
+    assert got.columns == df.columns and sorted(((r["doc_id"], r["_id"]) for r in got.collect()), key=str) == [(1, 7), (3, 0), (None, 1)]
+    assert simhash.representatives(df.limit(0)).count() == 0
