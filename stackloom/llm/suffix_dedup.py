@@ -6,8 +6,8 @@ from which its transform is made: the mapping from each suffix to the one that s
 merged by their transforms alone. The interleave tells for each place which block the next suffix comes from; suffixes of
 a block keep their order. A round prepends w symbols to all suffixes at once by the w-fold mapping and sorts stably by
 the interval that the result already lies in, so an interleave that is right for h symbols becomes right for h + w, with w
-up to h. Where intervals part, the neighbours' common prefix is known to end; an interval with two suffixes or more that
-is left at ``size`` is a repeated string. No suffix of the merged set is compared with another.
+up to h; the first round reads off as many symbols as a sort key holds. Where intervals part, the neighbours' common
+prefix is known to end; an interval with two suffixes or more that is left at ``size`` is a repeated string. No suffix of the merged set is compared with another.
 """
 
 from __future__ import annotations
@@ -30,52 +30,63 @@ BLOCK = 1 << 17
 SHARD = 1 << 19
 
 
-#: Symbols by which the suffixes of a block are first told apart: as many of 257 as fit a number.
-STEP = 6
-
-
 def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(stable order, key in that order) of whole numbers that aren't negative."""
     n = len(key)
     bits = max(1, n.bit_length())
-    if n and int(key.max()).bit_length() + bits > 62:
+    if n and int(key.max()).bit_length() + bits > 63:
         order = np.argsort(key, kind="stable")
         return order, key[order]
     both = np.sort(key << bits | np.arange(n))  # faster than an indirect sort
     return both & (1 << bits) - 1, both >> bits
 
 
+def spread(flat: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """(symbols numbered without gaps, 0 staying 0; how many there are; how many fit a number beside a position)."""
+    used = np.bincount(flat, minlength=1) > 0
+    used[0] = True
+    kinds = max(2, int(used.sum()))
+    room, step = 63 - max(1, len(flat).bit_length()), 1
+    while (kinds ** (step + 1)).bit_length() <= room:
+        step += 1
+    return (np.cumsum(used) - 1)[flat], kinds, step
+
+
 def suffix_array(flat: np.ndarray) -> np.ndarray:
     """Suffixes of one block in order; symbol 0 ends a string, and of two ends that of the earlier string is smaller."""
     n = len(flat)
-    padded = np.concatenate([flat, np.zeros(STEP, np.int64)])
+    symbol, kinds, width = spread(flat)
+    padded = np.concatenate([symbol, np.zeros(width, np.int64)])
     key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(STEP):
-        key = key * 257 + np.where(open_, padded[i : i + n], 0)
+    for i in range(width):
+        key = key * kinds + np.where(open_, padded[i : i + n], 0)
         open_ &= padded[i : i + n] > 0
-    order = np.argsort(key, kind="stable")  # positions of equal stretches stay in order of their strings
+    order, key = ranked(key)  # positions of equal stretches stay in order of their strings
     apart = np.ones(n, bool)
-    apart[1:] = (key[order][1:] != key[order][:-1]) | ~open_[order][1:]
-    # Rank: how many suffixes are smaller; equal while the symbols compared so far are.
-    rank = np.empty(n, np.int64)
+    apart[1:] = (key[1:] != key[:-1]) | ~open_[order][1:]
+    # Rank: how many suffixes are smaller; equal while the symbols compared so far are. Beyond the end: fewer than none.
+    rank = np.full(n + 1, -1)
     rank[order] = np.maximum.accumulate(np.where(apart, np.arange(n), 0))
-    width = STEP
+    tied = np.arange(n)
     while True:
-        tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)  # only these are sorted on
+        group = rank[tied]
+        tied = tied[np.bincount(group, minlength=n)[group] > 1]  # only these are sorted on
         if not len(tied):
             break
-        ahead = np.zeros(len(tied), np.int64)
-        inside = tied + width < n
-        ahead[inside] = rank[tied[inside] + width] + 1
-        some, key = ranked(rank[tied] * (n + 2) + ahead)
+        some, key = ranked(rank[tied] * (n + 2) + rank.take(tied + width, mode="clip") + 1)
         at = tied[some]
         group = rank[at]
-        new, lead = np.ones(len(at), bool), np.ones(len(at), bool)
-        new[1:], lead[1:] = key[1:] != key[:-1], group[1:] != group[:-1]
-        each = np.arange(len(at))
-        rank[at] = group + np.maximum.accumulate(np.where(new, each, 0)) - np.maximum.accumulate(np.where(lead, each, 0))
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        # The first of each new group, and how far that is from the first of the old one.
+        first = np.flatnonzero(new)
+        old = group[first]
+        lead = np.ones(len(first), bool)
+        lead[1:] = old[1:] != old[:-1]
+        value = old + first - np.maximum.accumulate(np.where(lead, first, 0))
+        rank[at] = np.repeat(value, np.diff(first, append=len(at)))
         width *= 2
-    order[rank] = np.arange(n)
+    order[rank[:n]] = np.arange(n)
     return order
 
 
@@ -96,15 +107,23 @@ def merged(transforms: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[
     counts = np.array([len(f) for f, _ in transforms])
     offset, n = np.cumsum(counts) - counts, int(counts.sum())
     home = np.repeat(np.arange(len(counts), dtype=np.uint8 if len(counts) < 256 else np.uint16), counts)
-    symbol = np.concatenate([f for f, _ in transforms])
+    symbol, kinds, done = spread(np.concatenate([f for f, _ in transforms]))
+    done = min(done, size)
     earlier = {1: np.concatenate([(e + o).astype(np.int32) for (_, e), o in zip(transforms, offset)])}
-    order, key = ranked(symbol)
+    for width in (2, 4):
+        earlier[width] = earlier[width // 2][earlier[width // 2]]
+    later = np.empty(n, np.int32)
+    later[earlier[1]] = np.arange(n, dtype=np.int32)
+    # The first symbols of every suffix, as many as fit a number, read off by the mapping; nothing follows an end.
+    key, inside = symbol, symbol > 0
+    for i in range(1, done):
+        key = symbol * kinds**i + key[later] * inside
+    order, key = ranked(key)
     interleave = home[order]
     cut = np.ones(n, bool)
-    cut[1:] = (key[1:] != key[:-1]) | (key[1:] == 0)  # ends of strings all differ
+    cut[1:] = (key[1:] != key[:-1]) | (key[1:] % kinds == 0)  # ends of strings all differ
     common = np.where(cut, 0, size)
-    suffix = np.empty(n, np.int32)
-    done = 1
+    bits = n.bit_length()
     while True:
         interval = np.cumsum(cut, dtype=np.int32) - 1
         if done >= size:
@@ -112,10 +131,10 @@ def merged(transforms: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[
         width = min(done, size - done)
         if width not in earlier:
             earlier[width] = _composed(earlier, width)
-        # The j-th suffix of a block in the interleave is its j-th in order: place of each suffix, and its inverse.
-        place = np.argsort(interleave, kind="stable").astype(np.int32)
-        suffix[place] = np.arange(n, dtype=np.int32)
-        order, key = ranked(interval[place][earlier[width]][suffix].astype(np.int64))
+        # The j-th suffix of a block in the interleave is its j-th in order: place of each suffix.
+        place = np.argsort(interleave, kind="stable")
+        both = np.sort(interval[place][earlier[width]].astype(np.int64) << bits | place)
+        order, key = both & (1 << bits) - 1, both >> bits
         # All suffixes are there again, so intervals stand where they stood; within them, those of the rest part.
         old = interval[order]
         new = np.ones(n, bool)
@@ -126,13 +145,12 @@ def merged(transforms: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[
 
 
 def _composed(earlier: dict[int, np.ndarray], width: int) -> np.ndarray:
-    """The mapping over ``width`` symbols from those over smaller powers of two, all of which are there."""
-    if width & (width - 1) == 0:
-        return earlier[width // 2][earlier[width // 2]]
+    """The mapping over ``width`` symbols from the longest there are; that over one is."""
     out = None
-    for bit in range(width.bit_length()):
-        if width >> bit & 1:
-            out = earlier[1 << bit] if out is None else out[earlier[1 << bit]]
+    while width:
+        some = max(w for w in earlier if w <= width)
+        out = earlier[some] if out is None else out[earlier[some]]
+        width -= some
     return out
 
 
