@@ -109,17 +109,20 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0,
 
 
 def _rightmost_min(key: np.ndarray, width: int) -> np.ndarray:
-    """Position of the rightmost smallest key of every window of that width."""
-    value, at, span = key, np.arange(len(key)), 1
-
-    def merge(v, a, shift, n):
-        right = v[shift : shift + n] <= v[:n]
-        return np.where(right, v[shift : shift + n], v[:n]), np.where(right, a[shift : shift + n], a[:n])
+    """Position of the rightmost smallest key of every window of that width, by the upper halves of the keys.
 
+    The same bits count however many keys there are, so equal windows choose alike in every batch.
+    """
+    low = U((1 << 32) - 1)
+    # The place, counted from the end, stands in the lower half, so one minimum finds both.
+    least, span = (key | low) - np.arange(len(key), dtype=U), 1
     while span * 2 <= width:
-        value, at = merge(value, at, span, len(value) - span)
+        least = np.minimum(least[span:], least[: len(least) - span])
         span *= 2
-    return merge(value, at, width - span, len(key) - width + 1)[1] if span < width else at
+    if span < width:
+        n = len(key) - width + 1
+        least = np.minimum(least[width - span : width - span + n], least[:n])
+    return (low - (least & low)).astype(np.int64)
 
 
 def anchors(get, n: int, size: int, gram: int) -> dict[str, np.ndarray]:

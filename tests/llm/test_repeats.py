@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from stackloom.llm import substring, suffix_dedup
+from stackloom.llm import substring, suffix_dedup, winnow
 
 
 def corpus(seed, n=40):
@@ -205,3 +205,15 @@ def test_repeated_rows_and_one_document(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in suffix_dedup.remove_repeats(docs, 30).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(got, key=str) == removed_bytes(rows, 30)
+
+
+def test_window_minima():
+    """The rightmost of the smallest upper halves, alike for equal windows whatever stands around them."""
+    r = np.random.default_rng(1)
+    for n, width in ((1, 1), (5, 5), (40, 7), (300, 153), (900, 8), (9, 1)):
+        key = r.integers(0, 1 << 63, n).astype(np.uint64) & np.uint64(0xFFFFFFFF000000FF)
+        key[r.integers(0, n, n // 2)] = key[0] ^ np.uint64(1)
+        got = winnow._rightmost_min(key, width).tolist()
+        assert got == [min(range(i, i + width), key=lambda j: (int(key[j]) >> 32, -j)) for i in range(n - width + 1)]
+        around = np.concatenate([r.integers(0, 1 << 63, 5_000).astype(np.uint64), key, key[::-1]])
+        assert winnow._rightmost_min(around, width)[5_000 : 5_000 + len(got)].tolist() == [x + 5_000 for x in got]
