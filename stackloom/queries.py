@@ -326,7 +326,7 @@ FROM r JOIN c USING (process_id, address) LEFT JOIN part ON library_name = 'lib'
                 f"WITH {_STACKS} SELECT array_to_string(f[1:len(f)-1], '>') AS popped, array_to_string(CASE WHEN len(f) < 4 THEN f || ['x'] ELSE f END, '>') AS pushed, f[2] AS second, CAST(len(f) AS INTEGER) AS depth, len(f) >= 4 AS full, CAST(sum(c) AS BIGINT) AS samples FROM s GROUP BY ALL",
             ),
             _q("count_stacks", lambda s, d: _entries(_samples(s, d, "true")), f"WITH {_counted('true', 'a')} SELECT * FROM a"),
-            _q("upsert_stacks", lambda s, d: _entries(S.upsert(_samples(s, d, _OLD), _samples(s, d, _NEW))), f"WITH {_counted(_OLD, 'a')}, {_counted(_NEW, 'b')} SELECT * FROM b UNION ALL SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.process_id = b.process_id AND a.addrs = b.addrs)"),
+            _q("upsert_stacks", lambda s, d: _entries(S.upsert(_samples(s, d, _OLD), _samples(s, d, _NEW), order="count")), f"WITH {_counted(_OLD, 'a')}, {_counted(_NEW, 'b')} SELECT * FROM b UNION ALL SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.process_id = b.process_id AND a.addrs = b.addrs)"),
             _q("add_stacks", lambda s, d: _entries(S.add(_samples(s, d, _OLD), _samples(s, d, _NEW))), f"WITH {_counted('true', 'a')} SELECT * FROM a"),
             _q("erase_stacks", lambda s, d: _entries(S.erase(_samples(s, d, _OLD), _samples(s, d, _FEW))), f"WITH {_counted(_OLD, 'a')}, {_counted(_FEW, 'b')} SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.process_id = b.process_id AND a.addrs = b.addrs)"),
             _q("find_stack", lambda s, d: _entries(S.find(_samples(s, d, "true"), [3, 1])), f"WITH {_counted('true', 'a')} SELECT * FROM a WHERE addrs = '3,1'"),
