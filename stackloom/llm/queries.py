@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stackloom.llm import line_dedup
+from stackloom.llm import hard_negatives, line_dedup, timestamps
 from stackloom.llm.common import ready
 from stackloom.llm.decontaminate import op10_decontaminate
 from stackloom.llm.embedding_dedup import op9_embeddings
@@ -12,6 +12,7 @@ from stackloom.llm.sentencepiece_bpe import op5_sentencepiece
 from stackloom.llm.simhash import op6_simhash
 from stackloom.llm.substring import op4_substring
 from stackloom.llm.suffix_dedup import op7_suffix
+from stackloom.llm.token_file import op12_tokens
 from stackloom.llm.toxicity import op8_toxicity
 
 _QUERIES = {
@@ -25,6 +26,9 @@ _QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_embeddings": op9_embeddings,
     "op10_decontaminate": op10_decontaminate,
+    "op11_timestamps": timestamps.op11_timestamps,
+    "op12_tokens": op12_tokens,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 
@@ -33,4 +37,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": line_dedup.SQL}
+    return {"op3_lines": line_dedup.SQL, "op11_timestamps": timestamps.SQL, "op13_hard_negatives": hard_negatives.SQL}
