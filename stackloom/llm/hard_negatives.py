@@ -225,7 +225,8 @@ def _one_width(ints: DataFrame, dim: int, cells: Cells, n, positives: int, negat
 
     rows = ints.select("key", "vec_id", "label", "anchor", "v").mapInArrow(approximate, "key long, vec_id long, label long, anchor boolean, v binary, codes binary")
     rows = materialise(rows.withColumn("r", F.pmod(F.xxhash64("key"), F.lit(r_parts)).cast("int")), "approximations")
-    anchors = rows.where("anchor").select("key", "vec_id", "label", "v").withColumn("a", F.pmod(F.xxhash64("key"), F.lit(a_parts)).cast("int"))
+    # Columns of their own, so that both sides may meet although they come from one table.
+    anchors = rows.where("anchor").select(*(F.col(c).alias(c) for c in ("key", "vec_id", "label", "v"))).withColumn("a", F.pmod(F.xxhash64("key"), F.lit(a_parts)).cast("int"))
 
     def dealt(anchors: DataFrame, compare, schema: str) -> DataFrame:
         left = anchors.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(r_parts - 1))))
