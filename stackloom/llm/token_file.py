@@ -42,6 +42,13 @@ HEADER, FRAME_HEADER, FOOTER = struct.Struct("<IHHQ"), struct.Struct("<IQIII"),
 SPLIT = 64 << 20
 
 
+def _narrowest(ids: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(np.array([(1 << bits) - 1 for _, bits in PACKED], np.uint64), ids, side="left") + 1).astype(np.int8)
+
+
+_NEED = _narrowest(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of each block, escaped ids) of unsigned 64-bit ids."""
     ids = ids.astype("<u8")
@@ -52,15 +59,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat[: len(ids)] = ids
     held[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     # The narrowest selector that an id fits, as a number that grows with the width; 15 for escapes.
-    limits = np.array([(1 << bits) - 1 for _, bits in PACKED], np.uint64)
-    need = (np.searchsorted(limits, held.reshape(-1), side="left") + 1).astype(np.int8).reshape(held.shape)
+    need = (_NEED[held] if ids.max(initial=0) < len(_NEED) else _narrowest(held.reshape(-1))).reshape(held.shape)
     widest, spans = {1: need}, 1
     while spans * 2 <= WIDEST:
         last = widest[spans]
         widest[spans * 2] = np.maximum(last[:, : last.shape[1] - spans], last[:, spans:])
         spans *= 2
     best = np.where(need[:, :BLOCK] <= len(PACKED), len(PACKED), 0).astype(np.int8)
-    for selector in range(len(PACKED) - 1, 0, -1):
+    for selector in range(len(PACKED) - 1, int(need[:, :BLOCK].min(initial=1)) - 1, -1):
         n = PACKED[selector - 1][0]
         k = 1 << (n.bit_length() - 1)
         fits = np.maximum(widest[k][:, :BLOCK], widest[k][:, n - k : n - k + BLOCK]) <= selector
@@ -78,7 +84,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not steps:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     block, place, selector = (np.concatenate(x) for x in zip(*steps))
-    order = np.lexsort((place, block))
+    order = np.argsort(block.astype(np.uint16) if blocks <= 1 << 16 else block, kind="stable")  # each block's words came in order
     block, place, selector = block[order], place[order], selector[order]
     words = selector.astype(np.uint64) << np.uint64(60)
     for s, (n, bits) in enumerate(PACKED, 1):
@@ -273,8 +279,30 @@ class TokenSource(DataSource):
 #: normalizer and its pattern of words must be these.
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Different parts that a worker remembers, and the longest of them.
-REMEMBER, LONGEST = 400_000, 64
+#: Texts and parts of nothing but blanks, line breaks, printable ASCII and Latin-1 letters, which normalization only
+#: lower-cases, fall into words here; the library reads all others.
+_PLAIN, _PLAIN_WORDS = re.compile("[ \n!-~À-ÖØ-öø-ÿ]*"), re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \na-z0-9ß-öø-ÿ]+")
+#: Different words, and different other parts, that a worker remembers, and the longest of them.
+REMEMBER, LONGEST = 800_000, 64
+
+
+class Memory(dict):
+    """A dictionary that forgets what was not asked for while half of REMEMBER new entries came."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.older, self.make = {}, make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBER // 2:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 class Encoder:
@@ -284,30 +312,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.model = self.tokenizer.model
         told = json.loads(model)
         first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.parted = (told.get("normalizer") or {}).get("normalizers") == _NORMAL and first.get("pattern") == {"Regex": _WORDS} and first.get("behavior") == "Removed" and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in told.get("added_tokens") or [])
-        self.memory: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        added = told.get("added_tokens") or []
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
+        plain = (told.get("normalizer") or {}).get("normalizers") == _NORMAL and first.get("pattern") == {"Regex": _WORDS} and first.get("behavior") == "Removed"
+        self.parted = plain and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in added)
+        self.parts, self.words = Memory(self._part), Memory(self._word)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():  # as the characters that stand for its bytes
+            word = "".join([x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+
+    def _part(self, part: str) -> bytes:
+        return self._plain(part) if _PLAIN.fullmatch(part) else self._whole(part)
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _plain(self, text: str) -> bytes:
+        words = self.words
+        return b"".join([words[w] for w in _PLAIN_WORDS.findall(text.lower())])
 
     def encode(self, text: str) -> bytes:
-        if not self.parted:
-            return self._plain([text])[0]
-        parts = text.replace("\n", " ").split(" ")
-        found = list(map(self.memory.get, parts))
-        if None in found:
-            new = list({p for p, x in zip(parts, found) if x is None})
-            known = {p: self.older[p] for p in new if p in self.older}
-            if rest := [p for p in new if p not in known]:
-                known |= zip(rest, self._plain(rest))
-            if len(self.memory) >= REMEMBER // 2:  # what was not met for a whole generation is forgotten
-                self.older, self.memory = self.memory, {"": b""}
-            self.memory |= {p: x for p, x in known.items() if len(p) <= LONGEST}
-            found = [known[p] if x is None else x for p, x in zip(parts, found)]
-        return b"".join(found)
+        if not self.parted or self.special.search(text):
+            return self._whole(text)
+        if _PLAIN.fullmatch(text):
+            return self._plain(text)
+        parts = self.parts
+        return b"".join([parts[p] for p in text.replace("\n", " ").split(" ")])
 
 
 def encoder(model: str, key: str) -> Encoder:
