@@ -42,7 +42,7 @@ class Cells:
 
     def approximate(self, x: np.ndarray) -> np.ndarray:
         """Cell numbers of rows of integers, a byte each."""
-        return np.stack([np.searchsorted(self.cuts[j], x[:, j], side="right") for j in range(x.shape[1])], axis=1).astype(np.uint8) if len(x) else np.zeros(x.shape, np.uint8)
+        return np.stack([np.searchsorted(self.cuts[j], x[:, j], side="right") for j in range(x.shape[1])], axis=1).astype(np.uint8) if x.size else np.zeros(x.shape, np.uint8)
 
 
 class Anchors:
