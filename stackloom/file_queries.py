@@ -94,6 +94,28 @@ def _headers(spark, sf_dir):
     return found.select(files.rank_of(F.col("file")).alias("process_id"), "status", "version", "compression", "entry_count", "max_depth")
 
 
+def _repeated(spark, sf_dir):
+    """Files in which a stack comes once for each return flag, in that order, as entries of their own; one of them is broken."""
+    datasource.register(spark)
+    rows = Q._table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") - 1).cast("long").alias("process_id"), F.array(F.col("l_suppkey"), F.col("l_partkey") % 4).alias("addrs"), "l_returnflag").agg(F.count("*").alias("count"))
+    path = folder(spark, "repeated")
+    rows.repartition("process_id").sortWithinPartitions("process_id", "l_returnflag").select("process_id", "addrs", "count").write.format("pflw").mode("append").save(path)
+    put(f"{path}/rank_99.pflw", formats.pack_samples([([1], 1)])[:-1])
+    return path
+
+
+def _last_counts(spark, sf_dir):
+    """By the source: last counts of repeated stacks, and the status of each file."""
+    told = spark.read.format("pflw").option("badFiles", "report").load(_repeated(spark, sf_dir))
+    return told.select("process_id", F.array_join(F.transform("addrs", lambda a: a.cast("string")), ",").alias("addrs"), "count", "status")
+
+
+def _in_parts(spark, sf_dir):
+    """The same files read by several tasks each, with a filter that the source takes whole."""
+    found = spark.read.format("pflw").option("duplicates", "all").option("splitBytes", str(64 << 10)).load(_repeated(spark, sf_dir)).where("process_id between 1 and 4")
+    return Q._entries(files.last_entries(files.number_entries(found)))
+
+
 def _header_source(spark, sf_dir):
     path = stored(spark, _samples(spark, sf_dir))
     return spark.read.format("pflw").option("headerOnly", "true").load(path).select(files.rank_of(F.col("file")).alias("process_id"), "status", "entry_count")
@@ -493,6 +515,7 @@ def _leaf_first(spark, sf_dir):
 
 
 _PAIRS = f"WITH {Q._counted('true', 'a')}"
+_LAST = "WITH y AS (SELECT CAST(l_linenumber - 1 AS BIGINT) AS process_id, l_suppkey || ',' || l_partkey % 4 AS addrs, l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY ALL), z AS (SELECT process_id, addrs, CAST(arg_max(n, flag) AS BIGINT) AS count FROM y GROUP BY ALL)"
 _VISIT = "row_number() OVER (ORDER BY depth, o) AS visit_rank"
 
 
@@ -508,6 +531,8 @@ def _all():
             q("pflw_leaf_first", lambda s, d: _source(s, d, "leaf_first"), f"{_PAIRS} SELECT process_id, split_part(addrs, ',', 2) || ',' || split_part(addrs, ',', 1) AS addrs, count FROM a"),
             q("pflw_headers", _headers, f"{_PAIRS} SELECT process_id, 'Success' AS status, 1 AS version, 0 AS compression, count(*) AS entry_count, CAST(128 AS BIGINT) AS max_depth FROM a GROUP BY process_id"),
             q("pflw_header_source", _header_source, f"{_PAIRS} SELECT process_id, 'Success' AS status, count(*) AS entry_count FROM a GROUP BY process_id"),
+            q("pflw_repeated", _last_counts, f"{_LAST} SELECT process_id, addrs, count, 'Success' AS status FROM z UNION ALL SELECT 99, NULL, NULL, 'FileRead'"),
+            q("pflw_parts", _in_parts, f"{_LAST} SELECT * FROM z WHERE process_id BETWEEN 1 AND 4"),
             q("pflw_overwrite", _overwritten, f"{_PAIRS} SELECT * FROM a WHERE process_id < 3"),
             q("pflw_statuses", _statuses, f"{_FIRST} SELECT name, status, CAST(n AS BIGINT) AS \"rows\", CASE name WHEN 'good' THEN (SELECT n FROM f) WHEN 'kernel' THEN 3 ELSE 0 END AS samples FROM (VALUES ('good', 'Success', 5), ('empty', 'Success', 0), ('short', 'FileRead', 0), ('none', 'FileRead', 0), ('magic', 'InvalidFormat', 0), ('deep', 'Integrity', 0), ('kernel', 'Success', 1), ('newer', 'VersionMismatch', 0), ('packed', 'Compression', 0)) v(name, status, n)"),
             q("libmap_files", lambda s, d: _map_rows(files.read_maps(s, _maps(s, d), glob="*.libmap")), _MAP_SQL),

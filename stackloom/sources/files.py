@@ -7,11 +7,12 @@ none: the source passes over it).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackloom.model import ANONYMOUS, LIB_MAP, MAX_DEPTH, SAMPLES, FileStatus, FileType
 from stackloom.session import ready
+from stackloom.sources.datasource import PART_BITS
 from stackloom.sources.formats import parse_map, parse_samples
 
 SAMPLE_GLOB, MAP_GLOB = "*.pflw", "*.libmap"
@@ -105,6 +106,22 @@ def read_samples(spark: SparkSession, paths: str | list[str], max_depth: int = M
     return samples_of(decoded, duplicates=duplicates), status_of(decoded)
 
 
+def number_entries(entries: DataFrame) -> DataFrame:
+    """format("pflw") with duplicates=all: entry_ord counted through the parts of split files, as one task would."""
+    part = F.shiftright("entry_ord", PART_BITS)
+    sizes = entries.groupBy("file", part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    starts = sizes.select("file", "part", before.alias("before"))
+    low = F.col("entry_ord").bitwiseAND((1 << PART_BITS) - 1)
+    return entries.withColumn("part", part).join(starts, ["file", "part"]).withColumn("entry_ord", F.col("before") + low).select(*entries.columns)
+
+
+def last_entries(entries: DataFrame) -> DataFrame:
+    """format("pflw") with duplicates=all: the rows of duplicates=last, by a shuffle instead of one task a file."""
+    by = entries.groupBy("file", "process_id", "addrs").agg(F.min("entry_ord").alias("entry_ord"), F.max_by("count", "entry_ord").alias("count"))
+    return by.select(*SAMPLES.fieldNames())
+
+
 def read_headers(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """Headers alone; a file with the right magic number counts as Success whatever its version."""
     return status_of(decode_samples(binary(spark, paths, glob), header_only=True))
@@ -160,8 +177,6 @@ def read_process_maps(spark: SparkSession, path: str | list[str], process_id: in
     num = lambda i: F.conv(part(i), 16, -10).cast("long")  # noqa: E731  # signed: the bits of addresses of 2^63 and more
     name = F.when(F.trim(part(4)) == "", ANONYMOUS).otherwise(F.trim(part(4)))
     # A process has a few hundred maps at most, so that their order may come from one task.
-    from pyspark.sql import Window
-
     return rows.select(F.lit(process_id).cast("long").alias("process_id"), (F.row_number().over(Window.orderBy("at")) - 1).alias("ord"), num(1).alias("base"), num(2).alias("end"), F.lit(True).alias("executable"), name.alias("name"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from stackloom.model import MAX_DEPTH, FileStatus
 
 # Headers, entries and magic numbers (fixed values of the file formats).
@@ -72,6 +76,117 @@ def parse_samples(data: bytes, max_depth: int = MAX_DEPTH, header_only: bool = F
     return Parsed(FileStatus.Success, header, rows)
 
 
+class Fault(Exception):
+    """Why entries of a sample file could not be read."""
+
+    def __init__(self, status: FileStatus) -> None:
+        super().__init__(status.value)
+        self.status = status
+
+
+def read_header(data: bytes) -> dict:
+    """The header of a sample file whose entries may be read."""
+    p = parse_samples(data[: SAMPLE_HEADER.size], header_only=True)
+    if p.status is not FileStatus.Success:
+        raise Fault(p.status)
+    if p.header["version"] > VERSION:
+        raise Fault(FileStatus.VersionMismatch)
+    if p.header["compression"]:
+        raise Fault(FileStatus.Compression)
+    return p.header
+
+
+@dataclass
+class Entries:
+    """Consecutive entries: number of the first, counts, depths, and all addresses in a row."""
+
+    first: int
+    counts: np.ndarray
+    depths: np.ndarray
+    addrs: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each stack; equal stacks have equal ones."""
+        ends = np.cumsum(self.depths)
+        place = np.arange(len(self.addrs)) - np.repeat(ends - self.depths, self.depths)
+        mixed = (self.addrs.view(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed ^ mixed >> np.uint64(29), dtype=np.uint64)])
+        return sums[ends] - sums[ends - self.depths] + self.depths.astype(np.uint64)
+
+
+#: Words (8 bytes) of a file that are decoded at once, and that the search for a boundary looks through.
+CHUNK, SEARCH = 1 << 20, 1 << 19
+
+
+def walk_entries(read: Callable[[int], bytes], entries: int | None, max_depth: int = MAX_DEPTH, words: int | None = None) -> Iterator[Entries]:
+    """Entries of a body that read(n bytes) gives piece by piece: so many of them, or as many as lie in so many words.
+
+    Raises a Fault at the first entry that is cut off, too deep, or counts 2^63 and more.
+    """
+    held, done, at, ended = np.zeros(0, "<i8"), 0, 0, False
+    while (entries is None or done < entries) and (words is None or at < words):
+        if not ended:
+            piece = read(8 * CHUNK)
+            ended = len(piece) < 8 * CHUNK
+            held = np.concatenate([held, np.frombuffer(piece, "<i8", len(piece) // 8)])
+        depth = held & 0xFFFFFFFF
+        after = (np.arange(2, len(held) + 2) + depth).tolist()
+        places, here, most = [], 0, len(held) if words is None else min(len(held), words - at)
+        left = len(held) if entries is None else entries - done
+        while here + 2 <= most and len(places) < left and after[here] <= len(held):
+            places.append(here)
+            here = after[here]
+        found = np.array(places, np.int64)
+        depths, counts = depth[found], held[found + 1]
+        if (depths > max_depth).any() or (counts < 0).any():
+            raise Fault(FileStatus.Integrity)
+        if len(found):
+            ends = np.cumsum(depths)
+            yield Entries(done, counts, depths, held[np.repeat(found + 2 - (ends - depths), depths) + np.arange(ends[-1])])
+        done, at, held = done + len(found), at + here, held[here:]
+        if (entries is None or done < entries) and (words is None or at < words):
+            if here + 2 <= len(depth) and depth[here] > max_depth:
+                raise Fault(FileStatus.Integrity)
+            if ended:
+                raise Fault(FileStatus.FileRead)
+
+
+def find_boundary(read_at: Callable[[int, int], bytes], words: int, at: int, max_depth: int = MAX_DEPTH) -> int | None:
+    """Word at or after `at` where an entry begins, or where the body of so many words ends; None if that can't be proven.
+
+    An entry begins at one of the first max_depth + 2 words. All of these are followed from entry to entry, in step; false
+    ones come upon an impossible depth or count, or meet the true one. What is left when one remains is a boundary.
+    read_at(word, number of words) reads the body.
+    """
+    if at == 0 or at >= words:
+        return min(at, words)
+    heap = list(range(at, min(at + max_depth + 2, words)))
+    waiting, held, end = set(heap), np.zeros(0, "<i8"), False
+    while heap:
+        p = heapq.heappop(heap)
+        waiting.discard(p)
+        if not heap and not end and p >= min(at + max_depth + 2, words):
+            return p
+        if p + 2 - at > len(held):
+            if len(held) >= SEARCH:
+                return None
+            more = min(1 << 13 if len(held) < 1 << 13 else SEARCH, words - at - len(held))
+            held = np.concatenate([held, np.frombuffer(read_at(at + len(held), more), "<i8")])
+        if p + 2 - at > len(held):
+            continue
+        depth, count = int(held[p - at]) & 0xFFFFFFFF, int(held[p - at + 1])
+        after = p + 2 + depth
+        if depth > max_depth or count < 0 or after > words:
+            continue
+        if after == words:
+            end = True
+        elif after not in waiting:
+            waiting.add(after)
+            heapq.heappush(heap, after)
+    return words if end else None
+
+
 def parse_map(data: bytes) -> Parsed:
     """(ord, base, end, executable, name) rows of a library map."""
     if len(data) < MAP_HEADER.size:
