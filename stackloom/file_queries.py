@@ -112,7 +112,7 @@ def _last_counts(spark, sf_dir):
 
 def _in_parts(spark, sf_dir):
     """The same files read by several tasks each, with a filter that the source takes whole."""
-    found = spark.read.format("pflw").option("duplicates", "all").option("splitBytes", str(64 << 10)).load(_repeated(spark, sf_dir)).where("process_id between 1 and 4")
+    found = files.entries_where(spark, _repeated(spark, sf_dir), F.col("process_id").between(1, 4), duplicates="all", splitBytes=str(64 << 10))
     return Q._entries(files.last_entries(files.number_entries(found)))
 
 

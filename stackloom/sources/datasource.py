@@ -1,8 +1,7 @@
 """spark.read.format("pflw") and ("libmap"): Python data sources over the same decoders, and a writer of sample files.
 
 Local paths are opened as such, others (hdfs://, s3://, gs://) by Arrow's file systems, on the driver and on executors
-alike; stackloom.sources.files reads through binaryFile whatever else Spark reaches. Filters on file and process_id are
-settled from the names before a file is opened. Small files share a task. A file of more than splitBytes is read by several
+alike; stackloom.sources.files reads through binaryFile whatever else Spark reaches. Small files share a task. A file of more than splitBytes is read by several
 tasks if duplicates=all: each finds for itself where entries begin. The writer's tasks leave files in a hidden folder,
 which the commit moves into place, so retried tasks and failed jobs leave nothing.
 """
@@ -116,18 +115,7 @@ class _Reader(DataSourceReader):
         return store.open_input_file(inner)
 
 
-class _NamedReader(_Reader):
-    """A reader whose rows tell their file, so that filters on it need no file."""
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if _test(f, self.known) is not None:
-                self.filters.append(f)
-            else:
-                yield f
-
-
-class SampleReader(_NamedReader):
+class SampleReader(_Reader):
     known = ("file", "process_id")
 
     def __init__(self, options: dict, ending: str) -> None:
@@ -226,7 +214,7 @@ class SampleReader(_NamedReader):
         return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-class HeaderReader(_NamedReader):
+class HeaderReader(_Reader):
     """Reads the first bytes of each file alone."""
 
     def read(self, partition: _Files):
@@ -241,6 +229,26 @@ class HeaderReader(_NamedReader):
             yield path, p.status.value, h.get("version"), h.get("entry_count"), h.get("max_depth"), h.get("timestamp")
 
 
+class _Pushed:
+    """Takes filters on what names tell. Spark 4.1 keeps the filtered files of a relation for its later scans, also for those
+    without that filter, so only files.entries_where reads this way, which lets no other filter come near."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if _test(f, self.known) is not None:
+                self.filters.append(f)
+            else:
+                yield f
+
+
+class PushedSampleReader(_Pushed, SampleReader):
+    pass
+
+
+class PushedHeaderReader(_Pushed, HeaderReader):
+    pass
+
+
 class MapReader(_Reader):
     def read(self, partition: _Files):
         for path in partition.paths:
@@ -317,6 +325,8 @@ class SampleSource(DataSource):
       (every entry), by which alone files of more than splitBytes are read by several tasks. entry_ord then numbers the entries
       of a part in its lower 40 bits and the parts in its upper ones; files.number_entries counts them through. Such a file
       ends with its last entry, and a fault in it is an error.
+    - pushdown: true lets filters on file and process_id be settled from the names before a file is opened; for
+      files.entries_where alone.
     - badFiles: skip (a file with a fault gives no rows), report (it gives one row with its status; a column status is
       added), or fail.
     """
@@ -336,7 +346,9 @@ class SampleSource(DataSource):
         return "file string, process_id long, entry_ord long, addrs array<long>, count long" + ", status string" * report
 
     def reader(self, schema):
-        return (HeaderReader if self._headers else SampleReader)(dict(self.options), ".pflw")
+        pushed = self.options.get("pushdown", "false") == "true"
+        kinds = (PushedHeaderReader, PushedSampleReader) if pushed else (HeaderReader, SampleReader)
+        return kinds[not self._headers](dict(self.options), ".pflw")
 
     def writer(self, schema, overwrite):
         return SampleWriter(dict(self.options), overwrite)

@@ -7,12 +7,14 @@ none: the source passes over it).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackloom.model import ANONYMOUS, LIB_MAP, MAX_DEPTH, SAMPLES, FileStatus, FileType
 from stackloom.session import ready
-from stackloom.sources.datasource import PART_BITS
+from stackloom.sources.datasource import PART_BITS, register
 from stackloom.sources.formats import parse_map, parse_samples
 
 SAMPLE_GLOB, MAP_GLOB = "*.pflw", "*.libmap"
@@ -116,6 +118,18 @@ def number_entries(entries: DataFrame) -> DataFrame:
     return entries.withColumn("part", part).join(starts, ["file", "part"]).withColumn("entry_ord", F.col("before") + low).select(*entries.columns)
 
 
+def entries_where(spark: SparkSession, path: str, condition: Column, **options: str) -> DataFrame:
+    """format("pflw") of the entries that meet a condition; what it says of file and process_id is settled from the names.
+
+    Files that don't meet it are never opened. Later filters stay above this one: the rows pass an observation
+    (stackloom_entries, their number), through which Spark pushes none, because relations of Python sources take the filters
+    of one scan over to others.
+    """
+    register(spark)
+    rows = spark.read.format("pflw").options(pushdown="true", **options).load(path)
+    return rows.where(F.col("file").isNotNull() & condition).observe(f"stackloom_entries_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("entries"))
+
+
 def last_entries(entries: DataFrame) -> DataFrame:
     """format("pflw") with duplicates=all: the rows of duplicates=last, by a shuffle instead of one task a file."""
     by = entries.groupBy("file", "process_id", "addrs").agg(F.min("entry_ord").alias("entry_ord"), F.max_by("count", "entry_ord").alias("count"))

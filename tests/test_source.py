@@ -124,16 +124,24 @@ def test_filters_are_settled_by_names(spark, tmp_path):
         ([D.StringContains(("file",), "b_rank")], {1, 3, 5}), ([D.IsNull(("file",))], set()), ([D.EqualTo(("file",), f"{path}/a_rank_2.pflw")], {2}), ([D.EqualNullSafe(("process_id",), None)], set()),
     ]
     for filters, want in cases:
-        reader, opened, _ = counting(datasource.SampleReader({"path": path, "badfiles": "fail"}, ".pflw"))
+        reader, opened, _ = counting(datasource.PushedSampleReader({"path": path, "badfiles": "fail"}, ".pflw"))
         assert list(reader.pushFilters([*filters, D.EqualTo(("count",), 1)])) == [D.EqualTo(("count",), 1)]
         got = [x for p in reader.partitions() for b in reader.read(p) for x in b.column(1).to_pylist()]
         assert set(got) == want == {int(x.split("_")[2].split(".")[0]) for x in opened}
-    df = spark.read.format("pflw").option("badFiles", "fail").load(path)
-    few = df.where("process_id in (1, 2) and file like '%/b%' and count > 1")
-    assert [r["process_id"] for r in few.collect()] == [1]
-    plan = df.where("process_id = 1")._jdf.queryExecution().executedPlan().toString()
-    assert "BatchScan pflw" in plan and "Filter" not in plan.replace("RuntimeFilters", "")  # the source has taken it whole
-    assert df.where("process_id = 3 or count = 1").where("process_id < 7").count() == 2
+    few = files.entries_where(spark, path, F.expr("process_id in (1, 2) and file like '%/b%' and count > 1"), badFiles="fail")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert [r["process_id"] for r in few.collect()] == [1] and "BatchScan pflw" in plan
+
+
+def test_filters_of_one_scan_leave_others_alone(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"rank_{i}.pflw").write_bytes(pack_samples([([i], i + 1)]))
+    for df in (spark.read.format("pflw").load(str(tmp_path)).where("process_id < 4"), files.entries_where(spark, str(tmp_path), F.col("process_id") < 4)):
+        assert [df.where("process_id = 1").count(), df.count(), df.where("process_id > 1").count()] == [1, 4, 2]
+        one, others = (df.where(c).select("process_id") for c in ("process_id = 1", "process_id <> 1"))
+        assert sorted(r[0] for r in one.unionAll(others).collect()) == [0, 1, 2, 3]
+    pushed = files.entries_where(spark, str(tmp_path), F.col("process_id") < 4)
+    assert "PushedFilters: [IsNotNull(process_id), IsNotNull(file), LessThan(process_id,4)]" in pushed._sc._jvm.PythonSQLUtils.explainString(pushed._jdf.queryExecution(), "formatted")
 
 
 def test_headers_are_all_that_is_read(spark, tmp_path):
