@@ -25,7 +25,7 @@ from stackloom.operators import resolve as R
 from stackloom.operators import samples as S
 from stackloom.plans.builder import WorkflowBuilder, create_full_analysis_workflow
 from stackloom.plans.executor import CachingExecutor, GraphExecutor, ParallelExecutor
-from stackloom.plans.nodes import CustomNode, MergeNode, TransformNode, union_all
+from stackloom.plans.nodes import CustomNode, FilterNode, MergeNode, TransformNode, union_all
 from stackloom.session import delete_on_exit, ready, scratch_dir
 from stackloom.sinks import writers as W
 from stackloom.sources import datasource, files, formats
@@ -116,6 +116,12 @@ def _in_parts(spark, sf_dir):
     return Q._entries(files.last_entries(files.number_entries(found)))
 
 
+def _predicate(spark, sf_dir):
+    """Nodes by a function of a node, asked of those alone that meet the other conditions."""
+    node = FilterNode(min_samples=20, predicate=lambda n: n.depth % 2 == 1 and len(n.function_name) > 6)
+    return node.execute({"tree": _tree(spark, sf_dir)})["nodes"].select("function_name", "depth", "total_samples", "is_leaf")
+
+
 def _header_source(spark, sf_dir):
     path = stored(spark, _samples(spark, sf_dir))
     return spark.read.format("pflw").option("headerOnly", "true").load(path).select(files.rank_of(F.col("file")).alias("process_id"), "status", "entry_count")
@@ -573,6 +579,7 @@ def _all():
             q("graph_levels", _levels, "SELECT CAST(l AS BIGINT) AS level, name, CAST(b AS BIGINT) AS before, CAST(a AS BIGINT) AS after FROM (VALUES (0, 'LoadData', 0, 3), (1, 'HotspotAnalysis', 1, 1), (1, 'TotalHotspots', 1, 1), (1, 'BalanceAnalysis', 1, 0), (2, 'Merge', 2, 1), (3, 'Transform', 1, 1), (4, 'Custom', 1, 0)) v(l, name, b, a)"),
             q("visited_nodes", _visited, Q._ORDER + f", w AS (SELECT *, {_VISIT} FROM chain) SELECT function_name, depth, total_samples, visit_rank FROM w WHERE visit_rank <= (SELECT min(visit_rank) FROM w WHERE function_name = 'ASIA')"),
             q("traversal_node", _traversal_node, Q._ORDER + ", w AS (SELECT *, row_number() OVER (ORDER BY o || [{'p': 9223372036854775807, 'f': '', 'l': ''}]) AS visit_rank FROM chain), l AS (SELECT min(visit_rank) AS n FROM w WHERE function_name = 'ASIA') SELECT function_name, visit_rank, (SELECT n FROM l) AS visited FROM w WHERE visit_rank <= (SELECT n FROM l) AND depth <> 3"),
+            q("filter_predicate", _predicate, Q._nodes() + "SELECT function_name, depth, total_samples, NOT EXISTS (SELECT 1 FROM t k WHERE k.parent = t.path AND k.depth = t.depth + 1) AS is_leaf FROM t WHERE total_samples >= 20 AND depth % 2 = 1 AND length(function_name) > 6"),
             q("full_workflow", _full_workflow, hot + "5"),
             q("converted_samples", _converted, Q._RESOLVED + "SELECT * FROM r"),
             q("symbolized", _symbolized, "SELECT DISTINCT 'lib' || l_suppkey % 3 AS library, l_partkey AS place, 'f_0x' || lower(to_hex(l_partkey + CASE WHEN l_partkey < 64 THEN 4096 ELSE 0 END)) AS function_name, 'lib' || l_suppkey % 3 || '.c' AS filename, 7 AS line_number, 'Success' AS status FROM lineitem"),

@@ -29,7 +29,7 @@ class WorkflowBuilder:
 
     def load_data(self, sample_files=None, libmap_files=None, mode="context_free", count_mode="both", name: str = "LoadData", **more) -> WorkflowBuilder:
         self._load = LoadDataNode(sample_files, libmap_files, mode, count_mode, name, **more)
-        return self._add(self._load, "load_data")
+        return self._add(self._load, "load_data", "load")
 
     def find_hotspots(self, top_n: int = 10, mode: str = "self", name: str = "HotspotAnalysis") -> WorkflowBuilder:
         return self._add(HotspotAnalysisNode(top_n, mode, name), "hotspots", fed=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from stackloom.model import ConcurrencyModel, SampleCountMode, TreeBuildMode
 from stackloom.operators import analysis
 from stackloom.operators.tree import Tree
 from stackloom.plans.graph import DataflowNode
+from stackloom.session import ready
 
 
 def _mode(kind, value, default):
@@ -24,9 +26,9 @@ def _mode(kind, value, default):
 
 
 class LoadDataNode(DataflowNode):
-    """Builds a tree of stacks, or of sample files and library maps."""
+    """Builds a tree of stacks, or of sample files and library maps; concurrency models and threads change nothing."""
 
-    def __init__(self, sample_files=None, libmap_files=None, mode="context_free", count_mode="both", name: str = "LoadData", stacks: DataFrame | None = None, spark: SparkSession | None = None, time_per_sample: float = 1000.0, frame_order: str = "root_first", symbols: DataFrame | None = None) -> None:
+    def __init__(self, sample_files=None, libmap_files=None, mode="context_free", count_mode="both", name: str = "LoadData", stacks: DataFrame | None = None, spark: SparkSession | None = None, time_per_sample: float = 1000.0, frame_order: str = "root_first", symbols: DataFrame | None = None, concurrency_model="serial", num_threads: int = 0) -> None:
         self.sample_files, self.libmap_files = list(sample_files or []), list(libmap_files or [])
         self.mode, self.count_mode = _mode(TreeBuildMode, mode, TreeBuildMode.ContextFree), _mode(SampleCountMode, count_mode, SampleCountMode.Both)
         self.stacks, self.spark, self.time_per_sample, self.frame_order, self.symbols = stacks, spark, time_per_sample, frame_order, symbols
@@ -72,12 +74,28 @@ class BalanceAnalysisNode(DataflowNode):
         return {"balance": found, "summary": found.select("mean_samples", "std_dev_samples", "imbalance_factor", "is_balanced")}
 
 
+#: What a predicate in Python sees of a node, as attributes.
+NODE_FIELDS = ("node_id", "parent_id", "depth", "function_name", "library_name", "raw_address", "offset", "filename", "line_number", "total_samples", "self_samples", "total_time_us", "call_count", "child_count", "is_leaf", "is_root")
+
+
+def node_test(predicate: Callable[[Any], Any]) -> Column:
+    """A predicate of one node (its NODE_FIELDS) as a Column, called for the nodes of an Arrow batch at a time."""
+
+    @F.pandas_udf("boolean")
+    def test(nodes: pd.DataFrame) -> pd.Series:
+        return pd.Series([bool(predicate(n)) for n in nodes.itertuples(index=False, name="Node")], dtype=bool)
+
+    return test(F.struct(*NODE_FIELDS))
+
+
 class FilterNode(DataflowNode):
-    """Nodes that meet all conditions; bounds are inclusive, predicate is a Column."""
+    """Nodes that meet all conditions; bounds are inclusive, predicate is a Column, or a function of a node that is asked last."""
 
-    def __init__(self, min_samples: int | None = None, max_samples: int | None = None, min_self_samples: int | None = None, function_pattern: str | None = None, library_name: str | None = None, predicate: Column | None = None, name: str = "Filter", strict: bool = True) -> None:
+    def __init__(self, min_samples: int | None = None, max_samples: int | None = None, min_self_samples: int | None = None, function_pattern: str | None = None, library_name: str | None = None, predicate: Column | Callable[[Any], Any] | None = None, name: str = "Filter", strict: bool = True) -> None:
         self.min_samples, self.max_samples, self.min_self_samples = min_samples, max_samples, min_self_samples
         self.function_pattern, self.library_name, self.predicate, self.strict = function_pattern, library_name, predicate, strict
+        if predicate is not None and not isinstance(predicate, Column) and not callable(predicate):
+            raise TypeError("predicate is a Column or a function of a node")
         super().__init__(name, {"tree": "Tree"}, {"nodes": "DataFrame", "count": "DataFrame"})
 
     def execute(self, inputs: dict[str, Any]) -> dict[str, Any]:
@@ -88,11 +106,13 @@ class FilterNode(DataflowNode):
             self.min_self_samples is not None and F.col("self_samples") >= self.min_self_samples,
             self.function_pattern is not None and wildcard(F.col("function_name"), self.function_pattern, self.strict),
             self.library_name is not None and F.col("library_name") == self.library_name,
-            self.predicate,
         ]
         for t in tests:
             if isinstance(t, Column):
                 out = out.where(t)
+        if self.predicate is not None:
+            ready(out.sparkSession)
+            out = out.where(self.predicate if isinstance(self.predicate, Column) else node_test(self.predicate))
         return {"nodes": out, "count": out.agg(F.count("*").alias("count"))}
 
 

@@ -240,7 +240,7 @@ def hotspot_table(tree: Tree, top_n: int = 10, show_inclusive: bool = False) ->
 
 def balance_table(tree: Tree) -> str:
     b = analysis.balance(tree).first()
-    rows = [("Processes:", len(b["process_samples"])), ("Mean samples:", f"{b['mean_samples']:.1f}"), ("Std deviation:", f"{b['std_dev_samples']:.1f}"), ("Min samples:", f"{b['min_samples']:.0f} (process {b['least_loaded_process']})"), ("Max samples:", f"{b['max_samples']:.0f} (process {b['most_loaded_process']})"), ("Imbalance factor:", f"{b['imbalance_factor']:.2f}")]
+    rows = [("Processes:", tree.process_count if b["process_samples"] is None else len(b["process_samples"])), ("Mean samples:", f"{b['mean_samples']:.1f}"), ("Std deviation:", f"{b['std_dev_samples']:.1f}"), ("Min samples:", f"{b['min_samples']:.0f} (process {b['least_loaded_process']})"), ("Max samples:", f"{b['max_samples']:.0f} (process {b['most_loaded_process']})"), ("Imbalance factor:", f"{b['imbalance_factor']:.2f}")]
     return "\n".join(["\nWorkload Balance Analysis:", "-" * 40, *[f"  {k:<17} {v}" for k, v in rows], "-" * 40])
 
 

@@ -4,12 +4,15 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from stackloom import file_queries as M
 from stackloom.model import LIB_MAP, ResolveStrategy
 from stackloom.operators import analysis as A
 from stackloom.operators import resolve as R
 from stackloom.operators.tree import build_tree
+from stackloom.plans.builder import WorkflowBuilder
+from stackloom.plans.nodes import FilterNode
 from stackloom.session import scratch_dir
 from stackloom.sinks import writers as W
 from stackloom.sources import datasource, files
@@ -63,6 +66,26 @@ def test_balance_with_a_far_process(spark):
     assert (b["mean_samples"], b["std_dev_samples"], b["imbalance_factor"], b["process_samples"]) == (0.0, 0.0, 0.0, [])
 
 
+def test_balance_table_with_a_far_process(spark):
+    table = W.balance_table(build_tree(stacks(spark, (0, "main@a", 5), (4294967295, "main@a", 7))))
+    assert "Processes:        4294967296" in table
+
+
+def test_filter_predicates(spark):
+    tree = build_tree(stacks(spark, (0, "main@a > f@b", 5), (0, "main@a > g@b", 7), (1, "main@a", 1)))
+    run = lambda **c: sorted(r["function_name"] for r in FilterNode(**c).execute({"tree": tree})["nodes"].collect())
+    assert run(predicate=lambda n: False) == [] and run(predicate=lambda n: n.function_name > "f" and not n.is_root) == run(predicate=F.col("function_name") > "f") == ["g", "main"]
+    assert run(predicate=lambda n: 1 // (n.total_samples > 6) > 0, min_samples=7) == ["[root]", "g"] and len(run()) == 4
+    with pytest.raises(TypeError, match="predicate"):
+        FilterNode(predicate="depth > 1")
+
+
+def test_builder_takes_threads_and_the_name_load(spark):
+    b = WorkflowBuilder().load_data(stacks=stacks(spark, (0, "main@a", 5)), spark=spark, concurrency_model="Serial", num_threads=2).custom(lambda tree: {"n": tree["tree"].total_samples}, {"tree": "Tree"}, {"n": "int"}, name="count")
+    out = b.connect("load", "count", "tree").execute()
+    assert b.get_node("load") is b.get_node("load_data") and out[b.get_node("count").node_id]["n"] == 5
+
+
 def test_stream_takes_rewritten_files(spark, tmp_path):
     data = tmp_path / "in"
     data.mkdir()
