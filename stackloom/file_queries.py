@@ -218,15 +218,15 @@ def _analyzed(spark, sf_dir):
 
 
 def _online(spark, sf_dir, replace=False) -> OnlineAnalysis:
-    """Samples first, maps after them; in replace mode files that hold other samples are written over before."""
-    data = folder(spark, "watched")
+    """Samples first, maps after them; in replace mode each process has reported other samples before."""
+    data, samples = folder(spark, "watched"), _addressed(spark, sf_dir).select("process_id", "addrs", "count")
+    datasource.register(spark)
     o = OnlineAnalysis(spark, data, folder(spark, "state"), count_mode=BOTH, replace=replace)
     if replace:
-        for p in range(7):
-            put(f"{data}/rank_{p}.pflw", formats.pack_samples([([1, 2, 3], 99)]))
+        other = samples.select("process_id", F.array(*map(F.lit, (1, 2, 3))).cast("array<long>").alias("addrs"), F.lit(99).cast("long").alias("count")).distinct()
+        other.repartition("process_id").write.format("pflw").mode("append").save(data)
         o.start(None).awaitTermination(300)
-    for p in range(7):
-        W.export_samples(_addressed(spark, sf_dir).where(F.col("process_id") == p), f"{data}/rank_{p}.pflw")
+    samples.repartition("process_id").write.format("pflw").mode("overwrite").save(data)
     o.start(None).awaitTermination(300)
     for p in range(4):
         W.export_map(Q._ranges(spark, sf_dir).where(F.col("process_id") == p), f"{data}/process_{p}.libmap", 99)

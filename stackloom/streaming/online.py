@@ -1,55 +1,79 @@
 """Analysis of a folder that is still receiving files, by Structured Streaming.
 
-Files arrive through the binaryFile source; each batch is decoded and appended to tables under a state folder, and
-tree, hotspots and balance derive from those tables at any time. Library maps join at that moment, so a map that
-comes after its samples still counts. The number of processes never shrinks. By default each path is read once. In
-replace mode a rewritten file (later modification time, or another length) takes the place of what the same rank reported
-before; the file source never reads a path twice, so there each trigger of a clock scans the folder. State written by
-many small batches is folded into one file per table every COMPACT batches.
+format("rundir") tells which files have come or changed; a batch decodes them, resolves their addresses once and adds
+signed entries (process, stack, count) to tables of runs: positive ones for what came, negative ones for what it
+replaces. Runs merge by levels, where opposite entries cancel, so the work of a batch follows the batch, and tree,
+hotspots and balance follow the entries that are left. By default each path is read once. In replace mode a rewritten file
+(another time or length) takes the place of what the same rank reported before, unless that was later. A library map may
+come after its samples: it takes back the entries of its process and adds them as it resolves them. The number of
+processes never shrinks. Batches may be delivered again or repeat versions of files: the tables know what they hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stackloom.model import LIB_MAP, SAMPLES, TIME_PER_SAMPLE, FileType, SampleCountMode, TreeBuildMode
+from stackloom.functions.callstack import root_first
+from stackloom.model import FRAME, SAMPLES, TIME_PER_SAMPLE, FileStatus, FileType, SampleCountMode, TreeBuildMode
 from stackloom.operators import analysis
 from stackloom.operators.resolve import latest_maps, resolve_samples
 from stackloom.operators.tree import Tree, build_tree
 from stackloom.session import ready
-from stackloom.sources.files import decode_maps, decode_samples, file_type, list_files, map_rank_of, samples_of
+from stackloom.sources.files import decode_maps, decode_samples, file_type, list_files, map_rank_of, rank_of, samples_of, status_of
+from stackloom.sources.staging import store_of
+from stackloom.streaming.folder import FolderSource
+from stackloom.streaming.runs import Runs
 
-_EVENTS = "path string, file_type string, modified timestamp, length long, batch_id long"
-_SAMPLES = "file string, process_id long, entry_ord long, addrs array<long>, count long, modified timestamp, batch_id long"
-_MAPS = "process_id long, ord int, base long, end long, executable boolean, name string, loaded long"
+_FRAMES = f"array<{FRAME.simpleString()}>"
+_SCHEMAS = {
+    "entries": f"process_id long, file string, modified timestamp, entry_ord long, frames {_FRAMES}, count long",
+    "maps": "process_id long, ord int, base long, end long, executable boolean, name string, loaded long",
+    "events": "path string, file_type string, modified timestamp, length long, batch_id long, process_id long",
+}
+_KEY = ("process_id", "file", "modified", "entry_ord", "frames")
+#: Bits of the order of entries that number those of a file; the upper ones number the files of a process.
+ORDER_BITS = 40
 
 
-#: Batches whose small files are folded into one.
-COMPACT = 64
+def _net(entries: DataFrame) -> DataFrame:
+    """Entries with opposite ones cancelled."""
+    return entries.groupBy(*_KEY).agg(F.sum("count").alias("count")).where("count <> 0")
 
 
-class _Ended:
-    """What start returns where everything was taken at once."""
+def _placed(files: DataFrame, *order: str) -> DataFrame:
+    """Files of a process, numbered: one row for each file, whatever it holds."""
+    return files.withColumn("at", F.row_number().over(Window.partitionBy("process_id").orderBy(*order)).cast("long") - 1)
 
-    isActive = False
 
-    def awaitTermination(self, timeout: float | None = None) -> bool:
-        return True
+def with_content(files: DataFrame) -> DataFrame:
+    """(path, content) of files (path); executors read them. A file that is gone has no content and no row."""
 
-    def stop(self) -> None:
-        pass
+    def run(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, inner, _ = store_of(path)
+                try:
+                    with store.open_input_stream(inner) as f:
+                        data = f.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], names=["path", "content"])
+
+    return files.select("path").mapInArrow(run, "path string, content binary")
 
 
 class OnlineAnalysis:
     """Watches a folder; results are DataFrames over all files seen so far."""
 
-    def __init__(self, spark: SparkSession, folder: str, state: str, build_mode: TreeBuildMode = TreeBuildMode.ContextFree, count_mode: SampleCountMode = SampleCountMode.Exclusive, frame_order: str = "root_first", replace: bool = False, time_per_sample: float = TIME_PER_SAMPLE) -> None:
+    def __init__(self, spark: SparkSession, folder: str, state: str, build_mode: TreeBuildMode = TreeBuildMode.ContextFree, count_mode: SampleCountMode = SampleCountMode.Exclusive, frame_order: str = "root_first", replace: bool = False, time_per_sample: float = TIME_PER_SAMPLE, max_files: int = 0) -> None:
         self.spark, self.folder, self.state = ready(spark), folder, state.rstrip("/")
         self.build_mode, self.count_mode, self.frame_order = build_mode, count_mode, frame_order
-        self.replace, self.time_per_sample = replace, time_per_sample
+        self.replace, self.time_per_sample, self.max_files = replace, time_per_sample, max_files
+        self.runs = Runs(spark, self.state, _SCHEMAS, {"entries": _net})
         self._callback: Callable[[str, str, bool], None] | None = None
         self._on_batch: Callable[[OnlineAnalysis, int], None] | None = None
         self.query = None
@@ -59,21 +83,16 @@ class OnlineAnalysis:
         self._callback = callback
 
     def set_batch_callback(self, callback: Callable[[OnlineAnalysis, int], None] | None) -> None:
-        """callback(self, batch number) after each batch: summaries, exports."""
+        """callback(self, batch number) after each batch that brought files: summaries, exports."""
         self._on_batch = callback
 
     def start(self, interval: str | None = "1 second"):
-        """Begin to watch; interval None takes all that is there and ends."""
-        if self.replace:
-            if interval is None:
-                self.scan()
-                self.query = _Ended()
-            else:
-                clock = self.spark.readStream.format("rate").load()
-                self.query = clock.writeStream.foreachBatch(lambda _, number: self.scan()).trigger(processingTime=interval).start()
-            return self.query
-        stream = self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pflw,libmap}").load(self.folder)
-        writer = stream.writeStream.foreachBatch(self.handle).option("checkpointLocation", f"{self.state}/checkpoint")
+        """Begin to watch; interval None takes all that is there and ends. max_files bounds a batch of a watch."""
+        self.spark.dataSource.register(FolderSource)
+        reader = self.spark.readStream.format("rundir")
+        if interval and self.max_files:
+            reader = reader.option("maxFilesPerTrigger", self.max_files)
+        writer = reader.load(self.folder).writeStream.foreachBatch(lambda batch, _: self.handle(batch)).option("checkpointLocation", f"{self.state}/checkpoint")
         self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
         return self.query
 
@@ -83,84 +102,92 @@ class OnlineAnalysis:
             self.query = None
 
     def scan(self) -> int:
-        """One pass without a stream: take files that are new, or in replace mode changed, since the tables were written."""
-        files = list_files(self.spark, self.folder).where(F.col("file_type").isin(FileType.SampleData.value, FileType.LibraryMap.value))
-        seen = self.events.groupBy("path").agg(F.max(F.struct("modified", "batch_id", "length")).alias("had"))
-        changed = "had is null or modified > had.modified or length <> had.length"
-        fresh = files.join(seen, "path", "left").where(changed if self.replace else "had is null")
-        rows = [r["path"] for r in fresh.select("path").toLocalIterator()]
-        if rows:
-            number = (self.events.agg(F.max("batch_id")).first()[0] or 0) + 1
-            self.handle(self.spark.read.format("binaryFile").load(rows), number)
-        return len(rows)
-
-    def handle(self, batch: DataFrame, batch_id: int) -> None:
-        """Store one batch. A batch that is delivered again replaces its own rows, so retries don't count twice."""
-        files = batch.withColumn("file_type", file_type(F.col("path"))).persist()
-        info = files.select("path", "file_type", F.col("modificationTime").alias("modified"), "length", F.lit(batch_id).cast("long").alias("batch_id"))
-        known = self.events.where(F.col("batch_id") != batch_id).select("path").distinct()
-        listed = info.join(known.withColumn("old", F.lit(True)), "path", "left").select("path", "file_type", F.col("old").isNull().alias("is_new"))
-        told = [tuple(r) for r in listed.toLocalIterator()] if self._callback else []
-        times = files.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"))
-        kind = lambda t: files.where(F.col("file_type") == t.value).select("path", "content")
-        samples = samples_of(decode_samples(kind(FileType.SampleData))).join(times, "file").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        maps = decode_maps(kind(FileType.LibraryMap)).where("ord is not null").select(F.when(map_rank_of(F.col("file"))["rank"] >= 0, map_rank_of(F.col("file"))["rank"]).otherwise(F.col("header_process_id")).alias("process_id"), *LIB_MAP.fieldNames()[1:], F.lit(batch_id).cast("long").alias("loaded"))
-        for df, name in ((samples, "samples"), (maps, "maps"), (info, "events")):
-            df.write.mode("overwrite").parquet(f"{self.state}/{name}/batch={batch_id}")
-        files.unpersist()
-        if batch_id and batch_id % COMPACT == 0:
-            self._compact(batch_id)
+        """One pass without a stream over files that are new, or in replace mode changed; also such as came with old times."""
+        return self.handle(list_files(self.spark, self.folder).select("path", F.col("modified").alias("modificationTime"), "length"))
+
+    def handle(self, batch: DataFrame) -> int:
+        """Store what is new of a batch (path, modificationTime, length); the number of files taken."""
+        state = self.runs.manifest()
+        number = state["last"] + 1
+        kinds = (FileType.SampleData.value, FileType.LibraryMap.value)
+        events = self.runs.table("events", state["runs"]["events"])
+        listed = batch.select("path", file_type(F.col("path")).alias("file_type"), F.date_trunc("millisecond", "modificationTime").alias("modified"), "length").where(F.col("file_type").isin(*kinds)).dropDuplicates(["path", "modified", "length"])
+        known = events.select("path", F.lit(True).alias("old")).distinct()
+        same = ["path", "modified", "length"] if self.replace else ["path"]
+        fresh = listed.join(events.select(*same), same, "left_anti").join(known, "path", "left").withColumn("is_new", F.col("old").isNull()).drop("old")
+        fresh = fresh.persist()
+        taken = dict(map(tuple, fresh.groupBy("file_type").agg(F.count("*")).collect()))
+        if not taken:
+            fresh.unpersist()
+            return 0
+        content = with_content(fresh).persist()
+        kind = lambda t: content.where(file_type(F.col("path")) == t.value)
+        decoded = decode_samples(kind(FileType.SampleData)).persist()
+        times = fresh.select(F.col("path").alias("file"), "modified")
+        samples = samples_of(decoded).join(times, "file")
+        rank = map_rank_of(F.col("file"))["rank"]
+        maps = decode_maps(kind(FileType.LibraryMap)).where("ord is not null").select(F.when(rank >= 0, rank).otherwise(F.col("header_process_id")).alias("process_id"), "ord", "base", "end", "executable", "name", F.lit(number).cast("long").alias("loaded")).persist()
+        gone = mapped = None  # processes that report anew, and that are resolved anew
+        if self.replace and kinds[0] in taken:
+            good = status_of(decoded).where(F.col("status") == FileStatus.Success.value).select("file", rank_of(F.col("file")).alias("process_id")).join(times, "file")
+            # The latest version of each rank, unless what it reported before is later still.
+            latest = good.groupBy("process_id").agg(F.max(F.struct("modified", "file")).alias("m")).select("process_id", "m.modified", "m.file")
+            before = events.where(F.col("file_type") == kinds[0]).join(latest.select("process_id"), "process_id", "left_semi").groupBy("process_id").agg(F.max("modified").alias("until"))
+            latest = latest.join(before, "process_id", "left").where("until is null or modified >= until").drop("until").persist()
+            samples = samples.join(latest, ["process_id", "modified", "file"], "left_semi")
+            gone = latest.select("process_id")
+        raw = samples.select("process_id", "file", "modified", "entry_ord", root_first(F.col("addrs"), self.frame_order).alias("addrs"), "count")
+        had, known_maps = self.runs.table("entries", state["runs"]["entries"]), self.runs.table("maps", state["runs"]["maps"])
+        if kinds[1] in taken:
+            mapped, known_maps = maps.select("process_id").distinct(), known_maps.unionByName(maps)
+            again = _net(had.join(mapped, "process_id", "left_semi"))
+            again = again if gone is None else again.join(gone, "process_id", "left_anti")
+            raw = raw.unionByName(again.select("process_id", "file", "modified", "entry_ord", F.transform("frames", lambda f: f["raw_address"]).alias("addrs"), "count"))
+        entries = self._resolved(raw, latest_maps(known_maps).drop("loaded"))
+        touched = [x for x in (gone, mapped) if x is not None]
+        if touched and state["runs"]["entries"]:
+            all_ = touched[0] if len(touched) == 1 else touched[0].unionByName(touched[1])
+            old = _net(had.join(all_, "process_id", "left_semi"))
+            entries = entries.unionByName(old.withColumn("count", -F.col("count")))
+        info = fresh.select("path", "file_type", "modified", "length", F.lit(number).cast("long").alias("batch_id"), rank_of(F.col("path")).alias("process_id"))
+        told = [tuple(r) for r in fresh.select("path", "file_type", "is_new").toLocalIterator()] if self._callback else []
+        self.runs.commit(number, {"entries": entries, "events": info} | ({"maps": maps} if mapped is not None else {}), {"entries": "process_id", "maps": "process_id"})
+        for df in (content, decoded, maps, fresh, *([latest] if gone is not None else [])):
+            df.unpersist()
         for path, what, new in told:
             self._callback(path, what, new)
         if self._on_batch:
-            self._on_batch(self, batch_id)
-
-    def _compact(self, batch_id: int) -> None:
-        """Rows of all batches before this one in one folder in their place. Batches that far back are never delivered again.
-
-        The new folder is whole before the old ones go, and it holds their numbers, so a stop in between leaves rows twice
-        at most until the next pass, which drops repeated ones.
-        """
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name, schema in (("samples", _SAMPLES), ("maps", _MAPS), ("events", _EVENTS)):
-            top = jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
-            fs = top.getFileSystem(conf)
-            old = [s.getPath() for s in fs.listStatus(top) if s.getPath().getName() != f"batch={batch_id}"]
-            if len(old) < 2:
-                continue
-            whole = jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}/batch=0-{batch_id - 1}")
-            hidden = jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}/_{batch_id}")
-            self.spark.read.schema(schema).parquet(*[p.toString() for p in old if not p.getName().startswith("_")]).dropDuplicates().coalesce(1).write.mode("overwrite").parquet(hidden.toString())
-            fs.rename(hidden, whole)
-            for p in old:
-                fs.delete(p, True)
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
-        if not p.getFileSystem(conf).exists(p):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.state}/{name}/batch=*")
+            self._on_batch(self, number)
+        return sum(taken.values())
+
+    def _resolved(self, raw: DataFrame, maps: DataFrame) -> DataFrame:
+        """Entries with frames, of rows (process_id, file, modified, entry_ord, addrs, count)."""
+        files = _placed(raw.select("process_id", "file", "modified").distinct(), "file", "modified")
+        numbered = raw.join(files, ["process_id", "file", "modified"]).withColumn("entry_ord", F.shiftleft("at", ORDER_BITS) + F.col("entry_ord"))
+        found = resolve_samples(numbered, maps, None, "root_first", self.time_per_sample).withColumn("at", F.shiftright("entry_ord", ORDER_BITS))
+        own = F.col("entry_ord").bitwiseAND((1 << ORDER_BITS) - 1)
+        return found.join(files, ["process_id", "at"]).select("process_id", "file", "modified", own.alias("entry_ord"), F.col("frames").cast(_FRAMES).alias("frames"), "count")
 
     @property
     def events(self) -> DataFrame:
-        """Files taken so far: path, file_type, modified, length, batch_id."""
-        return self._table("events", _EVENTS)
+        """Versions of files taken so far: path, file_type, modified, length, batch_id, process_id."""
+        return self.runs.table("events")
+
+    @property
+    def _live(self) -> DataFrame:
+        return _net(self.runs.table("entries"))
 
     @property
     def samples(self) -> DataFrame:
-        rows = self._table("samples", _SAMPLES)
-        if self.replace:
-            last = rows.groupBy("process_id").agg(F.max(F.struct("modified", "batch_id", "file")).alias("m"))
-            rows = rows.join(last, "process_id").where(F.struct("modified", "batch_id", "file") == F.col("m")).drop("m")
-        return rows.select(*SAMPLES.fieldNames())
+        addrs = F.transform("frames", lambda f: f["raw_address"])
+        return self._live.withColumn("addrs", F.reverse(addrs) if self.frame_order == "leaf_first" else addrs).select(*SAMPLES.fieldNames())
 
     @property
     def tree(self) -> Tree:
-        maps = latest_maps(self._table("maps", _MAPS)).drop("loaded")
-        w = Window.partitionBy("process_id").orderBy("file", "entry_ord")
-        samples = self.samples.withColumn("entry_ord", F.row_number().over(w).cast("long"))
-        return build_tree(resolve_samples(samples, maps, None, self.frame_order, self.time_per_sample), self.build_mode, self.count_mode)
+        live = self._live
+        place = _placed(live.select("process_id", "file").distinct(), "file")
+        stacks = live.join(place, ["process_id", "file"]).select("process_id", (F.shiftleft("at", ORDER_BITS) + F.col("entry_ord")).alias("entry_ord"), "frames", "count", (F.col("count") * F.lit(float(self.time_per_sample))).alias("time_us"))
+        return build_tree(stacks, self.build_mode, self.count_mode)
 
     @property
     def files_processed(self) -> int:

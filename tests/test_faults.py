@@ -103,20 +103,6 @@ def test_stream_takes_rewritten_files(spark, tmp_path):
     assert o.tree.total_samples == 9
 
 
-def test_state_is_compacted(spark, tmp_path, monkeypatch):
-    from stackloom.streaming import online
-
-    monkeypatch.setattr(online, "COMPACT", 3)
-    data = tmp_path / "in"
-    data.mkdir()
-    o = OnlineAnalysis(spark, str(data), f"file://{tmp_path}/state")
-    for i in range(4):
-        (data / f"rank_{i}.pflw").write_bytes(pack_samples([([i + 1], 1)]))
-        o.scan()
-    assert sorted(os.listdir(tmp_path / "state" / "samples")) == ["batch=0-2", "batch=3", "batch=4"]
-    assert o.tree.total_samples == 4 and o.files_processed == 4 and o.scan() == 0
-
-
 def test_writer_leaves_nothing_of_failed_jobs(spark, tmp_path):
     datasource.register(spark)
     df = spark.range(100).selectExpr("id % 3 process_id", "array(id) addrs", "1L count")
