@@ -127,7 +127,7 @@ class OnlineAnalysis:
         samples = samples_of(decoded).join(times, "file")
         rank = map_rank_of(F.col("file"))["rank"]
         maps = decode_maps(kind(FileType.LibraryMap)).where("ord is not null").select(F.when(rank >= 0, rank).otherwise(F.col("header_process_id")).alias("process_id"), "ord", "base", "end", "executable", "name", F.lit(number).cast("long").alias("loaded")).persist()
-        gone = mapped = None  # processes that report anew, and that are resolved anew
+        gone = mapped = latest = None  # processes that report anew, and that are resolved anew
         if self.replace and kinds[0] in taken:
             good = status_of(decoded).where(F.col("status") == FileStatus.Success.value).select("file", rank_of(F.col("file")).alias("process_id")).join(times, "file")
             # The latest version of each rank, unless what it reported before is later still.
@@ -140,19 +140,20 @@ class OnlineAnalysis:
         had, known_maps = self.runs.table("entries", state["runs"]["entries"]), self.runs.table("maps", state["runs"]["maps"])
         if kinds[1] in taken:
             mapped, known_maps = maps.select("process_id").distinct(), known_maps.unionByName(maps)
-            again = _net(had.join(mapped, "process_id", "left_semi"))
-            again = again if gone is None else again.join(gone, "process_id", "left_anti")
-            raw = raw.unionByName(again.select("process_id", "file", "modified", "entry_ord", F.transform("frames", lambda f: f["raw_address"]).alias("addrs"), "count"))
-        entries = self._resolved(raw, latest_maps(known_maps).drop("loaded"))
         touched = [x for x in (gone, mapped) if x is not None]
+        old = None
         if touched and state["runs"]["entries"]:
             all_ = touched[0] if len(touched) == 1 else touched[0].unionByName(touched[1])
-            old = _net(had.join(all_, "process_id", "left_semi"))
+            old = _net(had.join(all_, "process_id", "left_semi")).persist()
+            again = old if gone is None else old.join(gone, "process_id", "left_anti")
+            raw = raw.unionByName(again.select("process_id", "file", "modified", "entry_ord", F.transform("frames", lambda f: f["raw_address"]).alias("addrs"), "count"))
+        entries = self._resolved(raw, latest_maps(known_maps).drop("loaded"))
+        if old is not None:
             entries = entries.unionByName(old.withColumn("count", -F.col("count")))
         info = fresh.select("path", "file_type", "modified", "length", F.lit(number).cast("long").alias("batch_id"), rank_of(F.col("path")).alias("process_id"))
         told = [tuple(r) for r in fresh.select("path", "file_type", "is_new").toLocalIterator()] if self._callback else []
         self.runs.commit(number, {"entries": entries, "events": info} | ({"maps": maps} if mapped is not None else {}), {"entries": "process_id", "maps": "process_id"})
-        for df in (content, decoded, maps, fresh, *([latest] if gone is not None else [])):
+        for df in (content, decoded, maps, fresh, *(x for x in (latest, old) if x is not None)):
             df.unpersist()
         for path, what, new in told:
             self._callback(path, what, new)
