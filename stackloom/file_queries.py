@@ -253,6 +253,19 @@ def _online_summary(spark, sf_dir):
     return spark.createDataFrame([(s["files"], s["processes"], s["samples"], s["nodes"])], "files long, processes long, samples long, nodes long")
 
 
+def _online_metrics(spark, sf_dir):
+    """What was observed of each batch: samples and a broken file, then samples in place of those of processes 0 and 1."""
+    data, samples = folder(spark, "watched"), _addressed(spark, sf_dir).select("process_id", "addrs", "count")
+    datasource.register(spark)
+    o = OnlineAnalysis(spark, data, folder(spark, "state"), replace=True)
+    samples.repartition("process_id").write.format("pflw").mode("append").save(data)
+    put(f"{data}/rank_99.pflw", formats.pack_samples([([1], 1)])[:-1])
+    o.start(None).awaitTermination(300)
+    samples.where("process_id < 2").withColumn("count", F.col("count") * 3).repartition("process_id").write.format("pflw").mode("append").save(data)
+    o.start(None).awaitTermination(300)
+    return spark.createDataFrame([(m["batch_id"], m["files"], m["bad_files"], m["samples"], m["entries"]) for m in o.metrics], "batch_id long, files long, bad_files long, samples long, entries long")
+
+
 def _tree(spark, sf_dir):
     return Q._tree(spark, sf_dir)
 
@@ -554,6 +567,7 @@ def _all():
             q("online_balance", lambda s, d: Q._balance(_online(s, d).balance()), Q._balance_sql("WITH counts AS (SELECT CAST(l_linenumber - 1 AS BIGINT) AS pid, count(*) AS c FROM lineitem GROUP BY 1)")),
             q("online_files", _online_events, "SELECT * FROM (VALUES ('a_rank_0.pflw', 'sample_data', true), ('rank_0.libmap', 'library_map', true)) v(name, kind, is_new)"),
             q("online_summary", _online_summary, _FLAT_SQL + "SELECT CAST(11 AS BIGINT) AS files, (SELECT max(process_id) + 1 FROM a) AS processes, CAST(sum(n) AS BIGINT) AS samples, count(*) + 1 AS nodes FROM t"),
+            q("online_metrics", _online_metrics, "WITH a AS (SELECT l_linenumber - 1 AS p, l_partkey * 4096 + l_suppkey % 5000 + CASE WHEN l_partkey % 2 = 0 THEN 139637976727552 ELSE 0 END AS address, count(*) AS n FROM lineitem GROUP BY ALL) SELECT CAST(0 AS BIGINT) AS batch_id, count(DISTINCT p) + 1 AS files, CAST(1 AS BIGINT) AS bad_files, CAST(sum(n) AS BIGINT) AS samples, count(*) AS entries FROM a UNION ALL SELECT 1, count(DISTINCT p), 0, CAST(2 * sum(n) AS BIGINT), 2 * count(*) FROM a WHERE p < 2"),
             q("tree_file", _tree_file, _RANKED + ", k AS (SELECT up, depth - 1 AS d, count(*) AS c FROM v WHERE depth > 0 GROUP BY ALL), y AS (SELECT path, depth, string_agg(CAST(coalesce(visits, 0) AS VARCHAR), ',' ORDER BY g.pid) AS s FROM (SELECT DISTINCT path, depth FROM n) x CROSS JOIN (SELECT DISTINCT pid FROM n) g LEFT JOIN n USING (path, depth, pid) GROUP BY ALL) SELECT v.no AS node, coalesce(p.no, 0) AS parent, v.total_samples AS total, v.self_samples AS own, v.function_name AS \"function\", v.lib AS library, coalesce(k.c, 0) AS children, y.s AS by_process, CAST(v.total_samples * 1000.0 AS DOUBLE) AS time_us FROM v LEFT JOIN v p ON p.path = v.up AND p.depth = v.depth - 1 LEFT JOIN k ON k.up = v.path AND k.d = v.depth LEFT JOIN y ON y.path = v.path AND y.depth = v.depth"),
             q("tree_text", _tree_text, _RANKED + "SELECT no, repeat('  ', depth) || '[' || total_samples || ' samples, ' || self_samples || ' self] ' || function_name || CASE WHEN depth = 0 THEN '' ELSE ' (' || lib || ')' END AS line FROM v"),
             q("dot_nodes", _dot_nodes, _RANKED + f"SELECT no AS node, function_name AS name, total_samples AS samples, '#' || repeat(lpad(lower(to_hex(CAST(trunc((1.0 - CAST(total_samples AS DOUBLE) / {Q._SUM}) * 255) AS BIGINT))), 2, '0'), 3) AS fill FROM v"),

@@ -11,11 +11,14 @@ processes never shrinks. Batches may be delivered again or repeat versions of fi
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from stackloom.functions.callstack import root_first
 from stackloom.model import FRAME, SAMPLES, TIME_PER_SAMPLE, FileStatus, FileType, SampleCountMode, TreeBuildMode
@@ -32,7 +35,7 @@ _FRAMES = f"array<{FRAME.simpleString()}>"
 _SCHEMAS = {
     "entries": f"process_id long, file string, modified timestamp, entry_ord long, frames {_FRAMES}, count long",
     "maps": "process_id long, ord int, base long, end long, executable boolean, name string, loaded long",
-    "events": "path string, file_type string, modified timestamp, length long, batch_id long, process_id long",
+    "events": "path string, file_type string, modified timestamp, length long, batch_id long, process_id long, status string",
 }
 _KEY = ("process_id", "file", "modified", "entry_ord", "frames")
 #: Bits of the order of entries that number those of a file; the upper ones number the files of a process.
@@ -66,6 +69,34 @@ def with_content(files: DataFrame) -> DataFrame:
     return files.select("path").mapInArrow(run, "path string, content binary")
 
 
+class Reporter(StreamingQueryListener):
+    """Tells the totals of a running analysis as its stream makes progress or idles."""
+
+    def __init__(self, analysis: OnlineAnalysis, callback: Callable[[dict], None], seconds: float) -> None:
+        self.analysis, self.callback, self.seconds = analysis, callback, seconds
+        self.told, self.at, self.total, self.counted = None, -seconds, dict.fromkeys(("batches", "files", "bad_files", "samples"), 0), -1
+
+    def tell(self, now: bool = False) -> None:
+        for m in [m for m in list(self.analysis.metrics) if m["batch_id"] > self.counted]:
+            self.counted = m["batch_id"]
+            self.total = {k: n + (1 if k == "batches" else m[k]) for k, n in self.total.items()}
+        if self.total != self.told and (now or time.monotonic() - self.at >= self.seconds):
+            self.told, self.at = self.total, time.monotonic()
+            self.callback(dict(self.total))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.tell()
+
+    def onQueryIdle(self, event) -> None:
+        self.tell()
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell(now=True)
+
+
 class OnlineAnalysis:
     """Watches a folder; results are DataFrames over all files seen so far."""
 
@@ -77,6 +108,13 @@ class OnlineAnalysis:
         self._callback: Callable[[str, str, bool], None] | None = None
         self._on_batch: Callable[[OnlineAnalysis, int], None] | None = None
         self.query = None
+        #: What the last batches brought: batch_id, files, bad_files, samples (less those replaced), entries written.
+        self.metrics: deque[dict] = deque(maxlen=1_000)
+        self._reporter: Reporter | None = None
+
+    def set_report(self, callback: Callable[[dict], None] | None, seconds: float = 10.0) -> None:
+        """callback(totals of metrics so far) while a stream runs: every so many seconds at most, and if they changed."""
+        self._reporter = callback and Reporter(self, callback, seconds)
 
     def set_file_callback(self, callback: Callable[[str, str, bool], None] | None) -> None:
         """callback(path, file type, is new) for each file of a batch, after the batch is stored."""
@@ -89,6 +127,8 @@ class OnlineAnalysis:
     def start(self, interval: str | None = "1 second"):
         """Begin to watch; interval None takes all that is there and ends. max_files bounds a batch of a watch."""
         self.spark.dataSource.register(FolderSource)
+        if self._reporter:
+            self.spark.streams.addListener(self._reporter)
         reader = self.spark.readStream.format("rundir")
         if interval and self.max_files:
             reader = reader.option("maxFilesPerTrigger", self.max_files)
@@ -100,6 +140,9 @@ class OnlineAnalysis:
         if self.query:
             self.query.stop()
             self.query = None
+        if self._reporter:
+            self.spark.streams.removeListener(self._reporter)
+            self._reporter.tell(now=True)
 
     def scan(self) -> int:
         """One pass without a stream over files that are new, or in replace mode changed; also such as came with old times."""
@@ -126,7 +169,8 @@ class OnlineAnalysis:
         times = fresh.select(F.col("path").alias("file"), "modified")
         samples = samples_of(decoded).join(times, "file")
         rank = map_rank_of(F.col("file"))["rank"]
-        maps = decode_maps(kind(FileType.LibraryMap)).where("ord is not null").select(F.when(rank >= 0, rank).otherwise(F.col("header_process_id")).alias("process_id"), "ord", "base", "end", "executable", "name", F.lit(number).cast("long").alias("loaded")).persist()
+        mapped_files = decode_maps(kind(FileType.LibraryMap)).persist()
+        maps = mapped_files.where("ord is not null").select(F.when(rank >= 0, rank).otherwise(F.col("header_process_id")).alias("process_id"), "ord", "base", "end", "executable", "name", F.lit(number).cast("long").alias("loaded"))
         gone = mapped = latest = None  # processes that report anew, and that are resolved anew
         if self.replace and kinds[0] in taken:
             good = status_of(decoded).where(F.col("status") == FileStatus.Success.value).select("file", rank_of(F.col("file")).alias("process_id")).join(times, "file")
@@ -150,10 +194,16 @@ class OnlineAnalysis:
         entries = self._resolved(raw, latest_maps(known_maps).drop("loaded"))
         if old is not None:
             entries = entries.unionByName(old.withColumn("count", -F.col("count")))
-        info = fresh.select("path", "file_type", "modified", "length", F.lit(number).cast("long").alias("batch_id"), rank_of(F.col("path")).alias("process_id"))
+        statuses = status_of(decoded).select(F.col("file").alias("path"), "status").unionByName(mapped_files.where("ord is null").select(F.col("file").alias("path"), "status"))
+        info = fresh.join(statuses, "path", "left").select("path", "file_type", "modified", "length", F.lit(number).cast("long").alias("batch_id"), rank_of(F.col("path")).alias("process_id"), F.coalesce("status", F.lit(FileStatus.FileOpen.value)).alias("status"))
+        of_files, of_entries = Observation(), Observation()
+        info = info.observe(of_files, F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") != FileStatus.Success.value).alias("bad_files"))
+        entries = entries.observe(of_entries, F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("samples"), F.count(F.lit(1)).alias("entries"))
         told = [tuple(r) for r in fresh.select("path", "file_type", "is_new").toLocalIterator()] if self._callback else []
         self.runs.commit(number, {"entries": entries, "events": info} | ({"maps": maps} if mapped is not None else {}), {"entries": "process_id", "maps": "process_id"})
-        for df in (content, decoded, maps, fresh, *(x for x in (latest, old) if x is not None)):
+        seen = of_files.get | of_entries.get
+        self.metrics.append({"batch_id": number} | {k: int(seen.get(k) or 0) for k in ("files", "bad_files", "samples", "entries")})
+        for df in (content, decoded, mapped_files, fresh, *(x for x in (latest, old) if x is not None)):
             df.unpersist()
         for path, what, new in told:
             self._callback(path, what, new)

@@ -130,6 +130,24 @@ def test_streams_restart_from_the_checkpoint_and_take_few_files_at_a_time(spark,
     assert sum(batches) == 7 and o.files_processed == 6 and o.events.count() == 7
 
 
+def test_metrics_are_observed_and_reported_if_they_change(spark, tmp_path):
+    data = tmp_path / "in"
+    data.mkdir()
+    (data / "rank_0.pflw").write_bytes(pack_samples([([1], 5), ([2], 2)]))
+    (data / "rank_1.pflw").write_bytes(b"broken")
+    told = []
+    o = OnlineAnalysis(spark, str(data), f"file://{tmp_path}/state")
+    o.set_report(told.append, 0.0)
+    o.start("200 milliseconds")
+    until = time.time() + 60
+    while not told and time.time() < until:
+        time.sleep(0.5)
+    o.stop()
+    assert list(o.metrics) == [{"batch_id": 0, "files": 2, "bad_files": 1, "samples": 7, "entries": 2}]
+    assert told == [{"batches": 1, "files": 2, "bad_files": 1, "samples": 7}]
+    assert {r["path"].rsplit("/", 1)[1]: r["status"] for r in o.events.collect()} == {"rank_0.pflw": "Success", "rank_1.pflw": "FileRead"}
+
+
 def test_offsets_stay_small_and_tell_late_files(tmp_path):
     for i in range(200):
         write(tmp_path / f"rank_{i}.pflw", b"x", 1_000_000 + i)
