@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor, as_completed, wait
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 from stackloom.operators.tree import Tree
 from stackloom.plans.graph import DataflowGraph, DataflowNode, NodeState
@@ -67,26 +69,63 @@ SequentialExecutor = GraphExecutor
 
 
 class ParallelExecutor(GraphExecutor):
-    """Runs the nodes of a level in threads, so that jobs which they start run at the same time."""
+    """Runs the nodes of a level in threads, so that jobs which they start run at the same time.
+
+    The jobs of each node have a pool and a tag of their own: where spark.scheduler.mode is FAIR, nodes share the cluster
+    evenly. When a node fails, the jobs of the others are cancelled, now and as long as they start any, and its error is raised
+    once they have ended.
+    """
 
     def __init__(self, max_workers: int | None = None) -> None:
         super().__init__()
         self.max_workers = max_workers
 
+    def _tagged(self, spark: SparkSession | None, tag: str, graph: DataflowGraph, node: DataflowNode, results: Results) -> dict[str, Any]:
+        if spark is None:
+            return self._run(graph, node, results)
+        context = spark.sparkContext
+        pool = context.getLocalProperty("spark.scheduler.pool")
+        context.setLocalProperty("spark.scheduler.pool", tag)
+        context.addJobTag(tag)
+        try:
+            return self._run(graph, node, results)
+        finally:  # threads of the executor serve several nodes
+            context.removeJobTag(tag)
+            context.setLocalProperty("spark.scheduler.pool", pool)
+
     def execute(self, graph: DataflowGraph) -> Results:
         graph.reset()
         graph.validate()
         self._times.clear()
         results: Results = {}
         done, total = 0, len(graph)
+        spark, run = SparkSession.getActiveSession(), uuid.uuid4().hex[:12]
         with ThreadPoolExecutor(self.max_workers) as pool:
             for group in graph.get_parallel_groups():
-                for node, out in zip(group, pool.map(lambda n: self._run(graph, n, results), group)):
-                    results[node.node_id] = out
+                tags = {node.node_id: f"{run}-{node.node_id}" for node in group}
+                started = {}
+                for node in group:
+                    # Each thread has the caller's own properties: description, group and tags of its jobs.
+                    work = inheritable_thread_target(spark)(self._tagged) if spark else self._tagged
+                    started[pool.submit(work, spark, tags[node.node_id], graph, node, results)] = node
+                for future in as_completed(started):
+                    if error := future.exception():
+                        self._end(spark, [f for f in started if not f.done()], [tags[n.node_id] for f, n in started.items() if not f.done()])
+                        raise error
+                    node = started[future]
+                    results[node.node_id] = future.result()
                     done += 1
                     self._tell(done, total, node.name)
         return results
 
+    @staticmethod
+    def _end(spark: SparkSession | None, futures: list[Future], tags: list[str]) -> None:
+        waiting = {f for f in futures if not f.cancel()}
+        while waiting:
+            for tag in tags if spark else ():
+                spark.sparkContext.cancelJobsWithTag(tag)
+            waiting = wait(waiting, timeout=0.5).not_done
+
 
 def _keep(value: Any, on: bool) -> None:
     if isinstance(value, (DataFrame, Tree)):

@@ -1,4 +1,5 @@
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,42 @@ def test_column_functions(spark):
     assert tuple(row) == ([1, 2], [1], [], None, 0.0, "a.c:3", "g", True, False, True, "white", "#000000", "#0000ff", "#ff0000", "#7f00ff")
     with pytest.raises(ValueError):
         C.root_first(F.lit(1), "sideways")
+
+
+def test_a_failing_node_ends_the_jobs_of_the_others(spark):
+    def slow(batches):
+        for b in batches:
+            time.sleep(120)
+            yield b
+
+    def count(inputs):
+        spark.range(4).mapInArrow(slow, "id long").count()
+        return {"n": 1}
+
+    def fail(inputs):
+        time.sleep(3)
+        raise ValueError("no more")
+
+    graph = DataflowGraph("g")
+    nodes = [CustomNode(count, {}, {"n": "int"}, name="slow"), CustomNode(fail, {}, {"n": "int"}, name="bad"), CustomNode(count, {}, {"n": "int"}, name="slower")]
+    for n in nodes:
+        graph.add_node(n)
+    began = time.time()
+    with pytest.raises(RuntimeError, match="'bad' failed: no more"):
+        ParallelExecutor(3).execute(graph)
+    assert time.time() - began < 60 and all(n.state.name == "FAILED" for n in nodes)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
+def test_jobs_of_a_node_have_their_pool_and_tag(spark):
+    seen = {}
+
+    def look(inputs):
+        seen[len(seen)] = (spark.sparkContext.getLocalProperty("spark.scheduler.pool"), set(spark.sparkContext.getJobTags()))
+        return {"n": spark.range(3).count()}
+
+    graph = DataflowGraph("g")
+    for i in range(3):
+        graph.add_node(CustomNode(look, {}, {"n": "int"}, name=f"n{i}"))
+    out = ParallelExecutor(1).execute(graph)
+    assert [v["n"] for v in out.values()] == [3, 3, 3] and len({p for p, _ in seen.values()}) == 3 and all(t == {p} for p, t in seen.values())
