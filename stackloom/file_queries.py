@@ -107,7 +107,7 @@ def _repeated(spark, sf_dir):
 def _last_counts(spark, sf_dir):
     """By the source: last counts of repeated stacks, and the status of each file."""
     told = spark.read.format("pflw").option("badFiles", "report").load(_repeated(spark, sf_dir))
-    return told.select("process_id", F.array_join(F.transform("addrs", lambda a: a.cast("string")), ",").alias("addrs"), "count", "status")
+    return told.select("process_id", F.coalesce(F.array_join(F.transform("addrs", lambda a: a.cast("string")), ","), F.lit("")).alias("addrs"), F.coalesce("count", F.lit(0)).alias("count"), "status")
 
 
 def _in_parts(spark, sf_dir):
@@ -550,7 +550,7 @@ def _all():
             q("pflw_leaf_first", lambda s, d: _source(s, d, "leaf_first"), f"{_PAIRS} SELECT process_id, split_part(addrs, ',', 2) || ',' || split_part(addrs, ',', 1) AS addrs, count FROM a"),
             q("pflw_headers", _headers, f"{_PAIRS} SELECT process_id, 'Success' AS status, 1 AS version, 0 AS compression, count(*) AS entry_count, CAST(128 AS BIGINT) AS max_depth FROM a GROUP BY process_id"),
             q("pflw_header_source", _header_source, f"{_PAIRS} SELECT process_id, 'Success' AS status, count(*) AS entry_count FROM a GROUP BY process_id"),
-            q("pflw_repeated", _last_counts, f"{_LAST} SELECT process_id, addrs, count, 'Success' AS status FROM z UNION ALL SELECT 99, NULL, NULL, 'FileRead'"),
+            q("pflw_repeated", _last_counts, f"{_LAST} SELECT process_id, addrs, count, 'Success' AS status FROM z UNION ALL SELECT 99, '', 0, 'FileRead'"),
             q("pflw_parts", _in_parts, f"{_LAST} SELECT * FROM z WHERE process_id BETWEEN 1 AND 4"),
             q("pflw_overwrite", _overwritten, f"{_PAIRS} SELECT * FROM a WHERE process_id < 3"),
             q("pflw_statuses", _statuses, f"{_FIRST} SELECT name, status, CAST(n AS BIGINT) AS \"rows\", CASE name WHEN 'good' THEN (SELECT n FROM f) WHEN 'kernel' THEN 3 ELSE 0 END AS samples FROM (VALUES ('good', 'Success', 5), ('empty', 'Success', 0), ('short', 'FileRead', 0), ('none', 'FileRead', 0), ('magic', 'InvalidFormat', 0), ('deep', 'Integrity', 0), ('kernel', 'Success', 1), ('newer', 'VersionMismatch', 0), ('packed', 'Compression', 0)) v(name, status, n)"),
