@@ -10,17 +10,14 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.callstack import SIGN, distance, root_first, unsigned
 from stackloom.model import UNKNOWN, UNRESOLVED, ResolveStrategy
+from stackloom.operators.stabbing import stab
 from stackloom.session import ready
 from stackloom.sources.formats import WORD
 
 #: Below this base a library is taken as loaded at fixed addresses, and offsets are the addresses themselves.
 STATIC_BASE = 0x10000000
-#: Address bits of a bucket for ranges too many to broadcast.
-BUCKET_BITS = 20
-#: Ranges that are broadcast at most, since each address meets all of its process; beyond, ranges and addresses meet in buckets.
-BROADCAST_RANGES = 2_000
-#: Buckets of a range that are listed one by one; longer ranges are halved into larger buckets until they fit.
-WIDEST = 64
+#: Ranges that go to every task at most, some 10 MB of them; beyond, ranges and addresses meet in slices of their order.
+BROADCAST_RANGES = 100_000
 
 # Distances that a linker may have put between segments and offsets (fixed values), tried in this order.
 SEGMENT_SHIFTS = (0, 0x1000, 0x2000, 0x3000, 0x4000, 0x5000, 0x6000, 0x8000, 0xA000, 0x10000)
@@ -35,31 +32,15 @@ def resolve_addresses(addresses: DataFrame, lib_map: DataFrame, broadcast_ranges
 
     The first executable range in file order (ord) that holds the address decides. A process without any map gives
     [unknown], an address outside all ranges [unresolved]; the offset is then the address. Work is done once per
-    different address of a process. Small maps are broadcast and joined by process; larger ones meet addresses in
-    buckets, whose size follows the range's, so no range is listed in more than a fixed number of them. Addresses count as
-    unsigned: those of 2^63 and more are negative longs. Planning runs one small job, a count of ranges up to the limit.
+    different address of a process. Addresses count as unsigned: those of 2^63 and more are negative longs. Planning runs
+    a job that reads up to ``broadcast_ranges`` ranges and one more; where there are more, it writes addresses in slices.
     """
-    keys = addresses.select("process_id", "address").distinct()
-    ranges = lib_map.where(F.col("executable") & (unsigned(F.col("base")) < unsigned(F.col("end")))).select("process_id", "ord", "base", "end", "name")
-    inside = lambda a, base, end: (unsigned(a) >= unsigned(base)) & (unsigned(a) < unsigned(end))
-    if ranges.limit(broadcast_ranges + 1).count() <= broadcast_ranges:
-        r = F.broadcast(ranges.alias("r"))
-        met = keys.alias("k").join(r, (F.col("k.process_id") == F.col("r.process_id")) & inside(F.col("k.address"), F.col("r.base"), F.col("r.end"))).select("k.process_id", "k.address", "r.ord", "r.base", "r.name")
-    else:
-        last = F.when(F.col("end") == SIGN, F.lit(-SIGN - 1)).otherwise(F.col("end") - 1)
-        span = F.shiftrightunsigned(last, BUCKET_BITS) - F.shiftrightunsigned(F.col("base"), BUCKET_BITS)
-        level = F.greatest(F.lit(0), F.ceil(F.log2((span + 1) / F.lit(float(WIDEST))))).cast("int")
-        at = lambda c, lv: F.call_function("shiftrightunsigned", c, (F.lit(BUCKET_BITS) + lv).cast("int"))
-        r = ranges.withColumn("level", level).withColumn("bucket", F.explode(F.sequence(at(F.col("base"), F.col("level")), at(last, F.col("level")))))
-        levels = [x[0] for x in r.select("level").distinct().collect()]  # at most 64 of them
-        k = keys.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("bucket", at(F.col("address"), F.col("level")))
-        met = k.join(r, ["process_id", "level", "bucket"]).where(inside(F.col("address"), F.col("base"), F.col("end"))).select("process_id", "address", "ord", "base", "name")
-    first = met.groupBy("process_id", "address").agg(F.min_by(F.struct("base", "name"), "ord").alias("hit"))
+    found = stab(addresses, lib_map, broadcast_ranges)
     known = lib_map.select("process_id", F.lit(True).alias("mapped")).distinct()
-    found = keys.join(first, ["process_id", "address"], "left").join(known, "process_id", "left")
-    return found.select(
-        "process_id", "address", F.coalesce("hit.name", F.when(F.col("mapped"), F.lit(UNRESOLVED)).otherwise(F.lit(UNKNOWN))).alias("library_name"),
-        F.coalesce(offset_of(F.col("address"), F.col("hit.base")), F.col("address")).alias("offset"),
+    address, base = F.col("address"), F.col("base")
+    return found.join(known, "process_id", "left").select(
+        "process_id", "address", F.coalesce("name", F.when(F.col("mapped"), F.lit(UNRESOLVED)).otherwise(F.lit(UNKNOWN))).alias("library_name"),
+        F.coalesce(offset_of(address, base), address).alias("offset"),
     )
 
 
@@ -70,7 +51,7 @@ def latest_maps(lib_map: DataFrame, order: str = "loaded") -> DataFrame:
 
 
 def resolve_samples(samples: DataFrame, lib_map: DataFrame, symbols: DataFrame | None = None, frame_order: str = "root_first", time_per_sample: float = 1000.0) -> DataFrame:
-    """Stacks, root first, of samples (process_id, entry_ord, addrs, count).
+    """Stacks, root first, of samples (process_id, entry_ord, addrs, count); entry_ord tells the samples of a process apart.
 
     A process without a map keeps [unknown] as library and function; with one, functions come from symbols (library,
     offset), else stay empty. Symbols are looked up for resolved addresses alone.
@@ -87,11 +68,10 @@ def resolve_samples(samples: DataFrame, lib_map: DataFrame, symbols: DataFrame |
     name = F.when(F.col("library_name") == UNKNOWN, F.lit(UNKNOWN)).otherwise(F.coalesce("y.function_name", F.lit("")))
     frame = F.struct(F.col("address").alias("raw_address"), "offset", "library_name", name.alias("function_name"), F.coalesce("y.filename", F.lit("")).alias("filename"), F.coalesce("y.line_number", F.lit(0)).alias("line_number"))
     frames = frames.select("process_id", "address", frame.alias("frame"))
-    placed = s.select("process_id", "entry_ord", F.posexplode("addrs").alias("pos", "address")).join(frames, ["process_id", "address"])
-    joined = placed.groupBy("process_id", "entry_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "frame"))), lambda x: x["frame"]).alias("frames"))
-    out = s.join(joined, ["process_id", "entry_ord"], "left")
-    empty = F.array().cast(joined.schema["frames"].dataType)
-    return out.select("process_id", "entry_ord", F.coalesce("frames", empty).alias("frames"), "count", (F.col("count") * F.lit(float(time_per_sample))).alias("time_us"))
+    placed = s.select("process_id", "entry_ord", "count", F.posexplode_outer("addrs").alias("pos", "address")).join(frames, ["process_id", "address"], "left")
+    found = F.collect_list(F.when(F.col("frame").isNotNull(), F.struct("pos", "frame")))
+    whole = placed.groupBy("process_id", "entry_ord").agg(F.transform(F.array_sort(found), lambda x: x["frame"]).alias("frames"), F.first("count").alias("count"))
+    return whole.select("process_id", "entry_ord", "frames", "count", (F.col("count") * F.lit(float(time_per_sample))).alias("time_us"))
 
 
 def parse_addr2line(function: str, location: str) -> tuple[str, str, int] | None:

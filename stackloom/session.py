@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -42,3 +43,11 @@ def delete_on_exit(spark: SparkSession, path: str) -> str:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of the scratch folder, which goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/stackloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(delete_on_exit(spark, path))
