@@ -14,16 +14,20 @@ dealt to them changes nothing either. Long texts are searched some passages at a
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stackloom.llm.common import materialise, ready, rows_bytes, slices
+from stackloom.session import delete_on_exit, scratch_dir
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that retrieves it.
@@ -332,6 +336,21 @@ def indexes(benchmark: DataFrame, limit: int = LIMIT) -> Iterator[list[Index]]:
 
 
 _LEAK = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])
+LEAKS = "array<struct<item_id:bigint,score:double,overlap:double>>"
+
+
+def leaks_of(documents: DataFrame, shared: Broadcast, score: float, overlap: float, answer_overlap: float) -> DataFrame:
+    """documents and, as last column, leaks: what each leaks of the items of one broadcast set."""
+    at = documents.columns.index("text")
+    names = [*documents.columns, "leaks"]
+
+    def run(batches):
+        for batch in (x for b in batches for x in slices(b, at)):
+            found = search(shared.value, rows_bytes(batch.column(at)), score, overlap, answer_overlap)
+            leaks = [[{"item_id": i, "score": s, "overlap": o} for i, (s, o) in sorted(x.items())] for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, pa.list_(_LEAK))], names=names)
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("leaks", T.DataType.fromDDL(LEAKS))]))
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, score: float = SCORE, overlap: float = OVERLAP, answer_overlap: float = ANSWER, limit: int = LIMIT) -> DataFrame:
@@ -341,23 +360,30 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, score: float = SCORE,
     BM25 score, holds ``overlap`` of its five-word shingles (of all its words where there are fewer) and
     ``answer_overlap`` of its answer's words. Case and ASCII punctuation don't count; neither texts nor items are cut. Null and empty texts, and items without words or id, leak nothing; repeated
     rows are judged each by itself; every input column comes back, but one named leaks is replaced.
+
+    A benchmark of one set is searched as the result is read. Of more, each set is a job of its own that writes what it
+    found and then drops its indexes, so that a worker never holds two; documents are written first, each row with a key.
     """
     out = documents.drop("leaks")
     spark = ready(documents.sparkSession)
-    at = out.columns.index("text")
-    empty = F.array().cast("array<struct<item_id:bigint,score:double,overlap:double>>")
-    out = out.withColumn("leaks", empty)
-    for some in indexes(benchmark, limit):
-        shared = spark.sparkContext.broadcast(some)  # items of ``limit`` bytes at most, or a single one
-
-        def run(batches, shared=shared):
-            for batch in (x for b in batches for x in slices(b, at)):
-                found = search(shared.value, rows_bytes(batch.column(at)), score, overlap, answer_overlap)
-                leaks = [[*had, *({"item_id": i, "score": s, "overlap": o} for i, (s, o) in sorted(new.items()))] for had, new in zip(batch.column(batch.num_columns - 1).to_pylist(), found)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, pa.list_(_LEAK))], names=batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    sets = indexes(benchmark, limit)
+    begun = list(islice(sets, 2))
+    if not begun:
+        return out.withColumn("leaks", F.array().cast(LEAKS))
+    if len(begun) == 1:
+        return leaks_of(out, spark.sparkContext.broadcast(begun[0]), score, overlap, answer_overlap)
+    taken = {c.lower() for c in out.columns}
+    key = next(c for c in map("row_key_{}".format, count()) if c not in taken)
+    keyed = materialise(out.withColumn(key, F.expr("uuid()")), "keyed")
+    path = f"{scratch_dir(spark)}/stackloom-leaks-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    for some in chain(begun, sets):
+        shared = spark.sparkContext.broadcast(some)
+        found = leaks_of(keyed.select(key, "text"), shared, score, overlap, answer_overlap)
+        found.where(F.size("leaks") > 0).select(key, "leaks").write.mode("append").parquet(path)
+        shared.destroy()
+    leaks = spark.read.schema(f"{key} string, leaks {LEAKS}").parquet(path).groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    return keyed.join(leaks, key, "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS))).drop(key)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

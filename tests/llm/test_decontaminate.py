@@ -60,6 +60,22 @@ def test_equals_exhaustive(spark):
     assert D.find_leaks(d.limit(0), b).count() == 0
 
 
+def test_any_number_of_sets(spark):
+    """1, a few and many sets give one answer by one plan, extra columns, repeats and nulls included."""
+    docs, items = case()
+    want = brute(docs, items)
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(docs)], "row_key int, doc_id long, text string").selectExpr("*", "'c' ROW_KEY_0").repartition(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    held = sum(len((t or "").encode()) for _, t in items)
+    depths = set()
+    for sets in (1, 3, 16):
+        got = D.find_leaks(d, b, limit=held // sets + 1)
+        assert got.columns == ["row_key", "doc_id", "text", "ROW_KEY_0", "leaks"] and got.count() == len(docs)
+        assert {(r["row_key"], x["item_id"]) for r in got.collect() for x in r["leaks"]} == want
+        depths.add(got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+    assert depths == {0, 1}
+
+
 def test_long_items_change_nothing_of_others(spark, monkeypatch):
     """Items of 15, 70 and 600 words, whole or by themselves in indexes, against the exhaustive search."""
     rnd = random.Random(9)
