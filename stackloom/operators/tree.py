@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.callstack import wildcard
 from stackloom.model import ROOT, TIME_PER_SAMPLE, VIRTUAL, SampleCountMode, TreeBuildMode
+from stackloom.operators.numbering import numbered
+from stackloom.session import written
 
 #: Identity of the root; every other identity follows from its parent's and its own key.
 ROOT_ID = "root"
@@ -99,9 +101,12 @@ class Tree:
     @cached_property
     def nodes(self) -> DataFrame:
         """Every node, the root included, with its frame, counts and place."""
+        return self._nodes(self._shape)
+
+    def _nodes(self, shape: DataFrame) -> DataFrame:
         self_ = F.lit(0).cast("long") if self.count_mode is SampleCountMode.Inclusive else F.col("ends")
-        kids = self._shape.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("child_count"))
-        body = self._shape.select(
+        kids = shape.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("child_count"))
+        body = shape.select(
             "node_id", "parent_id", "depth", "path", "lineage", "first", *[F.col(f"frame.{c}").alias(c) for c in FRAME_COLUMNS],
             self._counted("samples").alias("total_samples"), self_.alias("self_samples"), self._counted("time").alias("total_time_us"), F.col("visits").alias("call_count"),
         )
@@ -126,17 +131,17 @@ class Tree:
         """nodes with sibling_rank (order of first appearance), subtree_size and preorder (0 for the root).
 
         A node's place is the sum, over itself and all above it but the root, of one and the sizes of the subtrees of
-        earlier siblings; so the order of a whole tree needs no sort of all nodes in one place.
+        earlier siblings; so the order of a whole tree needs no sort of all nodes in one place, and siblings are numbered
+        in ranges, so neither does that of one node's children. The shape is written once, when this is first asked for.
         """
-        key = F.element_at("path", -1)
-        above = self._shape.select(F.col("node_id").alias("of"), F.explode("lineage").alias("node_id"))
-        sizes = above.groupBy("node_id").agg(F.count("*").alias("subtree_size"))
-        w = Window.partitionBy("parent_id").orderBy("first", key)
-        earlier = F.coalesce(F.sum("subtree_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = self._shape.select("node_id", "parent_id", "first", "path").join(sizes, "node_id").select("node_id", "subtree_size", F.row_number().over(w).cast("long").alias("sibling_rank"), (earlier + 1).alias("step"))
-        place = above.join(ranks, "node_id").groupBy(F.col("of").alias("node_id")).agg(F.sum("step").alias("preorder"))
-        found = self.nodes.join(ranks.drop("step"), "node_id", "left").join(place, "node_id", "left")
-        whole = self._shape.agg((F.count("*") + 1).alias("all_nodes"))
+        shape = written(self._shape, "shape")
+        above = shape.select(F.col("node_id").alias("of"), F.explode("lineage").alias("node_id"))
+        sizes = above.groupBy("node_id").agg(F.count("*").alias("size"))
+        siblings = shape.select("node_id", F.col("parent_id").alias("group"), "first", F.element_at("path", -1).alias("key")).join(sizes, "node_id").withColumnRenamed("node_id", "id")
+        ranks = numbered(siblings, F.col("first"), F.col("key")).select(F.col("id").alias("node_id"), F.col("size").alias("subtree_size"), F.col("rank").alias("sibling_rank"), (F.col("ahead") + 1).alias("step"))
+        place = above.join(ranks.select("node_id", "step"), "node_id").groupBy(F.col("of").alias("node_id")).agg(F.sum("step").alias("preorder"))
+        found = self._nodes(shape).join(ranks.drop("step"), "node_id", "left").join(place, "node_id", "left")
+        whole = shape.agg((F.count("*") + 1).alias("all_nodes"))
         found = found.crossJoin(F.broadcast(whole))  # one number
         return found.withColumn("preorder", F.coalesce("preorder", F.lit(0))).withColumn("subtree_size", F.coalesce("subtree_size", "all_nodes")).withColumn("sibling_rank", F.coalesce("sibling_rank", F.lit(1))).drop("all_nodes")
 
