@@ -29,6 +29,7 @@ from stackloom.plans.nodes import CustomNode, FilterNode, MergeNode, TransformNo
 from stackloom.session import delete_on_exit, ready, scratch_dir
 from stackloom.sinks import writers as W
 from stackloom.sources import datasource, files, formats
+from stackloom.sources.trees import read_trees
 from stackloom.streaming.online import OnlineAnalysis
 
 BOTH = SampleCountMode.Both
@@ -43,7 +44,7 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def put(path: str, data: bytes | str) -> str:
-    with W._opened(path, "w" if isinstance(data, str) else "wb") as f:
+    with W.opened(path, "w" if isinstance(data, str) else "wb") as f:
         f.write(data)
     return path
 
@@ -275,10 +276,9 @@ _RANKED = Q._ORDER + """, v AS (SELECT *, row_number() OVER (ORDER BY o) - 1 AS
 
 
 def _tree_file(spark, sf_dir):
-    path = W.export_tree(_tree(spark, sf_dir), f"{folder(spark, 'tree')}/t.ptree")
-    data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
-    rows = [(n["node"], n["parent"], n["total"], n["self"], n["function"], n["library"], n["children"], ",".join(map(str, n["samples"])), sum(n["times"])) for n in W.read_tree(data)]
-    return spark.createDataFrame(rows, "node long, parent long, total long, own long, function string, library string, children long, by_process string, time_us double")
+    n = read_trees(spark, W.export_tree(_tree(spark, sf_dir), f"{folder(spark, 'tree')}/t.ptree"))
+    time = F.aggregate("times", F.lit(0.0), lambda a, x: a + x)
+    return n.select("node", "parent", F.col("total_samples").alias("total"), F.col("self_samples").alias("own"), F.col("function_name").alias("function"), F.col("library_name").alias("library"), F.col("child_count").cast("long").alias("children"), F.array_join(F.col("samples").cast("array<string>"), ",").alias("by_process"), time.alias("time_us"))
 
 
 def _lines(spark, path: str, skip: int) -> DataFrame:

@@ -1,24 +1,21 @@
 """Writers: trees, samples and maps as text, graphs and files; tables on the console.
 
-Text lines are made by column expressions and leave in order; a tree is far smaller than its samples, so the files that
-must be one file are streamed through the driver a partition at a time, to any store that Hadoop's file systems know.
+Text lines are made by column expressions and leave in order; text, DOT and binary trees are written by executors in ranges of
+that order (stackloom.sinks.ordered). A map and the samples of one process are streamed a partition at a time.
 Samples of many processes are written by executors: df.write.format("pflw") (stackloom.sources.datasource).
 """
 
 from __future__ import annotations
 
 import json
-import os
-import re
 import struct
 import subprocess
-import tempfile
 import time
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.functions.callstack import distance, hex_address, truncated
@@ -26,40 +23,20 @@ from stackloom.functions.colors import color
 from stackloom.model import MAX_DEPTH, UNKNOWN, VIRTUAL, ColorScheme, SampleCountMode
 from stackloom.operators import analysis
 from stackloom.operators.tree import Tree
+from stackloom.session import written
+from stackloom.sinks.ordered import opened, write_ordered
 from stackloom.sources.formats import TREE_HEADER, TREE_MAGIC, TREE_NODE, VERSION, WORD, pack_entry, pack_map, sample_header
 
 
-@contextmanager
-def _opened(path: str, mode: str = "wb") -> Iterator:
-    """A file to write. Paths with a scheme go to their store when all is written; others are local."""
-    scheme = re.match(r"([a-zA-Z][\w+.-]+):", path)
-    text = {} if "b" in mode else {"encoding": "utf-8"}
-    if not scheme or scheme[1] == "file":
-        with open(re.sub(r"^file:(//)?", "", path), mode, **text) as f:
-            yield f
-        return
-    spark = SparkSession.active()
-    with tempfile.TemporaryDirectory() as local:
-        with open(os.path.join(local, "whole"), mode, **text) as f:
-            yield f
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, p(f"file://{local}/whole"), p(path))
-
-
-def _write(path: str, lines: Iterable[str]) -> str:
-    with _opened(path, "w") as f:
-        f.writelines(x + "\n" for x in lines)
-    return path
+def _write(path: str, head: list[str], lines: DataFrame, place: list[str], tail: str = "") -> str:
+    """Text of head and of ordered lines, by executors."""
+    return write_ordered(lines, path, place, head="".join(x + "\n" for x in head).encode(), tail=tail.encode())
 
 
 #: The largest number of 16 bits, and processes that a tree file lists for each node.
 SHORT, VECTOR = 0xFFFF, 1 << 20
 
 
-def _stream(df: DataFrame, column: str) -> Iterable[str]:
-    return (r[0] for r in df.select(column).toLocalIterator())
-
-
 def tree_lines(tree: Tree) -> DataFrame:
     """(visit_rank, line): an indented line per node in pre-order."""
     where = F.when((F.col("filename") != "") & (F.col("line_number") > 0), F.format_string(" [%s:%d]", "filename", "line_number")).otherwise("")
@@ -70,12 +47,7 @@ def tree_lines(tree: Tree) -> DataFrame:
 
 def export_tree_text(tree: Tree, path: str, generated: int | None = None) -> str:
     head = ["# Performance Tree (Text Format)", f"# Generated: {int(time.time()) if generated is None else generated}", f"# Process count: {tree.process_count}", f"# Total samples: {tree.total_samples}", "#", ""]
-
-    def lines():
-        yield from head
-        yield from _stream(tree_lines(tree).orderBy("visit_rank"), "line")
-
-    return _write(path, lines())
+    return _write(path, head, tree_lines(tree), ["visit_rank"])
 
 
 def dot_lines(tree: Tree, scheme: ColorScheme = ColorScheme.Heatmap, max_depth: int = 0) -> DataFrame:
@@ -97,12 +69,8 @@ def dot_lines(tree: Tree, scheme: ColorScheme = ColorScheme.Heatmap, max_depth:
 
 
 def generate_dot(tree: Tree, path: str, scheme: ColorScheme = ColorScheme.Heatmap, max_depth: int = 0) -> str:
-    def lines():
-        yield from ("digraph PerformanceTree {", "  rankdir=TB;", "  node [shape=box, style=filled];", "")
-        yield from _stream(dot_lines(tree, scheme, max_depth).orderBy("visit_rank", "part"), "line")
-        yield "}"
-
-    return _write(path, lines())
+    head = ["digraph PerformanceTree {", "  rankdir=TB;", "  node [shape=box, style=filled];", ""]
+    return _write(path, head, dot_lines(tree, scheme, max_depth), ["visit_rank", "part"], "}\n")
 
 
 def generate_pdf(tree: Tree, path: str, scheme: ColorScheme = ColorScheme.Heatmap, max_depth: int = 0, tool: str = "dot") -> bool:
@@ -114,26 +82,35 @@ def generate_pdf(tree: Tree, path: str, scheme: ColorScheme = ColorScheme.Heatma
         return False
 
 
+def _pack_nodes(count: int, batches) -> Iterator[bytes]:
+    """Records of nodes from rows in the order of visit_rank: a row of the node itself, then one for each process."""
+    head, samples, times = None, None, None
+    for b in batches:
+        for r in b.to_pylist():
+            if r["process_id"] is not None:
+                samples[r["process_id"]], times[r["process_id"]] = r["samples"], r["time_us"]
+                continue
+            if head:
+                yield head + samples.tobytes() + times.tobytes()
+            # Lengths and the number of children have 16 bits in the format: longer names are cut, more children say 65,535.
+            names = [(r[c] or "").encode()[:SHORT].decode(errors="ignore").encode() for c in ("function_name", "library_name", "filename")]
+            fixed = TREE_NODE.pack(r["visit_rank"] - 1, r["parent_no"] or 0, r["total_samples"], r["self_samples"], r["raw_address"] & WORD, r["offset"] & WORD, r["line_number"], *map(len, names), min(r["child_count"], SHORT), 0)
+            head, samples, times = fixed + b"".join(names), np.zeros(count, "<u8"), np.zeros(count, "<f8")
+    if head:
+        yield head + samples.tobytes() + times.tobytes()
+
+
 def export_tree(tree: Tree, path: str, timestamp: int = 0) -> str:
-    """The binary tree file: nodes in pre-order with ids from 0, the root's parent being 0."""
+    """The binary tree file: nodes in pre-order with ids from 0, the root's parent being 0. Executors write it."""
     count = tree.process_count
-    n = tree.traverse("preorder")
-    p = n.select(F.col("node_id").alias("parent_id"), (F.col("visit_rank") - 1).alias("parent_no"))
     if count > VECTOR:
         raise ValueError(f"a tree file lists every process from 0 on for each node; {count} processes are more than {VECTOR}")
-    per = tree.node_process.groupBy("node_id").agg(F.collect_list(F.struct("process_id", "samples", "time_us")).alias("per"))
-    rows = n.join(p, "parent_id", "left").join(per, "node_id", "left").orderBy("visit_rank")
-    with _opened(path) as f:
-        f.write(TREE_HEADER.pack(TREE_MAGIC, VERSION, 0, 0, tree.node_count, count, 0, timestamp, b""))
-        for r in rows.toLocalIterator():
-            # Lengths and the number of children have 16 bits in the format: longer names are cut, more children say 65,535.
-            names = [(r[c] or "").encode()[:SHORT].decode(errors="ignore").encode() for c in ("function_name", "library_name", "filename")]
-            f.write(TREE_NODE.pack(r["visit_rank"] - 1, r["parent_no"] or 0, r["total_samples"], r["self_samples"], r["raw_address"] & WORD, r["offset"] & WORD, r["line_number"], *map(len, names), min(r["child_count"], SHORT), 0))
-            samples, times = np.zeros(count, "<u8"), np.zeros(count, "<f8")
-            for x in r["per"] or ():
-                samples[x["process_id"]], times[x["process_id"]] = x["samples"], x["time_us"]
-            f.write(b"".join(names) + samples.tobytes() + times.tobytes())
-    return path
+    n = written(tree.traverse("preorder").select("node_id", "parent_id", "visit_rank", "total_samples", "self_samples", "raw_address", "offset", "line_number", "function_name", "library_name", "filename", "child_count"), "nodes")
+    p = n.select(F.col("node_id").alias("parent_id"), (F.col("visit_rank") - 1).alias("parent_no"))
+    nodes = n.join(p, "parent_id", "left").drop("node_id", "parent_id")
+    per = n.select("node_id", "visit_rank").join(tree.node_process, "node_id").select("visit_rank", "process_id", "samples", "time_us")
+    head = TREE_HEADER.pack(TREE_MAGIC, VERSION, 0, 0, n.count(), count, 0, timestamp, b"")
+    return write_ordered(nodes.unionByName(per, allowMissingColumns=True), path, ["visit_rank", "process_id"], partial(_pack_nodes, count), head)
 
 
 def read_tree(data: bytes) -> list[dict]:
@@ -157,7 +134,7 @@ def export_samples(samples: DataFrame, path: str, timestamp: int = 0, max_depth:
     """The samples of one process as a sample file; equal stacks are added first."""
     rows = samples.groupBy(F.slice("addrs", 1, max_depth).alias("addrs")).agg(F.sum("count").alias("count")).orderBy("addrs")
     entries = 0
-    with _opened(path) as f:
+    with opened(path) as f:
         f.write(sample_header(0, timestamp, max_depth))
         for r in rows.toLocalIterator():
             f.write(pack_entry(r["addrs"], r["count"]))
@@ -176,17 +153,12 @@ def sample_lines(samples: DataFrame) -> DataFrame:
 
 def export_samples_text(samples: DataFrame, path: str, generated: int | None = None, max_depth: int = MAX_DEPTH) -> str:
     head = ["# Performance Data (Text Format)", f"# Generated: {int(time.time()) if generated is None else generated}", f"# Entry count: {samples.count()}", f"# Max stack depth: {max_depth}", "#", "# Format: [Sample Count] Call Stack (depth: N)", "#   Address1", "#   Address2", "#   ...", "#", ""]
-
-    def lines():
-        yield from head
-        yield from _stream(sample_lines(samples).orderBy("entry_ord"), "line")
-
-    return _write(path, lines())
+    return _write(path, head, sample_lines(samples), ["entry_ord", "line"])
 
 
 def export_map(lib_map: DataFrame, path: str, process_id: int, timestamp: int = 0) -> str:
     rows = [(r["base"], r["end"], r["executable"], r["name"]) for r in lib_map.orderBy("ord").toLocalIterator()]
-    with _opened(path) as f:
+    with opened(path) as f:
         f.write(pack_map(rows, process_id, timestamp))
     return path
 
@@ -200,19 +172,14 @@ def map_lines(lib_map: DataFrame) -> DataFrame:
 
 def export_map_text(lib_map: DataFrame, path: str, process_id: int, generated: int | None = None) -> str:
     head = ["# Library Map (Text Format)", f"# Generated: {int(time.time()) if generated is None else generated}", f"# Process ID: {process_id}", f"# Library count: {lib_map.count()}", "#", "# Format: [Base Address - End Address] (Size) Library Name", "#", ""]
-
-    def lines():
-        yield from head
-        yield from _stream(map_lines(lib_map).orderBy("ord"), "line")
-
-    return _write(path, lines())
+    return _write(path, head, map_lines(lib_map), ["ord", "line"])
 
 
 def export_hotspots_json(hotspots: DataFrame, total_samples: int, path: str) -> str:
     """Flat hotspots of a run as JSON, names escaped."""
     rows = hotspots.orderBy(F.desc("exclusive_samples"), "function_name").toLocalIterator()
     names = {"function_name": "function", "library_name": "library"}
-    with _opened(path, "w") as f:
+    with opened(path, "w") as f:
         json.dump({"total_samples": total_samples, "hotspots": [{names.get(k, k): v for k, v in r.asDict().items()} for r in rows]}, f, indent=2, ensure_ascii=False)
     return path
 
