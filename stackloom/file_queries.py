@@ -23,6 +23,7 @@ from stackloom.operators import analysis as A
 from stackloom.operators import benchmarks as N
 from stackloom.operators import resolve as R
 from stackloom.operators import samples as S
+from stackloom.operators.symbol_store import SymbolStore
 from stackloom.plans.builder import WorkflowBuilder, create_full_analysis_workflow
 from stackloom.plans.executor import CachingExecutor, GraphExecutor, ParallelExecutor
 from stackloom.plans.nodes import CustomNode, FilterNode, MergeNode, TransformNode, union_all
@@ -480,6 +481,16 @@ def _fallback(spark, sf_dir):
     return found.select("library", F.col("offset").alias("place"), "function_name")
 
 
+def _stored_symbols(spark, sf_dir):
+    """What a store that was filled in two runs knows of line items: symbols of even parts; of every tenth that it has none."""
+    store = SymbolStore(spark, folder(spark, "symbols"))
+    k = F.col("p_partkey")
+    known = Q._table(spark, sf_dir, "part").where(k % 2 == 0).select(F.concat(F.lit("lib"), (k % 3).cast("string")).alias("library"), k.alias("offset"), F.when(k % 10 != 0, F.col("p_name")).alias("function_name"), F.col("p_brand").alias("filename"), F.col("p_size").alias("line_number"))
+    store.add(known.where("line_number <= 25"))
+    store.add(known.where("line_number > 20"))
+    return store.symbols(_asked(spark, sf_dir), None).withColumnRenamed("offset", "place")
+
+
 def _symbol_statistics(spark, sf_dir):
     s = _addressed(spark, sf_dir).withColumn("entry_ord", F.col("addrs")[0])
     return R.symbol_statistics(R.resolve_samples(s, Q._ranges(spark, sf_dir), Q._symbols(spark, sf_dir))).withColumn("hit_rate", F.round("hit_rate", 6))
@@ -597,6 +608,7 @@ def _all():
             q("full_workflow", _full_workflow, hot + "5"),
             q("converted_samples", _converted, Q._RESOLVED + "SELECT * FROM r"),
             q("symbolized", _symbolized, "SELECT DISTINCT 'lib' || l_suppkey % 3 AS library, l_partkey AS place, 'f_0x' || lower(to_hex(l_partkey + CASE WHEN l_partkey < 64 THEN 4096 ELSE 0 END)) AS function_name, 'lib' || l_suppkey % 3 || '.c' AS filename, 7 AS line_number, 'Success' AS status FROM lineitem"),
+            q("stored_symbols", _stored_symbols, "SELECT DISTINCT 'lib' || l_partkey % 3 AS library, l_partkey AS place, p_name AS function_name, p_brand AS filename, CAST(p_size AS INTEGER) AS line_number FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_partkey % 2 = 0 AND l_partkey % 10 <> 0 AND l_suppkey % 3 = l_partkey % 3"),
             q("symbol_fallback", _fallback, "WITH x AS (SELECT DISTINCT 'lib' || l_suppkey % 3 AS library, l_partkey AS place FROM lineitem), k AS (SELECT 'lib0' AS library, CAST(unnest(range(100, 200)) AS BIGINT) AS place) SELECT library, place, 'known' AS function_name FROM k UNION ALL SELECT library, place, 'f_0x' || lower(to_hex(place + CASE WHEN place < 64 THEN 4096 ELSE 0 END)) FROM x WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.library = x.library AND k.place = x.place)"),
             q("symbol_statistics", _symbol_statistics, Q._RESOLVED + ", d AS (SELECT library_name, \"offset\", count(*) AS n, max(CASE WHEN p_partkey IS NULL THEN 0 ELSE 1 END) AS y FROM r LEFT JOIN part ON library_name = 'lib' || p_partkey AND \"offset\" = p_partkey % 5000 WHERE library_name NOT IN ('[unknown]', '[unresolved]') GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS lookups, count(*) AS cached, CAST(sum(y) AS BIGINT) AS resolved, round(1 - CAST(count(*) AS DOUBLE) / sum(n), 6) AS hit_rate FROM d"),
             q("symbol_lines", _symbol_lines, "SELECT CAST(i AS BIGINT) AS no, f AS \"function\", p AS file, CAST(n AS INTEGER) AS line FROM (VALUES (0, 'f', 'a:b.c', 12), (1, '-', '-', -1), (2, 'f', '', 0), (3, '', 'a.c', 3), (4, 'g', 'a.c', 0), (5, '-', '-', -1), (6, 'h', '', 0)) v(i, f, p, n)"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 from itertools import islice
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from stackloom.operators.stabbing import stab
 from stackloom.session import ready
 from stackloom.sources.formats import WORD
 
+if TYPE_CHECKING:
+    from stackloom.operators.symbol_store import SymbolStore
+
 #: Below this base a library is taken as loaded at fixed addresses, and offsets are the addresses themselves.
 STATIC_BASE = 0x10000000
 #: Ranges that go to every task at most, some 10 MB of them; beyond, ranges and addresses meet in slices of their order.
@@ -106,12 +110,13 @@ def _ask(tool: str, library: str, offsets: list[int]) -> tuple[list[tuple[str, s
     return [parse_addr2line(lines[2 * i], lines[2 * i + 1]) for i in range(len(offsets))], "Success"
 
 
-def symbolize(frames: DataFrame, tool: str = "addr2line", statuses: bool = False) -> DataFrame:
+def symbolize(frames: DataFrame, tool: str = "addr2line", statuses: bool = False, unknown: bool = False) -> DataFrame:
     """symbols (library, offset, function_name, filename, line_number) of frames by a symbolizer on the executors.
 
     Different (library, offset) pairs are asked for in chunks on standard input, whatever their number. A chunk that fails
     (library or tool absent, time out, short output) costs no other chunk its symbols; with statuses, a further
-    column status tells of each symbol Success, and each failed chunk gives a row with its status and no offset.
+    column status tells of each symbol Success, and each failed chunk gives a row with its status and no offset. With unknown, offsets
+    that the tool was asked for and knows nothing of come too, without a name (status Unknown).
     """
     ready(frames.sparkSession)
     asked = frames.select(F.col("library_name").alias("library"), "offset").distinct()
@@ -133,23 +138,26 @@ def symbolize(frames: DataFrame, tool: str = "addr2line", statuses: bool = False
                         chunk = [x for x, y in zip(chunk, found) if not y]
                         if not chunk:
                             break
+                    else:
+                        rows += [(library, x, None, None, None, "Unknown") for x in chunk if unknown]
             yield pd.DataFrame(rows, columns=["library", "offset", "function_name", "filename", "line_number", "status"]).astype({"offset": "Int64", "line_number": "Int32"})
 
     out = asked.mapInPandas(run, "library string, offset long, function_name string, filename string, line_number int, status string")
     return out if statuses else out.where("offset is not null").drop("status")
 
 
-def find_symbols(frames: DataFrame, symbols: DataFrame | None = None, strategy: ResolveStrategy = ResolveStrategy.AutoFallback, tool: str = "addr2line") -> DataFrame | None:
+def find_symbols(frames: DataFrame, symbols: DataFrame | None = None, strategy: ResolveStrategy = ResolveStrategy.AutoFallback, tool: str = "addr2line", store: SymbolStore | None = None) -> DataFrame | None:
     """Symbols for frames (library_name, offset) by a strategy: of the table, of the symbolizer, or of the symbolizer for
-    what the table lacks. None where the strategy leaves nothing to look in."""
+    what the table lacks. None where the strategy leaves nothing to look in. A store keeps what the symbolizer answers."""
+    ask = (lambda x: store.symbols(x, tool)) if store else (lambda x: symbolize(x, tool))
     if strategy is ResolveStrategy.TableOnly:
         return symbols
     known = frames.where(~F.col("library_name").isin(UNKNOWN, UNRESOLVED))
     if strategy is ResolveStrategy.Addr2LineOnly or symbols is None:
-        return symbolize(known, tool)
+        return ask(known)
     have = symbols.select(F.col("library").alias("library_name"), "offset").distinct()
     lack = known.select("library_name", "offset").distinct().join(have, ["library_name", "offset"], "left_anti")
-    return symbols.unionByName(symbolize(lack, tool))
+    return symbols.unionByName(ask(lack))
 
 
 def symbol_statistics(stacks: DataFrame) -> DataFrame:
@@ -164,8 +172,9 @@ def symbol_statistics(stacks: DataFrame) -> DataFrame:
 class OffsetConverter:
     """Maps by process, and how symbols are found: a registry of DataFrames for resolve_samples."""
 
-    def __init__(self, symbols: DataFrame | None = None, strategy: ResolveStrategy = ResolveStrategy.TableOnly, tool: str = "addr2line") -> None:
+    def __init__(self, symbols: DataFrame | None = None, strategy: ResolveStrategy = ResolveStrategy.TableOnly, tool: str = "addr2line", store: SymbolStore | None = None) -> None:
         self._maps: dict[int, DataFrame] = {}
+        self.store = store
         self._symbols, self.strategy, self.tool = symbols, strategy, tool
 
     def add_map_snapshot(self, process_id: int, lib_map: DataFrame) -> None:
@@ -202,5 +211,5 @@ class OffsetConverter:
         lib_map, symbols = self.lib_map(samples), self._symbols
         if self.strategy is not ResolveStrategy.TableOnly:
             asked = samples.select("process_id", F.explode(F.array_distinct("addrs")).alias("address"))
-            symbols = find_symbols(resolve_addresses(asked, lib_map), symbols, self.strategy, self.tool)
+            symbols = find_symbols(resolve_addresses(asked, lib_map), symbols, self.strategy, self.tool, self.store)
         return resolve_samples(samples, lib_map, symbols, frame_order)
