@@ -2,8 +2,8 @@
 
 Ranges of a process may overlap; the smallest ord decides. A sweep over range boundaries with a heap on ord turns ranges
 into stretches that one range decides each, and a binary search finds an address's stretch. Few ranges go to all tasks.
-Many are cut into slices of the order (process, address): slices follow the boundaries and addresses there are, so a process
-with most of the ranges or addresses has many of them. A range goes to the slices of its two ends; of those that cover all
+Many are cut into slices of the order (process, address), each of so many boundaries and addresses at most, so that a task
+holds the same however many there are; a process with most of the ranges or addresses has many slices. A range goes to the slices of its two ends; of those that cover all
 of a slice only the smallest ord matters there, as of those that reach into it up to the same end.
 """
 
@@ -24,6 +24,8 @@ from stackloom.session import ready, written
 
 LOW, HIGH = SIGN, -SIGN - 1
 FOUND = "process_id long, address long, base long, name string"
+#: Boundaries and addresses of a slice are at most 2 to this power.
+SLICE_BITS = 16
 
 
 def stretches(first: list[int], last: list[int], ord_: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,24 +127,31 @@ def pieces(ranges: DataFrame, lows: list[tuple[int, int, int]]) -> DataFrame:
             hi += [HIGH] * len(covers)
             kept = b.take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([slices[s][2] for s in at], pa.int32()), kept.column(0), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), kept.column(3), kept.column(4), kept.column(5)],
+                [pa.array([slices[s][2] for s in at], pa.int64()), kept.column(0), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), kept.column(3), kept.column(4), kept.column(5)],
                 names=["slice", "process_id", "first", "last", "ord", "base", "name"],
             )
 
-    cut = ranges.mapInArrow(run, "slice int, process_id long, first long, last long, ord long, base long, name string")
+    cut = ranges.mapInArrow(run, "slice long, process_id long, first long, last long, ord long, base long, name string")
     return cut.groupBy("slice", "process_id", "first", "last").agg(F.min(F.struct("ord", "base", "name")).alias("of")).select("slice", "process_id", "first", "last", "of.*")
 
 
+def sliced(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(process_id, address, asked, slice): addresses (asked) and ends of ranges in slices of their order, written once."""
+    ends = ranges.select("process_id", F.explode(F.array(unsigned(F.col("first")), unsigned(F.col("last")))).alias("address"), F.lit(False).alias("asked"))
+    points = addresses.withColumn("asked", F.lit(True)).unionByName(ends).groupBy("process_id", "address").agg(F.max("asked").alias("asked"))
+    key = unsigned(F.col("address"))
+    # Rows of a sorted part are numbered in their order, with the part in the upper bits: so many in a row are a slice.
+    points = points.repartitionByRange("process_id", key).sortWithinPartitions("process_id", key)
+    return written(points.withColumn("slice", F.shiftright(F.monotonically_increasing_id(), SLICE_BITS)), "points")
+
+
 def stab_many(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """FOUND for different (process_id, address), slice by slice.
 
-    There are as many slices as shuffle partitions; their bounds, two numbers each, are all that the driver sees. Addresses
-    and boundaries are written once, in slices, to the session's scratch folder.
+    A slice has 65,536 boundaries and addresses at most; the bounds of slices, two numbers each, are all that the driver
+    sees. Addresses and boundaries are written once, in slices, to the session's scratch folder.
     """
-    spark = addresses.sparkSession
-    ends = ranges.select("process_id", F.explode(F.array(unsigned(F.col("first")), unsigned(F.col("last")))).alias("address"), F.lit(False).alias("asked"))
-    points = addresses.withColumn("asked", F.lit(True)).unionByName(ends).groupBy("process_id", "address").agg(F.max("asked").alias("asked"))
-    points = written(points.repartitionByRange("process_id", unsigned(F.col("address"))).withColumn("slice", F.spark_partition_id()), "points")
+    points = sliced(addresses, ranges)
     bounds = points.where("process_id is not null and address is not null").groupBy("slice").agg(F.min(F.struct("process_id", unsigned(F.col("address")).alias("k"))).alias("low"))
     lows = sorted((r["low"]["process_id"], r["low"]["k"], r["slice"]) for r in bounds.collect())
 

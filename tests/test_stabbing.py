@@ -5,6 +5,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stackloom.operators import stabbing as S
 from stackloom.operators.resolve import resolve_addresses
@@ -85,3 +86,13 @@ def test_one_process_with_a_million_ranges(spark):
     assert (got["name"].where(got["name"].notna(), None).to_numpy() == named).all() and len(i) == n
     sizes = S.pieces(ranges, [(1, int(x), s) for s, x in enumerate(S.LOW + np.arange(8) * 8_000_000)]).groupBy("slice").count().toPandas()
     assert len(sizes) == 8 and sizes["count"].max() < 1.2 * sizes["count"].median() and sizes["count"].sum() < n + 1000
+
+
+def test_slices_do_not_grow(spark):
+    """However many addresses and boundaries there are, a slice has no more than its share; with few partitions too."""
+    maps = spark.range(100_000).selectExpr("1L process_id", "cast(id as int) ord", "id * 64 base", "id * 64 + 64 `end`", "true executable", "concat('l', id) name")
+    for n in (200_000, 800_000):
+        points = S.sliced(spark.range(n).selectExpr("1L process_id", "id * 8 + 3 address"), S.keyed(maps))
+        sizes = points.groupBy("slice").agg(F.count("*").alias("n"), F.min("address").alias("low"), F.max("address").alias("high")).orderBy("low").collect()
+        assert max(r["n"] for r in sizes) <= 1 << S.SLICE_BITS and sum(r["n"] for r in sizes) == n + 200_000
+        assert all(a["high"] < b["low"] for a, b in zip(sizes, sizes[1:]))
