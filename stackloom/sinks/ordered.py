@@ -83,14 +83,15 @@ def seen_by_tasks(spark: SparkSession, path: str) -> str | None:
     return plain if shared.startswith("file:") and plain.startswith(os.path.abspath(re.sub(r"^file:(//)?", "", shared)) + os.sep) else None
 
 
-def write_ordered(rows: DataFrame, path: str, place: list[str], pack: Pack = lines, head: bytes = b"", tail: bytes = b"") -> str:
+def write_ordered(rows: DataFrame, path: str, place: list[str], pack: Pack = lines, head: bytes | Callable[[int], bytes] = b"", tail: bytes = b"") -> str:
     """head, the rows in the order of place as pack turns them into bytes, and tail, as one file; returns path.
 
-    Rows equal in the first column of place stay in one part. No rows: head and tail alone. An existing file is replaced
+    A head that tells the number of rows is a function of it.     Rows equal in the first column of place stay in one part. No rows: head and tail alone. An existing file is replaced
     when all parts are in.
     """
     spark = ready(rows.sparkSession)
     kept = written(rows, "lines")  # once: a cut by ranges reads its rows twice
+    head = head(kept.count()) if callable(head) else head
     folder = delete_on_exit(spark, f"{scratch_dir(spark)}/stackloom-parts-{uuid.uuid4().hex}")
     stage = Staging(folder)
     try:

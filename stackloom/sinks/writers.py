@@ -1,7 +1,7 @@
 """Writers: trees, samples and maps as text, graphs and files; tables on the console.
 
-Text lines are made by column expressions and leave in order; text, DOT and binary trees are written by executors in ranges of
-that order (stackloom.sinks.ordered). A map and the samples of one process are streamed a partition at a time.
+Text lines are made by column expressions and leave in order; text, DOT, binary trees and maps are written by executors in ranges
+of that order (stackloom.sinks.ordered). The samples of one process are streamed a partition at a time.
 Samples of many processes are written by executors: df.write.format("pflw") (stackloom.sources.datasource).
 """
 
@@ -25,7 +25,7 @@ from stackloom.operators import analysis
 from stackloom.operators.tree import Tree
 from stackloom.session import written
 from stackloom.sinks.ordered import opened, write_ordered
-from stackloom.sources.formats import TREE_HEADER, TREE_MAGIC, TREE_NODE, VERSION, WORD, pack_entry, pack_map, sample_header
+from stackloom.sources.formats import TREE_HEADER, TREE_MAGIC, TREE_NODE, VERSION, WORD, map_header, pack_entry, pack_library, sample_header
 
 
 def _write(path: str, head: list[str], lines: DataFrame, place: list[str], tail: str = "") -> str:
@@ -156,11 +156,15 @@ def export_samples_text(samples: DataFrame, path: str, generated: int | None = N
     return _write(path, head, sample_lines(samples), ["entry_ord", "line"])
 
 
+def _pack_libraries(batches) -> Iterator[bytes]:
+    for b in batches:
+        yield b"".join(pack_library(*r) for r in zip(*(b.column(c).to_pylist() for c in ("base", "end", "executable", "name"))))
+
+
 def export_map(lib_map: DataFrame, path: str, process_id: int, timestamp: int = 0) -> str:
-    rows = [(r["base"], r["end"], r["executable"], r["name"]) for r in lib_map.orderBy("ord").toLocalIterator()]
-    with opened(path) as f:
-        f.write(pack_map(rows, process_id, timestamp))
-    return path
+    """The map of one process as a file, in the order of ord. Executors write it."""
+    rows = lib_map.select("ord", "base", "end", "executable", "name")
+    return write_ordered(rows, path, ["ord"], _pack_libraries, lambda n: map_header(n, process_id, timestamp))
 
 
 def map_lines(lib_map: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from stackloom.model import MAX_DEPTH, FileStatus
 from stackloom.session import ready
-from stackloom.sources.formats import SAMPLE_HEADER, Entries, Fault, find_boundary, pack_entry, parse_map, parse_samples, read_header, sample_header, walk_entries
+from stackloom.sources.formats import MAP_HEADER, SAMPLE_HEADER, Entries, Fault, find_boundary, pack_entry, parse_samples, read_header, read_map_header, sample_header, walk_entries, walk_map
 from stackloom.sources.staging import Staging, store_of
 
 #: Bytes and number of files that share a task, bytes of a file beyond which several tasks may read it, bytes of a file
@@ -254,11 +254,17 @@ class MapReader(_Reader):
         for path in partition.paths:
             try:
                 with self._opened(path) as f:
-                    p = parse_map(f.read())
-            except OSError:
+                    p = read_map_header(f.read(MAP_HEADER.size))
+                    if p.status is not FileStatus.Success:
+                        continue
+                    for _ in walk_map(f.read, p.header["library_count"]):  # rows leave when all are known to be good
+                        pass
+            except (Fault, OSError):
                 continue
-            for row in p.rows:
-                yield p.header["process_id"], *row
+            with self._opened(path) as f:
+                f.seek(MAP_HEADER.size)
+                for some in walk_map(f.read, p.header["library_count"]):
+                    yield from ((p.header["process_id"], *row) for row in some)
 
 
 @dataclass

@@ -1,21 +1,31 @@
 """Readers of sample files, library maps, process maps and benchmark output, as DataFrames.
 
-Binary files come through Spark's binaryFile source, so any store that Spark reads will do; a batch of files is decoded
-by one Arrow-fed task and a file that can't be read gives a status row instead of failing the job (one without any byte gives
-none: the source passes over it).
+Spark's binaryFile source lists binary files. Tasks open them by Arrow and decode them in pieces, so that memory doesn't grow
+with a file; those of a store that only Spark reads come whole, as contents of that source. A file that can't be read
+gives a status row instead of failing the job (one without any byte gives none: the source passes over it).
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from stackloom.model import ANONYMOUS, LIB_MAP, MAX_DEPTH, SAMPLES, FileStatus, FileType
 from stackloom.session import ready
-from stackloom.sources.datasource import PART_BITS, register
-from stackloom.sources.formats import parse_map, parse_samples
+from stackloom.sources.datasource import HOLD, PART_BITS, register
+from stackloom.sources.formats import MAP_HEADER, SAMPLE_HEADER, Fault, parse_samples, read_header, read_map_header, walk_entries, walk_map
+from stackloom.sources.staging import store_of
+
+#: Rows that leave a decoder at once.
+PIECE_ROWS = 50_000
 
 SAMPLE_GLOB, MAP_GLOB = "*.pflw", "*.libmap"
 # Names that the map of a rank R may have, the first being preferred (fixed values): ...rank_R..., process_R.libmap, R.libmap.
@@ -53,32 +63,101 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified"), "length", file_type(F.col("path")).alias("file_type"), rank_of(F.col("path")).alias("rank"))
 
 
-def binary(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(paths).select("path", "content")
+def arrow_opens(spark: SparkSession, path: str) -> bool:
+    """Whether tasks can open the files of a path by Arrow: those of a file system, and of stores in which the driver finds it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    if whole.startswith("file:"):
+        return True
+    try:
+        store, inner, _ = store_of(whole)
+        return store.get_file_info(inner).type != pa.fs.FileType.NotFound
+    except (OSError, ValueError, pa.ArrowException):
+        return False
 
 
-_DECODED = "file string, status string, version int, compression int, entry_count long, max_depth long, header_process_id long, timestamp long, rows long, process_id long, entry_ord long, addrs array<long>, count long"
+def binary(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path) of files, or (path, content) where Arrow can't open them."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(paths)
+    schemes = {re.sub(r"^((\w[\w+.-]*:)(//[^/]*)?)?.*", r"\1", p): p for p in ([paths] if isinstance(paths, str) else paths)}
+    return files.select("path") if all(arrow_opens(spark, p) for p in schemes.values()) else files.select("path", "content")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.NativeFile | None]]:
+    """(path, open file) of rows (path) or (path, content); None if a file can't be opened."""
+    for b in batches:
+        for i, path in enumerate(b.column(0).to_pylist()):
+            if b.num_columns > 1:
+                yield path, pa.BufferReader(b.column(1)[i].as_buffer() or b"")
+                continue
+            store, inner, _ = store_of(path)
+            try:
+                f = store.open_input_file(inner)
+            except OSError:
+                f = None
+            yield path, f
+
+
+def _batch(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    """n rows of a schema; single values are repeated, columns that are not given are null."""
+    of = lambda f: columns.get(f.name)
+    arrays = [x.cast(f.type) if isinstance(x := of(f), pa.Array) else pa.repeat(pa.scalar(x, f.type), n) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+_DECODED = pa.schema(
+    [("file", pa.string()), ("status", pa.string()), ("version", pa.int32()), ("compression", pa.int32()), ("entry_count", pa.int64()), ("max_depth", pa.int64()), ("header_process_id", pa.int64()), ("timestamp", pa.int64())]
+    + [("rows", pa.int64()), ("process_id", pa.int64()), ("entry_ord", pa.int64()), ("addrs", pa.list_(pa.int64())), ("count", pa.int64())]
+)
+
+
+def _decode(path: str, f: pa.NativeFile | None, max_depth: int, header_only: bool) -> Iterator[pa.RecordBatch]:
+    """The status row of a file and then its entries, once all of them are known to be good; large files are read twice."""
+    header, held, n, status = {}, [], 0, FileStatus.Success
+    try:
+        if f is None:
+            raise Fault(FileStatus.FileOpen)
+        head = f.read(SAMPLE_HEADER.size)
+        header = parse_samples(head, header_only=True).header
+        if not header:
+            raise Fault(parse_samples(head, header_only=True).status)
+        if not header_only:
+            read_header(head)
+            hold = f.size() <= HOLD
+            for some in walk_entries(f.read, header["entry_count"], max_depth):
+                n += len(some.counts)
+                if hold:
+                    held.append(some)
+    except (Fault, OSError) as e:
+        status, held, n = e.status if isinstance(e, Fault) else FileStatus.FileOpen, [], 0
+    told = {k: header.get(k) for k in ("version", "compression", "entry_count", "max_depth", "timestamp")}
+    yield _batch(_DECODED, 1, file=path, status=status.value, rows=n, **told)
+    if n and not held:
+        f.seek(SAMPLE_HEADER.size)
+        held = walk_entries(f.read, header["entry_count"], max_depth)
+    for some in held if n else ():
+        ends = pa.array(np.concatenate([[0], np.cumsum(some.depths)]), pa.int32())
+        rows = len(some.counts)
+        whole = _batch(_DECODED, rows, file=path, status=status.value, entry_ord=pa.array(np.arange(some.first, some.first + rows)), addrs=pa.ListArray.from_arrays(ends, pa.array(some.addrs, pa.int64())), count=pa.array(some.counts, pa.int64()))
+        yield from (whole.slice(i, PIECE_ROWS) for i in range(0, rows, PIECE_ROWS))
 
 
 def decode_samples(files: DataFrame, max_depth: int = MAX_DEPTH, header_only: bool = False) -> DataFrame:
-    """One row per entry of every readable file and one status row per file (entry_ord null), from (path, content)."""
+    """One row per entry of every readable file and one status row per file (entry_ord null), from (path) or (path, content)."""
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                p = parse_samples(bytes(content), max_depth, header_only)
-                h = p.header
-                out.append((path, p.status.value, h.get("version"), h.get("compression"), h.get("entry_count"), h.get("max_depth"), None, h.get("timestamp"), len(p.rows), None, None, None, None))
-                out += [(path, p.status.value, None, None, None, None, None, None, None, None, i, addrs, n) for i, addrs, n in p.rows]
-            cols = [c.split()[0] for c in _DECODED.split(", ")]
-            yield pd.DataFrame(out, columns=cols).astype({c: "Int64" for c in ("version", "compression", "entry_count", "max_depth", "header_process_id", "timestamp", "rows", "process_id", "entry_ord", "count")})
+        for path, f in _opened(batches):
+            yield from _decode(path, f, max_depth, header_only)
+            if f is not None:
+                f.close()
 
+    return _fed(files).mapInArrow(run, from_arrow_schema(_DECODED))
+
+
+def _fed(files: DataFrame) -> DataFrame:
     ready(files.sparkSession)
-    return files.select("path", "content").mapInPandas(run, _DECODED)
+    return files.select("path", *(c for c in files.columns if c == "content"))
 
 
 def status_of(decoded: DataFrame) -> DataFrame:
@@ -141,27 +220,40 @@ def read_headers(spark: SparkSession, paths: str | list[str], glob: str | None =
     return status_of(decode_samples(binary(spark, paths, glob), header_only=True))
 
 
-_MAPPED = "file string, status string, header_process_id long, ord int, base long, end long, executable boolean, name string"
+_MAPPED = pa.schema([("file", pa.string()), ("status", pa.string()), ("header_process_id", pa.int64()), ("ord", pa.int32()), ("base", pa.int64()), ("end", pa.int64()), ("executable", pa.bool_()), ("name", pa.string())])
+
+
+def _decode_map(path: str, f: pa.NativeFile | None) -> Iterator[pa.RecordBatch]:
+    """The status row of a map and then its libraries; the map is read twice, so that rows leave when all are known to be good."""
+    header, status = {}, FileStatus.FileOpen
+    try:
+        if f is not None:
+            p = read_map_header(f.read(MAP_HEADER.size))
+            header, status = p.header, p.status
+            if status is FileStatus.Success:
+                for _ in walk_map(f.read, header["library_count"]):
+                    pass
+    except (Fault, OSError) as e:
+        status = e.status if isinstance(e, Fault) else FileStatus.FileOpen
+    told = {"file": path, "status": status.value, "header_process_id": header.get("process_id")}
+    yield _batch(_MAPPED, 1, **told)
+    if status is FileStatus.Success:
+        f.seek(MAP_HEADER.size)
+        for rows in walk_map(f.read, header["library_count"]):
+            columns = {c: pa.array(x, _MAPPED.field(c).type) for c, x in zip(("ord", "base", "end", "executable", "name"), zip(*rows))}
+            yield _batch(_MAPPED, len(rows), **told, **columns)
 
 
 def decode_maps(files: DataFrame) -> DataFrame:
-    """One row per library of every readable map and one status row per file (ord null), from (path, content)."""
+    """One row per library of every readable map and one status row per file (ord null), from (path) or (path, content)."""
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                p = parse_map(bytes(content))
-                pid = p.header.get("process_id")
-                out.append((path, p.status.value, pid, None, None, None, None, None))
-                out += [(path, p.status.value, pid, *r) for r in p.rows]
-            cols = [c.split()[0] for c in _MAPPED.split(", ")]
-            yield pd.DataFrame(out, columns=cols).astype({"header_process_id": "Int64", "ord": "Int64", "base": "Int64", "end": "Int64", "executable": "boolean"})
+        for path, f in _opened(batches):
+            yield from _decode_map(path, f)
+            if f is not None:
+                f.close()
 
-    ready(files.sparkSession)
-    return files.select("path", "content").mapInPandas(run, _MAPPED)
+    return _fed(files).mapInArrow(run, from_arrow_schema(_MAPPED))
 
 
 def maps_of(decoded: DataFrame, process_ids: DataFrame | None = None) -> DataFrame:

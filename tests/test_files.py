@@ -1,5 +1,6 @@
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from stackloom.model import FileStatus as S
 from stackloom.model import SampleCountMode
 from stackloom.operators.resolve import OffsetConverter, parse_addr2line, resolve_addresses, resolve_samples, symbolize
 from stackloom.sinks import writers as W
-from stackloom.sources import datasource, files
+from stackloom.sources import datasource, files, formats
 from stackloom.sources.formats import SAMPLE_HEADER, SAMPLE_MAGIC, pack_map, pack_samples, parse_map, parse_samples
 
 STACKS = [([0x1000, 0x2000, 0x3000], 100), ([0x4000, 0x5000], 200), ([0x6000], 50)]
@@ -146,3 +147,34 @@ def test_benchmark_output(spark, tmp_path):
     (tmp_path / "ep.C.8.2.out").write_text("nothing")
     got = sorted(tuple(r)[1:] for r in files.read_benchmark_output(spark, str(tmp_path)).collect())
     assert got == [("cg", "C", 4, 1, 4.86, 12.5, 0.0), ("ep", "C", 8, 2, 0.0, 0.0, 0.0)]
+
+
+def test_large_files_are_decoded_in_pieces(tmp_path):
+    """Status first, then so many rows at a time; a cut in the last entry takes them all back."""
+    libraries = [(i * 10, i * 10 + 5, i % 2 == 0, f"l{i}") for i in range(25_000)]
+    entries = [([i, i + 1], i) for i in range(120_000)]
+    for data, decode, most in ((pack_map(libraries, 3), files._decode_map, formats.MAP_ROWS), (pack_samples(entries), lambda p, f: files._decode(p, f, 128, False), files.PIECE_ROWS)):
+        for cut, status in ((0, "Success"), (1, "FileRead")):
+            name = str(tmp_path / f"x{cut}")
+            with open(name, "wb") as f:
+                f.write(data[: len(data) - cut])
+            with pa.OSFile(name) as f:
+                got = list(decode(name, f))
+            assert got[0].num_rows == 1 and got[0].column("status").to_pylist() == [status] and all(b.num_rows <= most for b in got)
+            rows = [r for b in got[1:] for r in b.to_pylist()]
+            if cut:
+                assert not rows
+            elif decode is files._decode_map:
+                assert [(r["base"], r["end"], r["executable"], r["name"]) for r in rows] == libraries and [r["ord"] for r in rows] == list(range(25_000))
+            else:
+                assert [(r["addrs"], r["count"]) for r in rows] == entries and [r["entry_ord"] for r in rows] == list(range(120_000))
+
+
+def test_maps_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    def never(*_):
+        raise AssertionError("rows went to the driver")
+
+    m = spark.range(30_000).selectExpr("cast(30000 - id as int) ord", "id * 10 base", "id * 10 + 5 `end`", "id % 2 = 0 executable", "concat('l', id) name")
+    monkeypatch.setattr(type(m), "toLocalIterator", never)
+    p = parse_map(open(W.export_map(m, str(tmp_path / "m.libmap"), 42), "rb").read())
+    assert p.header["process_id"] == 42 and p.rows == [(i, (29_999 - i) * 10, (29_999 - i) * 10 + 5, i % 2 == 1, f"l{29_999 - i}") for i in range(30_000)]
