@@ -54,28 +54,29 @@ def latest_maps(lib_map: DataFrame, order: str = "loaded") -> DataFrame:
     return lib_map.join(last, "process_id").where(F.col(order) == F.col("_last")).drop("_last")
 
 
-def resolve_samples(samples: DataFrame, lib_map: DataFrame, symbols: DataFrame | None = None, frame_order: str = "root_first", time_per_sample: float = 1000.0) -> DataFrame:
-    """Stacks, root first, of samples (process_id, entry_ord, addrs, count); entry_ord tells the samples of a process apart.
+def resolve_samples(samples: DataFrame, lib_map: DataFrame, symbols: DataFrame | None = None, frame_order: str = "root_first", time_per_sample: float = 1000.0, key: tuple[str, ...] = ("process_id", "entry_ord")) -> DataFrame:
+    """Stacks, root first, of samples (process_id, entry_ord, addrs, count); entry_ord, or all of key, tells the samples of a process apart.
 
     A process without a map keeps [unknown] as library and function; with one, functions come from symbols (library,
     offset), else stay empty. Symbols are looked up for resolved addresses alone.
     """
-    s = samples.withColumn("addrs", root_first(F.col("addrs"), frame_order)).select("process_id", "entry_ord", "addrs", "count")
+    s = samples.withColumn("addrs", root_first(F.col("addrs"), frame_order)).select(*key, "addrs", "count")
     each = s.select("process_id", F.explode(F.array_distinct("addrs")).alias("address")).distinct()
     frames = resolve_addresses(each, lib_map)
     if symbols is not None:
         y = symbols.groupBy(F.col("library").alias("library_name"), "offset").agg(F.min(F.struct("function_name", "filename", "line_number")).alias("y"))
-        frames = frames.join(y, ["library_name", "offset"], "left")
+        frames = frames.join(y.hint("merge"), ["library_name", "offset"], "left")
         frames = frames.select("process_id", "address", "library_name", "offset", F.when(~F.col("library_name").isin(UNKNOWN, UNRESOLVED), F.col("y")).alias("y"))
     else:
         frames = frames.withColumn("y", F.lit(None).cast("struct<function_name:string,filename:string,line_number:int>"))
     name = F.when(F.col("library_name") == UNKNOWN, F.lit(UNKNOWN)).otherwise(F.coalesce("y.function_name", F.lit("")))
     frame = F.struct(F.col("address").alias("raw_address"), "offset", "library_name", name.alias("function_name"), F.coalesce("y.filename", F.lit("")).alias("filename"), F.coalesce("y.line_number", F.lit(0)).alias("line_number"))
     frames = frames.select("process_id", "address", frame.alias("frame"))
-    placed = s.select("process_id", "entry_ord", "count", F.posexplode_outer("addrs").alias("pos", "address")).join(frames, ["process_id", "address"], "left")
+    # By a shuffle whatever Spark takes the frames for: sizes of compressed sources have made it send millions of them to the driver.
+    placed = s.select(*key, "count", F.posexplode_outer("addrs").alias("pos", "address")).join(frames.hint("merge"), ["process_id", "address"], "left")
     found = F.collect_list(F.when(F.col("frame").isNotNull(), F.struct("pos", "frame")))
-    whole = placed.groupBy("process_id", "entry_ord").agg(F.transform(F.array_sort(found), lambda x: x["frame"]).alias("frames"), F.first("count").alias("count"))
-    return whole.select("process_id", "entry_ord", "frames", "count", (F.col("count") * F.lit(float(time_per_sample))).alias("time_us"))
+    whole = placed.groupBy(*key).agg(F.transform(F.array_sort(found), lambda x: x["frame"]).alias("frames"), F.first("count").alias("count"))
+    return whole.select(*key, "frames", "count", (F.col("count") * F.lit(float(time_per_sample))).alias("time_us"))
 
 
 def parse_addr2line(function: str, location: str) -> tuple[str, str, int] | None:

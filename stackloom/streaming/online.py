@@ -15,7 +15,6 @@ import time
 from collections import deque
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -27,7 +26,6 @@ from stackloom.operators.resolve import latest_maps, resolve_samples
 from stackloom.operators.tree import Tree, build_tree
 from stackloom.session import ready
 from stackloom.sources.files import decode_maps, decode_samples, file_type, list_files, map_rank_of, rank_of, samples_of, status_of
-from stackloom.sources.staging import store_of
 from stackloom.streaming.folder import FolderSource
 from stackloom.streaming.runs import Runs
 
@@ -52,23 +50,6 @@ def _placed(files: DataFrame, *order: str) -> DataFrame:
     return files.withColumn("at", F.row_number().over(Window.partitionBy("process_id").orderBy(*order)).cast("long") - 1)
 
 
-def with_content(files: DataFrame) -> DataFrame:
-    """(path, content) of files (path); executors read them. A file that is gone has no content and no row."""
-
-    def run(batches):
-        for b in batches:
-            for path in b.column(0).to_pylist():
-                store, inner, _ = store_of(path)
-                try:
-                    with store.open_input_stream(inner) as f:
-                        data = f.read()
-                except OSError:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], names=["path", "content"])
-
-    return files.select("path").mapInArrow(run, "path string, content binary")
-
-
 class Reporter(StreamingQueryListener):
     """Tells the totals of a running analysis as its stream makes progress or idles."""
 
@@ -163,8 +144,7 @@ class OnlineAnalysis:
         if not taken:
             fresh.unpersist()
             return 0
-        content = with_content(fresh).persist()
-        kind = lambda t: content.where(file_type(F.col("path")) == t.value)
+        kind = lambda t: fresh.where(F.col("file_type") == t.value).select("path").repartition(min(1_000, taken.get(t.value, 1)))  # noqa: E731  # a task a file
         decoded = decode_samples(kind(FileType.SampleData)).persist()
         times = fresh.select(F.col("path").alias("file"), "modified")
         samples = samples_of(decoded).join(times, "file")
@@ -203,7 +183,7 @@ class OnlineAnalysis:
         self.runs.commit(number, {"entries": entries, "events": info} | ({"maps": maps} if mapped is not None else {}), {"entries": "process_id", "maps": "process_id"})
         seen = of_files.get | of_entries.get
         self.metrics.append({"batch_id": number} | {k: int(seen.get(k) or 0) for k in ("files", "bad_files", "samples", "entries")})
-        for df in (content, decoded, mapped_files, fresh, *(x for x in (latest, old) if x is not None)):
+        for df in (decoded, mapped_files, fresh, *(x for x in (latest, old) if x is not None)):
             df.unpersist()
         for path, what, new in told:
             self._callback(path, what, new)
@@ -213,11 +193,8 @@ class OnlineAnalysis:
 
     def _resolved(self, raw: DataFrame, maps: DataFrame) -> DataFrame:
         """Entries with frames, of rows (process_id, file, modified, entry_ord, addrs, count)."""
-        files = _placed(raw.select("process_id", "file", "modified").distinct(), "file", "modified")
-        numbered = raw.join(files, ["process_id", "file", "modified"]).withColumn("entry_ord", F.shiftleft("at", ORDER_BITS) + F.col("entry_ord"))
-        found = resolve_samples(numbered, maps, None, "root_first", self.time_per_sample).withColumn("at", F.shiftright("entry_ord", ORDER_BITS))
-        own = F.col("entry_ord").bitwiseAND((1 << ORDER_BITS) - 1)
-        return found.join(files, ["process_id", "at"]).select("process_id", "file", "modified", own.alias("entry_ord"), F.col("frames").cast(_FRAMES).alias("frames"), "count")
+        found = resolve_samples(raw, maps, None, "root_first", self.time_per_sample, ("process_id", "file", "modified", "entry_ord"))
+        return found.select("process_id", "file", "modified", "entry_ord", F.col("frames").cast(_FRAMES).alias("frames"), "count")
 
     @property
     def events(self) -> DataFrame:

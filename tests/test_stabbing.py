@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.operators import stabbing as S
-from stackloom.operators.resolve import resolve_addresses
+from stackloom.operators.resolve import resolve_addresses, resolve_samples
 
 MAP = "process_id long, ord int, base long, `end` long, executable boolean, name string"
 
@@ -96,3 +96,16 @@ def test_slices_do_not_grow(spark):
         sizes = points.groupBy("slice").agg(F.count("*").alias("n"), F.min("address").alias("low"), F.max("address").alias("high")).orderBy("low").collect()
         assert max(r["n"] for r in sizes) <= 1 << S.SLICE_BITS and sum(r["n"] for r in sizes) == n + 200_000
         assert all(a["high"] < b["low"] for a, b in zip(sizes, sizes[1:]))
+
+
+def test_frames_are_never_broadcast(spark):
+    """Whatever size Spark takes the frames for: the driver would hold all of them."""
+    one = spark.range(1)  # tables of a known, small size
+    samples = one.selectExpr("id + 1 process_id", "id entry_ord", "array(id + 5, id + 6) addrs", "id + 1 count")
+    maps = one.selectExpr("id + 1 process_id", "0 ord", "id base", "id + 9 `end`", "true executable", "concat('l', id) name")
+    symbols = one.selectExpr("concat('l', id) library", "id + 5 offset", "'f' function_name", "'f.c' filename", "1 line_number")
+    found = resolve_samples(samples, maps, symbols)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert all(any("SortMergeJoin" in x and key in x for x in joins) and not any("Broadcast" in x and key in x for x in joins) for key in ("address#", "offset#")), joins
+    assert [len(r["frames"]) for r in found.collect()] == [2]
