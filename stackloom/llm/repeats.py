@@ -75,6 +75,7 @@ class Repeats:
     most: int = 500
     long_words: int = 0
     block: int = 16
+    trim: bool = False
 
     def cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, row) of the units of a batch."""
@@ -156,12 +157,14 @@ class Repeats:
         units = 0
 
         def done():
-            held.sort(key=lambda x: (x[1] is None, x[1] or 0, x[2], x[3]))
-            found = self.resolve([(x[1], x[7]) for x in held])
+            if self.scope != "anywhere":  # there the order decides nothing, and what is alike stays together
+                held.sort(key=lambda x: (x[1] is None, x[1] or 0, x[2], x[3]))
+            rows, ahead = self._trimmed(held) if self.trim else (held, [0] * len(held))
+            found = self.resolve([(x[1], x[7]) for x in rows])
             out: dict[str, list] = {f.name: [] for f in _TOLD}
-            for (_, doc, th, first, role, _, items, _), hit in zip(held, found):
+            for (_, doc, th, first, role, _, items, _), low, hit in zip(rows, ahead, found):
                 if role == OPEN:
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))) + low
                     told = [(doc, th, first + s, first + e - 1, first, None, None) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist())]
                 elif role == PAIRED:
                     told = [(None,) * 5 + (x["anchor"], x["cls"]) for x in items if hit[x["first"] - first : x["last"] - first + 1].all()]
@@ -182,6 +185,43 @@ class Repeats:
         if held:
             yield done()
 
+    def _trimmed(self, held: list[tuple]) -> tuple[list[tuple], list[int]]:
+        """(segments of bytes that may share a window with another of their anchor, windows cut off ahead of each).
+
+        All segments of an anchor are at hand. Two share a window only if they share what it holds before and after the
+        anchor, so windows that reach beyond all shared contexts go; a context seen once by its hash is surely not shared.
+        """
+        some = [i for i, x in enumerate(held) if x[4] == OPEN or not x[5]]
+        if not some:
+            return held, [0] * len(held)
+        many = np.array([len(held[i][7]) for i in some])
+        base, row = np.cumsum(many) - many, np.repeat(np.arange(len(some)), many)
+        values = winnow.byte_values(np.frombuffer(b"".join(held[i][7] for i in some), np.uint8), 1)
+        keys = np.array([held[i][0] for i in some], np.int64)
+        at, windows = self._anchors(pa.record_batch({"key": keys}), values, row, base)
+        rolling, salt, side = winnow.Rolling(values, winnow.B3), winnow.mix(keys.view(np.uint64)), self.size - self.gram
+        far = []
+        for before, room in ((1, at), (0, many - at - self.gram)):
+            reach = np.full(len(some), 1 << 30)
+            for k in range(self.block, side + 1, self.block):
+                r = np.flatnonzero((at >= 0) & (room >= k))
+                s = base[r] + at[r]
+                seen = winnow.mix(rolling.of(s - k * before, s + self.gram + k * (1 - before)) ^ salt[r])
+                _, who, n = np.unique(seen, return_inverse=True, return_counts=True)
+                alone = r[n[who] == 1]
+                reach[alone] = np.minimum(reach[alone], k)
+            far.append(reach)
+        low = np.where(at < 0, 0, np.maximum(0, at - far[0] + 1))
+        high = np.where(at < 0, windows, np.minimum(windows, at - side + far[1]))
+        cut = {i: (a, b) for i, a, b in zip(some, low.tolist(), high.tolist())}
+        rows, ahead = [], []
+        for i, x in enumerate(held):
+            a, b = cut.get(i, (0, 1))
+            if a < b:
+                rows.append((*x[:7], x[7][a : b - 1 + self.size]) if i in cut else x)
+                ahead.append(a)
+        return rows, ahead
+
     def _units(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(values, row of each unit, first unit of each row) of a batch of segments."""
         data, ends = utf8(batch.column(5))

@@ -140,6 +140,45 @@ def test_merge_equals_brute_force():
         assert [g.tolist() for g in got] == [[seen[s[i : i + size]] > 1 for i in range(max(0, len(s) - size + 1))] for s in strings]
 
 
+def test_blocks_of_copies_merge():
+    """Copies within blocks and between them: one suffix a group goes into the merge, and the answers stay whole."""
+    rnd = random.Random(10)
+    for _ in range(40):
+        some = [bytes(rnd.choices(b"abc", k=rnd.randint(0, 60))) for _ in range(4)]
+        strings = [x[rnd.randint(0, 9) :] for x in rnd.choices(some, k=12)]
+        size = rnd.choice([1, 2, 7, 16, 30])
+        seen = {}
+        for s in strings:
+            for i in range(len(s) - size + 1):
+                seen[s[i : i + size]] = seen.get(s[i : i + size], 0) + 1
+        got = suffix_dedup.repeated([strings[:5], strings[5:6], strings[6:]], size)
+        assert [g.tolist() for g in got] == [[seen[s[i : i + size]] > 1 for i in range(max(0, len(s) - size + 1))] for s in strings]
+
+
+def test_structure_sees_what_contexts_share(spark, tmp_path):
+    """A phrase too short to repeat costs no suffixes, wherever it stands; a passage that repeats between others does."""
+    rnd = random.Random(11)
+    some = lambda k: "".join(chr(rnd.randrange(97, 123)) for _ in range(k))
+    phrase, passage = some(40), some(90)
+    texts = [some(150) + phrase + some(150) for _ in range(8)] + [some(90) + passage + some(90) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as th", "text")
+    rep = suffix_dedup.frame(60, 12)
+    log, whole = str(tmp_path / "seen"), rep.resolve
+
+    def resolve(segments):
+        with open(log, "a") as f:
+            f.writelines(f"{d}\n" for d, _ in segments)
+        return whole(segments)
+
+    spans = type(rep)(**{**rep.__dict__, "resolve": resolve}).spans(docs).collect()
+    assert {int(x) for x in open(log)} == {8, 9, 10} == {r["doc_id"] for r in spans}
+    hit = {r["doc_id"]: 0 for r in spans}
+    for d, s in {(r["doc_id"], i) for r in spans for i in range(r["first"], r["last"] + 1)}:
+        assert 90 <= s <= 90 + 30
+        hit[d] += 1
+    assert hit == {8: 31, 9: 31, 10: 31}
+
+
 def test_automaton_matches():
     rnd = random.Random(6)
     for _ in range(60):
