@@ -361,7 +361,7 @@ def _file_types(spark, sf_dir):
 
 
 def _child(spark, sf_dir):
-    t = _tree(spark, sf_dir)
+    t = _tree(spark, sf_dir).stored
     main = t.find_nodes_by_name("main").first()["node_id"]
     some = [t.find_child(main, "ASIA"), t.find_child(main, "ASIA", "libregion.so"), t.find_child(main, "ASIA", "libnation.so"), t.find_child(main, "no such")]
     out = [x.select(F.lit(i).alias("asked"), Q.path_text().alias("path"), "total_samples") for i, x in enumerate(some)]

@@ -9,7 +9,7 @@ representative stack of each node. Nothing of a tree is held by the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,7 +59,16 @@ class Tree:
     build_mode: TreeBuildMode = TreeBuildMode.ContextFree
     count_mode: SampleCountMode = SampleCountMode.Exclusive
     least_processes: int = 0
-    _kept: list = field(default_factory=list, compare=False, repr=False)
+    kept: bool = False
+
+    @cached_property
+    def stored(self) -> Tree:
+        """This tree over stacks that are written once, for whatever derives several tables or answers from it."""
+        return self if self.kept else replace(self, stacks=written(self.stacks, "stacks"), kept=True)
+
+    @cached_property
+    def _stored_shape(self) -> DataFrame:
+        return written(self.stored._shape, "shape")
 
     @cached_property
     def visits(self) -> DataFrame:
@@ -132,15 +141,15 @@ class Tree:
 
         A node's place is the sum, over itself and all above it but the root, of one and the sizes of the subtrees of
         earlier siblings; so the order of a whole tree needs no sort of all nodes in one place, and siblings are numbered
-        in ranges, so neither does that of one node's children. The shape is written once, when this is first asked for.
+        in ranges, so neither does that of one node's children. Stacks and shape are written once, when this is first asked for.
         """
-        shape = written(self._shape, "shape")
+        shape = self._stored_shape
         above = shape.select(F.col("node_id").alias("of"), F.explode("lineage").alias("node_id"))
         sizes = above.groupBy("node_id").agg(F.count("*").alias("size"))
         siblings = shape.select("node_id", F.col("parent_id").alias("group"), "first", F.element_at("path", -1).alias("key")).join(sizes, "node_id").withColumnRenamed("node_id", "id")
         ranks = numbered(siblings, F.col("first"), F.col("key")).select(F.col("id").alias("node_id"), F.col("size").alias("subtree_size"), F.col("rank").alias("sibling_rank"), (F.col("ahead") + 1).alias("step"))
         place = above.join(ranks.select("node_id", "step"), "node_id").groupBy(F.col("of").alias("node_id")).agg(F.sum("step").alias("preorder"))
-        found = self._nodes(shape).join(ranks.drop("step"), "node_id", "left").join(place, "node_id", "left")
+        found = self.stored._nodes(shape).join(ranks.drop("step"), "node_id", "left").join(place, "node_id", "left")
         whole = shape.agg((F.count("*") + 1).alias("all_nodes"))
         found = found.crossJoin(F.broadcast(whole))  # one number
         return found.withColumn("preorder", F.coalesce("preorder", F.lit(0))).withColumn("subtree_size", F.coalesce("subtree_size", "all_nodes")).withColumn("sibling_rank", F.coalesce("sibling_rank", F.lit(1))).drop("all_nodes")
@@ -223,13 +232,17 @@ class Tree:
         return self.nodes.join(p, "parent_id", "left_semi")
 
     def find_child(self, parent_id: str, function_name: str, library_name: str | None = None, offset: int | None = None) -> DataFrame:
-        """The first child of a node with that name, and that library and offset where given; none or one row."""
+        """The first child of a node with that name, and that library and offset where given; none or one row of nodes.
+
+        Children come in the order of first appearance, which takes no numbers of the whole tree. The shape is written when a
+        child is first asked for and serves all later questions.
+        """
         want = (F.col("parent_id") == parent_id) & (F.col("function_name") == function_name)
         if library_name is not None:
             want &= F.col("library_name") == library_name
         if offset is not None:
             want &= F.col("offset") == offset
-        return self.ordered.where(want).orderBy("sibling_rank").limit(1)
+        return self.stored._nodes(self._stored_shape).where(want).orderBy("first", F.element_at("path", -1)).limit(1)
 
     def siblings(self, of: DataFrame) -> DataFrame:
         """(of_id, node) pairs: every other child of the same parent; the root has none."""

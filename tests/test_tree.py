@@ -149,3 +149,30 @@ def test_missing_columns_and_nulls(spark):
     df = df.unionByName(df.withColumn("count", F.lit(None).cast("long"))).unionByName(df.withColumn("process_id", F.lit(None).cast("long")))
     t = build_tree(df)
     assert t.total_samples == 5 and t.total_execution_time == 5000.0
+
+
+def _counted(spark, *rows):
+    """(stacks, how many times a row of theirs was made)."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    s = stacks(spark, *rows)
+    return s.mapInArrow(count, s.schema), made
+
+
+def test_children_are_found_from_stacks_made_once(spark, monkeypatch):
+    """Same-named children of two libraries: the first in order of appearance, without numbers of the whole tree."""
+    rows = [(1, "main@a > f@x", 4), (0, "main@a > f@z", 2), (0, "main@a > f@y", 1), (0, "main@a > g@y", 7)]
+    s, made = _counted(spark, *rows)
+    t = build_tree(s, count_mode=M.Both)
+    top = next(r["node_id"] for r in build_tree(stacks(spark, *rows)).nodes.collect() if r["function_name"] == "main")
+    o = build_tree(stacks(spark, *rows), count_mode=M.Both).ordered.where("function_name = 'f'").orderBy("sibling_rank").collect()
+    assert [r["library_name"] for r in o] == ["z", "y", "x"]
+    monkeypatch.setattr("stackloom.operators.tree.numbered", None)
+    found = [t.find_child(top, "f").collect(), t.find_child(top, "f", "x").collect(), t.find_child(top, "f", "z", 1).collect(), t.find_child(top, "h").collect()]
+    assert [[(r["library_name"], r["total_samples"], r["child_count"]) for r in x] for x in found] == [[("z", 2, 0)], [("x", 4, 0)], [], []]
+    assert made.value == len(rows)
