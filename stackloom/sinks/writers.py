@@ -46,12 +46,14 @@ def tree_lines(tree: Tree) -> DataFrame:
 
 
 def export_tree_text(tree: Tree, path: str, generated: int | None = None) -> str:
+    tree = tree.stored
     head = ["# Performance Tree (Text Format)", f"# Generated: {int(time.time()) if generated is None else generated}", f"# Process count: {tree.process_count}", f"# Total samples: {tree.total_samples}", "#", ""]
     return _write(path, head, tree_lines(tree), ["visit_rank"])
 
 
 def dot_lines(tree: Tree, scheme: ColorScheme = ColorScheme.Heatmap, max_depth: int = 0) -> DataFrame:
     """(visit_rank, part, line): a node line per node and an edge line per edge; max_depth 0 is without limit."""
+    tree = tree.stored
     n = tree.traverse("preorder")
     if max_depth:
         n = n.where(F.col("depth") <= max_depth)
@@ -102,6 +104,7 @@ def _pack_nodes(count: int, batches) -> Iterator[bytes]:
 
 def export_tree(tree: Tree, path: str, timestamp: int = 0) -> str:
     """The binary tree file: nodes in pre-order with ids from 0, the root's parent being 0. Executors write it."""
+    tree = tree.stored  # nodes, their processes and the number of processes come from it
     count = tree.process_count
     if count > VECTOR:
         raise ValueError(f"a tree file lists every process from 0 on for each node; {count} processes are more than {VECTOR}")

@@ -7,6 +7,7 @@ from stackloom.model import SampleCountMode as M
 from stackloom.model import TreeBuildMode as B
 from stackloom.operators import analysis as A
 from stackloom.operators.tree import ROOT_ID, build_tree
+from stackloom.sinks import writers as W
 from tests.util import by_path, stacks
 
 
@@ -176,3 +177,11 @@ def test_children_are_found_from_stacks_made_once(spark, monkeypatch):
     found = [t.find_child(top, "f").collect(), t.find_child(top, "f", "x").collect(), t.find_child(top, "f", "z", 1).collect(), t.find_child(top, "h").collect()]
     assert [[(r["library_name"], r["total_samples"], r["child_count"]) for r in x] for x in found] == [[("z", 2, 0)], [("x", 4, 0)], [], []]
     assert made.value == len(rows)
+
+
+def test_tree_files_come_from_stacks_made_once(spark, tmp_path):
+    rows = [(p, f"main@a > f{i}@b", i + p + 1) for p in range(3) for i in range(5)]
+    s, made = _counted(spark, *rows)
+    whole = W.read_tree(open(W.export_tree(build_tree(s, count_mode=M.Both), str(tmp_path / "t.ptree")), "rb").read())
+    assert made.value == len(rows)
+    assert [(x["function"], x["samples"]) for x in whole] == [("[root]", [15, 20, 25]), ("main", [15, 20, 25]), *[(f"f{i}", [i + 1, i + 2, i + 3]) for i in range(5)]]
