@@ -10,7 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +69,14 @@ def _samples(spark, sf_dir) -> DataFrame:
 
 
 def _addressed(spark, sf_dir) -> DataFrame:
-    return Q._addresses(spark, sf_dir).groupBy("process_id", F.array("address").alias("addrs")).agg(F.count("*").alias("count"))
+    return Q._addresses(spark, sf_dir).groupBy("process_id", "address").agg(F.count("*").alias("count")).select("process_id", F.array("address").alias("addrs"), "count")
 
 
 def _maps(spark, sf_dir) -> str:
     """A folder with the library maps of processes 0 to 3."""
     path, ranges = folder(spark, "maps"), Q._ranges(spark, sf_dir)
-    for p in range(4):
-        W.export_map(ranges.where(F.col("process_id") == p), f"{path}/rank_{p}.libmap", p)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(inheritable_thread_target(spark)(lambda p: W.export_map(ranges.where(F.col("process_id") == p), f"{path}/rank_{p}.libmap", p)), range(4)))
     return path
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.callstack import SIGN, distance, root_first, unsigned
 from stackloom.model import UNKNOWN, UNRESOLVED, ResolveStrategy
-from stackloom.operators.stabbing import stab
+from stackloom.operators.stabbing import add_many, keyed, stab
 from stackloom.session import ready
 from stackloom.sources.formats import WORD
 
@@ -79,6 +79,36 @@ def resolve_samples(samples: DataFrame, lib_map: DataFrame, symbols: DataFrame |
     return whole.select(*key, "frames", "count", (F.col("count") * F.lit(float(time_per_sample))).alias("time_us"))
 
 
+def last_counts(entries: DataFrame) -> DataFrame:
+    """Samples of entries of files: a stack that comes twice in one file counts as its last entry says, in the place of its first."""
+    by = entries.groupBy("process_id", "file_no", "addrs").agg(F.min("entry_ord").alias("entry_ord"), F.max_by("count", "entry_ord").alias("count"))
+    return by.select("process_id", "entry_ord", "addrs", "count")
+
+
+def resolve_added(entries: DataFrame, lib_map: DataFrame, frame_order: str = "root_first", time_per_sample: float = 1000.0, by_offset: bool = False, few: int = BROADCAST_RANGES) -> DataFrame:
+    """resolve_samples of entries of files (process_id, file_no, entry_ord, addrs, count) without symbols, for a tree: the same sums
+    of equal stacks of a process, in fewer rows. Entries are read several times (``written``). A stack that comes twice in one file counts as its last entry says.
+
+    With more than ``few`` ranges, samples of one frame go through the slices of the ranges whole: what a slice finds equal (in
+    library, and in offset if by_offset) leaves it as one row with the first entry_ord, and no sample is put together again from its frames.
+    Deeper samples take the way of resolve_samples. Empty ones, which count nowhere in a tree, are left out.
+    """
+    ready(entries.sparkSession)
+    ranges = keyed(lib_map)
+    if ranges.limit(few + 1).count() <= few:
+        return resolve_samples(last_counts(entries), lib_map, None, frame_order, time_per_sample)
+    known = lib_map.select("process_id", F.lit(True).alias("mapped")).distinct()
+    address, base = F.col("address"), F.col("base")
+    single = entries.where("size(addrs) = 1").select("process_id", "file_no", F.col("addrs")[0].alias("address"), "entry_ord", "count")
+    found = add_many(single, ranges, by_offset).join(known, "process_id", "left")
+    library = F.coalesce("name", F.when(F.col("mapped"), F.lit(UNRESOLVED)).otherwise(F.lit(UNKNOWN)))
+    function = F.when(library == UNKNOWN, F.lit(UNKNOWN)).otherwise(F.lit(""))
+    frame = F.struct(address.alias("raw_address"), F.coalesce(offset_of(address, base), address).alias("offset"), library.alias("library_name"), function.alias("function_name"), F.lit("").alias("filename"), F.lit(0).alias("line_number"))
+    out = found.select("process_id", "entry_ord", F.array(frame).alias("frames"), "count", (F.col("count") * F.lit(float(time_per_sample))).alias("time_us"))
+    deep = entries.where("size(addrs) > 1")
+    return out.unionByName(resolve_samples(last_counts(deep), lib_map, None, frame_order, time_per_sample)) if deep.limit(1).count() else out
+
+
 def parse_addr2line(function: str, location: str) -> tuple[str, str, int] | None:
     """(function, file, line) of addr2line's two lines, or None if nothing is known; ?? stands for unknown."""
     function, location = function.rstrip("\r\n "), location.rstrip("\r\n ")

@@ -10,13 +10,13 @@ of a slice only the smallest ord matters there, as of those that reach into it u
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.functions.callstack import SIGN, unsigned
@@ -61,8 +61,8 @@ class Ranges:
             starts, decides = stretches(*(c[i:j] for c in columns))
             self.held[int(process[i])] = starts, np.where(decides < 0, -1, decides + i)
 
-    def find(self, process: pa.Array, address: pa.Array) -> list[pa.Array]:
-        """Columns of FOUND; base and name are null where no range holds the address, or it or its process is null."""
+    def places(self, process: pa.Array, address: pa.Array) -> np.ndarray:
+        """The deciding range of each address, -1 where there is none or where it or its process is null."""
         p, a = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False) for x in (process, address))
         k = a ^ np.int64(SIGN)
         hit = np.full(len(p), -1, np.int64)
@@ -74,9 +74,17 @@ class Ranges:
                 at = np.searchsorted(starts, k[order[i:j]], side="right") - 1
                 hit[order[i:j]] = np.where(at < 0, -1, decides[at])
         known = pc.and_(pc.is_valid(process), pc.is_valid(address)).to_numpy(zero_copy_only=False)
-        place = pa.array(hit, mask=(hit < 0) | ~known)
+        return np.where(known, hit, -1)
+
+    def find(self, process: pa.Array, address: pa.Array) -> list[pa.Array]:
+        """Columns of FOUND; base and name are null where no range holds the address, or it or its process is null."""
+        return [process, address, *self.at(self.places(process, address))]
+
+    def at(self, hit: np.ndarray) -> list[pa.Array]:
+        """Bases and names of ranges by their places, null for -1."""
+        place = pa.array(hit, mask=hit < 0)
         whole = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-        return [process, address, *(whole(x.take(place)) for x in (self.base, self.name))]
+        return [whole(x.take(place)) for x in (self.base, self.name)]
 
 
 def keyed(lib_map: DataFrame) -> DataFrame:
@@ -110,7 +118,7 @@ def pieces(ranges: DataFrame, lows: list[tuple[int, int, int]]) -> DataFrame:
             best = np.full(len(keys) + 1, -1, np.int64)
             # The larger ords first, so that the smallest stays; (process, slice) has one process where a range covers it all.
             for i in sorted(range(len(p)), key=ord_.__getitem__, reverse=True):
-                f, t = max(bisect_right(keys, (p[i], first[i])) - 1, 0), bisect_right(keys, (p[i], last[i])) - 1
+                f, t = max(bisect_left(keys, (p[i], first[i])) - 1, 0), bisect_right(keys, (p[i], last[i])) - 1
                 if t < f:
                     continue
                 best[f + 1 : t] = i
@@ -145,6 +153,12 @@ def sliced(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     return written(points.withColumn("slice", F.shiftright(F.monotonically_increasing_id(), SLICE_BITS)), "points")
 
 
+def lows_of(points: DataFrame) -> list[tuple[int, int, int]]:
+    """(process, first key, slice) of slices in their order."""
+    bounds = points.where("process_id is not null and address is not null").groupBy("slice").agg(F.min(F.struct("process_id", unsigned(F.col("address")).alias("k"))).alias("low"))
+    return sorted((r["low"]["process_id"], r["low"]["k"], r["slice"]) for r in bounds.collect())
+
+
 def stab_many(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """FOUND for different (process_id, address), slice by slice.
 
@@ -152,8 +166,7 @@ def stab_many(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     sees. Addresses and boundaries are written once, in slices, to the session's scratch folder.
     """
     points = sliced(addresses, ranges)
-    bounds = points.where("process_id is not null and address is not null").groupBy("slice").agg(F.min(F.struct("process_id", unsigned(F.col("address")).alias("k"))).alias("low"))
-    lows = sorted((r["low"]["process_id"], r["low"]["k"], r["slice"]) for r in bounds.collect())
+    lows = lows_of(points)
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         asked = asked.combine_chunks()
@@ -164,6 +177,58 @@ def stab_many(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     return left.groupBy("slice").cogroup(pieces(ranges, lows).groupBy("slice")).applyInArrow(run, FOUND)
 
 
+ADDED = "process_id long, entry_ord long, address long, base long, name string, count long"
+
+
+def add_found(ranges: Ranges, rows: pa.Table, by_address: bool) -> pa.Table:
+    """ADDED of entries (process_id, address, entry_ord, count): those of a process and range, and of an address if
+    by_address, are one row with the sum of their counts and the rest from the first by entry_ord."""
+    rows = rows.combine_chunks()
+    whole = lambda c: pa.concat_arrays(rows[c].chunks) if rows[c].num_chunks else pa.array([], pa.int64())
+    process, address, entry, count = (whole(c) for c in ("process_id", "address", "entry_ord", "count"))
+    hit = ranges.places(process, address)
+    p, a, e, n = (x.to_numpy(zero_copy_only=False) for x in (process, address, entry, count))
+    order = np.lexsort((e, *([a] if by_address else []), hit, p))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in (p, hit, *([a] if by_address else [])):
+        new[1:] |= np.diff(x[order]) != 0
+    first = np.flatnonzero(new)
+    sums = np.add.reduceat(n[order], first) if len(first) else n
+    of = order[first]
+    return pa.Table.from_arrays([pa.array(p[of]), pa.array(e[of]), pa.array(a[of]), *ranges.at(hit[of]), pa.array(sums)], names=["process_id", "entry_ord", "address", "base", "name", "count"])
+
+
+def _ahead(process: Column, k: Column) -> Column:
+    """A number that never falls in the order (process, k), k being an unsigned address's key: by it alone most pairs sort."""
+    address = unsigned(k)
+    low = F.when((address < 0) | (address >= 1 << 47), F.lit((1 << 47) - 1)).otherwise(address)
+    return F.when(process < 0, F.lit(LOW)).when(process >= 1 << 15, F.lit(HIGH)).otherwise(F.shiftleft(process, 47) + low)
+
+
+def add_many(entries: DataFrame, ranges: DataFrame, by_address: bool) -> DataFrame:
+    """ADDED of entries (process_id, file_no, address, entry_ord, count; no nulls), slice by slice; the last one counts where
+    an address comes several times in a file.
+
+    Entries go through the slices themselves, so addresses aren't told apart first nor joined with what is found, and the
+    shuffle into the order of slices brings the entries of a file's address together. Those of several files may be cut into
+    slices; what is one row in each of several slices is left to a later aggregation.
+    """
+    ends = ranges.select("process_id", F.explode(F.array("first", "last")).alias("k"))
+    asked = entries.select("process_id", unsigned(F.col("address")).alias("k"), "file_no", "entry_ord", "count")
+    points = asked.unionByName(ends, allowMissingColumns=True).repartitionByRange("process_id", "k", "file_no")
+    points = points.groupBy("process_id", "k", "file_no").agg(F.min("entry_ord").alias("entry_ord"), F.max_by("count", "entry_ord").alias("count"))
+    points = points.select("process_id", unsigned(F.col("k")).alias("address"), "entry_ord", "count", "k").sortWithinPartitions(_ahead(F.col("process_id"), F.col("k")), "process_id", "k", "entry_ord").drop("k")
+    points = written(points.withColumn("slice", F.shiftright(F.monotonically_increasing_id(), SLICE_BITS)), "points")
+    lows = lows_of(points)
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        return add_found(Ranges(held), asked, by_address)
+
+    left = points.where("entry_ord is not null").select("slice", "process_id", "address", "entry_ord", "count")
+    return left.groupBy("slice").cogroup(pieces(ranges, lows).groupBy("slice")).applyInArrow(run, ADDED)
+
+
 def stab(addresses: DataFrame, lib_map: DataFrame, few: int) -> DataFrame:
     """FOUND for the different (process_id, address) of addresses; at most ``few`` ranges are sent to every task."""
     ready(addresses.sparkSession)

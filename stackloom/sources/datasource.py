@@ -10,21 +10,24 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import datasource as D
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from stackloom.model import MAX_DEPTH, FileStatus
 from stackloom.session import ready
-from stackloom.sources.formats import MAP_HEADER, SAMPLE_HEADER, Entries, Fault, find_boundary, pack_entry, parse_samples, read_header, read_map_header, sample_header, walk_entries, walk_map
+from stackloom.sources.formats import MAP_HEADER, SAMPLE_HEADER, Entries, Fault, find_boundary, pack_entries, parse_samples, read_header, read_map_header, sample_header, walk_entries, walk_map
 from stackloom.sources.staging import Staging, store_of
 
 #: Bytes and number of files that share a task, bytes of a file beyond which several tasks may read it, bytes of a file
 #: whose entries are held until all are known to be good (larger ones are read twice).
 TASK_BYTES, TASK_FILES, SPLIT, HOLD = 32 << 20, 256, 128 << 20, 32 << 20
+#: Bytes of a file's entries that wait before they are written as a part, and those of all files of a task.
+PART_BYTES, WAITING = 8 << 20, 64 << 20
 #: Bits of entry_ord that number the entries of one part of a split file; its upper bits number the parts.
 PART_BITS = 40
 
@@ -272,49 +275,89 @@ class _Written(WriterCommitMessage):
     files: list[str]
 
 
-class SampleWriter(DataSourceWriter):
-    """One file per task and process, rank_P-part-N.pflw; entries are written as they come."""
+def _packed(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+    """(process, entries, their bytes) of a batch (process_id, addrs, count); the entries of a process stay in order."""
+    b = b.select(["process_id", "addrs", "count"])
+    if any(b.column(c).null_count for c in range(3)):
+        raise ValueError("samples without a process, a stack or a count can't be written")
+    process = b.column(0).cast(pa.int64()).to_numpy()
+    order = np.argsort(process, kind="stable")
+    process, lists = process[order], b.column(1).take(pa.array(order))
+    counts, flat = b.column(2).cast(pa.int64()).to_numpy()[order], lists.flatten()
+    if flat.null_count:
+        raise ValueError("a stack holds no address")
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    addrs, depths = flat.cast(pa.int64()).to_numpy(), np.diff(ends)
+    if (depths > MAX_DEPTH).any():
+        addrs = addrs[np.arange(len(addrs)) - np.repeat(ends[:-1], depths) < MAX_DEPTH]
+        depths = np.minimum(depths, MAX_DEPTH)
+        ends = np.concatenate([[0], np.cumsum(depths)])
+    cuts = [0, *(np.flatnonzero(np.diff(process)) + 1).tolist(), len(process)] if len(process) else [0]
+    for i, j in zip(cuts, cuts[1:]):
+        yield int(process[i]), j - i, pack_entries(depths[i:j], counts[i:j], addrs[ends[i] : ends[j]])
+
+
+class _Body:
+    """Entries of one file to be: what waits in memory, and parts that are written."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.held, self.size, self.entries, self.parts = name, [], 0, 0, 0
+
+    def add(self, store, entries: int, body: bytes) -> int:
+        """Takes entries; returns how many bytes no longer wait."""
+        self.held.append(body)
+        self.size, self.entries = self.size + len(body), self.entries + entries
+        return self.spill(store) if self.size > PART_BYTES else 0
+
+    def spill(self, store) -> int:
+        if not self.held:
+            return 0
+        with store.open_output_stream(f"{self.name}.{self.parts}") as out:
+            for some in self.held:
+                out.write(some)
+        size, self.held, self.size, self.parts = self.size, [], 0, self.parts + 1
+        return size
+
+    def close(self, store) -> None:
+        """The whole file: its header tells how many entries follow, so it comes when all are known."""
+        with store.open_output_stream(self.name) as out:
+            out.write(sample_header(self.entries))
+            for i in range(self.parts):
+                with store.open_input_stream(f"{self.name}.{i}") as part:
+                    while some := part.read(1 << 20):
+                        out.write(some)
+                store.delete_file(f"{self.name}.{i}")
+            for some in self.held:
+                out.write(some)
+
+
+class SampleWriter(DataSourceArrowWriter):
+    """One file per task and process, rank_P-part-N.pflw; entries are packed a batch at a time and written as they come."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = options["path"], overwrite
         self.staging = Staging(self.path)
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context, job = TaskContext.get(), self.staging.job
         store, _, _ = store_of(self.path)
         folder = self.staging.task_folder()
-        files: dict[int, list] = {}
-        for r in rows:
-            process = r["process_id"]
-            if process not in files:
-                files[process] = [f"{folder}/rank_{process}-part-{context.partitionId():05d}-{job[:8]}.pflw", [], 0]
-            held = files[process]
-            held[1].append(pack_entry(list(r["addrs"])[:MAX_DEPTH], r["count"]))
-            held[2] += 1
-            if len(held[1]) >= 10_000:
-                self._spill(store, held)
-        for held in files.values():
-            self._spill(store, held)
-            # The header tells how many entries follow, so it comes last, in front of what is there.
-            with store.open_output_stream(held[0]) as out:
-                out.write(sample_header(held[2]))
-                for i in range(held[3] if len(held) > 3 else 0):
-                    with store.open_input_stream(f"{held[0]}.{i}") as part:
-                        while some := part.read(1 << 20):
-                            out.write(some)
-                    store.delete_file(f"{held[0]}.{i}")
-        return _Written([x[0] for x in files.values()])
-
-    @staticmethod
-    def _spill(store, held: list) -> None:
-        if held[1]:
-            n = held[3] if len(held) > 3 else 0
-            with store.open_output_stream(f"{held[0]}.{n}") as out:
-                out.write(b"".join(held[1]))
-            held[1] = []
-            held[3:] = [n + 1]
+        files: dict[int, _Body] = {}
+        waiting = 0
+        for b in batches:
+            for process, n, body in _packed(b):
+                if process not in files:
+                    files[process] = _Body(f"{folder}/rank_{process}-part-{context.partitionId():05d}-{job[:8]}.pflw")
+                waiting += len(body) - files[process].add(store, n, body)
+            if waiting > WAITING:
+                for f in files.values():
+                    f.spill(store)
+                waiting = 0
+        for f in files.values():
+            f.close(store)
+        return _Written([f.name for f in files.values()])
 
     def commit(self, messages) -> None:
         old = [store_of(p)[1] for p in _paths(self.path, ".pflw")] if self.overwrite else []

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from stackloom.model import ANONYMOUS, LIB_MAP, MAX_DEPTH, SAMPLES, FileStatus, FileType
 from stackloom.session import ready
 from stackloom.sources.datasource import HOLD, PART_BITS, register
-from stackloom.sources.formats import MAP_HEADER, SAMPLE_HEADER, Fault, parse_samples, read_header, read_map_header, walk_entries, walk_map
+from stackloom.sources.formats import MAP_HEADER, SAMPLE_HEADER, Entries, Fault, parse_samples, read_header, read_map_header, unpack_libraries, walk_entries, walk_libraries
 from stackloom.sources.staging import store_of
 
 #: Rows that leave a decoder at once.
@@ -112,9 +112,9 @@ _DECODED = pa.schema(
 )
 
 
-def _decode(path: str, f: pa.NativeFile | None, max_depth: int, header_only: bool) -> Iterator[pa.RecordBatch]:
-    """The status row of a file and then its entries, once all of them are known to be good; large files are read twice."""
-    header, held, n, status = {}, [], 0, FileStatus.Success
+def _walked(f: pa.NativeFile | None, max_depth: int, header_only: bool, each: Callable[[Entries], None]) -> tuple[FileStatus, dict, int]:
+    """(status, columns that tell of the header, entries) of a file whose entries all go to each, a piece at a time."""
+    header, n, status = {}, 0, FileStatus.Success
     try:
         if f is None:
             raise Fault(FileStatus.FileOpen)
@@ -124,23 +124,32 @@ def _decode(path: str, f: pa.NativeFile | None, max_depth: int, header_only: boo
             raise Fault(parse_samples(head, header_only=True).status)
         if not header_only:
             read_header(head)
-            hold = f.size() <= HOLD
             for some in walk_entries(f.read, header["entry_count"], max_depth):
                 n += len(some.counts)
-                if hold:
-                    held.append(some)
+                each(some)
     except (Fault, OSError) as e:
-        status, held, n = e.status if isinstance(e, Fault) else FileStatus.FileOpen, [], 0
-    told = {k: header.get(k) for k in ("version", "compression", "entry_count", "max_depth", "timestamp")}
+        status, n = e.status if isinstance(e, Fault) else FileStatus.FileOpen, 0
+    return status, {k: header.get(k) for k in ("version", "compression", "entry_count", "max_depth", "timestamp")}, n
+
+
+def _rows(schema: pa.Schema, some: Entries, ahead: int = 0, **more) -> Iterator[pa.RecordBatch]:
+    """Entries as rows, numbered from ahead on."""
+    rows, ends = len(some.counts), pa.array(np.concatenate([[0], np.cumsum(some.depths)]), pa.int32())
+    first = ahead + some.first
+    whole = _batch(schema, rows, entry_ord=pa.array(np.arange(first, first + rows)), addrs=pa.ListArray.from_arrays(ends, pa.array(some.addrs, pa.int64())), count=pa.array(some.counts, pa.int64()), **more)
+    yield from (whole.slice(i, PIECE_ROWS) for i in range(0, rows, PIECE_ROWS))
+
+
+def _decode(path: str, f: pa.NativeFile | None, max_depth: int, header_only: bool) -> Iterator[pa.RecordBatch]:
+    """The status row of a file and then its entries, once all of them are known to be good; large files are read twice."""
+    held: list[Entries] = []
+    hold = f is not None and f.size() <= HOLD
+    status, told, n = _walked(f, max_depth, header_only, held.append if hold else lambda _: None)
     yield _batch(_DECODED, 1, file=path, status=status.value, rows=n, **told)
-    if n and not held:
+    if n and not hold:
         f.seek(SAMPLE_HEADER.size)
-        held = walk_entries(f.read, header["entry_count"], max_depth)
-    for some in held if n else ():
-        ends = pa.array(np.concatenate([[0], np.cumsum(some.depths)]), pa.int32())
-        rows = len(some.counts)
-        whole = _batch(_DECODED, rows, file=path, status=status.value, entry_ord=pa.array(np.arange(some.first, some.first + rows)), addrs=pa.ListArray.from_arrays(ends, pa.array(some.addrs, pa.int64())), count=pa.array(some.counts, pa.int64()))
-        yield from (whole.slice(i, PIECE_ROWS) for i in range(0, rows, PIECE_ROWS))
+    for some in (held if hold else walk_entries(f.read, n, max_depth)) if n else ():
+        yield from _rows(_DECODED, some, file=path, status=status.value)
 
 
 def decode_samples(files: DataFrame, max_depth: int = MAX_DEPTH, header_only: bool = False) -> DataFrame:
@@ -155,14 +164,76 @@ def decode_samples(files: DataFrame, max_depth: int = MAX_DEPTH, header_only: bo
     return _fed(files).mapInArrow(run, from_arrow_schema(_DECODED))
 
 
+_INDEXED = pa.schema([f for f in _DECODED if f.name not in ("process_id", "entry_ord", "addrs", "count")] + [("at", pa.int64()), ("first", pa.int64()), ("entries", pa.int64())])
+_ENTRIES = pa.schema([("process_id", pa.int64()), ("file_no", pa.int64()), ("entry_ord", pa.int64()), ("addrs", pa.list_(pa.int64())), ("count", pa.int64())])
+
+
+def _index(path: str, f: pa.NativeFile | None, max_depth: int) -> Iterator[pa.RecordBatch]:
+    """The status row of a file, and a row for each piece of its entries if all of them are good: place, first entry, entries."""
+    held: list[tuple[int, int, int]] = []
+    at = SAMPLE_HEADER.size
+
+    def keep(some: Entries) -> None:
+        nonlocal at
+        held.append((at, some.first, len(some.counts)))
+        at += 8 * (2 * len(some.counts) + len(some.addrs))
+
+    status, told, n = _walked(f, max_depth, False, keep)
+    yield _batch(_INDEXED, 1, file=path, status=status.value, rows=n, **told)
+    if n:
+        columns = {c: pa.array(x, pa.int64()) for c, x in zip(("at", "first", "entries"), zip(*held))}
+        yield _batch(_INDEXED, len(held), file=path, status=status.value, **columns)
+
+
+def index_samples(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """One status row per file (at null) and one row for each piece of the entries of a readable one, from (path).
+
+    A file is walked by one task, which keeps a few numbers for 8 MB of it; entries_of decodes the pieces in as many as there are.
+    """
+
+    def run(batches):
+        for path, f in _opened(batches):
+            yield from _index(path, f, max_depth)
+            if f is not None:
+                f.close()
+
+    return _fed(files).mapInArrow(run, from_arrow_schema(_INDEXED))
+
+
+#: Bits that number the entries of a file where entries of several files are told apart by one number.
+ENTRY_BITS = 40
+#: Tasks that decode pieces of files at most.
+DECODERS = 4_096
+
+
+def entries_of(index: DataFrame, process_ids: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Entries (process_id, file_no, entry_ord, addrs, count) of indexed files, by process_ids (file, file_no, process_id).
+
+    entry_ord has the file's number in its upper bits.
+    """
+    pieces = index.where("at is not null").join(process_ids, "file").select("file", "at", "first", "entries", "file_no", "process_id")
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                store, inner, _ = store_of(r["file"])
+                with store.open_input_file(inner) as f:
+                    f.seek(r["at"])
+                    for some in walk_entries(f.read, r["entries"], max_depth):
+                        yield from _rows(_ENTRIES, some, (r["file_no"] << ENTRY_BITS) + r["first"], process_id=r["process_id"], file_no=r["file_no"])
+
+    dealt = pieces.repartition(max(1, min(pieces.count(), DECODERS)))
+    return dealt.mapInArrow(run, from_arrow_schema(_ENTRIES))
+
+
 def _fed(files: DataFrame) -> DataFrame:
     ready(files.sparkSession)
     return files.select("path", *(c for c in files.columns if c == "content"))
 
 
 def status_of(decoded: DataFrame) -> DataFrame:
-    """(file, status, version, compression, entry_count, max_depth, timestamp, rows): one row per file."""
-    return decoded.where("entry_ord is null").select("file", "status", "version", "compression", "entry_count", "max_depth", F.timestamp_seconds("timestamp").alias("created"), "rows")
+    """(file, status, version, compression, entry_count, max_depth, timestamp, rows): one row per file, of decoded or indexed ones."""
+    return decoded.where(F.col("at" if "at" in decoded.columns else "entry_ord").isNull()).select("file", "status", "version", "compression", "entry_count", "max_depth", F.timestamp_seconds("timestamp").alias("created"), "rows")
 
 
 def samples_of(decoded: DataFrame, process_ids: DataFrame | None = None, duplicates: str = "last") -> DataFrame:
@@ -231,7 +302,7 @@ def _decode_map(path: str, f: pa.NativeFile | None) -> Iterator[pa.RecordBatch]:
             p = read_map_header(f.read(MAP_HEADER.size))
             header, status = p.header, p.status
             if status is FileStatus.Success:
-                for _ in walk_map(f.read, header["library_count"]):
+                for _ in walk_libraries(f.read, header["library_count"]):
                     pass
     except (Fault, OSError) as e:
         status = e.status if isinstance(e, Fault) else FileStatus.FileOpen
@@ -239,9 +310,10 @@ def _decode_map(path: str, f: pa.NativeFile | None) -> Iterator[pa.RecordBatch]:
     yield _batch(_MAPPED, 1, **told)
     if status is FileStatus.Success:
         f.seek(MAP_HEADER.size)
-        for rows in walk_map(f.read, header["library_count"]):
-            columns = {c: pa.array(x, _MAPPED.field(c).type) for c, x in zip(("ord", "base", "end", "executable", "name"), zip(*rows))}
-            yield _batch(_MAPPED, len(rows), **told, **columns)
+        for first, held, at in walk_libraries(f.read, header["library_count"]):
+            base, end, executable, name = unpack_libraries(held, at)
+            columns = {"ord": pa.array(np.arange(first, first + len(at)), pa.int32()), "base": pa.array(base), "end": pa.array(end), "executable": pa.array(executable), "name": name}
+            yield _batch(_MAPPED, len(at), **told, **columns)
 
 
 def decode_maps(files: DataFrame) -> DataFrame:
