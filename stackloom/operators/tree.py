@@ -110,7 +110,7 @@ class Tree:
     @cached_property
     def nodes(self) -> DataFrame:
         """Every node, the root included, with its frame, counts and place."""
-        return self._nodes(self._shape)
+        return self._nodes(self._stored_shape if self.kept else self._shape)
 
     def _nodes(self, shape: DataFrame) -> DataFrame:
         self_ = F.lit(0).cast("long") if self.count_mode is SampleCountMode.Inclusive else F.col("ends")

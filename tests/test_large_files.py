@@ -112,3 +112,19 @@ def test_names_of_maps_that_are_not_utf8():
     raw = formats.MAP_ENTRY.pack(1, 2, 1, b"", 3, 0) + b"a\xffb" + formats.MAP_ENTRY.pack(3, 4, 0, b"", 0, 0)
     p = parse_map(formats.map_header(2, 9) + raw)
     assert p.rows == [(0, 1, 2, True, "a�b"), (1, 3, 4, False, "")]
+
+
+def test_maps_of_few_files_stay_spread(spark, tmp_path):
+    """Rows of one map are dealt to several tasks, and finding their process doesn't bring them together again."""
+    (tmp_path / "m.libmap").write_bytes(pack_map([(16 * i, 16 * i + 8, True, f"l{i}") for i in range(20_000)], 9))
+    b = TreeBuilder(spark=spark)
+    assert b.load_library_maps([(f"{tmp_path}/m.libmap", 2)]) == 1
+    sizes = b._lib_map().rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000 and b._lib_map().selectExpr("min(process_id)", "max(process_id)").first() == (2, 2)
+
+
+def test_nodes_of_a_stored_tree_come_from_one_shape(spark):
+    b = TreeBuilder(count_mode=SampleCountMode.Both, spark=spark).insert_call_stack(["main", "f"], 0, 3).insert_call_stack(["main"], 1, 2)
+    t = b.tree
+    assert sorted((r["function_name"], r["total_samples"], r["child_count"]) for r in t.nodes.collect()) == [("[root]", 5, 1), ("f", 3, 0), ("main", 5, 1)]
+    assert "posexplode" not in t.nodes._jdf.queryExecution().toString()
